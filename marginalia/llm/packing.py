@@ -12,18 +12,21 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space in any reading; what stands between such characters is tokenised on its own.
-_GAP = re.compile("[ \t\n\r]+")
-#: Chunks whose ids a worker keeps; the cache is emptied when it is full.
+#: Small letters that no normalising changes, and the punctuation after them, which is a unit of its own.
+_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)").fullmatch
+#: Stands between words that are tokenised together; one token.
+_MARK = "\x01"
+#: Words a worker remembers in each of two generations.
 _CACHE = 200_000
-#: Longer chunks are not kept.
-_CHUNK = 64
+#: Longer words are forgotten.
+_LONG = 64
 
 
 class BestFit:
@@ -68,39 +71,101 @@ class BestFit:
         return number, self.size - free
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class _Words:
+    """Ids of words in two generations: when the young is full it becomes the old, whose words return as they are met."""
 
-    return Tokenizer.from_file(path)
+    def __init__(self, room: int) -> None:
+        self.room, self.young, self.old = room, {}, {}
+
+    def missing(self, words: set[bytes]) -> list[bytes]:
+        """Makes room, and takes words of the old generation over; those that neither has are returned."""
+        lacking = words.difference(self.young)
+        if len(self.young) + len(lacking) > self.room:
+            self.old, self.young = self.young, {}
+            lacking = words
+        old = self.old
+        kept = {w: old[w] for w in lacking if w in old}
+        self.young.update(kept)
+        return [w for w in lacking if w not in kept]
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes, each distinct chunk between blanks tokenised once."""
+    """Token ids as little-endian 32-bit bytes, each distinct word tokenised once while a worker remembers it.
+
+    The tokenizer drops white space and parts letters from punctuation, so what stands between blanks is
+    tokenised on its own, and so is the punctuation that ends it; Capitals A-Z may be lowered beforehand,
+    as the tokenizer lowers them itself. Words of plain small letters are a single unit to it: its merges
+    run on them without normalising, and each such word ends at the one token that is marked as a word's end.
+    """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer, self.known = _tokenizer(path), {}
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.plain = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        for own in (self.tokenizer, self.plain):
+            own.model._resize_cache(0)  # distinct words only
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.words, self.mark = _Words(_CACHE), self._ids(self.tokenizer, _MARK)[0]
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    @staticmethod
+    def _cut(ids: np.ndarray, upto: np.ndarray, skip: int) -> list[bytes]:
+        """Bytes of the ids between the places ``upto``, leaving out ``skip`` ids after each."""
+        data, places = ids.tobytes(), (upto * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *[x + 4 * skip for x in places]], [*places, len(data)], strict=True)]
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        known = self.words.young
+        tailed, plain, other = [], set(), []
+        for word in fresh:
+            if found := _PLAIN(word):
+                core, tail = found.groups()
+                plain.add(core)
+                if tail:
+                    tailed.append((word, core, tail))
+            else:
+                other.append(word)
+        cores = [w for w in plain if w not in known]
+        for at in range(0, len(cores), 5000):
+            part = cores[at : at + 5000]
+            ids = self._ids(self.plain, b" ".join(part).decode())
+            known.update(zip(part, self._cut(ids, np.flatnonzero(self.ends[ids])[:-1] + 1, 0), strict=True))
+        other += {tail for _, _, tail in tailed if tail not in known}.difference(other)
+        for at in range(0, len(other), 2000):
+            part = other[at : at + 2000]
+            ids = self._ids(self.tokenizer, f" {_MARK} ".encode().join(part).decode())
+            known.update(zip(part, self._cut(ids, np.flatnonzero(ids == self.mark), 1), strict=True))
+        for word, core, tail in tailed:
+            known[word] = known[core] + known[tail]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked = [_GAP.split(t) if t else [] for t in texts]
-        fresh = list({c for chunks in chunked for c in chunks if c not in self.known})
-        if len(self.known) + len(fresh) > _CACHE:
-            self.known = {}
-            fresh = list({c for chunks in chunked for c in chunks})
-        ids = {}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for chunk, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids[chunk] = b"".join(x.to_bytes(4, "little") for x in got.ids)
-        known = self.known
-        known.update(ids)
-        out = [b"".join([known[c] for c in chunks]) for chunks in chunked]
-        for chunk in ids:
-            if len(chunk) > _CHUNK:
-                del known[chunk]
+        split = []
+        for text in texts:
+            raw = text.encode()
+            # special tokens are matched with their capitals and the mark has a use here: those texts go whole
+            whole = b"<|" in raw or _MARK.encode() in raw
+            split.append(None if whole else raw.lower().split())
+        self._learn(self.words.missing(set().union(*[s for s in split if s])))
+        ids = self.words.young.__getitem__
+        out = [self._ids(self.tokenizer, t).tobytes() if s is None else b"".join(map(ids, s)) for t, s in zip(texts, split, strict=True)]
+        if self.words.young and max(map(len, texts), default=0) > 1 << 16:
+            self.words.young = {w: v for w, v in self.words.young.items() if len(w) <= _LONG}
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """One for each worker process, which serves many tasks."""
+    return Encoder(path)
+
+
 def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1, open_bins: int = 512) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
@@ -113,7 +178,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1
 
     def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         base = TaskContext.get().partitionId() << 32
-        bins, encoder, end = BestFit(size, open_bins), Encoder(tokenizer_path), end_id.to_bytes(4, "little")
+        bins, encoder, end = BestFit(size, open_bins), _encoder(tokenizer_path), end_id.to_bytes(4, "little")
         for frame in frames:
             rows = []
             ids, texts = frame["doc_id"].tolist(), frame["text"].tolist()
