@@ -13,7 +13,8 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 _MARK = "\x01"
 #: Words a worker remembers in each of two generations.
 _CACHE = 200_000
+#: Bytes of text that are tokenised together.
+_LOT = 4 << 20
 #: Longer words are forgotten.
 _LONG = 64
 
@@ -123,27 +126,28 @@ class Encoder:
 
     def _learn(self, fresh: list[bytes]) -> None:
         known = self.words.young
-        tailed, plain, other = [], set(), []
+        cores, other, tailed = [], [], []
         for word in fresh:
-            if found := _PLAIN(word):
-                core, tail = found.groups()
-                plain.add(core)
-                if tail:
-                    tailed.append((word, core, tail))
-            else:
+            found = _PLAIN(word)
+            if not found:
                 other.append(word)
-        cores = [w for w in plain if w not in known]
+            elif found.end(1) == len(word):
+                cores.append(word)
+            else:
+                tailed.append(found)
+        # a core that is a word of this lot too is learnt once
+        cores += {found[1] for found in tailed}.difference(known).difference(cores)
         for at in range(0, len(cores), 5000):
             part = cores[at : at + 5000]
             ids = self._ids(self.plain, b" ".join(part).decode())
             known.update(zip(part, self._cut(ids, np.flatnonzero(self.ends[ids])[:-1] + 1, 0), strict=True))
-        other += {tail for _, _, tail in tailed if tail not in known}.difference(other)
+        other += {found[2] for found in tailed}.difference(known).difference(other)
         for at in range(0, len(other), 2000):
             part = other[at : at + 2000]
             ids = self._ids(self.tokenizer, f" {_MARK} ".encode().join(part).decode())
             known.update(zip(part, self._cut(ids, np.flatnonzero(ids == self.mark), 1), strict=True))
-        for word, core, tail in tailed:
-            known[word] = known[core] + known[tail]
+        for found in tailed:
+            known[found[0]] = known[found[1]] + known[found[2]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
@@ -152,11 +156,12 @@ class Encoder:
             # special tokens are matched with their capitals and the mark has a use here: those texts go whole
             whole = b"<|" in raw or _MARK.encode() in raw
             split.append(None if whole else raw.lower().split())
-        self._learn(self.words.missing(set().union(*[s for s in split if s])))
+        fresh = self.words.missing(set().union(*[s for s in split if s]))
+        self._learn(fresh)
         ids = self.words.young.__getitem__
         out = [self._ids(self.tokenizer, t).tobytes() if s is None else b"".join(map(ids, s)) for t, s in zip(texts, split, strict=True)]
-        if self.words.young and max(map(len, texts), default=0) > 1 << 16:
-            self.words.young = {w: v for w, v in self.words.young.items() if len(w) <= _LONG}
+        for word in [w for w in fresh if len(w) > _LONG]:
+            del self.words.young[word]
         return out
 
 
@@ -176,36 +181,39 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 4096, end_id: int = 1
     task that runs again on the same rows gives the same packing, and no bin spans two tasks.
     """
 
-    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 32
         bins, encoder, end = BestFit(size, open_bins), _encoder(tokenizer_path), end_id.to_bytes(4, "little")
-        for frame in frames:
-            rows = []
-            ids, texts = frame["doc_id"].tolist(), frame["text"].tolist()
-            for first in range(0, len(texts), 500):
-                for doc, data in zip(ids[first : first + 500], encoder.encode(texts[first : first + 500]), strict=True):
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            for first, last in _lots(pc.binary_length(texts).to_pylist()):
+                docs_, pieces, starts, lengths, crcs, bins_, offsets = ([] for _ in range(7))
+                for k, data in enumerate(encoder.encode(texts.slice(first, last - first).to_pylist()), first):
                     data += end
                     for piece, at in enumerate(range(0, len(data), 4 * size)):
                         part = data[at : at + 4 * size]
                         number, offset = bins.place(len(part) // 4)
-                        rows.append((doc, piece, at // 4, len(part) // 4, zlib.crc32(part), base + number, offset))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-            yield out.assign(doc_id=pd.array(out["doc_id"], dtype="Int64"))
-
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")]])
-    # ids as text: pandas would turn longs with nulls into doubles
-    plain = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return plain.mapInPandas(_typed(packed), schema)
-
-
-def _typed(function):
-    """Ids arrive as text or None; they leave as integers."""
-
-    def run(frames):
-        def read():
-            for frame in frames:
-                yield frame.assign(doc_id=[None if x is None else int(x) for x in frame["doc_id"]])
-
-        return function(read())
-
-    return run
+                        docs_.append(k)
+                        pieces.append(piece)
+                        starts.append(at // 4)
+                        lengths.append(len(part) // 4)
+                        crcs.append(zlib.crc32(part))
+                        bins_.append(base + number)
+                        offsets.append(offset)
+                columns = [ids.take(pa.array(docs_, pa.int64())), pa.array(pieces, pa.int32()), *[pa.array(c, pa.int64()) for c in (starts, lengths, crcs, bins_, offsets)]]
+                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema])
+
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("piece", T.IntegerType()), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "sequence_id", "offset")]])
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(packed, schema)
+
+
+def _lots(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts that are tokenised together: up to ``_LOT`` bytes, one text at least."""
+    first, held = 0, 0
+    for k, n in enumerate(lengths):
+        if held and held + n > _LOT:
+            yield first, k
+            first, held = k, 0
+        held += n
+    if lengths:
+        yield first, len(lengths)
