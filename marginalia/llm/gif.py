@@ -164,7 +164,7 @@ def lzw_encode(pixels: bytes, size: int = 8) -> bytes:
 def encode(payload: bytes, delay_cs: int = DELAY) -> bytes:
     """A lossless animation of 8-bit samples: grey palette, frames of whole rows of 96, in order.
 
-    The payload's length is a positive multiple of 576. Frames stay when their time is over.
+    The payload's length is a positive multiple of 576. A frame is cleared when its time is over, so that each shows its own samples only.
     """
     if not payload or len(payload) % UNIT:
         raise ValueError(f"{len(payload)} bytes are no positive multiple of {UNIT}")
@@ -174,7 +174,7 @@ def encode(payload: bytes, delay_cs: int = DELAY) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, tall, 0xF7, 0, 0), grey, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
     for at in range(0, len(payload), step):
         part = payload[at : at + step]
-        out.append(struct.pack("<BBBBHBB", _EXTENSION, _CONTROL, 4, 1 << 2, delay_cs, 0, 0))
+        out.append(struct.pack("<BBBBHBB", _EXTENSION, _CONTROL, 4, 2 << 2, delay_cs, 0, 0))
         out.append(struct.pack("<BHHHHBB", _IMAGE, 0, 0, WIDTH, len(part) // WIDTH, 0, 8))
         codes = lzw_encode(part)
         out += [bytes([len(codes[k : k + 255])]) + codes[k : k + 255] for k in range(0, len(codes), 255)]
