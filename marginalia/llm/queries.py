@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, hnsw, lm, mixing, packing, pii, simhash, toxicity, warc
+from . import gif, hnsw, langid, lm, mixing, packing, pii, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.assess(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict(_table(spark, sf_dir, "documents"))
+
+
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.pseudonyms(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.secret(spark))
     return found.select("doc_id", "text", *[found["pii"][kind].alias(f"n_{kind}") for kind in pii.KINDS])
