@@ -151,6 +151,9 @@ def read(index: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
     kind = index.schema["page_id"].dataType
     fields = "page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * with_payload
     cells = index.groupBy("archive", F.floor(F.col("offset") / CELL).alias("cell")).agg(F.array_sort(F.collect_list(F.struct("offset", "length"))).alias("places")).select("archive", "places")
+    # the rows are small but what they stand for is not, so tasks are dealt by the bytes to read
+    total = index.agg(F.sum("length")).first()[0] or 0
+    cells = cells.repartition(max(1, -(-total // CELL)))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
