@@ -7,7 +7,7 @@ word's lattice is run once for the whole corpus, by forward recursion in log spa
 
 Words are looked up by their share of the corpus. One that makes up at least ``1 / head`` of all words is
 in the broadcast head, which can therefore hold ``head`` words at most. The rest meet their counts in a join,
-in which no key is frequent; postings are gathered for batches of documents before they are shuffled.
+in which no key is frequent; a document's repeated words are counted before they are shuffled.
 """
 
 from __future__ import annotations
@@ -214,8 +214,8 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 1, head: int = 50_000,
     each = log(tokens + kinds + 1) / _LN10
     end_base, end_lm = log(ends + 1) / _LN10 - each, end_log / _LN10
 
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "row", "word", "rows", "ns"]
-    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "base", "lm", "row", "word", "n"]
+    types = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int32()]
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, get = TaskContext.get().partitionId() << 33, known.value.get
@@ -228,33 +228,30 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = 1, head: int = 50_000,
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 ids, held, heads = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
-                rare: dict[bytes, tuple[list[int], list[int]]] = {}
+                rare, rows, ns = [], [], []
                 for text in batch.column(1):
                     n_tokens, n_known, base, lm = 1, int(ends > 0), end_base, end_lm
                     for word, n in Counter((text.as_py() or "").encode().lower().split()).items():
                         n_tokens += n
-                        base -= n * each
                         if found := get(word):
-                            n_known += n * (found[0] > 0)
+                            if found[0]:
+                                n_known += n
                             base += n * found[1]
                             lm += n * found[2]
                         else:
-                            places = rare.get(word)
-                            if places is None:
-                                places = rare[word] = ([], [])
-                            places[0].append(row)
-                            places[1].append(n)
-                    heads.append((n_tokens, n_known, base, lm, row))
+                            rare.append(word)
+                            rows.append(row)
+                            ns.append(n)
+                    heads.append((n_tokens, n_known, base - (n_tokens - 1) * each, lm, row))
                     row += 1
                 if heads:
-                    yield made(ids, held, *zip(*heads, strict=True), [], [], [])
+                    yield made(ids, held, *zip(*heads, strict=True), [], [])
                 if rare:
-                    yield made([], [], [], [], [], [], [], list(rare), [p[0] for p in rare.values()], [p[1] for p in rare.values()])
+                    yield made([], [], [], [], [], [], rows, rare, ns)
 
-    looked = persisted(marked.select(F.col("doc_id").cast("string"), "text", "held_out").mapInArrow(look_up, "doc_id string, held_out boolean, n_tokens long, n_known long, base double, lm double, row long, word binary, rows array<long>, ns array<int>"), "looked-up")
-    met = looked.where("word IS NOT NULL").select("word", "rows", "ns").join(scored.select("word", "c", F.col("lm").alias("word_lm")), "word")
-    pairs = met.select("c", "word_lm", F.explode(F.arrays_zip("rows", "ns")).alias("p")).select("c", "word_lm", F.col("p.rows").alias("row"), F.col("p.ns").alias("n"))
-    rest = pairs.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base"), F.sum(F.col("n") * F.col("word_lm")).alias("lm"))
+    looked = persisted(marked.select(F.col("doc_id").cast("string"), "text", "held_out").mapInArrow(look_up, "doc_id string, held_out boolean, n_tokens long, n_known long, base double, lm double, row long, word binary, n int"), "looked-up")
+    met = looked.where("word IS NOT NULL").select("word", "row", "n").join(scored.select("word", "c", F.col("lm").alias("word_lm")), "word")
+    rest = met.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("base"), F.sum(F.col("n") * F.col("word_lm")).alias("lm"))
     own = looked.where("word IS NULL").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lm")
     both = own.unionByName(rest, allowMissingColumns=True).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), *[F.sum(c).alias(c) for c in ("n_known", "base", "lm")])
     return both.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), F.col("lm").alias("score"))
