@@ -98,7 +98,7 @@ def overlaps(a: Column, b: Column) -> Column:
 
 def under_enabled(rows: DataFrame, column: str, paths: list[str]) -> DataFrame:
     """Rows whose path is one of the enabled ones or below one."""
-    tests = [(F.col(column) == p) | F.col(column).startswith(p.rstrip("/") + "/") for p in paths]
+    tests = [(F.col(column) == p.rstrip("/")) | F.col(column).startswith(p.rstrip("/") + "/") for p in paths]
     keep = F.lit(False)
     for t in tests:
         keep = keep | t
