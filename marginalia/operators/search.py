@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions import text as tx
 from marginalia.functions import vectors as vx
@@ -117,17 +121,41 @@ def knn(chunks: DataFrame, query: list[float] | Column, k: int, vector: str = "v
 
 
 def knn_join(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: str | None = None, max_queries: int = 10_000) -> DataFrame:
-    """``query_id, chunk_id, distance, rank`` of each query's ``k`` nearest.
+    """Each query's ``k`` nearest chunks: ``query_id, distance, rank`` and the chunks' columns but the vector.
 
     ``queries(query_id, query_vector)`` are a stated set of at most ``max_queries``, which is checked before
-    they are broadcast. Each task keeps its best of each query before anything is shuffled.
+    they are sent to all tasks. A task keeps the best ``k`` of each query from each batch, ties by
+    ``chunk_id``, so what is shuffled does not grow with the pairs. Distances are exact, in double precision.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
+    asked = queries.select("query_id", F.transform("query_vector", lambda x: x.cast("double")).alias("q")).limit(max_queries + 1).collect()
+    if len(asked) > max_queries:
         raise ValueError(f"over {max_queries} queries: search them in several calls")
-    pairs = chunks.join(F.broadcast(queries))
-    if exclude_self:
-        pairs = pairs.where(f"query_id != {exclude_self}")
-    near = pairs.withColumn("distance", vx.squared_l2(F.col("vector"), F.col("query_vector"))).drop("query_vector", "vector")
+    shared = chunks.sparkSession.sparkContext.broadcast(([r.query_id for r in asked], np.array([r.q for r in asked], np.float64)))
+    rest = [c for c in chunks.columns if c != "vector"]
+    kind = queries.schema["query_id"].dataType
+    schema = T.StructType([T.StructField("query_id", kind), T.StructField("distance", T.DoubleType()), *[chunks.schema[c] for c in rest]])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            rows = batch.select(rest)
+            flat = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)
+            chunk_ids = np.asarray(batch.column("chunk_id"))
+            own = batch.column(exclude_self).to_numpy(zero_copy_only=False) if exclude_self else None
+            for query, vector in zip(ids, vectors, strict=True):
+                distance = np.square(flat - vector).sum(1)
+                if own is not None:
+                    distance[own == query] = np.inf
+                cut = np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.inf
+                near = np.flatnonzero((distance <= cut) & np.isfinite(distance))
+                near = near[np.lexsort((chunk_ids[near], distance[near]))][:k]
+                if len(near):
+                    taken = rows.take(pa.array(near))
+                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(near)), pa.array(distance[near]), *taken.columns], ["query_id", "distance", *rest])
+
+    near = chunks.select(*rest, "vector").mapInArrow(look, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -178,3 +178,13 @@ def test_synthetic_notes_are_seeded(spark):
     a, b = (vault.synthetic_notes(spark, 300, 9, seed=s).collect() for s in (1, 1))
     assert a == b != vault.synthetic_notes(spark, 300, 9, seed=2).collect() and len(a) == 300
     assert 0.3 < sum(r.style == "structured" for r in a) / 300 < 0.5
+
+
+def test_embeds_are_expanded(spark):
+    from marginalia.operators.embeds import expanded
+
+    rows = [(1, "A", "a ![[B]] z"), (2, "B", "b![[C]]"), (3, "C", "c![[A]]"), (4, "D", "![[none]]![[L]]"), (5, "L", "secret"), (6, "E", None)] + [(10 + i, f"N{i}", f"{i}![[N{i + 1}]]") for i in range(9)]
+    df = spark.createDataFrame([(i, t, c, 9 if t == "L" else 1, i) for i, t, c in rows], "note_id long, title string, content string, folder_id long, updated_at long")
+    got = {r.note_id: (r.text, r.faults) for r in expanded(df, spark.createDataFrame([(9,)], "folder_id long")).collect()}
+    assert got[1] == ("a bc[circular: A] z", 1) and got[4] == ("[missing: none][locked: L]", 2) and got[6] == ("", 0)
+    assert got[10] == ("012345[too deep: N6]", 1)
