@@ -22,6 +22,9 @@ from pyspark.sql import types as T
 
 #: Small letters that no normalising changes, and the punctuation after them, which is a unit of its own.
 _PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)").fullmatch
+#: ASCII punctuation as commas, for a look at what stands beside it; what is left of a text of these bytes is nothing.
+_SIGNS = bytes.maketrans(b"!\"#$%&'()*+-./:;<=>?@[\\]^_`{|}~", b"," * 31)
+_LATIN = bytes(range(128)) + b"\xc3" + bytes(b for b in range(0x80, 0xC0))
 #: Stands between words that are tokenised together; one token.
 _MARK = "\x01"
 #: Words a worker remembers in each of two generations.
@@ -32,6 +35,16 @@ _LOT = 4 << 20
 _LONG = 64
 
 
+def _parted(raw: bytes) -> bytes:
+    """The text with blanks around full stops and commas, where that parts no run of signs and no other word.
+
+    That is so if all bytes are ASCII or Latin letters and no two signs stand side by side.
+    """
+    if raw.translate(None, _LATIN) or b"\xc3\x97" in raw or b"\xc3\xb7" in raw or b",," in raw.translate(_SIGNS):
+        return raw
+    return raw.replace(b".", b" . ").replace(b",", b" , ")
+
+
 class BestFit:
     """Bounded-space online best-fit over bins of ``size``."""
 
@@ -155,7 +168,7 @@ class Encoder:
             raw = text.encode()
             # special tokens are matched with their capitals and the mark has a use here: those texts go whole
             whole = b"<|" in raw or _MARK.encode() in raw
-            split.append(None if whole else raw.lower().split())
+            split.append(None if whole else _parted(raw.lower()).split())
         fresh = self.words.missing(set().union(*[s for s in split if s]))
         self._learn(fresh)
         ids = self.words.young.__getitem__
