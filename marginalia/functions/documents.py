@@ -9,7 +9,7 @@ import datetime
 import io
 import re
 import zipfile
-from html.parser import HTMLParser
+from html import unescape
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -25,55 +25,72 @@ _DROPPED = {"script", "style", "nav"}
 _MONTHS = "january february march april may june july august september october november december".split()
 
 
-class _Tree(HTMLParser):
-    """Open elements by the rules for implied ends: a new block ends ``p``; ``li td th tr`` end their like."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, dict]] = []
-        self.out: list[tuple] = []
-
-    def _pop(self, depth: int) -> None:
-        while len(self.open) > depth:
-            self.out.append(("end", self.open.pop()[0]))
-
-    def handle_starttag(self, tag, attrs):
-        names = [t for t, _ in self.open]
-        if tag in _ENDS_P and "p" in names:
-            self._pop(len(names) - 1 - names[::-1].index("p"))
-        names = [t for t, _ in self.open]
-        for like, stop in (({"li"}, {"ul", "ol"}), ({"td", "th"}, {"tr", "table"}), ({"tr"}, {"table"}), ({"dt", "dd"}, {"dl"})):
-            if tag in like:
-                for depth in range(len(names) - 1, -1, -1):
-                    if names[depth] in stop:
-                        break
-                    if names[depth] in like:
-                        self._pop(depth)
-                        break
-        self.out.append(("start", tag, dict(attrs)))
-        if tag not in _VOID:
-            self.open.append((tag, dict(attrs)))
-
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
-    def handle_endtag(self, tag):
-        names = [t for t, _ in self.open]
-        if tag in names:
-            self._pop(len(names) - 1 - names[::-1].index(tag))
-
-    def handle_data(self, data):
-        self.out.append(("text", data))
+#: A comment, declaration or tag; quoted attribute values may hold ``>``.
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*|[^>]*)>""", re.S)
+_RAW_END = {tag: re.compile(f"</{tag}\\b", re.I) for tag in ("script", "style")}
+_TOC = re.compile(r"""\b(?:id\s*=\s*["']?toc(?=["'\s/>]|$)|class\s*=\s*(?:"(?:[^"]*\s)?toc[\s"]|'(?:[^']*\s)?toc[\s']|toc(?=[\s/>]|$)))""", re.I)
+#: Elements that a new one of their kind ends, and those within which it does not look further out.
+_LIKE = {tag: (frozenset(like), frozenset(stop)) for like, stop in ((("li",), ("ul", "ol")), (("td", "th"), ("tr", "table")), (("tr",), ("table",)), (("dt", "dd"), ("dl",))) for tag in like}
 
 
 def _events(html: str) -> list[tuple]:
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    tree._pop(0)
-    return tree.out
+    """``("start", tag, is a table of contents)``, ``("end", tag)`` and ``("text", data)`` in order.
+
+    One pass of a tag pattern keeps the open elements by the rules for implied ends: a new block ends ``p``,
+    and ``li td th tr dt dd`` end their like. Scripts and styles are text up to their end tag.
+    """
+    out: list[tuple] = []
+    open_: list[str] = []
+    put, at, size = out.append, 0, len(html)
+
+    def close(depth: int) -> None:
+        while len(open_) > depth:
+            put(("end", open_.pop()))
+
+    def last(tags) -> int:
+        for depth in range(len(open_) - 1, -1, -1):
+            if open_[depth] in tags:
+                return depth
+        return -1
+
+    while at < size:
+        m = _TAG.search(html, at)
+        text = html[at : m.start()] if m else html[at:]
+        if text:
+            put(("text", unescape(text) if "&" in text else text))
+        if not m:
+            break
+        at = m.end()
+        tag = m[2]
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if m[1]:
+            if tag in open_:
+                close(last((tag,)))
+            continue
+        if tag in _ENDS_P and "p" in open_:
+            close(last(("p",)))
+        if tag in _LIKE:
+            like, stop = _LIKE[tag]
+            depth = last(like | stop)
+            if depth >= 0 and open_[depth] in like:
+                close(depth)
+        attributes = m[3]
+        put(("start", tag, "toc" in attributes.lower() and bool(_TOC.search(attributes))))
+        if tag in _VOID:
+            continue
+        open_.append(tag)
+        if attributes.endswith("/"):
+            close(len(open_) - 1)
+        elif tag in _RAW_END:
+            end = _RAW_END[tag].search(html, at)
+            stop_at = end.start() if end else size
+            if stop_at > at:
+                put(("text", html[at:stop_at]))
+            at = stop_at
+    close(0)
+    return out
 
 
 def html_structured(html: str | None) -> str | None:
@@ -115,7 +132,7 @@ def html_flat(html: str | None, leaky: bool = False) -> str | None:
     for event in events:
         kind, what = event[0], event[1]
         if kind == "start":
-            drop = what in _DROPPED or event[2].get("id") == "toc" or "toc" in (event[2].get("class") or "").split()
+            drop = what in _DROPPED or event[2]
             if what not in _VOID:
                 stack.append(drop)
                 dropped += drop
