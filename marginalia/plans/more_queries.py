@@ -262,7 +262,7 @@ def opr14_note_tags(s, p):
     return kn.note_tags(d.notes(s, p, True)).groupBy("note_id").agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("tags"))
 
 
-@query("WITH w AS (SELECT DISTINCT doc_id AS note_id, unnest(regexp_extract_all(text, '[\\w\\p{L}-]+')) AS title FROM documents), t AS (SELECT 'of' AS title, 1 AS target UNION ALL SELECT 'the', 2 UNION ALL SELECT 'la', 3) SELECT note_id, target AS mentions_id FROM w JOIN t USING (title) WHERE note_id <> target")
+@query("WITH w AS (SELECT DISTINCT doc_id AS note_id, unnest(regexp_extract_all(text, '[\\w\\p{L}-]+')) AS title FROM documents), t AS (SELECT 'of' AS title, 1::BIGINT AS target UNION ALL SELECT 'the', 2 UNION ALL SELECT 'la', 3) SELECT note_id, target AS mentions_id FROM w JOIN t USING (title) WHERE note_id <> target")
 def opr16_all_mentions(s, p):
     n = d.notes(s, p)
     named = n.withColumn("title", F.when(F.col("note_id") == 1, "of").when(F.col("note_id") == 2, "the").when(F.col("note_id") == 3, "la").otherwise(F.col("title")))
