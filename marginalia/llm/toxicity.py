@@ -2,9 +2,10 @@
 
 Folding lowers letters, takes accents off, replaces look-alike letters of other scripts and digits or signs
 that stand for letters, and turns what is no letter into blanks. The lexicon is learnt: beginnings of words,
-or whole words, that are many times as frequent in toxic texts as in clean ones. Exception phrases are word
-pairs around a term that clean texts use and toxic ones do not; a hit inside one does not count. A text's
-weight is divided by its words, and a logistic curve fitted to labelled texts turns the rate into a score.
+or whole words, that are many times as frequent in toxic texts as in clean ones, each weighing what it is worth for
+sure. Exception phrases are word pairs around a term that clean texts use and toxic ones do not; a hit inside
+one does not count. A text's weight is divided by its words; a logistic curve fitted to labelled texts turns
+that rate, and the weight of the heaviest hit, into a score.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ _SIGN = re.compile(r"[@$!|]+(?=[^\W_])")
 
 #: Labelled rows of each class that the lexicon and the curve are learnt from, and most terms of a lexicon.
 SAMPLE, TERMS = 10_000, 5_000
-#: Least toxic texts that have a term, and least odds (natural log) of toxic to clean.
-LEAST_TEXTS, LEAST_ODDS = 5, 3.0
+#: Least toxic texts that have a term; least weight of one: the natural log of how many times as frequent it is
+#: in toxic texts, less ``DOUBT`` standard errors.
+LEAST_TEXTS, LEAST_WEIGHT, DOUBT = 4, 1.0, 1.64
 #: Shortest and longest beginning of a word.
 _SHORT, _LONG = 3, 12
 _RATE_FLOOR = 1e-4
@@ -63,11 +65,11 @@ def fold(text: str) -> str:
 @dataclass
 class Lexicon:
     """``terms``: a blank and the beginning of a word (with a blank after it: the whole word) to its weight.
-    ``exceptions``: folded phrases within which hits do not count. ``slope`` and ``offset``: the curve."""
+    ``exceptions``: folded phrases within which hits do not count. ``slopes`` and ``offset``: the curve."""
 
     terms: dict[str, float]
     exceptions: list[str] = field(default_factory=list)
-    slope: float = 0.0
+    slopes: tuple[float, float] = (0.0, 0.0)
     offset: float = -6.0
 
     def __post_init__(self) -> None:
@@ -103,21 +105,18 @@ class Lexicon:
                 best[start] = (last, weight)
         return [(a, b, w) for a, (b, w) in best.items() if not any(x <= a < y for x, y in spared)]
 
-    def rate(self, text: str | None) -> float:
-        """Weight of the hits divided by the number of words."""
+    def features(self, text: str | None) -> tuple[float, float]:
+        """Log of the hits' weight by the number of words, and the weight of the heaviest hit."""
         if not text:
-            return 0.0
+            return log(_RATE_FLOOR), 0.0
         folded = fold(text)
-        weight = sum(w for _, _, w in self.hits(folded))
-        return weight / max(1, len(folded.split())) if weight else 0.0
+        weights = [w for _, _, w in self.hits(folded)]
+        return log(sum(weights) / max(1, len(folded.split())) + _RATE_FLOOR) if weights else log(_RATE_FLOOR), max(weights, default=0.0)
 
     def score(self, text: str | None) -> float:
         """0 to 1; of a text without hits, empty ones included, the curve's foot."""
-        return curve(self.rate(text), self.slope, self.offset)
-
-
-def curve(rate: float, slope: float, offset: float) -> float:
-    return 1 / (1 + exp(-max(-60.0, min(60.0, offset + slope * log(rate + _RATE_FLOOR)))))
+        rate, most = self.features(text)
+        return 1 / (1 + exp(-max(-60.0, min(60.0, self.offset + self.slopes[0] * rate + self.slopes[1] * most))))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -133,34 +132,40 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return docs.select("doc_id", "text").join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id").select("text", "toxic")
 
 
-def _candidates(folded: str) -> set[str]:
-    out = set()
-    for word in set(folded.split()):
+def _candidates(folded: str) -> Counter:
+    """How often each beginning of a word, and each whole word, is in a folded text."""
+    out = Counter()
+    for word, n in Counter(folded.split()).items():
         if len(word) >= _SHORT:
-            out.update(f" {word[:k]}" for k in range(_SHORT, min(len(word), _LONG) + 1))
-            out.add(f" {word} ")
+            for k in range(_SHORT, min(len(word), _LONG) + 1):
+                out[f" {word[:k]}"] += n
+            out[f" {word} "] += n
     return out
 
 
 def _counted(rows: DataFrame, of) -> DataFrame:
-    """``term, clean, toxic``: in how many texts of each class a term is that ``of(folded text)`` names."""
+    """``term, clean, toxic, clean_uses, toxic_uses``: texts of each class that have a term that ``of(folded text)``
+    counts, and its uses in them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = (Counter(), Counter())
+        sums = [Counter() for _ in range(4)]
 
         def flushed() -> pa.RecordBatch:
             terms = list(sums[0].keys() | sums[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[t] for t in terms], pa.int64()) for s in sums]], ["term", "clean", "toxic"])
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *[pa.array([s[t] for t in terms], pa.int64()) for s in sums]], ["term", *names])
 
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                sums[toxic].update(of(fold(text.as_py() or "")))
-                if len(sums[0]) + len(sums[1]) > 300_000:
+                found = of(fold(text.as_py() or ""))
+                sums[toxic].update(found.keys())
+                sums[2 + toxic].update(found)
+                if len(sums[0]) + len(sums[1]) > 120_000:
                     yield flushed()
-                    sums = (Counter(), Counter())
+                    sums = [Counter() for _ in range(4)]
         yield flushed()
 
-    return rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    names = ["clean", "toxic", "clean_uses", "toxic_uses"]
+    return rows.mapInArrow(count, "term string, " + ", ".join(f"{c} long" for c in names)).groupBy("term").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _pruned(terms: dict[str, tuple[float, int]]) -> dict[str, float]:
@@ -179,17 +184,17 @@ def _pruned(terms: dict[str, tuple[float, int]]) -> dict[str, float]:
 
 
 def _around(terms: dict[str, float]):
-    """Names the word pairs that a term is in, for a folded text."""
+    """Counts the word pairs that a term is in, for a folded text."""
     lexicon = Lexicon(terms)
 
-    def pairs(folded: str) -> set[str]:
-        padded, out = f" {folded} ", set()
-        for start, end, _ in lexicon.hits(folded):
+    def pairs(folded: str) -> Counter:
+        padded, out = f" {folded} ", Counter()
+        for start, _, _ in lexicon.hits(folded):
             before, here = padded[:start].rstrip().rpartition(" ")[2], padded[start:].split(maxsplit=2)[:2]
             if before:
-                out.add(f"{before} {here[0]}")
+                out[f"{before} {here[0]}"] += 1
             if len(here) == 2:
-                out.add(f"{here[0]} {here[1]}")
+                out[f"{here[0]} {here[1]}"] += 1
         return out
 
     return pairs
@@ -198,42 +203,53 @@ def _around(terms: dict[str, float]):
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> Lexicon:
     """Lexicon, exceptions and curve from the labelled sample. Without toxic examples the lexicon is empty."""
     rows = labelled(docs, labels, sample)
-    sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    clean, toxic = sizes.get(0, 0), sizes.get(1, 0)
-    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
+    sizes = {r.toxic: (r.n, r.words) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(words).alias("words")).collect()}
+    if 1 not in sizes:
+        return Lexicon({})
+    clean, toxic = F.col("clean_uses") + 0.5, F.col("toxic_uses") + 0.5
+    # by uses and by texts, of which the lower counts: a term that one text repeats says little
+    rows_of = sizes.get(0, (0, 0))
+    by_uses = F.log(toxic / (sizes[1][1] + 1)) - F.log(clean / (rows_of[1] + 1))
+    by_texts = F.log((F.col("toxic") + 0.5) / (sizes[1][0] + 1)) - F.log((F.col("clean") + 0.5) / (rows_of[0] + 1))
+    odds = F.least(by_uses, by_texts)
+    # texts, not uses, are independent of each other
+    sure = odds - DOUBT * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    best = _counted(rows, _candidates).where(F.col("toxic") >= LEAST_TEXTS).withColumn("sure", sure).where(F.col("sure") >= LEAST_WEIGHT)
     # longer terms have no more texts than those that begin them, so beginnings are cut last
-    best = _counted(rows, _candidates).where(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
-    found = {r.term: (float(r.odds), int(r.toxic)) for r in best.orderBy(F.desc("toxic"), "term").limit(most).collect()} if toxic else {}
+    found = {r.term: (float(r.sure), int(r.toxic)) for r in best.orderBy(F.desc("toxic"), "term").limit(most).collect()}
     terms = _pruned(found)
     if not terms:
         return Lexicon({})
     pairs = _counted(rows, _around(terms)).where("clean >= 3 AND clean > 9 * toxic").orderBy(F.desc("clean"), "term").limit(most).collect()
     lexicon = Lexicon(terms, [r.term for r in pairs])
 
-    def rates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield pd.DataFrame({"rate": [lexicon.rate(t) for t in frame["text"]], "toxic": frame["toxic"].to_numpy()})
+            found = [lexicon.features(t) for t in frame["text"]]
+            yield pd.DataFrame({"rate": [x for x, _ in found], "most": [x for _, x in found], "toxic": frame["toxic"].to_numpy()})
 
-    seen = rows.mapInPandas(rates, "rate double, toxic int").toPandas().sort_values(["rate", "toxic"])
-    slope, offset = _fitted(np.log(seen["rate"].to_numpy() + _RATE_FLOOR), seen["toxic"].to_numpy())
-    return Lexicon(terms, lexicon.exceptions, slope, offset)
+    seen = rows.mapInPandas(measured, "rate double, most double, toxic int").toPandas().sort_values(["rate", "most", "toxic"])
+    slopes, offset = _fitted(seen[["rate", "most"]].to_numpy(), seen["toxic"].to_numpy())
+    return Lexicon(terms, lexicon.exceptions, slopes, offset)
 
 
-def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
-    """Slope and offset of a logistic curve by Newton's method, both classes weighing as much."""
-    centre, spread = x.mean(), max(x.std(), 1e-6)
+def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[tuple[float, float], float]:
+    """Slopes and offset of a logistic curve by Newton's method."""
+    centre, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.column_stack([(x - centre) / spread, np.ones(len(x))])
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    beta = np.zeros(2)
+    # a toxic row weighs as much as the root of their ratio in clean ones: between equal classes and equal rows
+    weight = np.where(y == 1, np.sqrt(max(1, (y == 0).sum()) / max(1, (y == 1).sum())), 1.0)
+    weight /= weight.sum()
+    beta, held = np.zeros(3), np.array([ridge, ridge, 1e-9])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ beta, -40, 40)))
-        slope = z.T @ (weight * (y - p)) - ridge * beta * [1, 0]
-        bend = (z * (weight * p * (1 - p))[:, None]).T @ z + np.diag([ridge, 1e-9])
-        step = np.linalg.solve(bend, slope)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(held), z.T @ (weight * (y - p)) - held * beta)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / spread), float(beta[1] - beta[0] * centre / spread)
+    slopes = beta[:2] / spread
+    return (float(slopes[0]), float(slopes[1])), float(beta[2] - slopes @ centre)
 
 
 def scorer(lexicon: Lexicon):
