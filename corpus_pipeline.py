@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import mixing, packing, pii, simhash, toxicity
-from marginalia.llm.common import persisted
+from marginalia.llm.common import drop_written, persisted, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, one after another, on the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, one after another, on the documents of ``sf_dir``; of the scratch tables only the last stage's input stays."""
+    docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES[:-1]:
         docs = persisted(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        drop_written(spark, mark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -26,6 +26,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Paths of the scratch tables written so far, in order.
+_written: list[str] = []
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -34,6 +38,7 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -43,6 +48,18 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def written() -> int:
+    """How many scratch tables there are, as a mark for :func:`drop_written`."""
+    return len(_written)
+
+
+def drop_written(spark: SparkSession, since: int) -> None:
+    """Delete the scratch tables written from ``since`` on, but for the last: what it was made of is not read again."""
+    for path in _written[since:-1]:
+        drop_path(spark, path)
+    del _written[since:-1]
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete all scratch tables of this application; results that still read them become unusable."""
     drop_path(spark, f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}")
