@@ -65,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_source_mixing": mixing.MIX_SQL}
+    return {"op4_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_source_mixing": mixing.MIX_SQL}

@@ -129,7 +129,11 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-0
                 yield _batch(rows, INDEX)
         if sink is not None:
             sink.close()
-            store.move(draft, f"{root}/{name}")
+            # an earlier run of the task left the same bytes
+            if store.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                store.move(draft, f"{root}/{name}")
+            else:
+                store.delete_file(draft)
 
     index = ready.mapInArrow(archive, INDEX)
     return persisted(index.withColumn("page_id", F.col("page_id").cast(kind)), "warc-index")
@@ -205,3 +209,15 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     folder = scratch_path(pages.sparkSession, "warc")
     index = write(pages, folder, min_bytes)
     return read(index, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: DuckDB SQL for :func:`round_trip` over ``pages`` (ids neither null nor repeated): base32 as four characters for five hex digits.
+ROUND_TRIP_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+SELECT page_id, octet_length(encode(payload))::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(hex, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31)::INT + 1, 1)), '') AS payload_digest,
+       CASE WHEN best = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN best <> page_id THEN best END AS refers_to
+FROM p
+"""
