@@ -230,11 +230,32 @@ def dates_in_text(text: str | None, form: str = "DMY") -> list[str] | None:
     return list(dict.fromkeys(iso for _, iso in sorted(found, key=lambda x: x[0])))
 
 
-def line_diff(old: str | None, new: str | None) -> list[dict] | None:
-    """Hunks ``{type, lines}`` of a longest common subsequence of lines; removed ones come before added ones."""
-    if old is None or new is None:
-        return None
-    a, b = old.split("\n"), new.split("\n")
+#: Cells of the table of common lengths that are kept at once.
+_CELLS = 4_000_000
+
+
+def _lengths(a: list[str], b: list[str]) -> list[int]:
+    """Longest common subsequence of ``a`` with each beginning of ``b``, in one row of memory."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            here = row[j]
+            row[j] = before + 1 if x == y else max(here, row[j - 1])
+            before = here
+    return row
+
+
+def _steps(a: list[str], b: list[str]) -> list[tuple[str, str]]:
+    """``unchanged``, ``remove`` and ``add`` steps, in order, of a longest common subsequence.
+
+    Where the table would be too large, ``a`` is halved and ``b`` cut where both halves have most in common.
+    """
+    if len(a) * len(b) > _CELLS and len(a) > 1:
+        half = len(a) // 2
+        head, tail = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
+        cut = max(range(len(b) + 1), key=lambda j: head[j] + tail[j])
+        return _steps(a[:half], b[:cut]) + _steps(a[half:], b[cut:])
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a, 1):
         row, above = best[i], best[i - 1]
@@ -251,6 +272,14 @@ def line_diff(old: str | None, new: str | None) -> list[dict] | None:
         else:
             steps.append(("add", b[j - 1]))
             j -= 1
+    return steps[::-1]
+
+
+def line_diff(old: str | None, new: str | None) -> list[dict] | None:
+    """Hunks ``{type, lines}`` of a longest common subsequence of lines; removed ones come before added ones."""
+    if old is None or new is None:
+        return None
+    steps = _steps(old.split("\n"), new.split("\n"))
     out: list[dict] = []
     run: dict[str, list[str]] = {"remove": [], "add": []}
 
@@ -260,7 +289,7 @@ def line_diff(old: str | None, new: str | None) -> list[dict] | None:
                 out.append({"type": kind, "lines": run[kind]})
                 run[kind] = []
 
-    for kind, line in reversed(steps):
+    for kind, line in steps:
         if kind == "unchanged":
             flush()
             if out and out[-1]["type"] == "unchanged":

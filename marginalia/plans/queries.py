@@ -80,9 +80,9 @@ def src13_glob_excludes(s, p):
     return d.table(s, p, "pages").where(~excluded(F.col("url"), ["fr/", "# a comment", "**/*#top"])).select("page_id", "url")
 
 
-@query("SELECT page_id, 'data:text/html;base64,' || to_base64(encode(html)) AS uri FROM pages WHERE page_id < 20")
+@query("SELECT page_id, 'data:text/html;base64,' || to_base64(encode(html)) AS uri FROM pages")
 def src16_data_uri(s, p):
-    return d.table(s, p, "pages").where("page_id < 20").select("page_id", F.concat(F.lit("data:text/html;base64,"), one_line_base64(F.col("html").cast("binary"))).alias("uri"))
+    return d.table(s, p, "pages").select("page_id", F.concat(F.lit("data:text/html;base64,"), one_line_base64(F.col("html").cast("binary"))).alias("uri"))
 
 
 @query("SELECT vec_id, label FROM embeddings WHERE label = 3")
@@ -146,9 +146,9 @@ def flt8_like_escape(s, p):
     return d.table(s, p, "pages").select("page_id", tx.like_escape(F.col("url")).alias("escaped"))
 
 
-@query("SELECT page_id, replace(html, '''', '''''') AS quoted FROM pages WHERE page_id < 10")
+@query("SELECT page_id, replace(html, '''', '''''') AS quoted FROM pages")
 def flt9_quote_escape(s, p):
-    return d.table(s, p, "pages").where("page_id < 10").select("page_id", tx.sql_quote(F.col("html")).alias("quoted"))
+    return d.table(s, p, "pages").select("page_id", tx.sql_quote(F.col("html")).alias("quoted"))
 
 
 _NEAR_SPREAD = """, kept AS (SELECT query_id, chunk_id, distance, min(distance) OVER (PARTITION BY query_id) AS best FROM ranked WHERE rank <= 40)
@@ -223,9 +223,9 @@ def flt20_retention_preview(s, p):
     return kn.expired(d.audit_log(s, p), 10, EPOCH + 30 * 86_400).agg(F.count("*").alias("n"))
 
 
-@query(with_("folders") + "SELECT id, coalesce(name, '') AS name FROM folders ORDER BY CASE WHEN parent_id = 2 THEN 0 ELSE 1 END, coalesce(name, ''), id LIMIT 12")
+@query(with_("folders") + "SELECT id, coalesce(name, '') AS name FROM folders ORDER BY CASE WHEN parent_id = 2 THEN 0 ELSE 1 END, coalesce(name, ''), id")
 def prj1_conditional_sort(s, p):
-    return d.folders(s, p).orderBy(F.when(F.col("parent_id") == 2, 0).otherwise(1), F.coalesce("name", F.lit("")), "id").limit(12).select("id", "name")
+    return d.folders(s, p).orderBy(F.when(F.col("parent_id") == 2, 0).otherwise(1), F.coalesce("name", F.lit("")), "id").select("id", "name")
 
 
 @query("""SELECT doc_id AS note_id, CASE WHEN length(line) > 80 THEN substr(line, 1, 80) || '…' ELSE line END AS preview FROM (
@@ -290,9 +290,9 @@ def jn8_table_view(s, p):
     return kn.table_view(d.order_notes(s, p), d.property_defs(s), d.property_cells(s, p))
 
 
-@query(with_("defs", "cells") + "SELECT c.note_id, d.name, c.value FROM cells c JOIN defs d USING (def_id) WHERE c.note_id < 500")
+@query(with_("defs", "cells") + "SELECT c.note_id, d.name, c.value FROM cells c JOIN defs d USING (def_id) WHERE c.value IS NOT NULL")
 def jn9_note_properties(s, p):
-    return d.property_cells(s, p).where("note_id < 500").join(d.property_defs(s), "def_id").select("note_id", "name", "value")
+    return d.property_cells(s, p).join(d.property_defs(s), "def_id").select("note_id", "name", "value")
 
 
 @query(with_("defs", "order_notes") + "SELECT note_id, def_id FROM order_notes n JOIN defs d ON d.folder_id = n.folder_id WHERE d.name = 'status'")
@@ -596,12 +596,12 @@ def fn23_readable_text(s, p):
 @query()
 def fn24_line_diff(s, p):
     edited = F.concat(F.regexp_replace("text", r"\bof\b", "OF"), F.lit("\nend"))
-    return d.table(s, p, "documents").where("n_chars < 3000").select("doc_id", UDFS["line_diff"](F.col("text"), edited).alias("hunks"))
+    return d.table(s, p, "documents").select("doc_id", UDFS["line_diff"](F.col("text"), edited).alias("hunks"))
 
 
-@query(with_("marked") + "SELECT note_id, substr(content, 1, 40) AS lead, title FROM marked")
+@query(with_("marked") + "SELECT note_id, content AS lead, title FROM marked")
 def fn25_embed_segments(s, p):
-    text = F.concat(F.substring("content", 1, 40), F.lit("![["), F.col("title"), F.lit("]]"))
+    text = F.concat(F.col("content"), F.lit("![["), F.col("title"), F.lit("]]"))
     parts = UDFS["embed_segments"](text)
     return d.notes(s, p, True).withColumn("parts", parts).select("note_id", F.expr("array_join(transform(filter(parts, x -> x.kind = 'text'), x -> x.value), '')").alias("lead"), F.expr("filter(parts, x -> x.kind = 'embed')[0].value").alias("title"))
 
@@ -810,12 +810,12 @@ def opr25_change_set(s, p):
     return kn.upserted(n, new, ["note_id"])
 
 
-@query("SELECT min(page_id) AS page_id, url AS path FROM pages WHERE page_id < 30 AND url NOT LIKE '%#%' GROUP BY url")
+@query("SELECT p.page_id, q.url AS path FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS u FROM pages) p JOIN (SELECT DISTINCT url FROM pages) q ON q.url = p.u")
 def opr28_link_resolution(s, p):
     from marginalia.operators.articles import resolved_links
 
     pages = d.table(s, p, "pages").select(F.lit("b1").alias("bundle_id"), F.col("url").alias("path"), F.lit("t").alias("title"), "page_id")
-    wanted = d.table(s, p, "pages").where("page_id < 30 AND url NOT LIKE '%#%'").groupBy("url").agg(F.min("page_id").alias("page_id")).select("page_id", F.concat(F.lit("A/"), F.col("url")).alias("wanted"))
+    wanted = d.table(s, p, "pages").select("page_id", F.concat(F.lit("A/"), F.col("url")).alias("wanted"))
     return resolved_links(wanted, "page_id", pages.drop("page_id")).select("page_id", "path")
 
 

@@ -119,6 +119,18 @@ def test_line_diff():
         assert doc.apply_hunks(hunks, set(range(len(hunks)))) == b and doc.apply_hunks(hunks, set()) == a
 
 
+def test_large_diffs_are_cut(monkeypatch):
+    rng = random.Random(3)
+    for _ in range(30):
+        a, b = ("\n".join(rng.choice("xyz") for _ in range(rng.randrange(30))) for _ in range(2))
+        whole = doc.line_diff(a, b)
+        monkeypatch.setattr(doc, "_CELLS", 10)
+        cut = doc.line_diff(a, b)
+        monkeypatch.undo()
+        same = lambda hunks: sum(len(h["lines"]) for h in hunks if h["type"] == "unchanged")
+        assert same(cut) == same(whole) and doc.apply_hunks(cut, set(range(len(cut)))) == b and doc.apply_hunks(cut, set()) == a
+
+
 def test_versions():
     order = ["1.0.0-1", "1.0.0-alpha", "1.0.0-alpha.1", "1.0.0-alpha.beta", "1.0.0-beta.2", "1.0.0-beta.11", "1.0.0", "1.0.1", "v1.1.0", "2.0.0"]
     assert all(doc.is_newer(b, a) and not doc.is_newer(a, b) for a, b in zip(order, order[1:], strict=False))
