@@ -53,7 +53,11 @@ def note_chunks(notes: DataFrame, suffix: DataFrame | None = None, per: int = 1,
     if suffix is not None:
         notes = notes.join(suffix, "note_id", "left")
         full = F.concat(F.col("content"), F.coalesce("suffix", F.lit("")))
-    rows = notes.select("note_id", "title", F.posexplode(tx.chunks(tx.sentences(full), per, overlap)).alias("chunk_index", "content")).where(F.trim("content") != "")
+    # a column of its own, so that the sentences are cut once and not for each chunk
+    cut = notes.select("note_id", "title", tx.sentences(full).alias("_sentences"))
+    whole = F.when(F.size("_sentences") > 0, F.col("_sentences")).otherwise(F.array(F.lit("")))
+    parts = whole if max(1, per) == 1 and overlap == 0 else tx.chunks(F.col("_sentences"), per, overlap)
+    rows = cut.select("note_id", "title", F.posexplode(parts).alias("chunk_index", "content")).where(F.trim("content") != "")
     return rows.withColumn("text", F.concat(F.lit("search_document: "), F.col("title"), F.lit("\n"), F.col("content")))
 
 

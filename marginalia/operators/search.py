@@ -68,9 +68,11 @@ def bm25(rows: DataFrame, query: str, id_col: str, columns: tuple[str, ...] = ("
     parts = phrases(query)
     if not parts:
         return rows.limit(0).withColumn("score", F.lit(0.0))
-    token_arrays = [tx.tokens(F.col(c)) for c in columns]
-    counts = [reduce(Column.__add__, [_hits(t, p) for t in token_arrays]).cast("double").alias(f"_f{i}") for i, p in enumerate(parts)]
-    sized = rows.select("*", reduce(Column.__add__, [F.size(t) for t in token_arrays]).alias("_len"), *counts)
+    # columns of their own, so that each text is cut once
+    cut = rows.withColumns({f"_t{k}": tx.tokens(F.col(c)) for k, c in enumerate(columns)})
+    arrays = [F.col(f"_t{k}") for k in range(len(columns))]
+    counts = [reduce(Column.__add__, [_hits(t, p) for t in arrays]).cast("double").alias(f"_f{i}") for i, p in enumerate(parts)]
+    sized = cut.select(*rows.columns, reduce(Column.__add__, [F.size(t) for t in arrays]).alias("_len"), *counts)
     stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(parts))])
     joined = sized.where(reduce(Column.__and__, [F.col(f"_f{i}") > 0 for i in range(len(parts))])).join(F.broadcast(stats))
 
