@@ -70,23 +70,28 @@ def fold_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows ``(node, label)``, label being the smallest node reachable.
 
-    Minimum labels travel over the edges and then jump to their label's label, so that rounds grow
-    with the logarithm of a component's diameter. Each round is two joins and one pre-aggregated
-    minimum, written to the shared folder; only the count of changed labels reaches the driver.
-    A round works on linked nodes only, and Spark splits the skewed keys of its joins.
+    Each round every node is merged into the first of itself and its neighbours, in an order by hash that is
+    new in each round, and the edges are carried over to what is left, until there are none. However the nodes
+    are numbered, a round leaves a fraction of them, so that rounds grow with the logarithm of a component's
+    size and each is smaller than the last. Then the merges are followed back from the last round to the first.
+    A round is one pre-aggregated minimum and two joins, written to the shared folder; only whether edges are
+    left reaches the driver. Spark splits the skewed keys of its joins.
     """
-    both = persisted(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
-    labels = persisted(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = persisted(met.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "labels")
-        changed = new.where("old != label").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    pairs = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    left, merges = persisted(pairs.where("a != b").distinct(), "edges"), []
+    while not merges or left.limit(1).count():
+        order = lambda c, turn=len(merges): F.struct(F.xxhash64(F.lit(turn), F.col(c)).alias("hash"), F.col(c).alias("node"))
+        first = left.groupBy("a").agg(F.min(order("b")).alias("first"))
+        into = persisted(first.select(F.col("a").alias("node"), F.least("first", order("a"))["node"].alias("into")), "merges")
+        ends = [into.select(F.col("node").alias(c), F.col("into").alias(f"{c}_into")) for c in "ab"]
+        carried = left.join(ends[0], "a").join(ends[1], "b").select(F.col("a_into").alias("a"), F.col("b_into").alias("b"))
+        left = persisted(carried.where("a != b").distinct(), "edges")
+        merges.append(into)
+    found = merges.pop()
+    while merges:
+        later = found.select(F.col("node").alias("into"), F.col("into").alias("last"))
+        found = persisted(merges.pop().join(later, "into", "left").select("node", F.coalesce("last", "into").alias("into")), "merges")
+    return found.join(found.groupBy("into").agg(F.min("node").alias("label")), "into").select("node", "label")

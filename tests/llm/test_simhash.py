@@ -70,6 +70,13 @@ def test_a_chain_is_one_component(spark):
     assert set(labels.values()) == {0, 200} and len(labels) == 73
 
 
+def test_a_shuffled_chain_is_one_component(spark):
+    order = random.Random(3).sample(range(1000), 1000)
+    edges = spark.createDataFrame([*zip(order, order[1:], strict=False), (2000, 2001)], "a long, b long")
+    labels = {r.node: r.label for r in simhash.components(edges).collect()}
+    assert labels == {**dict.fromkeys(range(1000), 0), 2000: 2000, 2001: 2000}
+
+
 def test_defined_on_odd_tables(docs_of, spark):
     assert simhash.near_duplicates(docs_of([])).count() == 0
     odd = docs_of([(None, "a b c d"), (None, "a b c d"), (3, "a b c d"), (3, "a b c d"), (None, "q")]).withColumn("fp", F.lit(1)).withColumn("component_id", F.lit("x"))
