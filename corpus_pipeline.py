@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import mixing, packing, pii, simhash, toxicity
+from marginalia.llm import mixing, near, packing, pii, toxicity
 from marginalia.llm.common import drop_written, persisted, written
 
 
@@ -20,8 +20,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that with the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each component of near copies (five-word shingles, similarity 0.8 or more) stays, that with the smallest id."""
+    return near.keep_first(docs)
 
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -95,3 +95,16 @@ def components(edges: DataFrame) -> DataFrame:
         later = found.select(F.col("node").alias("into"), F.col("into").alias("last"))
         found = persisted(merges.pop().join(later, "into", "left").select("node", F.coalesce("last", "into").alias("into")), "merges")
     return found.join(found.groupBy("into").agg(F.min("node").alias("label")), "into").select("node", "label")
+
+
+def first_of_each(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+    """One row with the smallest id of each component of ``classes(_key, rep, component)``, rep being the smallest id of a key.
+
+    Rows of ``keyed(doc_id, _key, ...)`` are chosen by id and key, so an id's other rows do not matter. All rows
+    of a component without any id stay.
+    """
+    firsts = classes.groupBy("component").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "_key"))).alias("first"))
+    chosen = firsts.where("first IS NOT NULL").select(F.col("first.rep").alias("doc_id"), F.col("first._key").alias("_key"))
+    kept = keyed.join(chosen, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
+    nameless = classes.join(firsts.where("first IS NULL"), "component", "left_semi").select("_key")
+    return kept.unionByName(keyed.where("doc_id IS NULL").join(nameless, "_key", "left_semi").select(keyed.columns))
