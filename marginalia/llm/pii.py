@@ -17,13 +17,21 @@ from pyspark.sql import functions as F
 #: The formats that are looked for, each with its kind.
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _LOCAL = r"\p{L}\p{N}._%+\-"
+#: Length of an IBAN by country; those of other countries may end at any token.
+_IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_SHAPES = [rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + rf" ?[A-Z0-9]{{{n % 4}}}" * (n % 4 > 0) for n, c in _IBAN_COUNTRIES.items()]
+_IBAN_OTHER = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 PATTERNS = {
     "email": rf"(?<![{_LOCAL}])[{_LOCAL}]++@[A-Za-z0-9](?:[A-Za-z0-9-]{{0,62}}\.){{1,8}}[A-Za-z]{{2,24}}(?![A-Za-z0-9])",
     "phone": r"(?<![\p{L}\p{N}+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?![\p{L}\p{N}])",
     "ip": rf"(?<![\p{{L}}\p{{N}}.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\p{{L}}\p{{N}}]|\.\d)",
     "date": r"(?<![\p{L}\p{N}./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\p{L}\p{N}/-]|\.\d)",
     "ssn": r"(?<![\p{L}\p{N}.-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}]|[.-]\d)",
-    "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
+    "iban": rf"(?<![\p{{L}}\p{{N}}])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*_IBAN_SHAPES, _IBAN_OTHER])})(?![\p{{L}}\p{{N}}])",
     "card": r"(?<![\p{L}\p{N}])(?<!\d[.-])(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?![\p{L}\p{N}]|[.-]\d)",
 }
 KINDS = tuple(PATTERNS)
@@ -167,12 +175,21 @@ def _ssn(key: str, m: Column) -> Column:
 
 
 def _iban(key: str, m: Column) -> Column:
-    flat = F.regexp_replace(m, " ", "")
-    valid = _mod97(F.concat(F.substring(flat, F.lit(5), F.length(flat)), F.substring(flat, 1, 4))) == 1
-    body = F.array(permute_chars(key, "iban", F.substring(flat, F.lit(5), F.length(flat))))
-    new = F.transform(body, lambda b: F.concat(F.substring(flat, 1, 2), F.lpad((98 - _mod97(F.concat(b, F.substring(flat, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
-    spaced = F.transform(new, lambda n: F.when(m.contains(" "), F.trim(F.regexp_replace(n, "(.{4})", "$1 "))).otherwise(n))[0]
-    return F.when(valid, spaced)
+    """The pseudonym of ``m``; where the country's length is not known, of its longest valid start that ends with a token, and the rest as it is."""
+    plain = lambda c: F.regexp_replace(c, " ", "")
+    valid = lambda c: (F.length(c) >= 12) & (_mod97(F.concat(F.substring(c, F.lit(5), F.length(c)), F.substring(c, 1, 4))) == 1)
+    tokens = F.split(m, " ")
+    starts = F.transform(F.reverse(F.sequence(F.lit(1), F.size(tokens))), lambda n: F.array_join(F.slice(tokens, F.lit(1), n), " "))
+    starts = F.when(F.substring(m, 1, 2).isin(" ".join(_IBAN_COUNTRIES.values()).split()), F.array(m)).otherwise(starts)
+
+    def made(old: Column) -> Column:
+        flat = plain(old)
+        body = F.array(permute_chars(key, "iban", F.substring(flat, F.lit(5), F.length(flat))))
+        new = F.transform(body, lambda b: F.concat(F.substring(flat, 1, 2), F.lpad((98 - _mod97(F.concat(b, F.substring(flat, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
+        spaced = F.transform(new, lambda n: F.when(old.contains(" "), F.trim(F.regexp_replace(n, "(.{4})", "$1 "))).otherwise(n))[0]
+        return F.concat(spaced, F.substring(m, F.length(old) + 1, F.length(m)))
+
+    return F.get(F.transform(F.slice(F.filter(starts, lambda c: valid(plain(c))), 1, 1), made), F.lit(0))
 
 
 def _card(key: str, m: Column) -> Column:

@@ -87,6 +87,18 @@ def test_iban_and_email_keep_their_form(spark):
     assert re.fullmatch(r"<[a-z]{2}é\.[A-Z][a-z]{2}-\d\d@Mail8\.example\.com>", mail) and "joé" not in mail
 
 
+def test_ibans_before_other_tokens(spark):
+    ibans = ["ES9121000418450200051332", "AT611904300234573201", "BE68 5390 0754 7034", "NO93 8601 1117 947"]
+    rests = [" EUR 50", " 2024", " BIC X", " 4417 7442 8035 1547", " AT61 1904 3002 3457 3201"]
+    # of a country whose length is not known
+    pairs = [(i, r) for i in ibans for r in rests] + [("XY04 5390 0754 7034", r) for r in rests[:3]]
+    alone, got, other = (replaced(spark, *values) for values in zip(*((i, i + r, r) for i, r in pairs), strict=True))
+    for (iban, _), a, both, o in zip(pairs, alone, got, other, strict=True):
+        flat = a.replace(" ", "")
+        assert a != iban and both == a + o and a[:2] == iban[:2] and len(a) == len(iban)
+        assert int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
+
+
 def test_equal_values_stay_linked_and_keys_matter(spark):
     a, b = replaced(spark, "x 4417744280351547", "4417744280351547 y 10.0.0.1")
     assert a.split()[1] == b.split()[0]
