@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -122,16 +123,28 @@ def knn(chunks: DataFrame, query: list[float] | Column, k: int, vector: str = "v
     return chunks.withColumn("distance", vx.squared_l2(F.col(vector), target)).orderBy("distance", tie).limit(k)
 
 
-def knn_join(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: str | None = None, max_queries: int = 10_000) -> DataFrame:
+def knn_join(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: str | None = None, max_queries: int | None = None, block: int = 10_000) -> DataFrame:
     """Each query's ``k`` nearest chunks: ``query_id, distance, rank`` and the chunks' columns but the vector.
 
-    ``queries(query_id, query_vector)`` are a stated set of at most ``max_queries``, which is checked before
-    they are sent to all tasks. A task keeps the best ``k`` of each query from each batch, ties by
-    ``chunk_id``, so what is shuffled does not grow with the pairs. Distances are exact, in double precision.
+    ``queries(query_id, query_vector)`` are a stated set of any size, sent to all tasks in blocks of ``block``,
+    each with a pass over the chunks; a caller may state how many there are at most, which is checked first. A
+    task keeps the best ``k`` of each query from each batch, ties by ``chunk_id``, so what is shuffled does not
+    grow with the pairs. Distances are exact, in double precision.
     """
-    asked = queries.select("query_id", F.transform("query_vector", lambda x: x.cast("double")).alias("q")).limit(max_queries + 1).collect()
-    if len(asked) > max_queries:
+    asked = queries.select("query_id", F.transform("query_vector", lambda x: x.cast("double")).alias("q"))
+    if max_queries is not None and asked.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"over {max_queries} queries: search them in several calls")
+    first = asked.limit(block + 1).collect()
+    # one block at a time on the driver
+    every = iter(first) if len(first) <= block else asked.toLocalIterator()
+    near = [_near_block(chunks, queries, next_block, k, exclude_self) for next_block in iter(lambda: list(islice(every, block)), [])]
+    found = reduce(DataFrame.unionByName, near or [_near_block(chunks, queries, [], k, exclude_self)])
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _near_block(chunks: DataFrame, queries: DataFrame, asked: list, k: int, exclude_self: str | None) -> DataFrame:
+    """Each batch's ``k`` nearest chunks to each of the rows ``asked(query_id, q)``."""
     shared = chunks.sparkSession.sparkContext.broadcast(([r.query_id for r in asked], np.array([r.q for r in asked], np.float64)))
     rest = [c for c in chunks.columns if c != "vector"]
     kind = queries.schema["query_id"].dataType
@@ -157,9 +170,7 @@ def knn_join(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: str |
                     taken = rows.take(pa.array(near))
                     yield pa.RecordBatch.from_arrays([pa.array([query] * len(near)), pa.array(distance[near]), *taken.columns], ["query_id", "distance", *rest])
 
-    near = chunks.select(*rest, "vector").mapInArrow(look, schema)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= k)
+    return chunks.select(*rest, "vector").mapInArrow(look, schema)
 
 
 def by_source(near: DataFrame, key: str, fetch: int, sources: int | None, ceiling: float, spread: float, query: str = "query_id") -> DataFrame:

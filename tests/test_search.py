@@ -72,6 +72,17 @@ def test_knn_agrees_with_numpy(spark):
         se.knn_join(df, queries, 7, max_queries=4)
 
 
+def test_knn_searches_any_number_of_queries(spark):
+    x = np.random.default_rng(2).normal(size=(60, 4))
+    df = chunks(spark, x.tolist())
+    rows = spark.range(10_050).selectExpr("id AS query_id", "array(id / 100d, 1d, 0d, -1d) AS query_vector")
+    got = se.knn_join(df, rows, 2)
+    assert got.count() == 2 * 10_050
+    whole, blocks = (sorted(map(tuple, se.knn_join(df, rows.where("query_id < 25"), 3, block=n).collect())) for n in (25, 4))
+    assert whole == blocks and len(whole) == 75
+    assert se.knn_join(df, rows.limit(0), 2).count() == 0
+
+
 def test_sources_ceiling_and_spread(spark):
     near = lambda *d: spark.createDataFrame([(1, i, i // 2, f"t{i // 2}", i % 2, f"c{i}", x, i + 1) for i, x in enumerate(d)], "query_id int, chunk_id long, note_id long, title string, chunk_index int, content string, distance double, rank int")
     got = {r.note_id: r.excerpts for r in se.by_source(near(0.5, 0.9, 0.57, 0.8, 0.6), "note_id", 100, 5, 0.9, 1.15).collect()}
