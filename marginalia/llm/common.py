@@ -13,9 +13,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all nodes share: ``spark.checkpoint.dir``; a new temporary one only where that is unset (tests)."""
+    """The folder all nodes share: ``spark.checkpoint.dir``; a new temporary one only where that is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -97,14 +99,22 @@ def components(edges: DataFrame) -> DataFrame:
     return found.join(found.groupBy("into").agg(F.min("node").alias("label")), "into").select("node", "label")
 
 
-def first_of_each(keyed: DataFrame, classes: DataFrame) -> DataFrame:
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as make it no column of ``df``, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def first_of_each(keyed: DataFrame, classes: DataFrame, key: str = "_key") -> DataFrame:
     """One row with the smallest id of each component of ``classes(_key, rep, component)``, rep being the smallest id of a key.
 
-    Rows of ``keyed(doc_id, _key, ...)`` are chosen by id and key, so an id's other rows do not matter. All rows
+    Rows of ``keyed(doc_id, <key>, ...)`` are chosen by id and key, so an id's other rows do not matter. All rows
     of a component without any id stay.
     """
     firsts = classes.groupBy("component").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", "_key"))).alias("first"))
-    chosen = firsts.where("first IS NOT NULL").select(F.col("first.rep").alias("doc_id"), F.col("first._key").alias("_key"))
-    kept = keyed.join(chosen, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"])
-    nameless = classes.join(firsts.where("first IS NULL"), "component", "left_semi").select("_key")
-    return kept.unionByName(keyed.where("doc_id IS NULL").join(nameless, "_key", "left_semi").select(keyed.columns))
+    chosen = firsts.where("first IS NOT NULL").select(F.col("first.rep").alias("doc_id"), F.col("first._key").alias(key))
+    kept = keyed.join(chosen, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    nameless = classes.join(firsts.where("first IS NULL"), "component", "left_semi").select(F.col("_key").alias(key))
+    return kept.select(keyed.columns).unionByName(keyed.where("doc_id IS NULL").join(nameless, key, "left_semi").select(keyed.columns))

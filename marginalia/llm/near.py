@@ -1,7 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands find candidates, whole texts verify them.
-
-Two texts of similarity s share one of 25 bands of five minima with probability 1 - (1 - s^5)^25: 0.99995 at
-0.8, more above. Texts that are equal but for case and white space are merged beforehand.
+"""Near copies by the Jaccard similarity of word shingles: SimHash ball hashing finds candidates, whole texts verify them.
+
+A text's shingles give 16 anchored fingerprints: 16 bits of SimHash behind an anchor, the hash of two minima of
+the shingles. Two texts of similarity s have an anchor in common with probability s², and differ there in at most
+two bits, which ball hashing finds, with 0.55 at s = 0.8: over 16 parts 0.999 at 0.8, more above. The anchor keeps
+the number of chance meetings from growing with the corpus, however short the fingerprint. Pairs found are compared
+by 384 bits of SimHash, then as whole texts, but for those already connected. Texts that are equal but for case and
+white space are merged beforehand.
 """
 
 from __future__ import annotations
@@ -12,23 +16,21 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, first_of_each, persisted
+from .common import components, first_of_each, persisted, unused
+from .simhash import ball_pairs, bit_counts
 
-#: Bands, and minima in each.
-BANDS, MINIMA = 25, 5
-#: Texts before it, by length, that each text of a band is compared with.
-_BEFORE = 8
-#: Bands whose neighbours are verified first.
-_SOON = 3
-#: Shingles permuted at once; bounds memory on very long texts.
-_BLOCK = 512
+#: Anchored fingerprints of a text, bits of each, minima in an anchor, and 64-bit words of SimHash in all.
+PARTS, PART_BITS, MINIMA, WORDS = 16, 16, 2, 6
+#: Differing bits of all words up to which a pair is verified: over four standard deviations above the mean at 0.8.
+FAR = 104
+#: Shingles worked on at once; bounds memory on very long texts.
+_BLOCK = 4096
 _RNG = np.random.default_rng(42)
-_MULTIPLY = _RNG.integers(0, 1 << 64, (BANDS * MINIMA, 1), np.uint64) | np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 64, (BANDS * MINIMA, 1), np.uint64)
+_MULTIPLY, _ADD = (_RNG.integers(0, 1 << 64, (PARTS * MINIMA + WORDS, 1), np.uint64) for _ in range(2))
+_MULTIPLY |= np.uint64(1)
 _ODD, _HALF, _THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(32), np.uint64(29)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -52,15 +54,21 @@ def shingles(text: str | None, width: int = 5) -> np.ndarray:
     return np.unique(_folded((hashes[k : k + total] for k in range(width)), np.full(total, width, np.uint64)))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """The bands of a set of shingles, as signed integers; of an empty set: none."""
+def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchored fingerprints and the words of SimHash of a set of shingles, as signed integers; of an empty set: none."""
     if not len(found):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * MINIMA, (1 << 64) - 1, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    least, counts = np.full(PARTS * MINIMA, (1 << 64) - 1, np.uint64), 0
     for at in range(0, len(found), _BLOCK):
-        least = np.minimum(least, (found[None, at : at + _BLOCK] * _MULTIPLY + _ADD).min(1))
-    rows = least.reshape(BANDS, MINIMA)
-    return _folded((rows[:, k] for k in range(MINIMA)), np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+        mixed = found[None, at : at + _BLOCK] * _MULTIPLY + _ADD
+        least = np.minimum(least, mixed[: PARTS * MINIMA].min(1))
+        spread = (mixed[PARTS * MINIMA :] ^ (mixed[PARTS * MINIMA :] >> _HALF)) * _ODD
+        counts = counts + bit_counts(np.ascontiguousarray((spread ^ (spread >> _THIRD)).T))
+    words = np.packbits(counts * 2 > len(found)).view(np.uint64)
+    minima = least.reshape(PARTS, MINIMA)
+    anchors = _folded((minima[:, k] for k in range(MINIMA)), np.arange(PARTS, dtype=np.uint64))
+    low = np.uint64((1 << PART_BITS) - 1)
+    return ((anchors & ~low) | words.view(np.uint16)[:PARTS].astype(np.uint64)).view(np.int64), words.view(np.int64)
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -76,29 +84,67 @@ def content_key(text: Column) -> Column:
     return F.unhex(F.md5(words.cast("binary")))
 
 
-def candidates(classes: DataFrame, least: float, before: int, bands: int = BANDS) -> DataFrame:
-    """Pairs ``(a, b)`` of keys of ``classes(_key, n, bands, component)`` not yet connected that share a band and whose sizes allow the similarity.
+def _distance(a: Column, b: Column) -> Column:
+    """Differing bits of two arrays of SimHash words."""
+    return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
-    Within a band each text is paired with the ``before`` texts before it by number of shingles: up to one more
-    text these are all pairs, and pairs grow in proportion to texts whatever a band holds.
-    """
-    met = classes.select("_key", "n", "component", F.explode(F.slice("bands", 1, bands)).alias("band"))
-    by_size = W.partitionBy("band").orderBy("n", "_key")
-    others = F.array(*[F.lag(F.struct("_key", "n", "component"), k).over(by_size) for k in range(1, before + 1)])
-    shared = met.select("_key", "n", "component", others.alias("others")).where(F.col("others")[0].isNotNull())
-    fits = F.filter("others", lambda o: (o["n"] >= F.col("n") * least) & (o["component"] != F.col("component")))
-    return shared.select(F.explode(fits).alias("other"), F.col("_key").alias("b")).select(F.col("other._key").alias("a"), "b").distinct()
+
+def _alike(a: str, b: str, least: float) -> Column:
+    """Whether sizes and SimHash bits of two structs ``n, sketch`` allow the similarity."""
+    fits = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * least
+    return fits & (_distance(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= FAR)
+
+
+def _anchor(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(-(1 << PART_BITS)))
 
 
-def near_links(keyed: DataFrame, pairs: DataFrame, least: float, width: int) -> DataFrame:
-    """The pairs whose whole texts are similar enough, as links ``(a, b)`` of keys. ``keyed(_key, text)``."""
-    pairs = persisted(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("_key")).unionByName(pairs.select(F.col("b").alias("_key"))).distinct()
-    texts = persisted(keyed.groupBy("_key").agg(F.first("text").alias("text")).join(wanted, "_key", "left_semi"), "texts")
+def best_centres(met: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: for each text ``b`` of ``met(code, own)`` the closest among the smallest keys of its anchors."""
+    placed = met.select(_anchor(F.col("code")).alias("anchor"), "own")
+    centres = placed.groupBy("anchor").agg(F.min("own").alias("centre"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+    pairs = placed.join(centres, "anchor").where("own._key != centre._key").where(_alike("own", "centre", least))
+    far = _distance(F.col("own.sketch"), F.col("centre.sketch"))
+    return pairs.groupBy(F.col("own._key").alias("b")).agg(F.min(F.struct(far.alias("far"), F.col("centre._key").alias("a"))).alias("best")).select("best.a", "b")
+
+
+def candidates(met: DataFrame, least: float) -> DataFrame:
+    """Pairs ``(a, b, ca, cb, far)`` of texts of ``met(code, own, component)`` in unlike components ``ca`` and ``cb``
+    that have an anchor in common and differ in at most two bits of the fingerprint behind it.
+
+    Only fingerprints at anchors that several components share are emitted with their variants, so a group of
+    copies that is connected costs nothing. Pairs of fingerprints are made from the at most 17 that meet at a
+    variant, and pairs of texts from those that lie in unlike components.
+    """
+    tag = F.xxhash64("component")
+    mixed = met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo != hi").select("anchor")
+    live = persisted(met.withColumn("anchor", _anchor(F.col("code"))).join(mixed, "anchor", "left_semi").select("code", "own", "component"), "live")
+    codes = persisted(live.groupBy("code").agg(F.min(F.xxhash64("component")).alias("lo"), F.max(F.xxhash64("component")).alias("hi")), "codes")
+    side = lambda name: codes.select(F.col("code").alias(name), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
+    near = ball_pairs(codes.select("code"), PART_BITS).join(side("u"), "u").join(side("w"), "w")
+    same = "lo != hi"
+    near = near.where("u_lo != u_hi OR w_lo != w_hi OR u_lo != w_lo").select("u", "w").unionByName(codes.where(same).select(F.col("code").alias("u"), F.col("code").alias("w")))
+    left = live.select(F.col("code").alias("u"), F.col("own").alias("x"), F.col("component").alias("cx"))
+    right = live.select(F.col("code").alias("w"), F.col("own").alias("y"), F.col("component").alias("cy"))
+    pairs = near.join(left, "u").join(right, (near["w"] == right["w"]) & (F.col("cx") != F.col("cy")) & ((F.col("u") != right["w"]) | (F.col("x._key") < F.col("y._key"))))
+    pairs = pairs.where(_alike("x", "y", least))
+    first = F.col("x._key") < F.col("y._key")
+    ends = [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x._key", "y._key"), ("b", "y._key", "x._key"), ("ca", "cx", "cy"), ("cb", "cy", "cx"))]
+    return pairs.select(*ends, _distance(F.col("x.sketch"), F.col("y.sketch")).alias("far")).distinct()
+
+
+def closest(pairs: DataFrame) -> DataFrame:
+    """Of ``pairs(a, b, ca, cb, far)`` for each text the closest in each other component."""
+    ways = F.inline(F.array(F.struct(F.col("a").alias("text"), F.col("cb").alias("to"), "far", "a", "b", "ca", "cb"), F.struct(F.col("b").alias("text"), F.col("ca").alias("to"), "far", "a", "b", "ca", "cb")))
+    return pairs.select(ways).groupBy("text", "to").agg(F.min(F.struct("far", "a", "b", "ca", "cb")).alias("best")).select("best.a", "best.b", "best.ca", "best.cb").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """The ``pairs(a, b, ...)`` whose whole texts are similar enough. ``texts(_key, text)`` has a row for each key."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b, texts_a, texts_b = (batch.column(k) for k in range(4))
+            a, b, texts_a, texts_b = (batch.column(name) for name in ("a", "b", "text_a", "text_b"))
             known, take = {}, []
             for i in range(batch.num_rows):
                 sets = []
@@ -107,44 +153,74 @@ def near_links(keyed: DataFrame, pairs: DataFrame, least: float, width: int) ->
                         known[key] = shingles(text.as_py(), width)
                     sets.append(known[key])
                 take.append(similarity(*sets) >= least)
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(take, pa.bool_()))
+            yield batch.select(columns).filter(pa.array(take, pa.bool_()))
 
+    columns = pairs.columns
     left = texts.select(F.col("_key").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("_key").alias("b"), F.col("text").alias("text_b"))
-
-    return persisted(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(similar, "a binary, b binary"), "links")
+    return persisted(pairs.join(left, "a").join(right, "b").select(*columns, "text_a", "text_b").mapInArrow(similar, pairs.schema), "links")
 
 
-def named(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """``classes`` with the component of each key."""
-    labels = components(links).withColumnRenamed("node", "_key")
-    return persisted(classes.drop("component").join(labels, "_key", "left").withColumn("component", F.coalesce("label", "_key")).drop("label"), "components")
+def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
+    """``named(_key, ..., component)`` after the components that ``edges(a, b)`` connect have become one."""
+    labels = components(edges).withColumnRenamed("node", "component")
+    return persisted(named.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).select(named.columns), "components")
 
 
-def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
-    """The documents without near copies: of each component of texts at least ``least`` similar one row with the smallest id stays.
+def classes(docs: DataFrame, least: float = 0.8, width: int = 5, key: str = "_key") -> DataFrame:
+    """``_key, rep, component`` of the distinct texts of ``docs(doc_id, text, <key>)``, the key being :func:`content_key`;
+    ``rep`` is the smallest id of a key, ``component`` the same for texts that links of similarity connect.
 
-    Similarity is that of the sets of ``width``-word shingles, words being parted by white space and compared
-    without ASCII case. Texts without words are copies of one another. Rows are judged one by one, whatever
-    their ids. Rows of a component without any id stay. Columns are those of ``docs``.
+    A text is first compared with the closest of its anchors' first texts, then with the closest text in each other
+    component that it meets, then with all that are left in other components.
     """
-    keyed = docs.withColumn("_key", content_key(F.col("text")))
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, found = [], []
+            sizes, codes, sketches = [], [], []
             for text in batch.column(2):
                 own = shingles(text.as_py(), width)
+                found = signature(own)
                 sizes.append(len(own))
-                found.append(bands(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "_key", "n", "bands"])
-
-    fields = [("doc_id", docs.schema["doc_id"].dataType), ("_key", T.BinaryType()), ("n", T.LongType()), ("bands", T.ArrayType(T.LongType()))]
-    signatures = persisted(keyed.select("doc_id", "_key", "text").mapInArrow(signed, T.StructType([T.StructField(*f) for f in fields])), "signatures")
-    classes = persisted(signatures.groupBy("_key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
-    texts, alone = keyed.select("_key", "text"), classes.withColumn("component", F.col("_key"))
-    # neighbours in a few bands first: in a large group of copies they connect nearly all
-    sure = near_links(texts, candidates(alone, least, 1, _SOON), least, width)
-    rest = near_links(texts, candidates(named(classes, sure), least, _BEFORE), least, width)
-    done = named(classes, sure.unionByName(rest)).select("_key", "rep", "component")
-    return first_of_each(keyed, done).select(docs.columns)
+                codes.append(found[0])
+                sketches.append(found[1])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(codes, longs), pa.array(sketches, longs)], ["doc_id", "_key", "n", "codes", "sketch"])
+
+    longs = T.ArrayType(T.LongType())
+    fields = [("doc_id", docs.schema["doc_id"].dataType), ("_key", T.BinaryType()), ("n", T.LongType()), ("codes", longs), ("sketch", longs)]
+    signatures = persisted(docs.select("doc_id", F.col(key).alias("_key"), "text").mapInArrow(signed, T.StructType([T.StructField(*f) for f in fields])), "signatures")
+    merged = signatures.groupBy("_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "codes", "sketch")).alias("s"))
+    every = persisted(merged.select("_key", "rep", "s.n", "s.codes", "s.sketch"), "classes")
+    met = every.select(F.explode("codes").alias("code"), F.struct("_key", "n", "sketch").alias("own"))
+
+    # whatever is compared has an anchor in common with another text
+    shared = met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.count("*").alias("texts")).where("texts > 1").select("anchor")
+    wanted = met.select(_anchor(F.col("code")).alias("anchor"), "own._key").join(shared, "anchor", "left_semi").select("_key").distinct()
+    texts = persisted(docs.select(F.col(key).alias("_key"), "text").join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), "texts")
+
+    named = every.select("_key", "rep", F.col("_key").alias("component"))
+    named = _joined(named, verified(persisted(best_centres(met, least), "pairs"), texts, least, width))
+    pairs = persisted(candidates(met.join(named.select("_key", "component"), F.col("own._key") == F.col("_key")).select("code", "own", "component"), least), "pairs")
+    soon = persisted(closest(pairs), "pairs")
+    edges = lambda links: links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    close = _joined(named, edges(verified(soon, texts, least, width)))
+    label = named.select("component", "_key").join(close.select("_key", F.col("component").alias("now")), "_key").groupBy("component").agg(F.first("now").alias("now"))
+    renamed = lambda df, c: df.join(label.select(F.col("component").alias(c), F.col("now").alias(f"{c}_now")), c)
+    rest = renamed(renamed(pairs.join(soon, ["a", "b"], "left_anti"), "ca"), "cb").where("ca_now != cb_now")
+    rest = persisted(rest.select("a", "b", F.col("ca_now").alias("ca"), F.col("cb_now").alias("cb")), "pairs")
+    return _joined(close, edges(verified(rest, texts, least, width)))
+
+
+def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """The documents without near copies: of each component of texts at least ``least`` similar one row with the smallest id stays.
+
+    Similarity is that of the sets of ``width``-word shingles, words being parted by white space and compared
+    without ASCII case. Null texts and texts without words are copies of one another; texts of fewer words than a
+    shingle are copies only of equal ones. Rows are judged one by one, whatever their ids; of equal rows one stays.
+    Rows of a component without any id stay. Very long texts are compared whole. An empty table gives an empty
+    result. Columns are those of ``docs``, whatever their names.
+    """
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, content_key(F.col("text")))
+    return first_of_each(keyed, classes(keyed, least, width, key), key).select(docs.columns)

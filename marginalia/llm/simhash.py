@@ -20,12 +20,19 @@ from pyspark.sql import types as T
 from .common import components, persisted
 
 #: Row b holds the bits of byte b, highest first.
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
-_LANES = np.arange(8, dtype=np.int64) * 256
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64)
 #: Shingles hashed at once; bounds memory on very long texts.
 _BLOCK = 1 << 16
 
 
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit set, by byte of the 64-bit word (little-endian) and bit (highest first); a column of words each has its bytes after the last one's."""
+    bytes_ = np.ascontiguousarray(hashes, "<u8").view(np.uint8).reshape(len(hashes), -1)
+    wide = bytes_.shape[1]
+    found = np.bincount((bytes_ + np.arange(wide, dtype=np.int64) * 256).ravel(), minlength=wide * 256)
+    return found.reshape(wide, 256) @ _BITS
+
+
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     """Unsigned 64-bit SimHash of a text: bit set where over half the shingle hashes have it; no words: 0."""
     words = text.encode("utf-8").lower().split() if text else []
@@ -34,13 +41,11 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
         return digest(b" ".join(words), seed)
-    total, counts = len(words) - width + 1, np.zeros((8, 8), np.int64)
+    total, counts = len(words) - width + 1, np.zeros((8, 8))
     for at in range(0, total, _BLOCK):
         part = words[at : at + _BLOCK + width - 1]
         runs = zip(*(part[k:] for k in range(width)), strict=False)
-        hashes = np.array([digest(b" ".join(run), seed) for run in runs], dtype="<u8")
-        lanes = hashes.view(np.uint8).reshape(-1, 8) + _LANES
-        counts += np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+        counts += bit_counts(np.array([digest(b" ".join(run), seed) for run in runs], dtype="<u8"))
     return int.from_bytes(np.packbits(counts * 2 > total).tobytes(), "little")
 
 
@@ -70,6 +75,21 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return met.where("a != b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b").distinct()
 
 
+def ball_pairs(codes: DataFrame, bits: int) -> DataFrame:
+    """Pairs ``(u, w)``, u < w, of the distinct ``codes(code)`` that differ in one or two of their ``bits`` lowest bits (62 or fewer), and in no others.
+
+    Each emits itself and its values one bit away; what meets at a value is kept as one mask of the bits that
+    were turned, so a value has one small row however many meet there, and at most ``bits + 1`` codes can.
+    """
+    turned = [F.col("code"), *[F.col("code").bitwiseXOR(F.lit(1 << k).cast("long")) for k in range(bits)]]
+    variants = codes.select(F.posexplode(F.array(*turned)).alias("turn", "variant")).repartition("variant")
+    met = variants.groupBy("variant").agg(F.bit_or(F.expr("shiftleft(1L, turn)")).alias("mask")).where(F.bit_count("mask") > 1)
+    ways = F.filter(F.sequence(F.lit(0), F.lit(bits)), lambda k: F.getbit("mask", k) == 1)
+    back = F.transform(ways, lambda k: F.when(k == 0, F.col("variant")).otherwise(F.col("variant").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k - 1))))
+    here = met.select(back.alias("here")).select("here", F.explode("here").alias("u"))
+    return here.select("u", F.explode(F.filter("here", lambda w: w > F.col("u"))).alias("w")).distinct()
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
     """One row per document: ``doc_id, fingerprint`` (16 hex digits) and ``component_id``, the smallest
     doc_id that it reaches over links of at most ``radius`` differing bits, itself included.
@@ -85,15 +105,3 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, seed: int
     heads = linked.groupBy("label").agg(F.min("rep").alias("head"))
     named = classes.join(linked.join(heads, "label").select("fp", "head"), "fp", "left").select("fp", F.coalesce("head", "rep").alias("component_id"))
     return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """The documents without near-duplicates: of each component the row with the smallest id stays.
-
-    Rows that repeat an id count as copies: one of them stays. Rows of a component without any id
-    stay. Columns are those of ``docs``.
-    """
-    found = near_duplicates(docs.select("doc_id", "text"), radius)
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))

@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marginalia.llm import near
@@ -79,14 +80,32 @@ def test_rows_are_judged_one_by_one(docs_of):
 def test_shingles_and_similarity(copies):
     for (_, a), (_, b) in zip(copies[:40], copies[1:41], strict=True):
         assert near.similarity(near.shingles(a), near.shingles(b)) == brute_similarity(a, b)
-    assert near.similarity(near.shingles(None), near.shingles("")) == 1 and len(near.bands(near.shingles(""))) == 0
+    assert near.similarity(near.shingles(None), near.shingles("")) == 1 and len(near.signature(near.shingles(""))[0]) == 0
 
 
-def test_bands_find_pairs_at_the_bound():
+def test_fingerprints_find_pairs_at_the_bound():
     rng = np.random.default_rng(5)
     found = 0
     for _ in range(300):
         a = rng.integers(0, 1 << 64, 900, np.uint64)
         b = np.concatenate([a[:800], rng.integers(0, 1 << 64, 100, np.uint64)])
-        found += bool((near.bands(np.unique(a)) == near.bands(np.unique(b))).any())
-    assert found >= 298
+        (a, far_a), (b, far_b) = near.signature(np.unique(a)), near.signature(np.unique(b))
+        close = [x >> near.PART_BITS == y >> near.PART_BITS and (x ^ y).bit_count() <= 2 for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        found += any(close) and np.bitwise_count((far_a ^ far_b).view(np.uint64)).sum() <= near.FAR
+    assert found >= 296
+
+
+def test_outliers_of_a_large_group_are_linked(docs_of):
+    """Texts that are near some of a group, but not the ones compared first, and one that only looks near."""
+    rng = random.Random(8)
+    words = text_of(rng, 300)
+    rows = [(i, " ".join(replaced(rng, words, 1 + i % 11))) for i in range(120)]
+    rows += [(200 + i, " ".join(replaced(rng, rows[i][1].split(), 4))) for i in range(0, 100, 7)]
+    rows += [(400 + i, " ".join([*words[: 180 + 2 * i], *text_of(rng, 120 - 2 * i)])) for i in range(30)]
+    assert sorted(r.doc_id for r in near.keep_first(docs_of(rows)).collect()) == brute_firsts(rows)
+
+
+def test_columns_of_clashing_names_stay(spark, docs_of):
+    docs = docs_of([(1, "one two three"), (2, "one two  three"), (3, "")]).withColumn("_key", F.lit("k")).withColumn("__KEY", F.lit(1)).withColumn("component", F.col("doc_id"))
+    got = near.keep_first(docs)
+    assert got.columns == docs.columns and sorted((r.doc_id, r._key, r.component) for r in got.collect()) == [(1, "k", 1), (3, "k", 3)]

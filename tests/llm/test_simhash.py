@@ -84,7 +84,8 @@ def test_defined_on_odd_tables(docs_of, spark):
     assert got == [(3, 3), (3, 3), (None, 3), (None, 3), (None, None)]
 
 
-def test_keep_first_keeps_one_of_each(docs_of):
-    rows = corpus()
-    kept = {r.doc_id for r in simhash.keep_first(docs_of([*rows, rows[0]])).collect()}
-    assert kept == {c for _, _, c in brute_components(rows)}
+def test_ball_pairs_are_all_within_two_low_bits(spark):
+    rng = random.Random(4)
+    codes = {(rng.randrange(4) << 60) - (1 << 61) | rng.randrange(1 << 10) for _ in range(600)}
+    got = {(r.u, r.w) for r in simhash.ball_pairs(spark.createDataFrame([(c,) for c in codes], "code long"), 10).collect()}
+    assert got == {(u, w) for u in codes for w in codes if u < w and u >> 10 == w >> 10 and (u ^ w).bit_count() <= 2}
