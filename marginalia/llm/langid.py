@@ -9,26 +9,28 @@ a lot's distinct words at once, and the chains of many texts side by side.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_id
 
-_WORD = re.compile(r"[^\W\d_]+")
+#: Letters, with the marks that follow them.
+_WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _START, _END = "\x02", "\x03"
 #: Sizes of the hashed n-grams; weights in the table of one language.
 _GRAMS, BITS = (2, 3, 4), 18
-#: Rows of a language that the model is fitted on (by a hash of the id, so about that many), the longest
-#: text taken for that, words taken of a text, and words of a fitted chain.
-SAMPLE, SAMPLE_CHARS, SAMPLE_WORDS, CHAIN = 600, 20_000, 60, 64
-#: A longer text is several chains of so many words; characters of texts that are worked on together.
-_CHAIN, _LOT = 256, 3 << 20
+#: Rows of a language that the model is fitted on (by a hash of id and text, so about that many), words in a
+#: row, from a random place, that are taken of each, and words of a fitted chain.
+SAMPLE, SAMPLE_WORDS, CHAIN = 600, 60, 64
+#: Words of a block of a longer chain; characters of texts that are worked on together.
+_BLOCK, _LOT = 256, 3 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,34 +89,36 @@ class Chain:
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
         return np.add.reduceat(self.weights[slots], starts, axis=0).astype(np.float64)
 
-    def marginals(self, scores: np.ndarray, lengths: np.ndarray, moved: bool = False):
+    def marginals(self, scores: np.ndarray, lengths: np.ndarray, moved: bool = False, first: np.ndarray | None = None, last: np.ndarray | None = None):
         """Forward-backward on padded chains (chains x words x languages): each word's probabilities.
 
-        With ``moved`` also the log of the normaliser and the expected numbers of moves, for fitting.
+        With ``moved`` also the log of the normaliser and the expected numbers of moves, for fitting. ``first`` and
+        ``last`` (chains x languages) are what comes to each chain's first and last word from without.
         """
         n, longest, k = scores.shape
         shift = scores.max(2, keepdims=True)
         local, moves = np.exp(scores - shift), np.exp(self.moves)
         forward = np.empty((longest, n, k))
         scale = np.ones((longest, n))
-        now = np.exp(self.start - self.start.max()) * local[:, 0]
+        now = (np.exp(self.start - self.start.max()) if first is None else first) * local[:, 0]
         for t in range(longest):
             if t:
                 now = (now @ moves) * local[:, t]
             scale[t] = now.sum(1)
             now = forward[t] = now / scale[t][:, None]
-        backward = np.ones((n, k))
+        ending = np.ones((n, k)) if last is None else last
+        backward = ending
         out = np.empty((n, longest, k))
         counts = np.zeros((k, k))
         for t in range(longest - 1, -1, -1):
-            # where a chain has ended, what comes back is neutral
+            # where a chain has ended, what comes back is what comes from without
             inner = t < lengths - 1
             if t < longest - 1:
                 ahead = local[:, t + 1] * backward / scale[t + 1][:, None]
                 if moved:
                     pair = forward[t][:, :, None] * moves * ahead[:, None, :]
                     counts += pair[inner].sum(0)
-                backward = np.where(inner[:, None], ahead @ moves.T, 1.0)
+                backward = np.where(inner[:, None], ahead @ moves.T, ending)
             joint = forward[t] * backward
             out[:, t] = joint / joint.sum(1, keepdims=True)
         if not moved:
@@ -123,6 +127,29 @@ class Chain:
         total = ((np.log(scale.T) + shift[:, :, 0]) * used).sum() + n * self.start.max()
         return out, total, counts
 
+    def borders(self, scores: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """What comes to the first and to the last word of each block of one long chain (blocks x words x languages).
+
+        The last block has ``length`` words. All steps of a block are one matrix, so that blocks side by side give
+        what the whole chain would.
+        """
+        blocks, longest, k = scores.shape
+        local, moves = np.exp(scores - scores.max(2, keepdims=True)), np.exp(self.moves)
+        whole = np.broadcast_to(np.eye(k), (blocks, k, k))
+        for t in range(longest):
+            now = (whole @ moves if t else whole) * local[:, t, None, :]
+            now = now / now.sum((1, 2), keepdims=True)
+            whole = now if t < length else np.concatenate([now[:-1], whole[-1:]])
+        first, last = np.ones((blocks, k)), np.ones((blocks, k))
+        first[0] = np.exp(self.start - self.start.max())
+        for b in range(1, blocks):
+            first[b] = first[b - 1] @ whole[b - 1] @ moves
+            first[b] /= first[b].sum()
+        for b in range(blocks - 2, -1, -1):
+            last[b] = moves @ whole[b + 1] @ last[b + 1]
+            last[b] /= last[b].sum()
+        return first, last
+
 
 def fit(chains: list[tuple[list[str], list[int]]], langs: list[str], rounds: int = 6, rate: float = 0.3, decay: float = 1e-6) -> Chain:
     """Weights by AdaGrad on the log likelihood of labelled chains, in a fixed order."""
@@ -160,26 +187,34 @@ def fit(chains: list[tuple[list[str], list[int]]], langs: list[str], rounds: int
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Chain | None:
-    """The model, fitted on about ``sample`` training rows of each language, texts of up to 20,000 characters.
+    """The model, fitted on about ``sample`` training rows of each language, and on ``SAMPLE_WORDS`` words of each.
 
-    Training rows have a language and an id whose CRC-32 leaves a remainder by 5 other than 0. Rows are
-    chosen by a hash of the id. Their words are joined into chains of one language and of several, so that
-    the transitions see changes of language. Without training rows there is no model.
+    Training rows have a language, a text, and an id whose CRC-32 leaves a remainder by 5 other than 0. They are
+    drawn by a hash of id and text, whatever their length, the words from a random place in the whole text; twice
+    as many rows as asked for at most, in the order of another hash. The words are joined into chains of one
+    language and of several, so that the transitions see changes of language. Without training rows there is no model.
     """
-    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_id(F.col("doc_id")) % folds != 0)).where(F.length("text") <= SAMPLE_CHARS)
+    known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold_id(F.col("doc_id")) % folds != 0))
     sizes = {r.lang: r["count"] for r in known.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return None
     share = F.element_at(F.create_map(*[F.lit(x) for lang in langs for x in (lang, sample / sizes[lang])]), F.col("lang"))
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / (1 << 30)
-    drawn = known.where(unit < share).limit(2 * sample * len(langs)).collect()
-    rng, pieces = np.random.default_rng(1), []
-    for row in sorted(drawn, key=lambda r: (str(r.doc_id), r.text)):
-        words = words_of(row.text)
-        if words:
-            first = int(rng.integers(0, max(1, len(words) - SAMPLE_WORDS + 1)))
-            pieces.append((words[first : first + SAMPLE_WORDS], langs.index(row.lang)))
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(9)), F.lit(1 << 30)) / (1 << 30)
+    place = F.xxhash64("doc_id", "text", F.lit(11))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text, at in zip(batch.column(2), batch.column(0).to_pylist(), strict=True):
+                words = words_of(text.as_py())
+                first = at % max(1, len(words) - SAMPLE_WORDS + 1)
+                found.append(words[first : first + SAMPLE_WORDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["place", "lang", "words"])
+
+    drawn = known.where(unit < share).select(place.alias("place"), "lang", "text").mapInArrow(cut, "place long, lang string, words array<string>")
+    rows = drawn.orderBy("place", "lang", "words").limit(2 * sample * len(langs)).collect()
+    rng, pieces = np.random.default_rng(1), [(r.words, langs.index(r.lang)) for r in rows if r.words]
     chains = [(w, [y] * len(w)) for w, y in pieces]
     for _ in range(len(pieces) // 2):
         words, ys = [], []
@@ -194,15 +229,25 @@ def learn(docs: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Chain | None
 
 
 def label_words(model: Chain, texts: list[list[str]]) -> list[np.ndarray]:
-    """For each list of words their probabilities by language (words x languages)."""
+    """For each list of words their probabilities by language (words x languages), each list being one chain."""
     kinds = list(set().union(*texts))
     number = {w: i for i, w in enumerate(kinds)}
     scores = model.emissions(kinds)
     out = [np.zeros((len(t), len(model.langs))) for t in texts]
-    cut = sorted(((min(_CHAIN, len(t) - at), i, at) for i, t in enumerate(texts) for at in range(0, len(t), _CHAIN)), reverse=True)
+    numbers = [np.fromiter((number[w] for w in t), np.int64, len(t)) for t in texts]
+    # what comes to a block from without; a text of one block has only its start
+    start, ones = np.exp(model.start - model.start.max()), np.ones(len(model.langs))
+    within: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+    for i, own in enumerate(numbers):
+        if len(own) > _BLOCK:
+            blocks = -(-len(own) // _BLOCK)
+            whole = np.pad(own, (0, blocks * _BLOCK - len(own))).reshape(blocks, _BLOCK)
+            for b, pair in enumerate(zip(*model.borders(scores[whole], len(own) - (blocks - 1) * _BLOCK), strict=True)):
+                within[i, b * _BLOCK] = pair
+    cut = sorted(((min(_BLOCK, len(t) - at), i, at) for i, t in enumerate(texts) for at in range(0, len(t), _BLOCK)), reverse=True)
     first = 0
     while first < len(cut):
-        # chains of about the same length side by side
+        # blocks of about the same length side by side
         longest = cut[first][0]
         last = first
         while last < len(cut) and last - first < 4096 and cut[last][0] * 4 >= longest * 3:
@@ -211,8 +256,9 @@ def label_words(model: Chain, texts: list[list[str]]) -> list[np.ndarray]:
         lengths = np.array([n for n, _, _ in part])
         which = np.zeros((len(part), longest), np.int64)
         for row, (n, i, at) in zip(which, part, strict=True):
-            row[:n] = [number[w] for w in texts[i][at : at + n]]
-        found = model.marginals(scores[which], lengths)
+            row[:n] = numbers[i][at : at + n]
+        before, after = (np.stack(x) for x in zip(*(within.get((i, at), (start, ones)) for _, i, at in part), strict=True))
+        found = model.marginals(scores[which], lengths, first=before, last=after)
         for got, (n, i, at) in zip(found, part, strict=True):
             out[i][at : at + n] = got[:n]
         first = last
@@ -224,7 +270,7 @@ def predict(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     ``score`` is the mean probability of the predicted language over the words; a text that is null or has no
     letter is ``und`` with score 0, as all are when there was nothing to learn from. Ties go to the language
-    that sorts first. All words of a text count; texts of over 256 words are cut into chains of 256. Null ids
+    that sorts first. All words of a text count, in one chain, however long it is. Null ids
     are held out as empty text is; repeated rows each have their row; other columns are ignored.
     """
     model = learn(docs, sample)

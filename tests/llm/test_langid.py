@@ -62,6 +62,33 @@ def test_forward_backward_matches_enumeration(n):
     assert np.isclose(total, logs) and np.allclose(counts, moves)
 
 
+@pytest.mark.parametrize("n", [257, 512, 900])
+def test_a_long_chain_is_one(n, monkeypatch):
+    rng = np.random.default_rng(n)
+    model = langid.Chain(["x", "y", "z"], rng.normal(size=(1 << langid.BITS, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
+    words = ["".join(rng.choice(list("abcdefgh"), 3)) for _ in range(n)]
+    (blocks,) = langid.label_words(model, [words])
+    (whole,) = model.marginals(model.emissions(words)[None], np.array([n]))
+    assert np.allclose(blocks, whole)
+
+
+def test_letters_and_marks():
+    assert langid.words_of("²½ Ⅷ ① 12_") == [] and langid.words_of("Naïve na\u0308hen हिन्दी x2y") == ["naïve", "na\u0308hen", "हिन्दी", "x", "y"]
+
+
+def test_languages_of_long_texts_are_learnt(docs_of):
+    rng = random.Random(3)
+    rows = [(i, text(rng, lang, 9000 if lang == "bb" else 30), lang, "s", 0) for i, lang in zip(range(60), itertools.cycle(("aa", "bb")), strict=False)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict(docs_of([*rows, (500, "²½", "aa", "s", 0)])).collect()}
+    assert all(got[d] == lang for d, _, lang, _, _ in rows) and got[500] == "und"
+
+
+def test_rows_that_repeat_an_id_are_drawn_alike(docs_of):
+    rows = [(7, t, lang, s, n) for _, t, lang, s, n in corpus(200)]
+    docs = docs_of(rows)
+    assert np.array_equal(langid.learn(docs, 20).weights, langid.learn(docs.repartition(7), 20).weights)
+
+
 def test_features_are_those_of_single_words():
     words = ["a", "über", "x" * 200, "漢字"]
     slots, owner = langid.features(words)
