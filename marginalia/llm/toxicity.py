@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lowers letters, takes accents off, replaces look-alike letters of other scripts and digits or signs
-that stand for letters, and turns what is no letter into blanks. The lexicon is learnt: beginnings of words,
+Folding lowers letters, takes accents off, replaces look-alike letters of other scripts and shapes and digits or
+signs that stand for letters, drops invisible characters, and turns what is no letter into blanks. The lexicon is learnt: beginnings of words,
 or whole words, that are many times as frequent in toxic texts as in clean ones, each weighing what it is worth for
 sure. Exception phrases are word pairs around a term that clean texts use and toxic ones do not; a hit inside
 one does not count. A text's weight is divided by its words; a logistic curve fitted to labelled texts turns
@@ -15,7 +15,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from math import exp, log
 
 import numpy as np
@@ -27,39 +26,54 @@ from pyspark.sql import types as T
 
 from .common import fold_id
 
-#: Letters of other scripts that look like Latin ones, and digits that stand for letters.
-_LOOKALIKES = dict(zip("аеорсхуіѕјԁһкмтвнгαοντιρυκεηβ", "aeopcxyisjdhkmtbhraovtipukenb", strict=True))
-_DIGITS = dict(zip("013457", "oieast", strict=True))
+#: Small letters of Cyrillic, Greek and Armenian that look like Latin ones, and the digits and signs that stand for letters.
+_LOOKALIKES = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "ҽ": "e", "һ": "h", "н": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "п": "n", "о": "o",
+    "р": "p", "ԛ": "q", "г": "r", "ѕ": "s", "т": "t", "υ": "u", "ѵ": "v", "ԝ": "w", "ѡ": "w", "х": "x", "у": "y", "ү": "y",
+    "α": "a", "β": "b", "ϲ": "c", "ε": "e", "η": "n", "ι": "i", "ϳ": "j", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "σ": "o", "τ": "t", "χ": "x", "γ": "y", "ω": "w",
+    "ց": "g", "հ": "h", "յ": "j", "ո": "n", "օ": "o", "զ": "q", "ս": "u",
+}
+_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
 _SIGNS = {"@": "a", "$": "s", "!": "i", "|": "i"}
 _SIGN = re.compile(r"[@$!|]+(?=[^\W_])")
+#: Names of letters that are a Latin one in another shape.
+_SHAPED = re.compile(r"LATIN (?:SMALL |CAPITAL )?LETTER (?:SMALL CAPITAL |DOTLESS |SCRIPT )?([A-Z])(?: WITH .*)?$|(?:NEGATIVE (?:CIRCLED|SQUARED) LATIN CAPITAL|REGIONAL INDICATOR SYMBOL) LETTER ([A-Z])$")
 
-#: Labelled rows of each class that the lexicon and the curve are learnt from, and most terms of a lexicon.
-SAMPLE, TERMS = 10_000, 5_000
+#: Labelled rows of each class that the lexicon and the curve are learnt from; they bound what is collected of them.
+SAMPLE = 10_000
 #: Least toxic texts that have a term; least weight of one: the natural log of how many times as frequent it is
 #: in toxic texts, less ``DOUBT`` standard errors.
 LEAST_TEXTS, LEAST_WEIGHT, DOUBT = 4, 1.0, 1.64
 #: Shortest and longest beginning of a word.
-_SHORT, _LONG = 3, 12
+_SHORT, _LONG = 3, 24
 _RATE_FLOOR = 1e-4
 
 
-@lru_cache(maxsize=1)
-def _table() -> dict[int, str]:
-    out: dict[int, str] = {}
-    for code in [*range(0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0x3000, 0x3004), *range(0xFF01, 0xFF5F)]:
-        char = chr(code - 0xFEE0) if code >= 0xFF01 else chr(code)
-        base = unicodedata.normalize("NFKD", char)[:1].lower()
-        out[code] = _DIGITS.get(base, base) if base.isalnum() else " "
-    for char, base in _LOOKALIKES.items():
-        out[ord(char)] = out[ord(char.upper())] = base
-    return out
+class _Table(dict):
+    """What each character of decomposed text becomes, found once: a small Latin letter, itself, nothing (marks and invisible characters) or a blank."""
+
+    def __missing__(self, code: int) -> str:
+        char = chr(code)
+        low = char.lower()
+        shaped = _SHAPED.match(unicodedata.name(char, ""))
+        if unicodedata.category(char) in ("Mn", "Me", "Cf"):
+            out = ""
+        elif shaped:
+            out = (shaped[1] or shaped[2]).lower()
+        else:
+            out = _LOOKALIKES.get(low) or _DIGITS.get(low, low) if low.isalnum() else " "
+        self[code] = out
+        return out
+
+
+_TABLE = _Table()
 
 
 def fold(text: str) -> str:
-    """The text as it is matched, of the same length: small unaccented letters, blanks for other signs."""
+    """The text as it is matched: small unaccented letters, one blank for each other sign; marks and invisible characters go."""
     if "$" in text or "@" in text or "!" in text or "|" in text:
         text = _SIGN.sub(lambda m: "".join(_SIGNS[c] for c in m[0]), text)
-    return text.translate(_table())
+    return (text if text.isascii() else unicodedata.normalize("NFKD", text)).translate(_TABLE)
 
 
 @dataclass
@@ -176,7 +190,7 @@ def _pruned(terms: dict[str, tuple[float, int]]) -> dict[str, float]:
             if (head := term[:k]) in terms:
                 longer[head] = max(longer.get(head, 0), toxic)
     kept: dict[str, float] = {}
-    for term in sorted(terms, key=len):
+    for term in sorted(terms, key=lambda t: (len(t), t)):
         weight, toxic = terms[term]
         if longer.get(term, 0) < 0.9 * toxic and not any(kept.get(term[:k], -1.0) >= weight - 1.0 for k in range(2, len(term))):
             kept[term] = weight
@@ -200,8 +214,8 @@ def _around(terms: dict[str, float]):
     return pairs
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = TERMS) -> Lexicon:
-    """Lexicon, exceptions and curve from the labelled sample. Without toxic examples the lexicon is empty."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
+    """Lexicon, exceptions and curve from the labelled sample: every term and phrase that passes the tests. Without toxic examples the lexicon is empty."""
     rows = labelled(docs, labels, sample)
     words = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
     sizes = {r.toxic: (r.n, r.words) for r in rows.groupBy("toxic").agg(F.count("*").alias("n"), F.sum(words).alias("words")).collect()}
@@ -216,13 +230,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     # texts, not uses, are independent of each other
     sure = odds - DOUBT * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     best = _counted(rows, _candidates).where(F.col("toxic") >= LEAST_TEXTS).withColumn("sure", sure).where(F.col("sure") >= LEAST_WEIGHT)
-    # longer terms have no more texts than those that begin them, so beginnings are cut last
-    found = {r.term: (float(r.sure), int(r.toxic)) for r in best.orderBy(F.desc("toxic"), "term").limit(most).collect()}
+    found = {r.term: (float(r.sure), int(r.toxic)) for r in best.select("term", "sure", "toxic").collect()}
     terms = _pruned(found)
     if not terms:
         return Lexicon({})
-    pairs = _counted(rows, _around(terms)).where("clean >= 3 AND clean > 9 * toxic").orderBy(F.desc("clean"), "term").limit(most).collect()
-    lexicon = Lexicon(terms, [r.term for r in pairs])
+    pairs = _counted(rows, _around(terms)).where("clean >= 3 AND clean > 9 * toxic").select("term").collect()
+    lexicon = Lexicon(terms, sorted(r.term for r in pairs))
 
     def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -1,5 +1,9 @@
+import itertools
+import math
 import random
+import re
 import zlib
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,9 +54,69 @@ def test_held_out_labels_are_not_learnt_from(docs_of, labels_of):
     assert a == b
 
 
-def test_folding_keeps_places():
+def test_folding():
     for text, want in (("1D10T!", "idiot "), ("ѕсυм", "scum"), ("ｌｏｓｅｒ", "loser"), ("tr@$h.", "trash "), ("Éß-x $$ ok$$", "eß x    ok  "), ("a!b", "aib")):
         assert toxicity.fold(text) == want and len(want) == len(text)
+    for text in ("i\u200bd\u00adi\u2060ot", "I\u0308D\u0301IOT", "𝕚𝔡𝒊𝐨𝚝", "ɪᴅɪᴏᴛ", "🅸🅳🅸🅾🆃", "іԁɨøŧ", "ⓘⓓⓘⓞⓣ"):
+        assert toxicity.fold(text) == "idiot"
+
+
+def brute_lexicon(rows):
+    """Terms from their counts by plain loops. ``rows``: pairs of text and label."""
+    uses, texts, words, sizes = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), [0, 0], [0, 0]
+    for text, toxic in rows:
+        sizes[toxic] += 1
+        words[toxic] += len(re.split(r"\s+", text or ""))
+        own = [t for w in toxicity.fold(text or "").split() if len(w) >= 3 for t in [*(f" {w[:k]}" for k in range(3, min(len(w), 24) + 1)), f" {w} "]]
+        for t in own:
+            uses[t][toxic] += 1
+        for t in set(own):
+            texts[t][toxic] += 1
+    out = {}
+    for t, (clean, toxic) in texts.items():
+        by_uses = math.log((uses[t][1] + 0.5) / (words[1] + 1)) - math.log((uses[t][0] + 0.5) / (words[0] + 1))
+        by_texts = math.log((toxic + 0.5) / (sizes[1] + 1)) - math.log((clean + 0.5) / (sizes[0] + 1))
+        sure = min(by_uses, by_texts) - 1.64 * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+        if toxic >= 4 and sure >= 1:
+            out[t] = (sure, toxic)
+    pruned = {}
+    for t in sorted(out, key=len):
+        weight, toxic = out[t]
+        if any(u != t and u.startswith(t) and n >= 0.9 * toxic for u, (_, n) in out.items()):
+            continue
+        if not any(t.startswith(u) and w >= weight - 1 for u, w in pruned.items()):
+            pruned[t] = weight
+    return pruned
+
+
+def brute_score(lexicon, text):
+    folded = f" {toxicity.fold(text or '')} "
+    found = []
+    for i in range(len(folded)):
+        weight = max((w for t, w in lexicon.terms.items() if folded.startswith(t, i)), default=None)
+        if weight is not None and not any(p <= i < p + len(e) + 1 for e in lexicon.exceptions for p in range(len(folded)) if folded.startswith(f" {e} ", p)):
+            found.append(weight)
+    rate = sum(found) / max(1, len(folded.split())) + 1e-4 if text else 1e-4
+    return 1 / (1 + math.exp(-max(-60, min(60, lexicon.offset + lexicon.slopes[0] * math.log(rate) + lexicon.slopes[1] * max(found, default=0.0)))))
+
+
+def test_the_whole_result_agrees_with_brute_force(docs_of, labels_of):
+    rows, labels = corpus(240)
+    rows[5] = (5, None)
+    docs, marks = docs_of(rows), labels_of(labels)
+    lexicon, known = toxicity.learn(docs, marks), {d: t for d, _, t in labels}
+    want = brute_lexicon([(t, known[d]) for d, t in rows if d in known and zlib.crc32(str(d).encode()) % 3 != 1])
+    assert lexicon.terms == pytest.approx(want) and want
+    for r in toxicity.assess(docs, marks).collect():
+        assert r.score == pytest.approx(brute_score(lexicon, rows[r.doc_id][1]), abs=1e-9)
+
+
+def test_no_term_is_cut(docs_of, labels_of):
+    words = ["".join(p) for p in itertools.product("bcdf", "aeio", "klmn", "aeio", "rst", "aeio", "z")]
+    rows = [(i, " ".join(words[k * 60 : k * 60 + 600])) for i in range(800) if zlib.crc32(str(i).encode()) % 3 != 1 for k in [i % 90]]
+    clean = [(i, "lorem ipsum " * 300) for i in range(1000, 1400)]
+    lexicon = toxicity.learn(docs_of(rows + clean), labels_of([(i, 1, 1) for i, _ in rows] + [(i, 1, 0) for i, _ in clean]))
+    assert all(lexicon.hits(toxicity.fold(w)) for w in words[600:])
 
 
 def test_hits_agree_with_brute_force():
