@@ -11,19 +11,68 @@ from marginalia.llm import pii
 KEY = "k"
 
 
-def rounds(kind, left, right, a, b, text=lambda kind, r: f"{kind}|{{}}|{r}"):
+def rounds(kind, left, right, a, b, part=0):
     for i in range(8):
-        h = int(hashlib.sha256(f"{KEY}|{text(kind, right)}".format(i).encode()).hexdigest()[:15], 16)
+        turn = hashlib.sha256(f"{KEY}|{kind}|{i}".encode()).hexdigest()
+        h = int(hashlib.sha256(f"{turn}|{part}|{right}".encode()).hexdigest()[:15], 16)
         left, right, a, b = right, (left + h) % a, b, a
     return left, right
 
 
 def brute_digits(kind, digits):
     n, h = len(digits), len(digits) // 2
-    left, right = rounds(kind, int(digits[:h]), int(digits[h:]), 10**h, 10 ** (n - h), lambda k, r: f"digits|{{}}|{k}:{n}|{r}")
+    left, right = rounds(kind, int(digits[:h]), int(digits[h:]), 10**h, 10 ** (n - h), n)
     return f"{left:0{h}}{right:0{n - h}}"
 
 
+def brute_chars(kind, value):
+    half = -(-len(value) // 2)
+    left, right = value[:half], value[half:]
+    for i in range(8):
+        turn = hashlib.sha256(f"{KEY}|{kind}|{i}".encode()).hexdigest()
+        out = ""
+        for at, c in enumerate(left):
+            h = int(hashlib.sha256(f"{turn}|{at}|{right}".encode()).hexdigest()[:15], 16)
+            for first, n in ("09", "az", "AZ"):
+                if first <= c <= n:
+                    c = chr(ord(first) + (ord(c) - ord(first) + h) % (ord(n) - ord(first) + 1))
+                    break
+            out += c
+        left, right = right, out
+    return left + right
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def brute_iban(value):
+    flat = value.replace(" ", "")
+    body = brute_chars("iban", flat[4:])
+    new = iter(f"{flat[:2]}{98 - mod97(f'{flat[:2]}00{body}'):02}{body}")
+    return "".join(c if c == " " else next(new) for c in value)
+
+
+def brute_ssn(value):
+    area, group, serial = map(int, value.split("-"))
+    areas = [a for a in range(1, 900) if a != 666]
+    left, right = rounds("ssn", areas.index(area), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+    return f"{areas[left]:03}-{right // 9999 + 1:02}-{right % 9999 + 1:04}"
+
+
+def brute_day(day):
+    """The day that a day becomes: by its place in a list of its part's days of a year."""
+    leap = datetime.date(2000, 1, 1)
+    year = [leap + datetime.timedelta(i) for i in range(366)]
+    part = 4 if (day.month, day.day) == (2, 29) else 0 if day.day <= 12 else 1 if day.day <= 28 else 2 if day.day < 31 else 3
+    if part == 4:
+        left, right = rounds("date", *divmod((day.year - 1904) // 4, 7), 7, 7, 4)
+        return datetime.date(1904 + 4 * (left * 7 + right), 2, 29)
+    days = [(d.month, d.day) for d in year if (d.day <= 12, 13 <= d.day <= 28, 29 <= d.day <= 30 and d.month != 2, d.day == 31)[part]]
+    left, right = rounds("date", day.year - 1900, days.index((day.month, day.day)), 200, len(days), part)
+    return datetime.date(1900 + left, *days[right])
+
+
 def luhn(d):
     return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(map(int, reversed(d)))) % 10
 
@@ -60,12 +109,47 @@ def test_addresses_and_phones_match_brute_force(spark):
 
 
 def test_dates_stay_dates_of_their_form(spark):
-    first = datetime.date(1900, 1, 1)
-    day = (datetime.date(2021, 2, 28) - first).days
-    left, right = rounds("date", day // 4297, day % 4297, 17, 4297)
-    new = first + datetime.timedelta(left * 4297 + right)
-    got = replaced(spark, "2021-02-28", "2021/02/28", "28.02.2021", "28.2.2021", "02/28/2021", "2021-02-30", "1850-01-01", "2021-02-28-1")
-    assert got == [f"{new}", f"{new:%Y/%m/%d}", f"{new:%d.%m.%Y}", f"{new.day}.{new.month}.{new.year}", f"{new:%m/%d/%Y}", "2021-02-30", "1850-01-01", "2021-02-28-1"]
+    new = brute_day(datetime.date(2021, 2, 28))
+    got = replaced(spark, "2021-02-28", "2021/02/28", "28.02.2021", "28.2.2021", "02/28/2021", "2/28/2021", "2021-02-30", "1850-01-01", "2021-02-28-1")
+    assert got == [f"{new}", f"{new:%Y/%m/%d}", f"{new:%d.%m.%Y}", f"{new.day}.{new.month}.{new.year}", f"{new:%m/%d/%Y}", f"{new.month}/{new.day}/{new.year}", "2021-02-30", "1850-01-01", "2021-02-28-1"]
+    new = brute_day(datetime.date(2020, 4, 3))
+    assert replaced(spark, "3/04/2020", "03/04/2020", "3/4/2020") == [f"{new.day}/{new.month:02}/{new.year}", f"{new:%d/%m/%Y}", f"{new.day}/{new.month}/{new.year}"]
+
+
+@pytest.mark.parametrize("form", ["%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y"])
+def test_all_days_of_some_years_match_brute_force(spark, form):
+    days = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(1100)]
+    # month first only where it cannot be read day first
+    days = [d for d in days if form[1] != "m" or d.day > 12]
+    assert replaced(spark, *[d.strftime(form) for d in days]) == [brute_day(d).strftime(form) for d in days]
+
+
+def test_dates_of_both_readings_stay_apart(spark):
+    days = [datetime.date(2019, 1, 1) + datetime.timedelta(i) for i in range(4 * 366)]
+    values = sorted({d.strftime(f) for d in days for f in ("%d/%m/%Y", "%m/%d/%Y")})
+    got = replaced(spark, *values)
+    assert len(set(got)) == len(values) and all(int(g[:2]) <= 12 or int(g[3:5]) <= 12 for g in got)
+    assert sum(int(g[3:5]) > 12 for g in got) == sum(int(v[3:5]) > 12 for v in values)
+
+
+def test_numbers_and_addresses_match_brute_force(spark):
+    ssns = ["001-01-0001", "899-99-9999", "665-10-1234", "667-10-1234"]
+    ibans = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NL91 ABNA 0417 1643 00", "NO93 86011117947"]
+    mails = ["joe.Ann-12@x.org", "a@b.example.com", "Zz9_%+x@q.io"]
+    assert all(mod97(i.replace(" ", "")) == 1 for i in ibans)
+    assert replaced(spark, *ssns) == [brute_ssn(v) for v in ssns]
+    assert replaced(spark, *ibans) == [brute_iban(v) for v in ibans]
+    assert replaced(spark, *mails) == [brute_chars("email", v.split("@")[0]) + v[v.index("@") :] for v in mails]
+
+
+def test_the_secret_is_in_no_plan(spark, capsys):
+    done = pii.pseudonyms(spark.createDataFrame([("4417744280351547",)], "text string"), "hush-hush-key")
+    done.explain("extended")
+    assert "hush-hush-key" not in capsys.readouterr().out
+    with pytest.raises(ValueError, match="secret key"):
+        pii.secret(spark)
+    with pytest.warns(UserWarning, match="published"):
+        assert pii.secret(spark, otherwise=pii.TEST_KEY) == pii.TEST_KEY
 
 
 def test_permutations_are_one_to_one(spark):
@@ -115,7 +199,7 @@ def test_other_text_is_left_alone(spark, text):
 def test_defined_on_odd_tables(docs_of):
     assert pii.pseudonyms(docs_of([]), KEY).count() == 0
     long = "words " * 300_000 + "10.1.2.3" + "9" * 100_000
-    odd = docs_of([(1, "10.1.2.3 10.1.2.3"), (1, "10.1.2.3 10.1.2.3"), (None, long)]).withColumn("pii", F.lit(3)).withColumn("kind", F.lit("q"))
+    odd = docs_of([(1, "10.1.2.3 10.1.2.3"), (1, "10.1.2.3 10.1.2.3"), (None, long)]).withColumn("pii", F.lit(3)).withColumn("kind", F.lit("q")).withColumn("_found", F.lit(1)).withColumn("_NEW", F.lit(2))
     got = sorted(pii.pseudonyms(odd, KEY).collect(), key=lambda r: len(r.text))
-    assert got[0].text == got[1].text and got[0].pii["ip"] == 2 and len(set(got[0].text.split())) == 1 and got[0].kind == "q"
+    assert got[0].text == got[1].text and got[0].pii["ip"] == 2 and len(set(got[0].text.split())) == 1 and got[0].kind == "q" and (got[0]._found, got[0]._NEW) == (1, 2)
     assert got[2].text == long and got[2].n_chars == len(long)
