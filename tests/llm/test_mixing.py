@@ -1,6 +1,6 @@
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -55,8 +55,8 @@ def test_agrees_with_sql_and_with_a_rerun(docs_of, tmp_path):
     docs.write.parquet(f"{tmp_path}/d")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
-    want = sorted(con.execute(mixing.MIX_SQL).fetchall(), key=str)
     for block in (64, 2048):
+        want = sorted(con.execute(mixing.MIX_SQL.replace("2048", str(block))).fetchall(), key=str)
         assert sorted((tuple(r) for r in mixing.mix(docs.repartition(5), block=block).collect()), key=str) == want
 
 
@@ -80,11 +80,29 @@ def test_defined_on_odd_tables(docs_of):
     assert mixing.mix(odd).count() == len(corpus())
 
 
-def test_repeated_documents(docs_of):
-    docs = docs_of([(i, "a b c d", "en", f"s{i % 4}", 7) for i in range(80)])
-    times = defaultdict(int)
-    for r in mixing.repeated(docs).collect():
-        times[r.doc_id] += 1
-        assert len(r) == 5
-    taken = {r.doc_id: r.taken for r in mixing.mix(docs).collect()}
-    assert dict(times) == {d: math.ceil(t / 4) for d, t in taken.items() if t}
+def test_repeated_documents_in_the_order_of_the_slots(docs_of):
+    rng = random.Random(5)
+    docs = docs_of([(i, "a b c d " * rng.randrange(1, 30), "en", f"s{i % 4}", 7) for i in range(80)])
+    got = [r.doc_id for r in mixing.repeated(docs, block=16).collect()]
+    told = {r.doc_id: r for r in mixing.mix(docs, block=16).collect()}
+    assert Counter(got) == {d: math.ceil(r.taken / r.size) for d, r in told.items() if r.taken}
+    first = {d: got.index(d) for d in set(got)}
+    order = sorted(first, key=first.get)
+    assert [told[d].first_slot for d in order] == sorted(told[d].first_slot for d in order)
+    # sources alternate by their shares from the beginning on
+    half = order[: len(order) // 2]
+    assert len({told[d].target for d in half}) > 1 and len({d % 4 for d in half[:12]}) >= 3
+
+
+def test_no_row_is_lost_on_the_way(docs_of):
+    rows = [(1, "a b", "en", "x", 1), (1, "c d", "en", "x", 1), (1, "c d", "en", "x", 1), (None, "e f", "en", "y", 1), (2, None, None, "y", 1), (3, "", "en", None, 1), (None, None, None, None, None), (4, "long " * 3000, "en", "x", 1)]
+    docs = docs_of(rows).withColumn("_row", F.lit("r")).withColumn("_slot", F.lit(1)).withColumn("size", F.col("doc_id")).withColumn("tags", F.create_map(F.lit("k"), "doc_id"))
+    got = mixing.repeated(docs)
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert all(kept[d, t] == 1 for d, t in [(2, None), (3, ""), (None, None)])
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += max(1, math.ceil(r.taken / r.size)) if r.taken else int(not r.size)
+    assert Counter(d for d, _ in kept.elements()) == +want and kept[None, "e f"] and kept[1, "c d"] >= 2
+    assert mixing.repeated(docs_of([])).count() == 0
