@@ -15,16 +15,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed values of the format.
 _TRAILER, _IMAGE, _EXTENSION, _CONTROL, _TABLE = 0x3B, 0x2C, 0x21, 0xF9, 4096
 _PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 #: Frames of stored bytes: 96 wide, up to 96 tall, in steps of 6 rows (576 samples).
 WIDTH, UNIT, ROWS = 96, 576, 96
-#: Hundredths of a second that each frame of stored bytes is shown.
-DELAY = 4
+#: Hundredths of a second that each frame of stored bytes is shown, and the disposals that they have in turn.
+DELAY, DISPOSALS = 4, (1, 3, 2)
+#: Pixels that a run equal to what is on the canvas has at least, to be left out as transparent.
+_RUN = 8
+#: Most pixels of a canvas or an image that are decoded, and bytes of canvases that are held at once.
+MOST_PIXELS, _HELD = 1 << 24, 1 << 25
 
 
 class GifError(ValueError):
@@ -161,10 +166,18 @@ def lzw_encode(pixels: bytes, size: int = 8) -> bytes:
     return np.packbits(bits[: int(first[-1])], bitorder="little").tobytes()
 
 
+def _unused_index(part: np.ndarray) -> int | None:
+    """The largest sample that a frame does not have; None if it has all."""
+    free = np.flatnonzero(np.bincount(part, minlength=256) == 0)
+    return int(free[-1]) if len(free) else None
+
+
 def encode(payload: bytes, delay_cs: int = DELAY) -> bytes:
     """A lossless animation of 8-bit samples: grey palette, frames of whole rows of 96, in order.
 
-    The payload's length is a positive multiple of 576. A frame is cleared when its time is over, so that each shows its own samples only.
+    The payload's length is a positive multiple of 576. Each frame shows its own samples in its rectangle: runs that
+    are on the canvas already are left out as transparent, where a sample is free to stand for that. When its time
+    is over a frame stays, gives back what was there before, or is cleared, in turn.
     """
     if not payload or len(payload) % UNIT:
         raise ValueError(f"{len(payload)} bytes are no positive multiple of {UNIT}")
@@ -172,13 +185,27 @@ def encode(payload: bytes, delay_cs: int = DELAY) -> bytes:
     tall = min(len(payload), step) // WIDTH
     grey = bytes(x for i in range(256) for x in (i, i, i))
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, tall, 0xF7, 0, 0), grey, b"\x21\xff\x0bNETSCAPE2.0\x03\x01\x00\x00\x00"]
-    for at in range(0, len(payload), step):
-        part = payload[at : at + step]
-        out.append(struct.pack("<BBBBHBB", _EXTENSION, _CONTROL, 4, 2 << 2, delay_cs, 0, 0))
+    canvas = np.full(tall * WIDTH, -1, np.int16)
+    for number, at in enumerate(range(0, len(payload), step)):
+        part = np.frombuffer(payload, np.uint8, min(step, len(payload) - at), at)
+        disposal, free, pixels = DISPOSALS[number % len(DISPOSALS)], None, part
+        if number:
+            same = canvas[: len(part)] == part
+            # where runs of equal pixels begin and end
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
+            runs = edges.reshape(-1, 2)[np.diff(edges.reshape(-1, 2), axis=1)[:, 0] >= _RUN]
+            free = _unused_index(part) if len(runs) else None
+            if free is not None:
+                pixels = part.copy()
+                for first, end in runs:
+                    pixels[first:end] = free
+        out.append(struct.pack("<BBBBHBB", _EXTENSION, _CONTROL, 4, disposal << 2 | (free is not None), delay_cs, free or 0, 0))
         out.append(struct.pack("<BHHHHBB", _IMAGE, 0, 0, WIDTH, len(part) // WIDTH, 0, 8))
-        codes = lzw_encode(part)
+        codes = lzw_encode(pixels.tobytes())
         out += [bytes([len(codes[k : k + 255])]) + codes[k : k + 255] for k in range(0, len(codes), 255)]
         out.append(b"\0")
+        if disposal != 3:
+            canvas[: len(part)] = part if disposal == 1 else -1
     out.append(bytes([_TRAILER]))
     return b"".join(out)
 
@@ -205,7 +232,7 @@ def _palette(data: bytes, at: int, flags: int) -> tuple[np.ndarray, int]:
 
 
 def frames(data: bytes) -> Iterator[Frame]:
-    """The composed frames of a GIF, one at a time.
+    """The composed frames of a GIF, one at a time; canvases and images of over ``MOST_PIXELS`` are an error.
 
     Local palettes go before the global one; indices of the transparent colour leave what is there.
     When a frame's time is over, disposal 2 clears its rectangle and 3 puts back what was there before.
@@ -213,6 +240,8 @@ def frames(data: bytes) -> Iterator[Frame]:
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         raise GifError("no GIF header")
     wide, tall, flags = struct.unpack_from("<HHB", data, 6)
+    if wide * tall > MOST_PIXELS:
+        raise GifError(f"canvas of {wide} x {tall}")
     at, shared = 13, None
     if flags & 0x80:
         shared, at = _palette(data, at, flags)
@@ -231,6 +260,8 @@ def frames(data: bytes) -> Iterator[Frame]:
         if kind != _IMAGE:
             raise GifError(f"unknown block {kind}")
         left, top, width, height, own = struct.unpack_from("<HHHHB", data, at + 1)
+        if width * height > MOST_PIXELS:
+            raise GifError(f"image of {width} x {height}")
         at += 10
         colours = shared
         if own & 0x80:
@@ -263,11 +294,20 @@ def frames(data: bytes) -> Iterator[Frame]:
         disposal, delay, clear = 0, 0, None
 
 
-def histogram(frame: Frame, bits: int = 2) -> np.ndarray:
-    """Pixels of what the frame shows by the upper ``bits`` of red, green and blue; transparent ones are left out."""
-    rgb = (frame.canvas[..., :3] >> (8 - bits)).astype(np.int64)
+def histogram(frame: Frame, bits: int = 2, drawn: bool = False) -> np.ndarray:
+    """Pixels of what the frame shows, or of the rectangle it drew, by the upper ``bits`` of red, green and blue; transparent ones are left out."""
+    shown = frame.canvas[frame.top : frame.top + frame.height, frame.left : frame.left + frame.width] if drawn else frame.canvas
+    rgb = (shown[..., :3] >> (8 - bits)).astype(np.int64)
     cell = (rgb[..., 0] << 2 * bits) | (rgb[..., 1] << bits) | rgb[..., 2]
-    return np.bincount(cell[frame.canvas[..., 3] > 0], minlength=1 << 3 * bits)
+    return np.bincount(cell[shown[..., 3] > 0], minlength=1 << 3 * bits)
+
+
+def timed(data: bytes) -> Iterator[tuple[int, int, Frame]]:
+    """Number, start in hundredths of a second, and frame."""
+    start = 0
+    for number, frame in enumerate(frames(data)):
+        yield number, start, frame
+        start += frame.delay_cs
 
 
 def samples(frame: Frame) -> bytes:
@@ -285,7 +325,8 @@ def frame_table(media: DataFrame, id_col: str = "media_id", data_col: str = "gif
     """One row per frame of the GIFs in ``media``: id, frame number, start and delay in hundredths of a
     second, the drawn rectangle, the canvas (RGBA bytes, row by row) and its 64-colour histogram.
 
-    Null media have no rows. Broken media have the frames before the fault and then a row with ``error``.
+    Null media have no rows. Broken media, and such with a canvas of over ``MOST_PIXELS``, have the frames before
+    the fault and then a row with ``error``.
     """
     kind = media.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, frame int, start_cs long, delay_cs int, left int, top int, width int, height int, canvas binary, histogram array<long>, error string"
@@ -295,18 +336,18 @@ def frame_table(media: DataFrame, id_col: str = "media_id", data_col: str = "gif
             for key, data in zip(batch[id_col], batch[data_col], strict=True):
                 if data is None:
                     continue
-                rows, start, error = [], 0, None
+                rows, end, held, error = [], 0, 0, None
                 try:
-                    for k, f in enumerate(frames(bytes(data))):
+                    for k, start, f in timed(bytes(data)):
                         rows.append((key, k, start, f.delay_cs, f.left, f.top, f.width, f.height, f.canvas.tobytes(), histogram(f).tolist(), None))
-                        start += f.delay_cs
-                        if len(rows) >= 64:
+                        end, held = start + f.delay_cs, held + f.canvas.nbytes
+                        if held >= _HELD:
                             yield pd.DataFrame(rows, columns=names)
-                            rows = []
+                            rows, held = [], 0
                 except (GifError, struct.error, IndexError) as fault:
                     error = str(fault) or "data ends too early"
                 if error:
-                    rows.append((key, None, start, *[None] * 7, error))
+                    rows.append((key, None, end, *[None] * 7, error))
                 if rows:
                     yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in names[1:8]})
 
@@ -328,31 +369,52 @@ def stored_texts(docs: DataFrame) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """Each text stored as a GIF and read back: digests of payload and media, and a feature of the frames.
-
-    Columns: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
-    feature``. All but ``n_bytes`` come from the stored form: the payload is what its composed frames show.
-    ``feature`` has the number of frames, the time and the histogram of grey (four cells). Null texts are
-    stored as empty; ids that are null or repeat stay rows of their own; other columns are ignored.
+    """Each text stored as a GIF and read back: digests of payload and media, a feature, and the timed frames.
+
+    Columns: ``doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
+    frames``. All but ``n_bytes`` come from the stored form: the payload is what its composed frames show in their
+    rectangles. ``feature`` has the number of frames, the time and the payload's histogram of grey (four cells);
+    ``frames`` has start and delay in hundredths of a second and the 64-colour histogram of all that each frame
+    shows, as :func:`frame_table` has. Null texts are stored as empty; ids that are null or repeat stay rows of
+    their own; other columns are ignored; an empty table gives no rows.
     """
-    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([(key, *_described(text)) for key, text in zip(batch["doc_id"], batch["text"], strict=True)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    kind = docs.schema["doc_id"].dataType
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema).withColumn("doc_id", F.col("doc_id").cast(kind))
+            told, sizes, starts, delays, cells = [], [0], [], [], []
+            for text in batch.column(1):
+                *one, shown = _described(text.as_py())
+                told.append(one)
+                sizes.append(sizes[-1] + len(shown))
+                for start, delay, counts in shown:
+                    starts.append(start)
+                    delays.append(delay)
+                    cells.append(counts)
+            ends = pa.array(range(0, 64 * len(cells) + 1, 64), pa.int32())
+            histograms = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(cells) if cells else [], pa.int64()))
+            every = pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(delays, pa.int32()), histograms], ["start_cs", "delay_cs", "histogram"])
+            columns = [pa.array(values, pa.string() if isinstance(values[0], str) else pa.int64()) for values in zip(*told, strict=True)] if told else []
+            if told:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), every)], ["doc_id", *names, "frames"])
+
+    kinds = ["long", "long", "string", "long", "long", "string", "string"]
+    frame = T.StructType([T.StructField("start_cs", T.LongType()), T.StructField("delay_cs", T.IntegerType()), T.StructField("histogram", T.ArrayType(T.LongType()))])
+    columns = [T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, T.StringType() if k == "string" else T.LongType()) for n, k in zip(names, kinds, strict=True)], T.StructField("frames", T.ArrayType(frame))]
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType(columns))
 
 
 def _described(text: str | None) -> tuple:
     payload, n = padded(text)
     media = encode(payload)
-    digest, total, tail, time, count, colours = hashlib.sha256(), 0, b"", 0, 0, np.zeros(64, np.int64)
-    for frame in frames(media):
+    digest, total, tail, end, colours, shown = hashlib.sha256(), 0, b"", 0, np.zeros(64, np.int64), []
+    for _, start, frame in timed(media):
         got = samples(frame)
         digest.update(got)
-        total, tail, time, count = total + len(got), (tail + got[-32:])[-32:], time + frame.delay_cs, count + 1
-        colours += histogram(frame)
+        total, tail, end = total + len(got), (tail + got[-32:])[-32:], start + frame.delay_cs
+        drawn = histogram(frame, drawn=True)
+        colours += drawn
+        # the first frame draws the whole canvas
+        shown.append((start, frame.delay_cs, histogram(frame) if shown else drawn))
     grey = ",".join(map(str, colours[[0, 21, 42, 63]].tolist()))
-    return n, total, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"frames={count};cs={time};grey={grey}"
+    return n, total, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), f"frames={len(shown)};cs={end};grey={grey}", shown

@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -96,6 +98,41 @@ def test_texts_come_back(docs_of):
         assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
         assert r.feature.startswith(f"frames={-(-len(p) // 9216)};") and sum(map(int, r.feature.split("grey=")[1].split(","))) == len(p)
     assert got[50].feature == got[51].feature
+    # the timed frames of the query are those of the frame table
+    table = defaultdict(list)
+    for r in gif.frame_table(gif.stored_texts(docs_of(rows)), "doc_id", "gif").orderBy("doc_id", "frame").collect():
+        table[r.doc_id].append((r.start_cs, r.delay_cs, r.histogram))
+    assert {d: [tuple(f) for f in r.frames] for d, r in got.items()} == dict(table)
+
+
+@pytest.mark.parametrize("kind", ["text", "lines", "bytes"])
+def test_frames_with_transparent_runs_and_all_disposals_come_back(kind):
+    """Against a plain simulation of what a viewer shows."""
+    rng = random.Random(7)
+    line = "the same line again and again!!\n"
+    raw = {"text": " ".join(rng.choice("abc") * 60 for _ in range(1500)), "lines": line * 4000, "bytes": None}[kind]
+    payload = payload_of(raw) if raw else rng.randbytes(576 * 120)
+    media = gif.encode(payload)
+    shown = list(gif.frames(media))
+    assert b"".join(gif.samples(f) for f in shown) == payload
+    canvas = np.zeros((96, 96, 4), np.uint8)
+    for k, f in enumerate(shown):
+        part = np.frombuffer(payload[k * 9216 : (k + 1) * 9216], np.uint8).reshape(-1, 96)
+        before = canvas.copy()
+        canvas[: len(part)] = np.dstack([part, part, part, np.full_like(part, 255)])
+        assert np.array_equal(f.canvas, canvas)
+        canvas = {1: canvas, 3: before}.get((1, 3, 2)[k % 3], canvas)
+        if (1, 3, 2)[k % 3] == 2:
+            canvas[: len(part)] = 0
+    controls = [media[m.start() + 3] for m in re.finditer(rb"\x21\xf9\x04.\x04\x00.\x00\x2c", media, re.S)]
+    assert {c >> 2 & 7 for c in controls} == {1, 2, 3} and any(c & 1 for c in controls) == (kind != "bytes")
+
+
+def test_hostile_sizes_are_errors(spark):
+    huge = b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0x80, 0, 0) + bytes(6) + b";"
+    wide = picture([image([1] * 16, (0, 0, 65535, 65535))])
+    rows = gif.frame_table(spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(wide))], "media_id int, gif binary")).collect()
+    assert all("65535 x 65535" in r.error for r in rows) and len(rows) == 2
 
 
 def test_frame_table(docs_of, spark):
