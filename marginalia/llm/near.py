@@ -10,6 +10,7 @@ white space are merged beforehand.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,6 @@ _RNG = np.random.default_rng(42)
 _MULTIPLY, _ADD = (_RNG.integers(0, 1 << 64, (PARTS * MINIMA + WORDS, 1), np.uint64) for _ in range(2))
 _MULTIPLY |= np.uint64(1)
 _ODD, _HALF, _THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(32), np.uint64(29)
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _folded(parts: Iterator[np.ndarray], start: np.ndarray) -> np.ndarray:
@@ -43,9 +43,13 @@ def _folded(parts: Iterator[np.ndarray], start: np.ndarray) -> np.ndarray:
     return start ^ (start >> _THIRD)
 
 
-def shingles(text: str | None, width: int = 5) -> np.ndarray:
-    """Distinct 64-bit hashes of a text's shingles, sorted; a text of fewer words is one shingle, one of none has none."""
-    words = text.encode("utf-8").lower().split() if text else []
+def words_of(text: str | None) -> list[bytes]:
+    """Words, parted by ASCII white space, A-Z in small letters; null: none."""
+    return text.encode("utf-8").lower().split() if text else []
+
+
+def shingles(words: list[bytes], width: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles, sorted; fewer words are one shingle, none have none."""
     if not words:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -78,12 +82,6 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / union if union else 1.0
 
 
-def content_key(text: Column) -> Column:
-    """MD5 of a text's words, equal for texts that differ in white space and ASCII case only; null: of no words."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), r"[\x20\x09-\x0D]+", " "))
-    return F.unhex(F.md5(words.cast("binary")))
-
-
 def _distance(a: Column, b: Column) -> Column:
     """Differing bits of two arrays of SimHash words."""
     return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
@@ -108,29 +106,32 @@ def best_centres(met: DataFrame, least: float) -> DataFrame:
     return pairs.groupBy(F.col("own._key").alias("b")).agg(F.min(F.struct(far.alias("far"), F.col("centre._key").alias("a"))).alias("best")).select("best.a", "b")
 
 
-def candidates(met: DataFrame, least: float) -> DataFrame:
+def candidates(met: DataFrame, least: float, one_each: bool = False) -> DataFrame:
     """Pairs ``(a, b, ca, cb, far)`` of texts of ``met(code, own, component)`` in unlike components ``ca`` and ``cb``
     that have an anchor in common and differ in at most two bits of the fingerprint behind it.
 
     Only fingerprints at anchors that several components share are emitted with their variants, so a group of
     copies that is connected costs nothing. Pairs of fingerprints are made from the at most 17 that meet at a
-    variant, and pairs of texts from those that lie in unlike components.
+    variant, pairs of texts from those that lie in unlike components; with ``one_each`` one text stands for all
+    of its component that have a fingerprint.
     """
     tag = F.xxhash64("component")
     mixed = met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo != hi").select("anchor")
-    live = persisted(met.withColumn("anchor", _anchor(F.col("code"))).join(mixed, "anchor", "left_semi").select("code", "own", "component"), "live")
-    codes = persisted(live.groupBy("code").agg(F.min(F.xxhash64("component")).alias("lo"), F.max(F.xxhash64("component")).alias("hi")), "codes")
+    live = met.withColumn("anchor", _anchor(F.col("code"))).join(mixed, "anchor", "left_semi").select("code", "own", "component")
+    live = persisted(live.groupBy("code", "component").agg(F.min("own").alias("own")) if one_each else live, "live")
+    parts = persisted(live.select("code", "component").distinct(), "parts")
+    codes = persisted(parts.groupBy("code").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")), "codes")
     side = lambda name: codes.select(F.col("code").alias(name), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
-    near = ball_pairs(codes.select("code"), PART_BITS).join(side("u"), "u").join(side("w"), "w")
-    same = "lo != hi"
-    near = near.where("u_lo != u_hi OR w_lo != w_hi OR u_lo != w_lo").select("u", "w").unionByName(codes.where(same).select(F.col("code").alias("u"), F.col("code").alias("w")))
-    left = live.select(F.col("code").alias("u"), F.col("own").alias("x"), F.col("component").alias("cx"))
-    right = live.select(F.col("code").alias("w"), F.col("own").alias("y"), F.col("component").alias("cy"))
-    pairs = near.join(left, "u").join(right, (near["w"] == right["w"]) & (F.col("cx") != F.col("cy")) & ((F.col("u") != right["w"]) | (F.col("x._key") < F.col("y._key"))))
-    pairs = pairs.where(_alike("x", "y", least))
+    near = ball_pairs(codes.select("code"), PART_BITS).join(side("u"), "u").join(side("w"), "w").where("u_lo != u_hi OR w_lo != w_hi OR u_lo != w_lo").select("u", "w")
+    near = near.unionByName(codes.where("lo != hi").select(F.col("code").alias("u"), F.col("code").alias("w")))
+    part = lambda code, c: parts.select(F.col("code").alias(code), F.col("component").alias(c))
+    # which components meet at which fingerprints, then their texts
+    near = near.join(part("u", "cx"), "u").join(part("w", "cy"), "w").where("cx != cy AND (u != w OR cx < cy)")
+    text = lambda code, c, own: live.select(F.col("code").alias(code), F.col("component").alias(c), F.col("own").alias(own))
+    pairs = near.join(text("u", "cx", "x"), ["u", "cx"]).join(text("w", "cy", "y"), ["w", "cy"]).where(_alike("x", "y", least))
     first = F.col("x._key") < F.col("y._key")
     ends = [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x._key", "y._key"), ("b", "y._key", "x._key"), ("ca", "cx", "cy"), ("cb", "cy", "cx"))]
-    return pairs.select(*ends, _distance(F.col("x.sketch"), F.col("y.sketch")).alias("far")).distinct()
+    return persisted(pairs.select(*ends, _distance(F.col("x.sketch"), F.col("y.sketch")).alias("far")).distinct(), "pairs")
 
 
 def closest(pairs: DataFrame) -> DataFrame:
@@ -150,7 +151,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Da
                 sets = []
                 for key, text in ((a[i].as_py(), texts_a[i]), (b[i].as_py(), texts_b[i])):
                     if key not in known:
-                        known[key] = shingles(text.as_py(), width)
+                        known[key] = shingles(words_of(text.as_py()), width)
                     sets.append(known[key])
                 take.append(similarity(*sets) >= least)
             yield batch.select(columns).filter(pa.array(take, pa.bool_()))
@@ -167,49 +168,60 @@ def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
     return persisted(named.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).select(named.columns), "components")
 
 
-def classes(docs: DataFrame, least: float = 0.8, width: int = 5, key: str = "_key") -> DataFrame:
-    """``_key, rep, component`` of the distinct texts of ``docs(doc_id, text, <key>)``, the key being :func:`content_key`;
-    ``rep`` is the smallest id of a key, ``component`` the same for texts that links of similarity connect.
+def classes(rows: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """``_key, rep, component`` of the distinct texts of ``rows(doc_id, text, _key, n, codes, sketch)``; ``rep`` is the
+    smallest id of a key, ``component`` the same for texts that links of similarity connect.
 
-    A text is first compared with the closest of its anchors' first texts, then with the closest text in each other
-    component that it meets, then with all that are left in other components.
+    A text is first compared with the closest of its anchors' first texts, then with the closest that stands for
+    each other component it meets, then with the closest of all in each, then with all that are left.
     """
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, codes, sketches = [], [], []
-            for text in batch.column(2):
-                own = shingles(text.as_py(), width)
-                found = signature(own)
-                sizes.append(len(own))
-                codes.append(found[0])
-                sketches.append(found[1])
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(codes, longs), pa.array(sketches, longs)], ["doc_id", "_key", "n", "codes", "sketch"])
-
-    longs = T.ArrayType(T.LongType())
-    fields = [("doc_id", docs.schema["doc_id"].dataType), ("_key", T.BinaryType()), ("n", T.LongType()), ("codes", longs), ("sketch", longs)]
-    signatures = persisted(docs.select("doc_id", F.col(key).alias("_key"), "text").mapInArrow(signed, T.StructType([T.StructField(*f) for f in fields])), "signatures")
-    merged = signatures.groupBy("_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "codes", "sketch")).alias("s"))
+    merged = rows.groupBy("_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "codes", "sketch")).alias("s"))
     every = persisted(merged.select("_key", "rep", "s.n", "s.codes", "s.sketch"), "classes")
     met = every.select(F.explode("codes").alias("code"), F.struct("_key", "n", "sketch").alias("own"))
 
     # whatever is compared has an anchor in common with another text
     shared = met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.count("*").alias("texts")).where("texts > 1").select("anchor")
     wanted = met.select(_anchor(F.col("code")).alias("anchor"), "own._key").join(shared, "anchor", "left_semi").select("_key").distinct()
-    texts = persisted(docs.select(F.col(key).alias("_key"), "text").join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), "texts")
+    texts = persisted(rows.select("_key", "text").join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), "texts")
 
     named = every.select("_key", "rep", F.col("_key").alias("component"))
     named = _joined(named, verified(persisted(best_centres(met, least), "pairs"), texts, least, width))
-    pairs = persisted(candidates(met.join(named.select("_key", "component"), F.col("own._key") == F.col("_key")).select("code", "own", "component"), least), "pairs")
-    soon = persisted(closest(pairs), "pairs")
+    placed = lambda: met.join(named.select("_key", "component"), F.col("own._key") == F.col("_key")).select("code", "own", "component")
     edges = lambda links: links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    close = _joined(named, edges(verified(soon, texts, least, width)))
-    label = named.select("component", "_key").join(close.select("_key", F.col("component").alias("now")), "_key").groupBy("component").agg(F.first("now").alias("now"))
-    renamed = lambda df, c: df.join(label.select(F.col("component").alias(c), F.col("now").alias(f"{c}_now")), c)
-    rest = renamed(renamed(pairs.join(soon, ["a", "b"], "left_anti"), "ca"), "cb").where("ca_now != cb_now")
+    done = persisted(closest(candidates(placed(), least, one_each=True)), "pairs")
+    named = _joined(named, edges(verified(done, texts, least, width)))
+    left = persisted(candidates(placed(), least).join(done, ["a", "b"], "left_anti"), "pairs")
+    if left.isEmpty():
+        return named
+    done = persisted(closest(left), "pairs")
+    close = _joined(named, edges(verified(done, texts, least, width)))
+    now = named.select("component", "_key").join(close.select("_key", F.col("component").alias("now")), "_key").groupBy("component").agg(F.first("now").alias("now"))
+    renamed = lambda df, c: df.join(now.select(F.col("component").alias(c), F.col("now").alias(f"{c}_now")), c)
+    rest = renamed(renamed(left.join(done, ["a", "b"], "left_anti"), "ca"), "cb").where("ca_now != cb_now")
     rest = persisted(rest.select("a", "b", F.col("ca_now").alias("ca"), F.col("cb_now").alias("cb")), "pairs")
-    return _joined(close, edges(verified(rest, texts, least, width)))
+    return close if rest.isEmpty() else _joined(close, edges(verified(rest, texts, least, width)))
+
+
+def signed(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
+    """``docs`` with ``names``: MD5 of a text's words, their number of shingles, anchored fingerprints and words of SimHash."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, sizes, codes, sketches = [], [], [], []
+            for text in batch.column("text"):
+                words = words_of(text.as_py())
+                own = shingles(words, width)
+                found = signature(own)
+                keys.append(hashlib.md5(b" ".join(words)).digest())
+                sizes.append(len(own))
+                codes.append(found[0])
+                sketches.append(found[1])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(codes, longs), pa.array(sketches, longs)], [*batch.schema.names, *names])
+
+    longs = T.ArrayType(T.LongType())
+    kinds = [T.BinaryType(), T.LongType(), longs, longs]
+    return docs.mapInArrow(sign, T.StructType([*docs.schema, *[T.StructField(*f) for f in zip(names, kinds, strict=True)]]))
 
 
 def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
@@ -221,6 +233,7 @@ def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame
     Rows of a component without any id stay. Very long texts are compared whole. An empty table gives an empty
     result. Columns are those of ``docs``, whatever their names.
     """
-    key = unused(docs, "_key")
-    keyed = docs.withColumn(key, content_key(F.col("text")))
-    return first_of_each(keyed, classes(keyed, least, width, key), key).select(docs.columns)
+    names = [unused(docs, name) for name in ("_key", "_n", "_codes", "_sketch")]
+    rows = persisted(signed(docs, width, names), "signed")
+    found = classes(rows.select("doc_id", "text", *[F.col(own).alias(name) for own, name in zip(names, ("_key", "n", "codes", "sketch"), strict=True)]), least, width)
+    return first_of_each(rows.select(*docs.columns, names[0]), found, names[0]).select(docs.columns)
