@@ -1,11 +1,14 @@
 """Approximate nearest neighbours by a hierarchical navigable small-world graph per shard.
 
 Equal vectors are merged first, keeping the smallest ids that any result can name, so copies neither clog
-the graphs nor gather in one shard. Distinct vectors are dealt to shards by hash. A shard's graph is built in
-bulk: each layer's links are chosen by the usual diversity rule from exact neighbours within the shard and
-made mutual. It is stored as flat neighbour arrays. All queries search all shards, in blocks, and the
-shards' results are merged. Largest inner product becomes nearest neighbour by one more dimension that makes
-all vectors of a shard equally long.
+the graphs nor gather in one shard. Distinct vectors are dealt to shards by hash, of each dimension on their own.
+A shard's first vectors are linked from all pairs; the rest are inserted in batches that search the graph as far
+as it is built, and link back. Links are chosen by the usual diversity rule. A graph is stored as flat neighbour
+arrays. All queries search all shards of their dimension, in blocks, and the shards' results are merged.
+Largest inner product becomes nearest neighbour by one more dimension that makes all vectors of a shard equally long.
+
+Shards are few and large, as a query's work in one grows with the logarithm of its size only; there are never
+fewer than eight for a dimension, so up to eight full shards the work grows in proportion to queries.
 """
 
 from __future__ import annotations
@@ -23,11 +26,13 @@ from pyspark.sql import types as T
 from .common import persisted
 
 #: Links of a node in upper layers and in the base layer, neighbours they are chosen from, and the search beam.
-LINKS, BASE_LINKS, POOL, BEAM = 16, 32, 64, 128
+LINKS, BASE_LINKS, POOL, BEAM = 16, 32, 64, 192
 #: Vectors of a shard, fewest shards, and queries of a block.
-PER_SHARD, LEAST_SHARDS, PER_BLOCK = 4096, 8, 512
-#: Further places where a base search begins, and nodes it expands at once.
-_SEEDS, _WIDE = 8, 4
+PER_SHARD, LEAST_SHARDS, PER_BLOCK = 1 << 15, 8, 512
+#: Vectors that are linked from all pairs at first, and those of a batch that is inserted.
+FIRST, BATCH = 8192, 2048
+#: Further places where a base search begins, nodes it expands at once, and queries that are searched together.
+_SEEDS, _WIDE, _TOGETHER = 8, 4, 256
 
 
 @dataclass
@@ -38,64 +43,100 @@ class Graph:
     links: list[np.ndarray]
 
 
-def _chosen(vectors: np.ndarray, most: int) -> np.ndarray:
-    """Neighbour numbers (n, most) by the diversity rule, filled up with the nearest left out, then made mutual where there is room."""
+def _diverse(vectors: np.ndarray, best: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Of each row of candidates (nearest first, -1: none) up to ``most``: those nearer to the row's own vector than to a chosen one, then the nearest others."""
+    cloud = vectors[best]
+    among = cloud @ cloud.transpose(0, 2, 1)
+    kept = np.zeros(best.shape, bool)
+    for t in range(best.shape[1]):
+        shaded = (kept[:, :t] & (among[:, :t, t] >= score[:, t : t + 1])).any(1)
+        kept[:, t] = ~shaded & (kept.sum(1) < most) & (best[:, t] >= 0)
+    rank = np.argsort(~kept, axis=1, kind="stable")[:, :most]
+    return np.take_along_axis(best, rank, 1)
+
+
+def _linked_back(vectors: np.ndarray, links: np.ndarray, half: int, source: np.ndarray, target: np.ndarray) -> None:
+    """Puts links from targets to sources into the second part of the targets' rows, which keeps the nearest."""
+    most = links.shape[1] - half
+    touched = np.unique(target)
+    old = links[touched, half:]
+    known = old >= 0
+    source = np.concatenate([source, old[known]])
+    target = np.concatenate([target, np.repeat(touched, known.sum(1))])
+    score = np.einsum("id,id->i", vectors[source], vectors[target])
+    order = np.lexsort((source, -score, target))
+    source, target = source[order], target[order]
+    place = np.arange(len(target)) - np.searchsorted(target, target)
+    room = place < most
+    links[touched, half:] = -1
+    links[target[room], half + place[room]] = source[room]
+
+
+def _layer(vectors: np.ndarray, most: int, first: int = FIRST) -> np.ndarray:
+    """Neighbour numbers (n, most) of a layer's vectors: half of them chosen by each node, the others by those that chose it."""
     n = len(vectors)
-    pool = min(POOL, n - 1)
     links = np.full((n, most), -1, np.int32)
-    if pool < 1:
-        return links
     half = max(1, most // 2)
-    for at in range(0, n, 256):
-        own = vectors[at : at + 256]
-        near = own @ vectors.T
-        rows = np.arange(len(own))
-        near[rows, at + rows] = -np.inf
+    first = min(first, n)
+    for at in range(0, first, 256):
+        own = vectors[at : min(first, at + 256)]
+        pool = min(POOL, first - 1)
+        if pool < 1:
+            break
+        near = own @ vectors[:first].T
+        near[np.arange(len(own)), at + np.arange(len(own))] = -np.inf
         best = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
-        order = np.argsort(-np.take_along_axis(near, best, 1), axis=1, kind="stable")
-        best = np.take_along_axis(best, order, 1)
         score = np.take_along_axis(near, best, 1)
-        cloud = vectors[best]
-        among = cloud @ cloud.transpose(0, 2, 1)
-        kept = np.zeros(best.shape, bool)
-        for t in range(pool):
-            shaded = (kept[:, :t] & (among[:, :t, t] >= score[:, t : t + 1])).any(1)
-            kept[:, t] = ~shaded & (kept.sum(1) < half)
-        # the kept first, then the nearest others
-        rank = np.argsort(~kept, axis=1, kind="stable")[:, :half]
-        links[at : at + len(own), : rank.shape[1]] = np.take_along_axis(best, rank, 1)
-    source = np.repeat(np.arange(n), half)
-    target = links[:, :half].ravel()
-    known = target >= 0
-    source, target = source[known], target[known]
-    mutual = np.isin(target.astype(np.int64) * n + source, source.astype(np.int64) * n + target)
-    source, target = source[~mutual], target[~mutual]
-    order = np.lexsort((source, target))
-    source, target = source[order], target[order]
-    place = np.arange(len(target)) - np.searchsorted(target, target)
-    room = place < most - half
-    links[target[room], half + place[room]] = source[room]
+        order = np.argsort(-score, axis=1, kind="stable")
+        chosen = _diverse(vectors, np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1), half)
+        links[at : at + len(own), : chosen.shape[1]] = chosen
+
+    def back(start: int, end: int) -> None:
+        source, target = np.repeat(np.arange(start, end), half), links[start:end, :half].ravel()
+        source, target = source[target >= 0], target[target >= 0]
+        # a link that goes both ways needs no second place
+        mutual = (links[target, :half] == source[:, None]).any(1)
+        _linked_back(vectors, links, half, source[~mutual], target[~mutual].astype(np.int64))
+
+    back(0, first)
+    for at in range(first, n, BATCH):
+        end = min(n, at + BATCH)
+        own = vectors[at:end]
+        found, score = search(Graph([np.arange(at, dtype=np.int32)], [links[:at]]), vectors[:at], own, POOL)
+        # those of the same batch are not in the graph yet
+        near = own @ own.T
+        np.fill_diagonal(near, -np.inf)
+        pool = min(POOL // 2, len(own) - 1)
+        beside = np.argpartition(-near, pool - 1, axis=1)[:, :pool] if pool else np.zeros((len(own), 0), int)
+        best = np.concatenate([found, beside + at], 1)
+        score = np.concatenate([score, np.take_along_axis(near, beside, 1)], 1)
+        order = np.argsort(-score, axis=1, kind="stable")[:, :POOL]
+        chosen = _diverse(vectors, np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1), half)
+        links[at:end, : chosen.shape[1]] = chosen
+        back(at, end)
     return links
 
 
-def build(vectors: np.ndarray, seed: int = 0) -> Graph:
-    """The graph of a shard's vectors. Layers thin out by the factor of links, drawn with a fixed seed."""
+def build(vectors: np.ndarray, first: int = FIRST) -> Graph:
+    """The graph of a shard's vectors, which are in random order: each layer is the beginning of the one below, thinner by the factor of links."""
     longest = np.square(vectors, dtype=np.float64).sum(1)
     level = np.sqrt(np.maximum(0, longest.max(initial=0) - longest))
     lifted = np.column_stack([vectors, level]).astype(np.float32)
-    heights = np.floor(-np.log(1 - np.random.default_rng(seed).random(len(vectors))) / np.log(LINKS)).astype(int)
-    graph, nodes = Graph([], []), np.arange(len(vectors), dtype=np.int32)
-    while True:
-        graph.nodes.append(nodes)
-        graph.links.append(_chosen(lifted[nodes], LINKS if graph.nodes[1:] else BASE_LINKS))
-        above = nodes[heights[nodes] >= len(graph.nodes)]
-        if len(above) < 2:
-            return graph
-        nodes = above
+    graph, n = Graph([], []), len(vectors)
+    while not graph.nodes or n > 1:
+        graph.nodes.append(np.arange(n, dtype=np.int32))
+        graph.links.append(_layer(lifted[:n], LINKS if graph.nodes[1:] else BASE_LINKS, first))
+        n //= LINKS
+    return graph
 
 
 def search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and inner products (float32) of up to ``beam`` vectors found for each query, best first (-1: none)."""
+    parts = [_search(graph, vectors, queries[at : at + _TOGETHER], beam) for at in range(0, len(queries), _TOGETHER)]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     n, q = len(vectors), len(queries)
     top = np.arange(q)
     at = np.zeros(q, np.int64)
@@ -170,24 +211,26 @@ def _packed(rows: DataFrame, dtype: str, k: int) -> DataFrame:
 
 
 def _bytes(column: pa.ListArray, dtype: str) -> list[bytes]:
-    flat = np.asarray(column.flatten()).astype(dtype)
-    data, width = flat.tobytes(), len(flat) // max(1, len(column)) * np.dtype(dtype).itemsize
-    return [data[i * width : (i + 1) * width] for i in range(len(column))]
+    data, size = np.asarray(column.flatten()).astype(dtype).tobytes(), np.dtype(dtype).itemsize
+    ends = np.cumsum(np.asarray(column.value_lengths(), np.int64)) * size
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]  # noqa: B905
 
 
-def index(distinct: DataFrame, shards: int, dtype: str) -> DataFrame:
-    """One row per shard of ``distinct(v, ids)``: vectors, ids and flat neighbour arrays of the layers."""
+def index(distinct: DataFrame, dtype: str) -> DataFrame:
+    """One row per ``width`` and ``shard`` of ``distinct(v, ids, width, shards)``: vectors, ids and flat neighbour arrays of the layers."""
 
     def make(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("v")
+        # the order of the shard's vectors is random, but the same in every run
+        frame = frame.sort_values("v").sample(frac=1, random_state=int(frame["shard"].iloc[0]))
         vectors = np.frombuffer(b"".join(frame["v"]), dtype).reshape(len(frame), -1)
-        graph = build(vectors.astype(np.float32), int(frame["shard"].iloc[0]))
+        graph = build(vectors.astype(np.float32))
         lengths = np.array([len(x) for x in frame["ids"]], np.int32)
         layers = {c: [[x.astype(np.int32).tobytes() for x in part]] for c, part in (("nodes", graph.nodes), ("links", graph.links))}
-        return pd.DataFrame({"shard": frame["shard"].iloc[:1].to_numpy(), "n": [len(frame)], "vectors": [vectors.tobytes()], "id_counts": [lengths.tobytes()], "ids": [np.concatenate(frame["ids"].to_list()).astype(np.int64).tobytes()], **layers})
+        keys = {c: frame[c].iloc[:1].to_numpy() for c in ("width", "shard")}
+        return pd.DataFrame({**keys, "n": [len(frame)], "vectors": [vectors.tobytes()], "id_counts": [lengths.tobytes()], "ids": [np.concatenate(frame["ids"].to_list()).astype(np.int64).tobytes()], **layers})
 
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInPandas(make, "shard int, n int, vectors binary, id_counts binary, ids binary, nodes array<binary>, links array<binary>")
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("v"), "shards").cast("int"))
+    return dealt.groupBy("width", "shard").applyInPandas(make, "width int, shard int, n int, vectors binary, id_counts binary, ids binary, nodes array<binary>, links array<binary>")
 
 
 def nearest(rows: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM, per_shard: int = PER_SHARD) -> DataFrame:
@@ -195,25 +238,23 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM, per
     found of largest inner product, ties to the smaller id.
 
     ``rows(vec_id, embedding)``. Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do rows without id or of another dimension than most rows have. Rows that repeat an id with the
-    same vector are one; a query's own id is never among its results. Scores are computed in double precision
+    part, nor do rows without id; a vector's candidates are those of its own dimension. Rows that repeat an id with
+    the same vector are one; a query's own id is never among its results. Scores are computed in double precision
     on the given components. Every usable row is indexed; other columns are ignored; no rows give none.
     """
     dtype = "<f8" if isinstance(rows.schema["embedding"].dataType.elementType, T.DoubleType) else "<f4"
+    width = F.length("v").alias("width")
     good = rows.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    widths = good.groupBy(F.size("embedding").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    width = widths[0] if widths else 1
-    good = good.where(F.size("embedding") == width)
     smallest = lambda ids: F.slice(F.array_sort(F.array_distinct(F.flatten(ids))), 1, k + 1)
-    distinct = persisted(_packed(good, dtype, k + 1).groupBy("v").agg(smallest(F.collect_list("ids")).alias("ids")), "vectors")
-    shards = max(LEAST_SHARDS, -(-distinct.count() // per_shard))
-    graphs = persisted(index(distinct, shards, dtype), "graphs")
+    distinct = persisted(_packed(good, dtype, k + 1).groupBy("v").agg(smallest(F.collect_list("ids")).alias("ids")), "vectors").select("v", "ids", width)
+    plan = persisted(distinct.groupBy("width").agg(F.greatest(F.lit(LEAST_SHARDS), F.ceil(F.count("*") / per_shard)).cast("int").alias("shards")), "plan")
+    graphs = persisted(index(distinct.join(plan, "width"), dtype), "graphs")
 
     asked = persisted(_asked(good.where(F.col("vec_id") % every == 0), dtype), "queries")
-    kinds = asked.select("v").distinct()
-    blocks = max(1, -(-kinds.count() // PER_BLOCK))
-    packed = kinds.groupBy(F.pmod(F.xxhash64("v", F.lit(7)), F.lit(blocks)).alias("block")).agg(F.collect_list("v").alias("queries"))
-    jobs = packed.select("queries", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")).repartition(min(shards * blocks, 2000), "shard", F.xxhash64("queries"))
+    kinds = persisted(asked.select("v").distinct(), "kinds").select("v", width)
+    blocks = kinds.groupBy("width").agg(F.ceil(F.count("*") / PER_BLOCK).alias("blocks"))
+    packed = kinds.join(blocks, "width").groupBy("width", F.pmod(F.xxhash64("v", F.lit(7)), "blocks").alias("block")).agg(F.collect_list("v").alias("queries"))
+    jobs = packed.join(plan, "width").select("width", "queries", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,7 +262,7 @@ def nearest(rows: DataFrame, k: int = 20, every: int = 20, beam: int = BEAM, per
                 one = {name: column[row].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
                 yield _looked_up(one, dtype, k, beam)
 
-    found = jobs.join(graphs, "shard").select("queries", "vectors", "id_counts", "ids", "nodes", "links").mapInArrow(look, "v binary, near array<struct<cost:double,id:long>>")
+    found = jobs.join(graphs, ["width", "shard"]).select("queries", "vectors", "id_counts", "ids", "nodes", "links").mapInArrow(look, "v binary, near array<struct<cost:double,id:long>>")
     merged = found.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1).alias("near"))
     met = asked.join(merged, "v")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)

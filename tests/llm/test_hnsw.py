@@ -54,13 +54,35 @@ def test_copies_and_ties_go_by_id(spark):
 
 
 def test_bottom_of_the_table_and_bad_vectors(spark):
-    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (100, [None, 1.0]), (None, [1.0, 1.0]), (1, [1.0, 2.0]), (2, [2.0, 0.5]), (2, [2.0, 0.5]), (3, [1.0, 2.0, 3.0]), (5, [])]
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [float("inf"), 1.0]), (100, [None, 1.0]), (None, [1.0, 1.0]), (1, [1.0, 2.0]), (2, [2.0, 0.5]), (2, [2.0, 0.5]), (3, [1.0, 2.0, 3.0]), (5, []), (120, [1.0, 0.0, 0.0])]
     df = table(spark, rows).withColumn("v", F.lit("x")).withColumn("shard", F.lit(1))
-    assert answers(hnsw.nearest(df)) == {0: [(2, 2.0), (1, 1.0)]}
+    assert answers(hnsw.nearest(df)) == {0: [(2, 2.0), (1, 1.0)], 120: [(3, 1.0)]}
     assert hnsw.nearest(table(spark, [])).count() == 0
     assert hnsw.nearest(table(spark, [(0, [1.0])])).count() == 0
 
 
+def test_each_dimension_is_searched_on_its_own(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=(3, 5, 8)[i % 3 if i % 7 else 0]).tolist()) for i in range(900)]
+    got, want = answers(hnsw.nearest(table(spark, rows, "double"))), {}
+    for n in (3, 5, 8):
+        want |= brute([(i, v) for i, v in rows if len(v) == n])
+    assert got == {q: [(i, pytest.approx(s)) for i, s in hits] for q, hits in want.items()}
+
+
+def test_insertion_in_batches_finds_as_much():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(9000, 48)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = x[:300] @ x.T
+    want = np.argsort(-s, axis=1)[:, :20]
+    for first in (1000, 9000):
+        graph = hnsw.build(x, first)
+        got, scores = hnsw.search(graph, x, x[:300])
+        assert np.mean([len(set(a[:20]) & set(b)) / 20 for a, b in zip(got, want, strict=True)]) >= 0.97
+        assert np.allclose(scores, np.take_along_axis(s, got, 1), atol=1e-4) and all(len(set(r)) == len(r) for r in got.tolist())
+
+
 def test_all_vectors_of_a_shard_can_be_reached():
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(20, 16)) * 5
