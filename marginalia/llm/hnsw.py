@@ -2,8 +2,8 @@
 
 Equal vectors are merged first, keeping the smallest ids that any result can name, so copies neither clog
 the graphs nor gather in one shard. Distinct vectors are dealt to shards by hash, of each dimension on their own.
-A shard's first vectors are linked from all pairs; the rest are inserted in batches that search the graph as far
-as it is built, and link back. Links are chosen by the usual diversity rule. A graph is stored as flat neighbour
+A shard's vectors are inserted in lots, the first ones linked from all pairs, the others by a search of the graph
+as far as it is built; both link back. Links are chosen by the usual diversity rule. A graph is stored as flat neighbour
 arrays. All queries search all shards of their dimension, in blocks, and the shards' results are merged.
 Largest inner product becomes nearest neighbour by one more dimension that makes all vectors of a shard equally long.
 
@@ -29,10 +29,10 @@ from .common import persisted
 LINKS, BASE_LINKS, POOL, BEAM = 16, 32, 64, 192
 #: Vectors of a shard, fewest shards, and queries of a block.
 PER_SHARD, LEAST_SHARDS, PER_BLOCK = 1 << 15, 8, 512
-#: Vectors that are linked from all pairs at first, and those of a batch that is inserted.
-FIRST, BATCH = 8192, 2048
-#: Further places where a base search begins, nodes it expands at once, and queries that are searched together.
-_SEEDS, _WIDE, _TOGETHER = 8, 4, 256
+#: Vectors that are linked from all pairs, in lots that double from so many on, and those of a batch that is inserted then.
+FIRST, _START, BATCH = 8192, 64, 2048
+#: Further places where a search begins, nodes it expands at once, beam of upper layers, and queries searched together.
+_SEEDS, _WIDE, _UPPER, _TOGETHER = 8, 4, 24, 256
 
 
 @dataclass
@@ -56,7 +56,7 @@ def _diverse(vectors: np.ndarray, best: np.ndarray, score: np.ndarray, most: int
 
 
 def _linked_back(vectors: np.ndarray, links: np.ndarray, half: int, source: np.ndarray, target: np.ndarray) -> None:
-    """Puts links from targets to sources into the second part of the targets' rows, which keeps the nearest."""
+    """Puts links from targets to sources into the second part of the targets' rows, which keeps those that the diversity rule chooses."""
     most = links.shape[1] - half
     touched = np.unique(target)
     old = links[touched, half:]
@@ -65,11 +65,18 @@ def _linked_back(vectors: np.ndarray, links: np.ndarray, half: int, source: np.n
     target = np.concatenate([target, np.repeat(touched, known.sum(1))])
     score = np.einsum("id,id->i", vectors[source], vectors[target])
     order = np.lexsort((source, -score, target))
-    source, target = source[order], target[order]
+    source, target, score = source[order], target[order], score[order]
+    row = np.searchsorted(touched, target)
     place = np.arange(len(target)) - np.searchsorted(target, target)
-    room = place < most
-    links[touched, half:] = -1
-    links[target[room], half + place[room]] = source[room]
+    room = place < 2 * most
+    best = np.full((len(touched), 2 * most), -1, np.int64)
+    near = np.full(best.shape, -np.inf, np.float32)
+    best[row[room], place[room]], near[row[room], place[room]] = source[room], score[room]
+    full = np.flatnonzero(best[:, most] >= 0)
+    for at in range(0, len(full), 2048):
+        some = full[at : at + 2048]
+        best[some, :most] = _diverse(vectors, best[some], near[some], most)
+    links[touched, half:] = best[:, :most]
 
 
 def _layer(vectors: np.ndarray, most: int, first: int = FIRST) -> np.ndarray:
@@ -77,20 +84,6 @@ def _layer(vectors: np.ndarray, most: int, first: int = FIRST) -> np.ndarray:
     n = len(vectors)
     links = np.full((n, most), -1, np.int32)
     half = max(1, most // 2)
-    first = min(first, n)
-    for at in range(0, first, 256):
-        own = vectors[at : min(first, at + 256)]
-        pool = min(POOL, first - 1)
-        if pool < 1:
-            break
-        near = own @ vectors[:first].T
-        near[np.arange(len(own)), at + np.arange(len(own))] = -np.inf
-        best = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
-        score = np.take_along_axis(near, best, 1)
-        order = np.argsort(-score, axis=1, kind="stable")
-        chosen = _diverse(vectors, np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1), half)
-        links[at : at + len(own), : chosen.shape[1]] = chosen
-
     def back(start: int, end: int) -> None:
         source, target = np.repeat(np.arange(start, end), half), links[start:end, :half].ravel()
         source, target = source[target >= 0], target[target >= 0]
@@ -98,7 +91,22 @@ def _layer(vectors: np.ndarray, most: int, first: int = FIRST) -> np.ndarray:
         mutual = (links[target, :half] == source[:, None]).any(1)
         _linked_back(vectors, links, half, source[~mutual], target[~mutual].astype(np.int64))
 
-    back(0, first)
+    # each lot among all up to its end, so that the first ones reach far
+    done, first = 0, min(first, n)
+    while done < first:
+        end = min(first, max(_START, 2 * done))
+        pool = min(POOL, end - 1)
+        for at in range(done, end if pool else 0, 256):
+            own = vectors[at : min(end, at + 256)]
+            near = own @ vectors[:end].T
+            near[np.arange(len(own)), at + np.arange(len(own))] = -np.inf
+            best = np.argpartition(-near, pool - 1, axis=1)[:, :pool]
+            score = np.take_along_axis(near, best, 1)
+            order = np.argsort(-score, axis=1, kind="stable")
+            chosen = _diverse(vectors, np.take_along_axis(best, order, 1), np.take_along_axis(score, order, 1), half)
+            links[at : at + len(own), : chosen.shape[1]] = chosen
+        back(done, end)
+        done = end
     for at in range(first, n, BATCH):
         end = min(n, at + BATCH)
         own = vectors[at:end]
@@ -137,26 +145,16 @@ def search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, beam: int = B
 
 
 def _search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    n, q = len(vectors), len(queries)
-    top = np.arange(q)
-    at = np.zeros(q, np.int64)
+    at = np.zeros((len(queries), 1), np.int64)
+    # each layer is the beginning of the one below, so numbers hold in all of them
     for nodes, links in zip(graph.nodes[:0:-1], graph.links[:0:-1], strict=True):
-        # greedy descent; ``at`` is a place within the layer
-        if nodes is not graph.nodes[-1]:
-            at = np.searchsorted(nodes, at)
-        score = np.einsum("qd,qd->q", queries, vectors[nodes[at]])
-        while True:
-            near = links[at]
-            found = np.einsum("qd,qmd->qm", queries, vectors[nodes[near]])
-            found[near < 0] = -np.inf
-            best = found.argmax(1)
-            better = found[top, best] > score
-            if not better.any():
-                break
-            at = np.where(better, near[top, best], at)
-            score = np.where(better, found[top, best], score)
-        at = nodes[at].astype(np.int64)
-    links = graph.links[0]
+        at = np.maximum(_beam(links, vectors[: len(nodes)], queries, at, _UPPER)[0], 0)
+    return _beam(graph.links[0], vectors, queries, at, beam)
+
+
+def _beam(links: np.ndarray, vectors: np.ndarray, queries: np.ndarray, at: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Best-first search of a layer from ``at`` (queries x places) and a few places more."""
+    n, q = len(vectors), len(queries)
     beam = min(beam, n)
     seen = np.zeros((q, n + 1), bool)
     seen[:, n] = True
@@ -164,7 +162,7 @@ def _search(graph: Graph, vectors: np.ndarray, queries: np.ndarray, beam: int) -
     scores = np.full((q, beam), -np.inf, np.float32)
     done = np.ones((q, beam), bool)
     fresh = np.column_stack([at, np.tile(np.linspace(0, n - 1, _SEEDS).astype(np.int64), (q, 1))])
-    active = top
+    active = np.arange(q)
     while len(active):
         rows = np.arange(len(active))[:, None]
         fresh = np.sort(np.where(seen[active[:, None], fresh], n, fresh), axis=1)
