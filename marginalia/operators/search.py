@@ -1,4 +1,4 @@
-"""Lexical, vector and fused retrieval."""
+"""Queries, vector retrieval, grouping by source, rank fusion and evaluation. Full-text search is in :mod:`lexical`."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from marginalia.functions import text as tx
 from marginalia.functions import vectors as vx
-from marginalia.functions.documents import UDFS
 
 #: Fixed values of the ranking functions.
 K1, B, RRF_K, LEAST_IDF = 1.2, 0.75, 60, 1e-6
@@ -47,76 +46,6 @@ def phrases(query: str) -> list[list[str]]:
     return [found for p in parse_query(query) if (found := re.findall(r"[^\W_]+", plain(p)))]
 
 
-def _hits(tokens: Column, phrase: list[str]) -> Column:
-    """How often a phrase is in a token array: its tokens in a row, the last as a prefix."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t.startswith(phrase[0])))
-    places = F.sequence(F.lit(1), F.size(tokens) - len(phrase) + 1)
-
-    def here(i: Column) -> Column:
-        tests = [F.element_at(tokens, i + k) == t for k, t in enumerate(phrase[:-1])]
-        return reduce(Column.__and__, [*tests, F.element_at(tokens, i + len(phrase) - 1).startswith(phrase[-1])])
-
-    return F.when(F.size(tokens) < len(phrase), 0).otherwise(F.size(F.filter(places, here)))
-
-
-def bm25(rows: DataFrame, query: str, id_col: str, columns: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """``rows`` that match all pieces, with ``score``: the lower, the better.
-
-    One scan gives each row's length and hits, another pass over these small rows the corpus statistics,
-    which are a single row; nothing is shuffled but partial sums.
-    """
-    parts = phrases(query)
-    if not parts:
-        return rows.limit(0).withColumn("score", F.lit(0.0))
-    # columns of their own, so that each text is cut once
-    cut = rows.withColumns({f"_t{k}": tx.tokens(F.col(c)) for k, c in enumerate(columns)})
-    arrays = [F.col(f"_t{k}") for k in range(len(columns))]
-    counts = [reduce(Column.__add__, [_hits(t, p) for t in arrays]).cast("double").alias(f"_f{i}") for i, p in enumerate(parts)]
-    sized = cut.select(*rows.columns, reduce(Column.__add__, [F.size(t) for t in arrays]).alias("_len"), *counts)
-    stats = sized.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(parts))])
-    joined = sized.where(reduce(Column.__and__, [F.col(f"_f{i}") > 0 for i in range(len(parts))])).join(F.broadcast(stats))
-
-    def term(i: int) -> Column:
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.log((F.col("_n") - d + 0.5) / (d + 0.5))
-        idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
-        return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-
-    score = -reduce(Column.__add__, [term(i) for i in range(len(parts))])
-    return joined.select(*[rows[c] for c in rows.columns], score.alias("score"))
-
-
-def postings(rows: DataFrame, id_col: str, columns: tuple[str, ...] = ("title", "content")) -> DataFrame:
-    """Inverted index ``term, id, col, pos`` to be persisted, partitioned by term."""
-    parts = [rows.select(F.col(id_col).alias("id"), F.lit(c).alias("col"), F.posexplode(tx.tokens(F.col(c))).alias("pos", "term")) for c in columns]
-    return reduce(DataFrame.unionByName, parts).select("term", "id", "col", "pos")
-
-
-def term_stats(index: DataFrame) -> DataFrame:
-    """``term, tf, df`` of the corpus."""
-    return index.groupBy("term", "id").count().groupBy("term").agg(F.sum("count").alias("tf"), F.count("*").alias("df"))
-
-
-def refreshed_postings(index: DataFrame, changed: DataFrame, gone: DataFrame | None = None, id_col: str = "note_id") -> DataFrame:
-    """The index after rows changed or went: their postings are replaced."""
-    ids = changed.select(F.col(id_col).alias("id"))
-    if gone is not None:
-        ids = ids.unionByName(gone.select(F.col(id_col).alias("id")))
-    return index.join(ids.distinct(), "id", "left_anti").select("term", "id", "col", "pos").unionByName(postings(changed, id_col))
-
-
-def fts_search(notes: DataFrame, query: str, blocked: DataFrame | None = None, limit: int = 12, prefilter: bool = False, snippets: bool = True) -> DataFrame:
-    """Best ``limit`` notes: three times as many are ranked, then those in blocked folders go (or before, with ``prefilter``)."""
-    rows = notes.select("note_id", "title", "content", "folder_id")
-    allowed = (lambda df: df.join(F.broadcast(blocked), "folder_id", "left_anti")) if blocked is not None else (lambda df: df)
-    ranked = bm25(allowed(rows) if prefilter else rows, query, "note_id").orderBy("score", "note_id").limit(limit * 3)
-    best = (ranked if prefilter else allowed(ranked)).orderBy("score", "note_id").limit(limit)
-    terms = [t for p in phrases(query) for t in p]
-    shown = UDFS["best_snippet"](F.col("content"), terms) if snippets else F.lit(None).cast("string")
-    return best.select("note_id", "title", "folder_id", shown.alias("snippet"), "score")
-
-
 def knn(chunks: DataFrame, query: list[float] | Column, k: int, vector: str = "vector", tie: str = "chunk_id") -> DataFrame:
     """The ``k`` nearest chunks by squared distance, ties by ``tie``; one pass, partial top-k in each task."""
     target = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])

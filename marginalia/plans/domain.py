@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.operators.lexical import TextIndex, indexed
+
 #: Seconds of the epoch that the collection starts with, and those that stand for now.
 EPOCH, NOW = 1_704_067_200, 1_735_689_600
 
@@ -23,6 +25,18 @@ def notes(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
     )
 
 
+#: Full-text indexes by application and folder of tables.
+_indexes: dict[tuple[str, str], TextIndex] = {}
+
+
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The index of the notes, built at its first use in a session."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes:
+        _indexes[key] = indexed(spark, notes(spark, sf_dir))
+    return _indexes[key]
+
+
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = table(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS id", "r_name AS name", "CAST(NULL AS BIGINT) AS parent_id")
     nation = table(spark, sf_dir, "nation").selectExpr("CAST(100 + n_nationkey AS BIGINT) AS id", "n_name AS name", "CAST(n_regionkey AS BIGINT) AS parent_id")

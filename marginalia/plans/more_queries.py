@@ -11,6 +11,7 @@ from marginalia.functions.documents import UDFS
 from marginalia.operators import articles as ar
 from marginalia.operators import ingest as ing
 from marginalia.operators import knowledge as kn
+from marginalia.operators import lexical as lx
 from marginalia.operators import search as se
 from marginalia.operators import vault
 from marginalia.sources import files as fi
@@ -61,15 +62,15 @@ _TOK = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
 @query(f"WITH r AS (SELECT doc_id AS id, CASE WHEN doc_id = 3 THEN 'fresh words' ELSE text END AS c FROM documents WHERE doc_id <> 4), t AS (SELECT id, unnest({_TOK.format('c')}) AS term FROM r) SELECT id, count(*) AS n FROM t GROUP BY id")
 def snk5_fts_upsert(s, p):
     n = d.notes(s, p)
-    index = se.postings(n, "note_id", ("content",))
-    kept = se.refreshed_postings(index, n.where("note_id = 3").withColumn("title", F.lit("")).withColumn("content", F.lit("fresh words")), n.where("note_id = 4"))
-    return kept.groupBy("id").agg(F.count("*").alias("n"))
+    index = lx.indexed(s, n, ("content",))
+    kept = index.refresh(n.where("note_id = 3").withColumn("content", F.lit("fresh words")), n.where("note_id = 4"))
+    return kept.postings().groupBy("id").agg(F.sum("tf").alias("n"))
 
 
 @query(with_("notes", "folders") + f", ok AS (SELECT n.* FROM notes n LEFT JOIN folders f ON f.id = n.folder_id WHERE f.locked IS NULL OR NOT f.locked) SELECT count(*) AS rows, sum(len({_TOK.format('content')}))::BIGINT AS tokens FROM ok")
 def snk7_initial_fts_sync(s, p):
     rows = kn.accessible(d.notes(s, p), kn.blocked_folders(d.folders(s, p)))
-    return rows.agg(F.count("*").alias("rows"), F.sum(F.size(tx.tokens(F.col("content")))).alias("tokens"))
+    return lx.indexed(s, rows, ("content",)).rows().agg(F.count("*").alias("rows"), F.sum("len").alias("tokens"))
 
 
 @query("SELECT c_custkey AS key, CASE WHEN c_custkey <= 10 THEN 'new' ELSE c_mktsegment END AS value FROM customer")
@@ -108,9 +109,8 @@ def flt14_path_overlap(s, p):
 
 @query(_FTS + ", h AS (SELECT note_id, score FROM scored ORDER BY score, note_id LIMIT 40) SELECT h.note_id, n.folder_id FROM h JOIN notes n USING (note_id)")
 def jn1_hits_with_notes(s, p):
-    n = d.notes(s, p)
-    hits = se.bm25(n.select("note_id", "title", "content"), "the erb", "note_id").orderBy("score", "note_id").limit(40).select("note_id")
-    return hits.join(n, "note_id").select("note_id", "folder_id")
+    hits = d.text_index(s, p).search("the erb").withColumnRenamed("id", "note_id").orderBy("score", "note_id").limit(40)
+    return d.notes(s, p).join(F.broadcast(hits), "note_id").select("note_id", "folder_id")
 
 
 @query(with_("marked", "tags") + "SELECT tag, count(DISTINCT note_id) AS notes FROM tags GROUP BY tag HAVING count(*) > 10")

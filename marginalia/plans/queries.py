@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
 from marginalia.functions import vectors as vx
 from marginalia.functions.documents import UDFS
 from marginalia.operators import knowledge as kn
+from marginalia.operators import lexical as lx
 from marginalia.operators import search as se
-
 from marginalia.operators.vault import one_line_base64
 
 from . import domain as d
@@ -426,7 +427,7 @@ _TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents), c AS (SELECT term, doc_id, count(*) AS n FROM t GROUP BY term, doc_id) SELECT term, sum(n)::BIGINT AS tf, count(*) AS df FROM c GROUP BY term")
 def ag18_term_statistics(s, p):
-    return se.term_stats(se.postings(d.notes(s, p), "note_id", ("content",)))
+    return lx.term_stats(d.text_index(s, p).postings().where("col = 1"))
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")
@@ -693,18 +694,24 @@ _FTS = with_("notes", "folders", "blocked") + ", " + _bm25_sql(["the", "erb"], "
 
 @query(_FTS + ", best AS (SELECT * FROM scored ORDER BY score, note_id LIMIT 36) SELECT note_id, title, folder_id, round(score, 6) AS score FROM best WHERE folder_id IS NULL OR folder_id NOT IN (SELECT folder_id FROM blocked) ORDER BY best.score, note_id LIMIT 12")
 def opr1_fts_search(s, p):
-    found = se.fts_search(d.notes(s, p), WORDS, kn.blocked_folders(d.folders(s, p)), snippets=False)
+    found = lx.fts_search(d.text_index(s, p), d.notes(s, p), WORDS, kn.blocked_folders(d.folders(s, p)), snippets=False)
     return found.select("note_id", "title", "folder_id", F.round("score", 6).alias("score"))
 
 
 @query()
 def opr1_fts_snippets(s, p):
-    return se.fts_search(d.notes(s, p), WORDS, kn.blocked_folders(d.folders(s, p)), prefilter=True)
+    return lx.fts_search(d.text_index(s, p), d.notes(s, p), WORDS, kn.blocked_folders(d.folders(s, p)), prefilter=True)
+
+
+def _best(s, p, k):
+    """The ``k`` best notes of the search with their titles."""
+    found = d.text_index(s, p).search(WORDS).withColumnRenamed("id", "note_id").orderBy("score", "note_id").limit(k)
+    return d.notes(s, p).select("note_id", "title").join(F.broadcast(found), "note_id")
 
 
 @query(_FTS + " SELECT note_id, title, round(score, 6) AS score FROM scored ORDER BY scored.score, note_id LIMIT 40")
 def opr2_wiki_fts_search(s, p):
-    return se.bm25(d.notes(s, p).select("note_id", "title", "content"), WORDS, "note_id").orderBy("score", "note_id").limit(40).select("note_id", "title", F.round("score", 6).alias("score"))
+    return _best(s, p, 40).select("note_id", "title", F.round("score", 6).alias("score"))
 
 
 def _sources_sql(fetch, keep, ceiling, spread):
@@ -739,9 +746,7 @@ sem AS (SELECT vec_id AS note_id, row_number() OVER (ORDER BY d, vec_id) AS rank
 
 
 def _lists(s, p, k):
-    from pyspark.sql import Window as W
-
-    lexical = se.bm25(d.notes(s, p).select("note_id", "title", "content"), WORDS, "note_id").orderBy("score", "note_id").limit(k).withColumn("rank", F.row_number().over(W.orderBy("score", "note_id")))
+    lexical = _best(s, p, k).withColumn("rank", F.row_number().over(W.orderBy("score", "note_id")))
     c = d.chunks(s, p)
     one = c.where("chunk_id = 3").select(F.col("vector").alias("target"))
     semantic = se.knn(c.join(F.broadcast(one)), F.col("target"), k).withColumn("rank", F.row_number().over(W.orderBy("distance", "chunk_id")))

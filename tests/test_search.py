@@ -3,8 +3,8 @@ import sqlite3
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
+from marginalia.operators import lexical as lx
 from marginalia.operators import search as se
 
 
@@ -18,40 +18,78 @@ def corpus():
     return [(f"title {rng.choice(words)}", " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40)))) for _ in range(120)]
 
 
-@pytest.mark.parametrize("query", ["alpha", "alph beta", 'foo-bar', '"al"pha b', "naive x", "bar fo", "漢", "gamma_r", "-- alpha", "don't", "stra"])
-def test_ranking_agrees_with_fts5(spark, query):
-    rows = corpus()
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    return lx.indexed(spark, notes(spark, corpus()), path=str(tmp_path_factory.mktemp("index")))
+
+
+def fts5(rows):
     con = sqlite3.connect(":memory:")
     con.execute("CREATE VIRTUAL TABLE f USING fts5(title, content, tokenize='unicode61 remove_diacritics 2')")
     con.executemany("INSERT INTO f(rowid, title, content) VALUES (?, ?, ?)", [(i, t, c) for i, (t, c) in enumerate(rows)])
-    want = con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ? ORDER BY bm25(f), rowid", (se.match_expression(query),)).fetchall()
-    got = [(r.note_id, r.score) for r in se.bm25(notes(spark, rows), query, "note_id").collect()]
-    assert dict(got).keys() == dict(want).keys()
-    if all(len(p) == 1 for p in se.phrases(query)):
-        assert all(dict(got)[i] == pytest.approx(s, abs=1e-6) for i, s in want)
+    return con
+
+
+def ranked_by_fts5(con, query):
+    return dict(con.execute("SELECT rowid, bm25(f) FROM f WHERE f MATCH ?", (se.match_expression(query),)).fetchall())
+
 
+QUERIES = ["alpha", "alph beta", "foo-bar", '"al"pha b', "naive x", "bar fo", "漢", "gamma_r", "-- alpha", "don't", "stra", "a", "bar-foo b", "alpha alpha"]
 
-def test_empty_queries_find_nothing(spark):
+
+@pytest.mark.parametrize("query", QUERIES)
+def test_ranking_agrees_with_fts5(spark, index, query):
+    want = ranked_by_fts5(fts5(corpus()), query)
+    assert {r.id: r.score for r in index.search(query).collect()} == {i: pytest.approx(s, abs=1e-6) for i, s in want.items()}
+
+
+def test_empty_queries_find_nothing(spark, index):
     for query in ("", '  " ', "--- !"):
-        assert se.bm25(notes(spark, corpus()), query, "note_id").count() == 0
+        assert index.search(query).count() == 0
     assert se.match_expression('two "words') == '"two"* "words"*'
 
 
+def test_a_search_reads_the_folders_of_its_terms_and_no_text(index, capsys):
+    index.search("alph beta").explain("formatted")
+    plan = capsys.readouterr().out
+    assert "PartitionFilters: [bucket" in plan and "regexp_extract_all" not in plan and "StringStartsWith" in plan
+
+
 def test_locked_folders_can_crowd_out(spark):
     df = notes(spark, [("t", "alpha " * (9 if i % 4 == 0 else 1)) for i in range(40)] + [("q", "other")] * 60)
-    blocked = spark.createDataFrame([(0,)], "folder_id long")
-    late = se.fts_search(df, "alpha", blocked, limit=3)
-    early = se.fts_search(df, "alpha", blocked, limit=3, prefilter=True)
+    blocked, index = spark.createDataFrame([(0,)], "folder_id long"), lx.indexed(spark, df)
+    late = lx.fts_search(index, df, "alpha", blocked, limit=3)
+    early = lx.fts_search(index, df, "alpha", blocked, limit=3, prefilter=True)
     assert late.count() == 0 and early.count() == 3 and early.where("folder_id = 0").count() == 0
     assert "<b>alpha</b>" in early.first().snippet
 
 
-def test_postings_and_their_refresh(spark):
-    df = notes(spark, [("a", "x y x"), ("b", "y")])
-    index = se.postings(df, "note_id")
-    assert {(r.term, r.tf, r.df) for r in se.term_stats(index).collect()} == {("x", 2, 1), ("y", 2, 2), ("a", 1, 1), ("b", 1, 1)}
-    new = se.refreshed_postings(index, df.where("note_id = 0").withColumn("content", F.lit("z")), df.where("note_id = 1"))
-    assert {(r.term, r.id) for r in new.collect()} == {("a", 0), ("z", 0)}
+def test_term_statistics(spark):
+    index = lx.indexed(spark, notes(spark, [("a", "x y x"), ("b", "y"), ("", "")]))
+    assert {(r.term, r.tf, r.df) for r in lx.term_stats(index.postings()).collect()} == {("x", 2, 1), ("y", 2, 2), ("a", 1, 1), ("b", 1, 1)}
+    assert {(r.id, r.len) for r in index.rows().collect()} == {(0, 4), (1, 2), (2, 0)}
+
+
+def test_a_refreshed_index_ranks_as_a_new_one(spark, tmp_path):
+    """Changes, new rows and deletions over several generations, before and after they are merged."""
+    rows, rng = dict(enumerate(corpus()[:60])), random.Random(3)
+    as_df = lambda some: spark.createDataFrame([(i, *some[i]) for i in some], "note_id long, title string, content string")
+    index = lx.indexed(spark, as_df(rows), path=str(tmp_path / "i"))
+    for turn in range(3):
+        changed = {i: (f"alpha {turn}", f"new words foo bar {rng.choice('abc')}") for i in [*rng.sample(sorted(rows), 4), 100 + turn]}
+        gone = rng.sample([i for i in rows if i not in changed], 2)
+        rows = {i: r for i, r in (rows | changed).items() if i not in gone}
+        index.refresh(as_df(changed), spark.createDataFrame([(i,) for i in gone], "note_id long"))
+    con = fts5([])
+    con.executemany("INSERT INTO f(rowid, title, content) VALUES (?, ?, ?)", [(i, t, c) for i, (t, c) in rows.items()])
+    for _ in range(2):
+        for query in ("alpha", "foo-bar", "b"):
+            assert {r.id: r.score for r in index.search(query).collect()} == {i: pytest.approx(s, abs=1e-6) for i, s in ranked_by_fts5(con, query).items()}
+        index.compact()
+    assert index.build(as_df({1: ("t", "alpha")})).search("alpha").count() == 1
+    index.drop()
+    index.drop()
+    assert index.search("alpha").count() == 0
 
 
 def chunks(spark, vectors):
