@@ -12,6 +12,7 @@ import zipfile
 from html import unescape
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -154,6 +155,11 @@ def html_title(html: str | None) -> str | None:
     return " ".join(found[1].split()) if found else None
 
 
+def html_article(html: str | None) -> dict | None:
+    """Title and flat text."""
+    return None if html is None else {"title": html_title(html), "flat": html_flat(html)}
+
+
 def html_outline(html: str | None) -> list[dict] | None:
     """Headings h1 to h4 in order, without ``[edit]``."""
     if html is None:
@@ -230,75 +236,99 @@ def dates_in_text(text: str | None, form: str = "DMY") -> list[str] | None:
     return list(dict.fromkeys(iso for _, iso in sorted(found, key=lambda x: x[0])))
 
 
-#: Cells of the table of common lengths that are kept at once.
-_CELLS = 4_000_000
-
-
-def _lengths(a: list[str], b: list[str]) -> list[int]:
-    """Longest common subsequence of ``a`` with each beginning of ``b``, in one row of memory."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        before = 0
-        for j, y in enumerate(b, 1):
-            here = row[j]
-            row[j] = before + 1 if x == y else max(here, row[j - 1])
-            before = here
-    return row
-
+def common(a: list[str], b: list[str]) -> list[str]:
+    """A longest common subsequence of two lists: of equally long ones that which matches from the end, passing over ``b`` first.
 
-def _steps(a: list[str], b: list[str]) -> list[tuple[str, str]]:
-    """``unchanged``, ``remove`` and ``add`` steps, in order, of a longest common subsequence.
-
-    Where the table would be too large, ``a`` is halved and ``b`` cut where both halves have most in common.
+    Only every so many rows of the table of lengths are kept, and the rows between are made again on the way
+    back, so memory grows with the shorter way to look at it: the root of one list's length times the other's.
     """
-    if len(a) * len(b) > _CELLS and len(a) > 1:
-        half = len(a) // 2
-        head, tail = _lengths(a[:half], b), _lengths(a[half:][::-1], b[::-1])[::-1]
-        cut = max(range(len(b) + 1), key=lambda j: head[j] + tail[j])
-        return _steps(a[:half], b[:cut]) + _steps(a[half:], b[cut:])
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i, x in enumerate(a, 1):
-        row, above = best[i], best[i - 1]
-        for j, y in enumerate(b, 1):
-            row[j] = above[j - 1] + 1 if x == y else max(above[j], row[j - 1])
-    steps, i, j = [], len(a), len(b)
-    while i or j:
-        if i and j and a[i - 1] == b[j - 1]:
-            steps.append(("unchanged", a[i - 1]))
+    numbers: dict[str, int] = {}
+    x, y = (np.array([numbers.setdefault(v, len(numbers)) for v in part], np.int64) for part in (a, b))
+    every = max(1, int(len(a) ** 0.5))
+
+    def below(row: np.ndarray, i: int) -> np.ndarray:
+        new = row.copy()
+        new[1:] = np.maximum.accumulate(np.maximum(row[1:], (row[:-1] + 1) * (y == x[i])))
+        return new
+
+    row = np.zeros(len(b) + 1, np.int32)
+    kept = [row]
+    for i in range(len(a)):
+        row = below(row, i)
+        if (i + 1) % every == 0:
+            kept.append(row)
+    out, i, j, rows, first = [], len(a), len(b), [], -1
+    while i and j:
+        if x[i - 1] == y[j - 1]:
+            out.append(a[i - 1])
             i, j = i - 1, j - 1
-        elif i and (not j or best[i - 1][j] > best[i][j - 1]):
-            steps.append(("remove", a[i - 1]))
+            continue
+        if not first <= i - 1 < i < first + len(rows):
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            while len(rows) <= i - first:
+                rows.append(below(rows[-1], first + len(rows) - 1))
+        if rows[i - 1 - first][j] > rows[i - first][j - 1]:
             i -= 1
         else:
-            steps.append(("add", b[j - 1]))
             j -= 1
-    return steps[::-1]
+    return out[::-1]
+
+
+def _runs(a: list[str], b: list[str]) -> list[tuple[str, list[str]]]:
+    """``unchanged``, ``remove`` and ``add`` runs: each common item is matched where it comes next, removed ones come before added ones."""
+    out: list[tuple[str, list[str]]] = []
+
+    def put(kind: str, items: list[str]) -> None:
+        if items and out and out[-1][0] == kind:
+            out[-1][1].extend(items)
+        elif items:
+            out.append((kind, list(items)))
+
+    i = j = 0
+    for item in common(a, b):
+        at, to = a.index(item, i), b.index(item, j)
+        put("remove", a[i:at])
+        put("add", b[j:to])
+        put("unchanged", [item])
+        i, j = at + 1, to + 1
+    put("remove", a[i:])
+    put("add", b[j:])
+    return out
 
 
 def line_diff(old: str | None, new: str | None) -> list[dict] | None:
-    """Hunks ``{type, lines}`` of a longest common subsequence of lines; removed ones come before added ones."""
+    """Hunks ``{type, lines}`` of a longest common subsequence of lines; the same rule for texts of any size."""
     if old is None or new is None:
         return None
-    steps = _steps(old.split("\n"), new.split("\n"))
+    return [{"type": kind, "lines": lines} for kind, lines in _runs(old.split("\n"), new.split("\n"))]
+
+
+def coalesced(hunks: list[dict] | None) -> list[dict] | None:
+    """The hunks with a removed line and an added one after it as one ``modified`` hunk, whose ``old`` and ``new`` are segments
+    ``{type: equal, remove or add, text}`` of words and blanks."""
+    if hunks is None:
+        return None
     out: list[dict] = []
-    run: dict[str, list[str]] = {"remove": [], "add": []}
-
-    def flush() -> None:
-        for kind in ("remove", "add"):
-            if run[kind]:
-                out.append({"type": kind, "lines": run[kind]})
-                run[kind] = []
-
-    for kind, line in steps:
-        if kind == "unchanged":
-            flush()
-            if out and out[-1]["type"] == "unchanged":
-                out[-1]["lines"].append(line)
-            else:
-                out.append({"type": kind, "lines": [line]})
+    for hunk in hunks:
+        last = out[-1] if out else None
+        if last and (last["type"], hunk["type"]) == ("remove", "add") and len(last["lines"]) == len(hunk["lines"]) == 1:
+            one, two = ([t for t in re.split(r"(\s+)", part["lines"][0]) if t] for part in (last, hunk))
+            runs = [("equal" if kind == "unchanged" else kind, "".join(items)) for kind, items in _runs(one, two)]
+            old, new = ([{"type": k, "text": t} for k, t in runs if k in ("equal", own)] for own in ("remove", "add"))
+            out[-1] = {"type": "modified", "lines": last["lines"] + hunk["lines"], "old": _joined(old), "new": _joined(new)}
         else:
-            run[kind].append(line)
-    flush()
+            out.append(hunk | {"old": [], "new": []})
+    return out
+
+
+def _joined(segments: list[dict]) -> list[dict]:
+    out: list[dict] = []
+    for s in segments:
+        if out and out[-1]["type"] == s["type"]:
+            out[-1]["text"] += s["text"]
+        else:
+            out.append(dict(s))
     return out
 
 
@@ -425,7 +455,10 @@ def best_snippet(text: str | None, terms: list[str], size: int = 32) -> str | No
     spans = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
     fold = lambda s: "".join(c for c in unicodedata.normalize("NFD", s.lower()) if not unicodedata.combining(c))
     hit = [any(fold(text[a:b]).startswith(t) for t in terms) for a, b in spans]
-    counts = [sum(hit[i : i + size]) for i in range(max(1, len(spans) - size + 1))]
+    # hits of each run from those of the one before
+    counts = [sum(hit[:size])]
+    for i in range(len(spans) - size):
+        counts.append(counts[-1] - hit[i] + hit[i + size])
     first = counts.index(max(counts))
     part = spans[first : first + size]
     if not part:
@@ -440,19 +473,30 @@ def best_snippet(text: str | None, terms: list[str], size: int = 32) -> str | No
 
 
 def _udf(function, kind, *fixed):
+    rows = isinstance(kind, str) and "<" not in kind and " " in kind
+
     @F.pandas_udf(kind)
     def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series([function(*values, *fixed) for values in zip(*(c.astype(object).where(c.notna(), None) for c in columns), strict=True)], dtype=object)
+        found = [function(*values, *fixed) for values in zip(*(c.astype(object).where(c.notna(), None) for c in columns), strict=True)]
+        # a struct's batches are tables
+        return pd.DataFrame([x or {} for x in found], columns=[part.split()[0] for part in kind.split(", ")], dtype=object) if rows else pd.Series(found, dtype=object)
 
     return run
 
 
+def _once(function, kind):
+    """A column function that is computed where it stands: filters on its result are not moved below it, which would compute it twice."""
+    return _udf(function, kind).asNondeterministic()
+
+
 def _string(function, *fixed):
     return lambda *columns: _udf(function, T.StringType(), *fixed)(*columns)
 
 
 #: Column functions by name.
 UDFS = {f.__name__: _string(f) for f in (html_structured, html_flat, html_title, rewrite_hrefs, link_first_mention, decode_text, docx_text, odt_text)} | {
+    "html_article": lambda c: _once(html_article, "title string, flat string")(c),
+    "coalesced": lambda a, b: _udf(lambda old, new: coalesced(line_diff(old, new)), "array<struct<type:string,lines:array<string>,old:array<struct<type:string,text:string>>,new:array<struct<type:string,text:string>>>>")(a, b),
     "html_outline": lambda c: _udf(html_outline, "array<struct<level:int,text:string>>")(c),
     "dates_in_text": lambda c, form="DMY": _udf(dates_in_text, "array<string>", form)(c),
     "line_diff": lambda a, b: _udf(line_diff, "array<struct<type:string,lines:array<string>>>")(a, b),

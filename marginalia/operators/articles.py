@@ -12,8 +12,13 @@ from marginalia.functions.documents import UDFS
 #: Characters that are embedded, least length of an article, size under which a page may be a redirect.
 CHARS, LEAST, REDIRECT = 1500, 200, 800
 _SPACES = ("mediawiki:", "module:", "template:", "wikipedia:", "file:")
-#: Phrases that open a conversational question.
-CHAT_PREFIXES = (r"(?i)^\s*(?:please|pls)\s+", r"(?i)^\s*(?:can|could|would) you\s+(?:please\s+)?", r"(?i)^\s*(?:tell|show|give) me\s+(?:about\s+)?", r"(?i)^\s*(?:what|who|where|when|how) (?:is|are|was|were|do|does)\s+")
+#: Phrases that are taken out of a question, wherever they are.
+CHAT_PHRASES = (
+    r"(?i)what (have i|did i|do i have) (written?|noted?|said?) (about|on|regarding)\s*",
+    r"(?i)tell me (about|what i (wrote|know|noted) about)\s*",
+    r"(?i)what (are|is) my (notes?|thoughts?) (on|about)\s*",
+    r"(?i)show me (my notes? on|what i wrote about)\s*",
+)
 
 
 def articles(pages: DataFrame, chars: int = CHARS, least: int = LEAST) -> DataFrame:
@@ -24,7 +29,8 @@ def articles(pages: DataFrame, chars: int = CHARS, least: int = LEAST) -> DataFr
     for s in _SPACES:
         rows = rows.where(~low.contains(s))
     rows = rows.where(~((F.octet_length("html") < REDIRECT) & F.lower("html").contains("http-equiv") & F.lower("html").contains("refresh")))
-    rows = rows.withColumn("title", UDFS["html_title"](F.col("html"))).withColumn("content", F.substring(UDFS["html_flat"](F.col("html")), 1, chars))
+    # one parse for title and text; not deterministic in name, so that no filter is moved below it with a second one
+    rows = rows.withColumn("parsed", UDFS["html_article"](F.col("html"))).withColumn("title", F.col("parsed.title")).withColumn("content", F.substring("parsed.flat", 1, chars))
     rows = rows.where(F.length("content") >= least)
     return rows.where(~F.coalesce(F.lower("title").endswith("(disambiguation)"), F.lit(False)) & ~low.contains("_(disambiguation)")).select("page_id", "path", "title", "content")
 
@@ -55,13 +61,14 @@ def orphaned(highlights: DataFrame, gone: str) -> DataFrame:
 
 
 def chat_queries(turns: DataFrame, last: int = 2) -> DataFrame:
-    """``conv_id, query``: the last two user turns, without opening phrases; where nothing is left, as they were."""
+    """``conv_id, query``: the last two user turns without conversational phrases; where nothing is left, as they were."""
     users = turns.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    raw = F.trim(F.array_join(F.transform(F.slice("t", -F.least(F.size("t"), F.lit(last)), F.lit(last)), lambda x: x["text"]), " "))
+    raw = F.array_join(F.transform(F.slice("t", -F.least(F.size("t"), F.lit(last)), F.lit(last)), lambda x: x["text"]), " ")
     clean = raw
-    for p in CHAT_PREFIXES:
-        clean = F.regexp_replace(clean, p, "")
-    return users.select("conv_id", F.when(F.trim(clean) == "", raw).otherwise(F.trim(clean)).alias("query"))
+    for phrase in CHAT_PHRASES:
+        clean = F.regexp_replace(clean, phrase, "")
+    clean = F.regexp_replace(clean, r"^\s+|\s+$", "")
+    return users.select("conv_id", F.when(clean == "", raw).otherwise(clean).alias("query"))
 
 
 def context(sections: list[tuple[str, DataFrame]], cap: int = 50) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,16 +10,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.functions.documents import UDFS
+
+from .storage import persisted
 
 #: The actions of the log by group.
 ACTION_GROUPS = {
-    "notes": ["create_note", "update_note", "delete_note", "export_note"],
-    "folders": ["create_folder", "delete_folder", "lock_folder", "unlock_folder"],
-    "vault": ["lock_vault", "unlock_vault"],
-    "search": ["search_notes", "search_files", "search_combined"],
-    "files": ["open_file", "scan_path"],
-    "chat": ["chat"],
-}
+    "notes": ["note_open", "note_create", "note_update", "note_delete", "note_export"],
+    "folders": ["folder_create", "folder_rename", "folder_delete"],
+    "search": ["search_fts", "search_semantic", "search_combined"],
+    "llm": ["llm_chat", "llm_improve"],
+    "file_scanner": ["file_scan", "file_import"],
+    "wikipedia": ["wikipedia_read"],
+}
 KEEP_VERSIONS, UNSET = 20, "__unset__"
 
 
@@ -98,12 +102,38 @@ def unlinked_mentions(notes: DataFrame, links: DataFrame, note_id: int, title: s
     return rows.join(linked, "note_id", "left_anti").select("note_id", "title")
 
 
+#: A word of a text or title, and what parts words for comparing whole ones.
+_WORD, _NO_WORD = r"[\p{L}\p{M}\p{N}_-]+", r"[^\p{L}\p{M}\p{N}_-]+"
+
+
+def _in_words(text: Column) -> Column:
+    """The words of a text with one blank around each."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, _NO_WORD, " ")), F.lit(" "))
+
+
 def all_unlinked_mentions(notes: DataFrame, links: DataFrame) -> DataFrame:
-    """``note_id, mentions_id`` for every title of a single token run: an equi-join on tokens, not on all pairs."""
-    runs = F.array_distinct(F.regexp_extract_all(F.replace(F.replace("content", F.lit("[["), F.lit("\x01")), F.lit("]]"), F.lit("\x02")), F.lit(r"(?<![\x01\w-])[\w-]+(?![\x02\w-])"), F.lit(0)))
-    words = notes.select("note_id", F.explode(runs).alias("title"))
-    found = words.join(first_by_title(notes), "title").where("note_id != target_id").select("note_id", F.col("target_id").alias("mentions_id"))
-    return found.join(links.select(F.col("source_id").alias("note_id"), F.col("target_id").alias("mentions_id")), ["note_id", "mentions_id"], "left_anti")
+    """``note_id, mentions_id`` for every title that other notes hold as whole words outside of ``[[title]]``.
+
+    An equi-join on each title's longest word finds the notes that can hold it, and only titles of several words are
+    then looked for in their texts; no title is compared with all notes. Titles without a word are never mentioned.
+    """
+    titles = first_by_title(notes).withColumn("parts", F.regexp_extract_all("title", F.lit(_WORD), F.lit(0))).where(F.size("parts") > 0)
+    longest = F.array_sort("parts", lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    titles = titles.select("title", "target_id", longest[0].alias("word"), F.size("parts").alias("n"))
+    words = notes.select("note_id", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(_WORD), F.lit(0)))).alias("word"))
+    pairs = words.join(titles, "word").where("note_id != target_id").join(notes.select("note_id", "content"), "note_id")
+    plain = F.replace("content", F.concat(F.lit("[["), "title", F.lit("]]")), F.lit(" | "))
+    found = pairs.where(F.when((F.col("n") == 1) & ~F.col("content").contains("[["), True).otherwise(F.contains(_in_words(plain), _in_words(F.col("title")))))
+    linked = links.select(F.col("source_id").alias("note_id"), F.col("target_id").alias("mentions_id"))
+    return found.select("note_id", F.col("target_id").alias("mentions_id")).join(linked, ["note_id", "mentions_id"], "left_anti")
+
+
+def mention_linked(notes: DataFrame, links: DataFrame, note_id: int, title: str) -> tuple[DataFrame, DataFrame]:
+    """Notes after the first plain mention of a title in one of them became a link, and the links then."""
+    new = F.when(F.col("note_id") == note_id, UDFS["link_first_mention"](F.col("content"), F.lit(title))).otherwise(F.col("content"))
+    changed = notes.withColumn("content", new)
+    own = note_links(changed.where(F.col("note_id") == note_id), changed)
+    return changed, links.where(F.col("source_id") != note_id).unionByName(own)
 
 
 # --- folders --------------------------------------------------------------------------------------
@@ -119,25 +149,50 @@ def closure(folders: DataFrame, depth: int = 512) -> DataFrame:
     span = 1
     while span < depth:
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.id") == F.col("b.ancestor")).select("a.ancestor", "b.id", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
-        new = longer.groupBy("ancestor", "id").agg(F.min("depth").alias("depth"))
-        if new.agg(F.max("depth")).first()[0] in (None, 0) or new.where(F.col("depth") > span).limit(1).count() == 0:
-            return new
-        reach, span = new.checkpoint() if new.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else new, span * 2
+        reach = persisted(longer.groupBy("ancestor", "id").agg(F.min("depth").alias("depth")), "closure")
+        if reach.where(F.col("depth") > span).isEmpty():
+            return reach
+        span *= 2
     return reach
 
 
-def subtree(folders: DataFrame, root: int) -> DataFrame:
-    return closure(folders).where(F.col("ancestor") == root).select("id", "depth")
+def subtree(folders: DataFrame, root: int, depth: int = 512) -> DataFrame:
+    """``id, depth`` of a folder and all below it. One row for each folder, which looks twice as far up in each round."""
+    now = folders.select("id", F.col("parent_id").alias("up"), F.when(F.col("id") == root, 0).alias("depth"))
+    span = 1
+    while span < depth:
+        above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("there"))
+        now = now.join(above, "up", "left").select("id", F.col("next").alias("up"), F.coalesce("depth", F.col("there") + span).alias("depth"))
+        now, span = persisted(now, "subtree"), span * 2
+        if now.where("up IS NOT NULL AND depth IS NULL").isEmpty():
+            break
+    return now.where("depth IS NOT NULL").select("id", "depth")
+
+
+def folder_tree(folders: DataFrame, root: int | None = None) -> list[dict]:
+    """The nested tree ``{id, name, children}`` below a folder, or of all: for display, so on the driver."""
+    rows = folders.select("id", "name", "parent_id").orderBy("id").collect()
+    below: dict = {}
+    for r in rows:
+        below.setdefault(r.parent_id, []).append(r)
+    make = lambda parent, seen: [{"id": r.id, "name": r.name, "children": make(r.id, seen | {r.id})} for r in below.get(parent, []) if r.id not in seen]
+    return make(root, frozenset())
+
+
+def is_within(folders: DataFrame, folder: int, ancestor: int) -> bool:
+    """Whether a folder is another one or below it."""
+    return not subtree(folders, ancestor).where(F.col("id") == folder).isEmpty()
 
 
 def can_move(folders: DataFrame, folder: int, to: int | None) -> bool:
     """Whether a folder may go there: not into itself or below."""
-    return to is None or subtree(folders, folder).where(F.col("id") == to).limit(1).count() == 0
+    return to is None or not is_within(folders, to, folder)
 
 
 def folder_paths(folders: DataFrame, sep: str = "/") -> DataFrame:
     """``id, path`` of cleaned names from the root down; missing parents are roots."""
-    named = folders.select("id", tx.path_component(F.col("name")).alias("part"))
+    name = F.when(F.coalesce("name", F.lit("")) == "", F.concat(F.lit("folder_"), "id")).otherwise(F.col("name"))
+    named = folders.select("id", tx.path_component(name).alias("part"))
     up = closure(folders).join(named.withColumnRenamed("id", "ancestor"), "ancestor")
     parts = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("o"), "part")))
     return up.groupBy("id").agg(F.array_join(F.transform(parts, lambda p: p["part"]), sep).alias("path"))
@@ -170,7 +225,7 @@ def _number(c: Column) -> Column:
 
 
 def property_filter(kind: str, op: str, value: object = None) -> Column | None:
-    """Predicate on a cell ``value``, or None where the filter is not active."""
+    """Predicate on a cell ``value``, or None where the filter is not active. A number is what a text begins with; what has none passes no test of numbers."""
     v = F.col("value")
     filled = v.isNotNull() & (v != "")
     if op == "is_empty":
@@ -187,7 +242,10 @@ def property_filter(kind: str, op: str, value: object = None) -> Column | None:
         low = F.lower(v)
         test = low.contains(str(value).lower()) if op == "contains" else low == str(value).lower()
     elif kind == "number":
-        n, x = _number(v), float(value)
+        typed = re.match(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", str(value))
+        if not typed:
+            return F.lit(False)
+        n, x = _number(v), float(typed[0])
         test = {"=": n == x, "!=": n != x, ">": n > x, "<": n < x, ">=": n >= x, "<=": n <= x}[op]
     elif kind == "date":
         test = filled & {"on": lambda: v == values[0], "before": lambda: v < values[0], "after": lambda: v > values[0], "between": lambda: (v >= values[0]) & (v <= values[1])}[op]()

@@ -49,6 +49,13 @@ def drop(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+def persisted(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read back: cuts its lineage with files that outlive executors."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores where it is too small to be read by all of them; for costly work on each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism

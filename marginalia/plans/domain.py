@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.lexical import TextIndex, indexed
+from marginalia.operators.storage import spread
 
 #: Seconds of the epoch that the collection starts with, and those that stand for now.
 EPOCH, NOW = 1_704_067_200, 1_735_689_600
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table for costly work on each row."""
+    return spread(table(spark, sf_dir, name))
+
+
 def notes(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
     """Documents as notes; ``marked`` adds tags for language and source and a link to the content."""
     content = "text || ' #' || lang || ' #' || source || ' [[doc-' || (doc_id * 7 % 997) || ']]'" if marked else "text"
@@ -25,6 +31,8 @@ def notes(spark: SparkSession, sf_dir: str, marked: bool = False) -> DataFrame:
     )
 
 
+#: The actions that events stand for; errors are of no action that the log knows.
+_ACTION = "CASE event_type WHEN 'view' THEN 'note_open' WHEN 'signup' THEN 'note_create' WHEN 'purchase' THEN 'note_export' WHEN 'click' THEN 'search_fts' ELSE 'page_' || event_type END"
 #: Full-text indexes by application and folder of tables.
 _indexes: dict[tuple[str, str], TextIndex] = {}
 
@@ -45,7 +53,7 @@ def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
-        "event_id AS id", "event_type AS action", "CASE WHEN event_id % 3 = 0 THEN 'Note' ELSE 'file' END AS resource_type", "user_id AS resource_id",
+        "event_id AS id", f"{_ACTION} AS action", "CASE WHEN event_id % 3 = 0 THEN 'Note' ELSE 'file' END AS resource_type", "user_id AS resource_id",
         "'user-' || user_id AS resource_name", "props AS detail", "timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) AS created_at",
     )
 
@@ -88,7 +96,7 @@ SQL = {
     "marked": """marked AS (SELECT doc_id AS note_id, 'doc-' || doc_id AS title, text || ' #' || lang || ' #' || source || ' [[doc-' || (doc_id * 7 % 997) || ']]' AS content FROM documents)""",
     "folders": """folders AS (SELECT r_regionkey::BIGINT AS id, r_name AS name, NULL::BIGINT AS parent_id, r_regionkey % 7 = 0 AS locked FROM region
   UNION ALL SELECT (100 + n_nationkey)::BIGINT, n_name, n_regionkey::BIGINT, (100 + n_nationkey) % 7 = 0 FROM nation)""",
-    "log": """log AS (SELECT event_id AS id, event_type AS action, CASE WHEN event_id % 3 = 0 THEN 'Note' ELSE 'file' END AS resource_type, user_id AS resource_id,
+    "log": f"""log AS (SELECT event_id AS id, {_ACTION} AS action, CASE WHEN event_id % 3 = 0 THEN 'Note' ELSE 'file' END AS resource_type, user_id AS resource_id,
   'user-' || user_id AS resource_name, props AS detail, floor(epoch(ts))::BIGINT AS created_at FROM events)""",
     "defs": """defs AS (SELECT f * 10 + k AS def_id, f AS folder_id, name, type, k - 1 AS position FROM (SELECT unnest(range(5)) AS f) CROSS JOIN (VALUES (1, 'status', 'select'), (2, 'priority', 'select'), (3, 'total', 'number'), (4, 'date', 'date')) t(k, name, type))""",
     "order_notes": """order_notes AS (SELECT o_orderkey AS note_id, o_custkey % 5 AS folder_id FROM orders)""",

@@ -14,7 +14,9 @@ from marginalia.operators import knowledge as kn
 from marginalia.operators import lexical as lx
 from marginalia.operators import search as se
 from marginalia.operators import vault
+from marginalia.operators.storage import spread
 from marginalia.sources import files as fi
+from marginalia.streaming.ingest import known_actions
 
 from . import domain as d
 from .domain import NOW, with_
@@ -80,9 +82,11 @@ def snk12_settings_upsert(s, p):
     return kn.upserted(old, kn.newest(new.unionByName(new), ["key"], [F.col("value")], 1), ["key"])
 
 
-@query(with_("log") + "SELECT id FROM log WHERE action IN ('view', 'click', 'purchase')")
+@query(with_("log") + """SELECT id, action IN ('note_open', 'note_create', 'note_update', 'note_delete', 'note_export', 'folder_create', 'folder_rename', 'folder_delete', 'search_fts', 'search_semantic',
+  'search_combined', 'llm_chat', 'llm_improve', 'file_scan', 'file_import', 'wikipedia_read') AS known FROM log""")
 def snk14_audit_append_domain(s, p):
-    return d.audit_log(s, p).where(F.col("action").isin("view", "click", "purchase")).select("id")
+    known, other = known_actions(d.audit_log(s, p))
+    return known.select("id", F.lit(True).alias("known")).unionByName(other.select("id", F.lit(False).alias("known")))
 
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NULL AS bad FROM events")
@@ -210,7 +214,7 @@ def fn4_match_expression(s, p):
 
 @query()
 def fn5_snippets(s, p):
-    return d.table(s, p, "documents").select("doc_id", UDFS["best_snippet"](F.col("text"), ["the", "der"]).alias("snippet"))
+    return d.spread_table(s, p, "documents").select("doc_id", UDFS["best_snippet"](F.col("text"), ["the", "der"]).alias("snippet"))
 
 
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
@@ -258,10 +262,13 @@ def opr14_note_tags(s, p):
     return kn.note_tags(d.notes(s, p, True)).groupBy("note_id").agg(F.array_join(F.sort_array(F.collect_list("tag")), ",").alias("tags"))
 
 
-@query("WITH w AS (SELECT DISTINCT doc_id AS note_id, unnest(regexp_extract_all(text, '[\\w\\p{L}-]+')) AS title FROM documents), t AS (SELECT 'of' AS title, 1::BIGINT AS target UNION ALL SELECT 'the', 2 UNION ALL SELECT 'la', 3) SELECT note_id, target AS mentions_id FROM w JOIN t USING (title) WHERE note_id <> target")
+_NAMED = {1: "of", 2: "the", 3: "la", 4: "the the", 5: "of the", 6: "attion to"}
+
+
+@query(r"WITH w AS (SELECT doc_id AS note_id, ' ' || array_to_string(regexp_extract_all(text, '[\p{L}\p{M}\p{N}_-]+'), ' ') || ' ' AS words FROM documents), t AS (SELECT * FROM (VALUES " + ", ".join(f"({k}::BIGINT, '{t}')" for k, t in _NAMED.items()) + ") t(target, title)) SELECT note_id, target AS mentions_id FROM w JOIN t ON contains(words, ' ' || title || ' ') AND note_id <> target")
 def opr16_all_mentions(s, p):
-    n = d.notes(s, p)
-    named = n.withColumn("title", F.when(F.col("note_id") == 1, "of").when(F.col("note_id") == 2, "the").when(F.col("note_id") == 3, "la").otherwise(F.col("title")))
+    title = F.element_at(F.create_map(*[F.lit(x) for pair in _NAMED.items() for x in pair]), F.col("note_id").cast("int"))
+    named = spread(d.notes(s, p)).withColumn("title", F.coalesce(title, "title"))
     return kn.all_unlinked_mentions(named, s.createDataFrame([], "source_id long, target_id long"))
 
 

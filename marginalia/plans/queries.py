@@ -14,6 +14,7 @@ from marginalia.functions.documents import UDFS
 from marginalia.operators import knowledge as kn
 from marginalia.operators import lexical as lx
 from marginalia.operators import search as se
+from marginalia.operators.storage import spread
 from marginalia.operators.vault import one_line_base64
 
 from . import domain as d
@@ -59,12 +60,12 @@ def src3_unfiled_notes(s, p):
 
 @query()
 def src6_html_structured(s, p):
-    return d.table(s, p, "pages").select("page_id", UDFS["html_structured"](F.col("html")).alias("content"))
+    return d.spread_table(s, p, "pages").select("page_id", UDFS["html_structured"](F.col("html")).alias("content"))
 
 
 @query()
 def src7_html_flat(s, p):
-    return d.table(s, p, "pages").select("page_id", UDFS["html_title"](F.col("html")).alias("title"), UDFS["html_flat"](F.col("html")).alias("content"))
+    return d.spread_table(s, p, "pages").select("page_id", UDFS["html_title"](F.col("html")).alias("title"), UDFS["html_flat"](F.col("html")).alias("content"))
 
 
 @query("SELECT page_id, lower(regexp_extract(url, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) AS ext, CASE lower(regexp_extract(url, '\\.([A-Za-z0-9]+)(?:[?#].*)?$', 1)) WHEN 'txt' THEN 'text/plain' WHEN 'log' THEN 'text/plain' WHEN 'md' THEN 'text/markdown' WHEN 'pdf' THEN 'application/pdf' WHEN 'csv' THEN 'text/csv' WHEN 'html' THEN 'text/html' WHEN 'htm' THEN 'text/html' WHEN 'docx' THEN 'application/vnd.openxmlformats-officedocument.wordprocessingml.document' WHEN 'odt' THEN 'application/vnd.oasis.opendocument.text' ELSE 'application/octet-stream' END AS mime FROM pages")
@@ -137,9 +138,9 @@ for _args in (
     _filter_query(*_args)
 
 
-@query(with_("log") + "SELECT id, action, resource_name FROM log WHERE action IN ('view', 'click') AND (resource_name ILIKE '%user-1%' OR detail ILIKE '%user-1%')")
+@query(with_("log") + "SELECT id, action, resource_name FROM log WHERE action IN ('note_open', 'note_create', 'note_update', 'note_delete', 'note_export') AND (resource_name ILIKE '%user-1%' OR detail ILIKE '%user-1%')")
 def flt6_action_and_substring(s, p):
-    return kn.searched_log(d.audit_log(s, p), ["view", "click"], " user-1 ").select("id", "action", "resource_name")
+    return kn.searched_log(d.audit_log(s, p), kn.actions_of("notes"), " user-1 ").select("id", "action", "resource_name")
 
 
 @query("SELECT page_id, replace(replace(replace(replace(url, '\\', '\\\\'), '%', '\\%'), '_', '\\_'), '''', '''''') AS escaped FROM pages")
@@ -375,9 +376,9 @@ def ag2_activity_heatmap(s, p):
     return kn.heatmap(d.notes(s, p), NOW)
 
 
-@query(with_("log") + "SELECT action, count(*) AS n FROM log WHERE action IN ('view', 'error') GROUP BY action")
+@query(with_("log") + "SELECT action, count(*) AS n FROM log WHERE action IN ('note_open', 'page_error') GROUP BY action")
 def ag4_filtered_count(s, p):
-    return d.audit_log(s, p).where(F.col("action").isin("view", "error")).groupBy("action").agg(F.count("*").alias("n"))
+    return d.audit_log(s, p).where(F.col("action").isin("note_open", "page_error")).groupBy("action").agg(F.count("*").alias("n"))
 
 
 @query(with_("defs") + "SELECT folder_id, max(position) + 1 AS next_position FROM defs GROUP BY folder_id")
@@ -541,7 +542,7 @@ def fn7_truncate(s, p):
 
 @query()
 def fn8_sentences(s, p):
-    return d.table(s, p, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
+    return d.spread_table(s, p, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
 
 
 @query("SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('./A/' || url, '^(\\./)+', ''), '^(\\.\\./A/)+', ''), '^(\\.\\./)+', ''), '^(/wiki/)+', ''), '^(A/)+', '') AS path FROM pages")
@@ -551,7 +552,7 @@ def fn13_wiki_paths(s, p):
 
 @query()
 def fn14_rewrite_hrefs(s, p):
-    return d.table(s, p, "pages").select("page_id", UDFS["rewrite_hrefs"](F.col("html")).alias("html"))
+    return d.spread_table(s, p, "pages").select("page_id", UDFS["rewrite_hrefs"](F.col("html")).alias("html"))
 
 
 @query("SELECT page_id, unnest([url, 'A/' || url]) AS candidate FROM pages")
@@ -583,21 +584,22 @@ def fn21_heat_grid(s, p):
     return kn.heat_grid(kn.heatmap(d.notes(s, p), NOW), "2024-06-12")
 
 
-@query("SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS iso FROM orders")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS iso, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%d-%m') WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END AS month_first FROM orders")
 def fn22_title_to_iso(s, p):
-    return d.table(s, p, "orders").select("o_orderkey", tx.title_to_iso(F.date_format("o_orderdate", "dd-MM-yyyy")).alias("iso"))
+    form = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd-MM-yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("Trip")
+    return d.table(s, p, "orders").select("o_orderkey", tx.title_to_iso(form).alias("iso"), tx.title_to_iso(form, "MDY").alias("month_first"))
 
 
 @query()
 def fn23_readable_text(s, p):
-    words = tx.readable_words(F.col("content"))
-    return d.notes(s, p, True).select("note_id", words.alias("words"), tx.reading_minutes(words).alias("minutes"))
+    rows = spread(d.notes(s, p, True)).select("note_id", tx.readable_words(F.col("content")).alias("words"))
+    return rows.withColumn("minutes", tx.reading_minutes(F.col("words")))
 
 
 @query()
 def fn24_line_diff(s, p):
     edited = F.concat(F.regexp_replace("text", r"\bof\b", "OF"), F.lit("\nend"))
-    return d.table(s, p, "documents").select("doc_id", UDFS["line_diff"](F.col("text"), edited).alias("hunks"))
+    return d.spread_table(s, p, "documents").select("doc_id", UDFS["coalesced"](F.col("text"), edited).alias("hunks"))
 
 
 @query(with_("marked") + "SELECT note_id, content AS lead, title FROM marked")
@@ -623,11 +625,19 @@ def fn30_query_value(s, p):
     return d.table(s, p, "pages").select("page_id", tx.query_value(F.col("url")).alias("encoded"))
 
 
-@query("WITH u AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r, turn FROM conversations WHERE role = 'user') SELECT conv_id, trim(string_agg(text, ' ' ORDER BY turn)) AS query FROM u WHERE r <= 2 GROUP BY conv_id")
+_ASKED = ["What have I written about ", "tell me what i know about ", "what are my thoughts on ", "Show me my notes on ", ""]
+
+
+@query(r"""WITH u AS (SELECT conv_id, turn, [""" + ", ".join(f"'{a}'" for a in _ASKED) + r"""][(conv_id + turn) % 5 + 1] || text AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role = 'user'),
+q AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS raw FROM u WHERE r <= 2 GROUP BY conv_id),
+c AS (SELECT conv_id, raw, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, 'what (have i|did i|do i have) (written?|noted?|said?) (about|on|regarding)\s*', '', 'gi'), 'tell me (about|what i (wrote|know|noted) about)\s*', '', 'gi'),
+  'what (are|is) my (notes?|thoughts?) (on|about)\s*', '', 'gi'), 'show me (my notes? on|what i wrote about)\s*', '', 'gi')) AS clean FROM q)
+SELECT conv_id, CASE WHEN clean = '' THEN raw ELSE clean END AS query FROM c""".replace("\\\\", "\\"))
 def fn31_chat_query(s, p):
     from marginalia.operators.articles import chat_queries
 
-    return chat_queries(d.table(s, p, "conversations"))
+    opening = F.element_at(F.array(*map(F.lit, _ASKED)), ((F.col("conv_id") + F.col("turn")) % 5 + 1).cast("int"))
+    return chat_queries(d.table(s, p, "conversations").withColumn("text", F.concat(opening, "text")))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * 3 * x * 3)), 6) AS sq, 1.0::DOUBLE AS unit FROM embeddings")
@@ -660,7 +670,7 @@ def fn38_highlight_anchor(s, p):
 
 @query()
 def fn39_html_outline(s, p):
-    return d.table(s, p, "pages").select("page_id", F.posexplode(UDFS["html_outline"](F.col("html"))).alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
+    return d.spread_table(s, p, "pages").select("page_id", F.posexplode(UDFS["html_outline"](F.col("html"))).alias("pos", "h")).select("page_id", "pos", "h.level", "h.text")
 
 
 @query(with_("notes") + "SELECT 'doc-1 (2)' AS title")
@@ -773,7 +783,7 @@ def opr7_hybrid_notes(s, p):
 def opr9_note_chunks(s, p):
     from marginalia.operators.ingest import note_chunks
 
-    return note_chunks(d.notes(s, p))
+    return note_chunks(spread(d.notes(s, p)))
 
 
 @query()
@@ -781,7 +791,7 @@ def opr12_index_articles(s, p):
     from marginalia.operators.articles import articles
     from marginalia.operators.ingest import embedded
 
-    rows = articles(d.table(s, p, "pages")).select("path", "title", F.concat_ws("\n", F.concat(F.lit("search_document: "), F.col("title")), "content").alias("text"))
+    rows = articles(d.spread_table(s, p, "pages")).select("path", "title", F.concat_ws("\n", F.concat(F.lit("search_document: "), F.col("title")), "content").alias("text"))
     return embedded(rows, "text").select("path", "title", F.size("vector").alias("dims"))
 
 

@@ -94,5 +94,5 @@ def test_audit_stream(spark, tmp_path):
     run = st.audit_counts(stream).writeStream.format("memory").queryName("audit_counts").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert {(str(r.start)[:10], r.action, r.n) for r in spark.sql("SELECT * FROM audit_counts").collect()} == {("2024-01-01", "chat", 2), ("2024-01-03", "x", 1)}
-    known, other = st.known_actions(spark.createDataFrame([("chat",), ("search_wikipedia",), (None,)], "action string"))
+    known, other = st.known_actions(spark.createDataFrame([("llm_chat",), ("search_wikipedia",), (None,)], "action string"))
     assert known.count() == 1 and other.count() == 2

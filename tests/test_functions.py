@@ -61,9 +61,11 @@ def test_small_texts(ev):
     assert ev(lambda c: tx.preview(c, 5), " \n\n  hello world") == "hello…"
     assert ev(tx.wiki_path, "./././A/Foo#bar") == "Foo#bar" and ev(tx.wiki_path, "../A/../wiki/x") == "wiki/x"
     assert ev(tx.path_candidates, "A/x") == ["A/x", "x"] and ev(tx.path_candidates, "x") == ["x", "A/x"]
-    assert ev(tx.path_component, ' a/b:c*d?. ') == "a-b-c-d-" and ev(tx.path_component, "  ") == "untitled"
+    assert ev(tx.path_component, ' a/b:c*d?. ') == "a-b-c-d-." and ev(tx.path_component, "  ") == ""
     assert ev(tx.display_date, "2024-03-09") == "09-03-2024" and ev(lambda c: tx.display_date(c, "MDY"), "2024-03-09") == "03-09-2024" and ev(tx.display_date, "x") == "x"
     assert ev(tx.title_to_iso, "09-03-2024") == "2024-03-09" and ev(tx.title_to_iso, "note") is None
+    assert [ev(lambda c, f=f: tx.title_to_iso(c, f), "2024-03-09") for f in ("DMY", "MDY", "ISO")] == ["2024-03-09"] * 3
+    assert [ev(lambda c, f=f: tx.title_to_iso(c, f), "09-03-2024") for f in ("DMY", "MDY", "ISO")] == ["2024-03-09", "2024-09-03", "09-03-2024"]
     assert ev(tx.like_escape, r"a%b_c\d'e") == r"a\%b\_c\\d''e"
     assert ev(tx.query_value, "a b&é~*") == "a%20b%26%C3%A9~%2A"
     assert ev(tx.sanitised_snippet, '<b class="x">a</b><i>b</i><script>c') == "<b>a</b>bc"
@@ -72,11 +74,21 @@ def test_small_texts(ev):
     assert ev(tx.model_matches, "nomic:latest", "nomic") and not ev(tx.model_matches, "nomic:v1", "nomic:v2")
 
 
-def test_readable_text(ev):
-    text = "# Head\n\n- [x] *one* **two**\n> [[Page|shown]] and [[Plain]] ![[embed]]\n[link](http://x) `code`\n<!-- gone -->\n1. ~~old~~ [ref][1]\n[1]: http://y"
-    assert ev(tx.readable_text, text) == "Head one two shown and Plain link code old ref"
-    assert ev(tx.readable_words, text) == 10
-    assert [ev(lambda c, w=w: tx.reading_minutes(c, w), 401) for w in (200, 1, 9999, None)] == [3, 9, 1, 3]
+@pytest.mark.parametrize("text, want, words", [
+    ("# Trip plan", "Trip plan", 2), ("[[Other Page|see here]] [[Other Page]]", "see here Other Page", 4), ("Go ![[A Long Page]] on", "Go A Long Page on", 5),
+    ("```py\nx = 42;\n```\n~~~\nselect * from t;\n~~~", "x = 42; select * from t;", 5), ("Use `[[A|B]]` and ``**b`c**`` so.", "Use [[A|B]] and **b`c** so.", 7),
+    ("[Read](https://e.org) ![a map](m.png) <https://e.org>", "Read a map", 3), ("[Read][g] ![map][i]\n\n[g]: https://e.org\n[i]: m.png", "Read map", 2),
+    ("Seen <!-- not these --> <span>inline</span>", "Seen inline", 2), ("*** ~~ ---", None, 0), ("one/two three-four five,six seven—eight", None, 8),
+    ("```\nopen # end", "open # end", 2), ("Title\n=====\n<script>a b</script><style>c</style>ok", "Title ok", 2), ("%% kept %%", "%% kept %%", 1),
+    ("- [x] *one* **two**\n> quote\n1. ~~old~~ __it__", "one two quote old it", 5), ("don't e.g 3.14 1,000 a_b x.y. 3.a", None, 8), ("", "", 0), ("```js\n```\nafter", "after", 1), ("    ```\nnot code `", None, 2),
+])
+def test_readable_text(ev, text, want, words):
+    assert want is None or ev(tx.readable_text, text) == want
+    assert ev(tx.readable_words, text) == words
+
+
+def test_reading_minutes(ev):
+    assert [ev(lambda c, w=w: tx.reading_minutes(c, w), 401) for w in (200, 1, 9999, None, 0)] == [3, 9, 1, 3, 9]
 
 
 def test_heat_levels(ev):
@@ -119,16 +131,37 @@ def test_line_diff():
         assert doc.apply_hunks(hunks, set(range(len(hunks)))) == b and doc.apply_hunks(hunks, set()) == a
 
 
-def test_large_diffs_are_cut(monkeypatch):
+def brute_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            best[i][j] = best[i - 1][j - 1] + 1 if x == y else max(best[i - 1][j], best[i][j - 1])
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if a[i - 1] == b[j - 1]:
+            out, i, j = [a[i - 1], *out], i - 1, j - 1
+        elif best[i - 1][j] > best[i][j - 1]:
+            i -= 1
+        else:
+            j -= 1
+    return out
+
+
+def test_common_subsequences_of_all_sizes_follow_one_rule():
     rng = random.Random(3)
-    for _ in range(30):
-        a, b = ("\n".join(rng.choice("xyz") for _ in range(rng.randrange(30))) for _ in range(2))
-        whole = doc.line_diff(a, b)
-        monkeypatch.setattr(doc, "_CELLS", 10)
-        cut = doc.line_diff(a, b)
-        monkeypatch.undo()
-        same = lambda hunks: sum(len(h["lines"]) for h in hunks if h["type"] == "unchanged")
-        assert same(cut) == same(whole) and doc.apply_hunks(cut, set(range(len(cut)))) == b and doc.apply_hunks(cut, set()) == a
+    for size in (0, 1, 3, 9, 40, 130):
+        for _ in range(12):
+            a, b = ([rng.choice("wxyz") for _ in range(rng.randrange(size + 1))] for _ in range(2))
+            assert doc.common(a, b) == brute_common(a, b)
+
+
+def test_single_changed_lines_have_segments():
+    got = doc.coalesced(doc.line_diff("a\nthe old  word here\nz", "a\nthe new  word there\nz\nend"))
+    assert [h["type"] for h in got] == ["unchanged", "modified", "unchanged", "add"]
+    assert got[1]["old"] == [{"type": "equal", "text": "the "}, {"type": "remove", "text": "old"}, {"type": "equal", "text": "  word "}, {"type": "remove", "text": "here"}]
+    assert got[1]["new"][1] == {"type": "add", "text": "new"} and got[1]["new"][-1] == {"type": "add", "text": "there"}
+    two = doc.line_diff("p\nq", "r\ns")
+    assert [h["type"] for h in doc.coalesced(two)] == ["remove", "add"]
 
 
 def test_versions():

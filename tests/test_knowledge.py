@@ -1,3 +1,4 @@
+import re
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,18 @@ def test_links_go_to_the_note_updated_last(notes):
     assert kn.graph_edges(links, notes.where("note_id != 3")).count() == 1
 
 
+def test_mentions_of_all_titles_are_whole_words(spark):
+    rows = [(1, "laí", "x"), (2, "New York", "in laíjara, laí!"), (3, "c", "a New  York-trip; New York"), (4, "d", "[[New York]] and a new york"), (5, "e", "NewYork la [[laí]]"), (6, "a b a", "a b a b"), (7, "...", "..."), (8, "f", "New (York) a b-a")]
+    notes = spark.createDataFrame([(i, t, c, i) for i, t, c in rows], "note_id long, title string, content string, updated_at long")
+    links = spark.createDataFrame([(8, 2)], "source_id long, target_id long")
+    found = {tuple(r) for r in kn.all_unlinked_mentions(notes, links).collect()}
+    words = lambda t: " " + " ".join(re.findall(r"[\w-]+", t)) + " "
+    brute = {(i, j) for i, _, c in rows for j, t, _ in rows if i != j and words(t).strip() and words(t) in words(c.replace(f"[[{t}]]", " | "))}
+    assert found == brute - {(8, 2)} and (3, 2) in found and (5, 1) not in found and (2, 1) in found
+    changed, kept = kn.mention_linked(notes, links, 3, "New York")
+    assert "[[New York]]" in changed.where("note_id = 3").first().content and {tuple(r) for r in kept.collect()} == {(8, 2), (3, 2)}
+
+
 def test_tags(notes):
     tags = kn.note_tags(notes)
     assert [tuple(r) for r in kn.tag_counts(tags).collect()] == [("t1", 2)]
@@ -42,6 +55,9 @@ def test_tags(notes):
 def test_folder_tree_with_a_cycle(folders, notes):
     found = {(r.ancestor, r.id): r.depth for r in kn.closure(folders).collect()}
     assert found[1, 3] == 2 and found[7, 8] == 1 and found[7, 7] == 0 and (3, 1) not in found
+    assert {(r.id, r.depth) for r in kn.subtree(folders, 7).collect()} == {(7, 0), (8, 1)} and kn.subtree(folders, 99).count() == 0
+    assert kn.is_within(folders, 3, 1) and kn.is_within(folders, 3, 3) and not kn.is_within(folders, 1, 3)
+    assert [t["id"] for t in kn.folder_tree(folders.where("id < 7"))] and kn.folder_tree(folders, 1)[0]["children"]
     assert not kn.can_move(folders, 1, 3) and not kn.can_move(folders, 1, 1) and kn.can_move(folders, 3, 1) and kn.can_move(folders, 1, None)
     paths = {r.note_id: r.path for r in kn.export_paths(notes.withColumn("title", F.lit("t?")), folders.where("id < 7")).collect()}
     assert paths == {1: "r/t-.md", 2: "r/a-b/t-_2.md", 3: "t-.md", 4: "r/a-b/t-_4.md"}
@@ -68,6 +84,8 @@ def test_property_filters(spark, kind, op, value, want):
 
 def test_filters_that_are_not_active(spark):
     assert kn.property_filter("text", "contains", "") is None and kn.property_filter("select", "any_of", ["", None]) is None and kn.property_filter("text", "", "x") is None
+    cells = spark.createDataFrame([("12 kg",), ("x",), (None,)], "value string")
+    assert cells.where(kn.property_filter("number", "=", "abc")).count() == 0 and [r.value for r in cells.where(kn.property_filter("number", "=", " 12abc")).collect()] == ["12 kg"]
     view = spark.createDataFrame([(1, "p", "a"), (2, "p", None)], "note_id long, name string, value string")
     assert kn.filtered_notes(view, [("p", "text", "contains", "")]).count() == 2
     assert [r.note_id for r in kn.filtered_notes(view, [("p", "text", "contains", "A"), ("none", "text", "equals", "z")]).collect()] == [1]
@@ -137,8 +155,8 @@ def test_links_across_bundles(spark):
 
 
 def test_chat_context(spark):
-    turns = spark.createDataFrame([(1, 0, "user", "old"), (1, 1, "user", "Can you please tell me about x"), (1, 2, "assistant", "q"), (1, 3, "user", "and y?"), (2, 0, "user", "please ")], "conv_id long, turn long, role string, text string")
-    assert {r.conv_id: r["query"] for r in ar.chat_queries(turns).collect()} == {1: "x and y?", 2: "please"}
+    turns = spark.createDataFrame([(1, 0, "user", "old"), (1, 1, "user", "What have I written about llamas"), (1, 2, "assistant", "q"), (1, 3, "user", "and tell me about y?"), (2, 0, "user", "please explain tea"), (3, 0, "user", " tell me about ")], "conv_id long, turn long, role string, text string")
+    assert {r.conv_id: r["query"] for r in ar.chat_queries(turns).collect()} == {1: "llamas and y?", 2: "please explain tea", 3: " tell me about "}
     section = lambda *rows: spark.createDataFrame(rows, "rank int, title string, body string")
     got = [tuple(r) for r in ar.context([("daily", section((1, "T", "a"))), ("notes", section((1, "T", "b"), (2, "U", "c"), (3, "V", "d")))], cap=1).collect()]
     assert got == [("daily", "## T\na"), ("notes", "## U\nc\n… 1 more")]
