@@ -1,4 +1,4 @@
-"""Folders that all nodes share, and marks that say which version of a stored table holds."""
+"""Folders that all nodes share, and keyed tables in them that change by batches."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of a table for each core below which it may have fewer splits than there are cores.
 THIN = 32 << 20
@@ -61,3 +62,75 @@ def spread(df: DataFrame) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < cores * THIN else df
+
+
+class KeyedTable:
+    """A Parquet table in which a batch replaces all rows of its keys.
+
+    Rows lie in buckets by key; a batch writes anew only the buckets of its keys, then a map from buckets to the
+    batch that wrote them last, then a mark. What the mark does not name is not part of the table, so a batch that
+    failed half way leaves nothing. Marks carry the batch's stream and number: a repeated batch is skipped, whatever
+    the numbers of other streams. Buckets that the last two maps do not name are deleted.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str, key: list[str]) -> None:
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+
+    def _marks(self) -> list[tuple[int, str, int]]:
+        """Place in the table's history, stream and number of the batches so far, in order."""
+        parts = (name.split("~") for name in names_in(self.spark, f"{self.path}/_done"))
+        return sorted((int(at), stream, int(number)) for at, stream, number in parts)
+
+    def _map(self, at: int) -> dict[int, int]:
+        """Of each bucket that has rows the place of the batch that wrote it; at most ``BUCKETS`` rows."""
+        return {r.bucket: r.at for r in self.spark.read.parquet(f"{self.path}/_map/{at}").collect()}
+
+    def _bucket(self):
+        return F.pmod(F.xxhash64(*self.key), F.lit(self.BUCKETS)).cast("int")
+
+    def _read(self, where: dict[int, int]) -> DataFrame | None:
+        paths = [f"{self.path}/data/{at}/bucket={bucket}" for bucket, at in sorted(where.items())]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def read(self) -> DataFrame | None:
+        """All rows; None before the first batch that has any."""
+        marks = self._marks()
+        return self._read(self._map(marks[-1][0])) if marks else None
+
+    def done(self, stream: str) -> int:
+        """The last number of a stream that is part of the table, or -1."""
+        return max((number for _, s, number in self._marks() if s == stream), default=-1)
+
+    def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "") -> None:
+        """``rows`` in place of all rows of ``keys``, which are those of ``rows`` if not given; a key without rows is deleted."""
+        marks = self._marks()
+        if number <= max((n for _, s, n in marks if s == stream), default=-1):
+            return
+        at = marks[-1][0] + 1 if marks else 0
+        new = rows.withColumn("bucket", self._bucket())
+        gone = persisted((new if keys is None else keys).select(self.key).distinct().withColumn("bucket", self._bucket()), "keys")
+        touched = [r.bucket for r in gone.select("bucket").distinct().collect()]
+        before = self._map(marks[-1][0]) if marks else {}
+        old = self._read({b: before[b] for b in touched if b in before})
+        if old is not None:
+            kept = old.join(gone.select(self.key), self.key, "left_anti").withColumn("bucket", self._bucket())
+            new = new.unionByName(kept.select(new.columns))
+        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{at}")
+        written = {int(name.split("=")[1]): at for name in names_in(self.spark, f"{self.path}/data/{at}") if name.startswith("bucket=")}
+        now = {b: a for b, a in before.items() if b not in touched} | written
+        self.spark.createDataFrame(list(now.items()), "bucket int, at int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_map/{at}")
+        put_mark(self.spark, f"{self.path}/_done/{at}~{stream}~{number}")
+        self._sweep({at: now} | ({marks[-1][0]: before} if marks else {}))
+
+    def _sweep(self, maps: dict[int, dict[int, int]]) -> None:
+        """Deletes buckets that the maps do not name, and older maps."""
+        used = {(a, b) for named in maps.values() for b, a in named.items()}
+        for a in names_in(self.spark, f"{self.path}/data"):
+            for name in names_in(self.spark, f"{self.path}/data/{a}"):
+                if name.startswith("bucket=") and (int(a), int(name.split("=")[1])) not in used:
+                    drop(self.spark, f"{self.path}/data/{a}/{name}")
+        for a in names_in(self.spark, f"{self.path}/_map"):
+            if int(a) not in maps:
+                drop(self.spark, f"{self.path}/_map/{a}")

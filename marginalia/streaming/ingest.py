@@ -2,52 +2,30 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from marginalia.operators import knowledge as kn
 from marginalia.operators.ingest import embedded, note_chunks
+from marginalia.operators.storage import KeyedTable
 
 
-class KeyedTable:
-    """A Parquet table whose batches replace all rows of their keys.
+def ingest_notes(spark: SparkSession, source: str, schema: str, target: KeyedTable, checkpoint: str, files_per_batch: int = 16) -> StreamingQuery:
+    """Notes that arrive as Parquet files: chunked, embedded and upserted by note; ends when all are read.
 
-    Each version is written to a folder of its own, and a pointer file names the current one; a batch that
-    is repeated after a failure finds its number there and is skipped, so no row comes twice.
+    A note that has become blank loses its chunks. Batches count by the checkpoint's own id, so one that is repeated
+    is skipped, and a new checkpoint on the same table starts anew.
     """
-
-    def __init__(self, spark: SparkSession, path: str, key: list[str]) -> None:
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
-
-    def _pointers(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_done")
-        store = where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName()) for s in store.listStatus(where)) if store.exists(where) else []
-
-    def read(self) -> DataFrame | None:
-        done = self._pointers()
-        return self.spark.read.parquet(f"{self.path}/v{done[-1]}") if done else None
-
-    def upsert(self, batch: DataFrame, number: int) -> None:
-        done = self._pointers()
-        if done and done[-1] >= number:
-            return
-        new = batch if not done else kn.without_keys(self.read(), batch.select(self.key).distinct(), self.key).unionByName(batch)
-        new.write.mode("overwrite").parquet(f"{self.path}/v{number}")
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_done/{number}")
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(where).close()
-
-
-def ingest_notes(spark: SparkSession, source: str, schema: str, target: KeyedTable, checkpoint: str, files_per_batch: int = 16) -> StreamingQuery:
-    """Notes that arrive as Parquet files: chunked, embedded and upserted by note; ends when all are read."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def store(batch: DataFrame, number: int) -> None:
         latest = kn.newest(batch, ["note_id"], [F.desc("updated_at")], keep=1)
-        target.upsert(embedded(note_chunks(latest), "text").select("note_id", "chunk_index", "title", "content", "vector"), number)
+        rows = embedded(note_chunks(latest), "text").select("note_id", "chunk_index", "title", "content", "vector")
+        stream_id = json.loads(spark.read.text(f"{checkpoint}/metadata").first().value)["id"]
+        target.upsert(rows, number, latest.select("note_id"), stream_id)
 
     return stream.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
