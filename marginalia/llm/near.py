@@ -6,6 +6,10 @@ two bits, which ball hashing finds, with 0.55 at s = 0.8: over 16 parts 0.999 at
 the number of chance meetings from growing with the corpus, however short the fingerprint. Pairs found are compared
 by 384 bits of SimHash, then as whole texts, but for those already connected. Texts that are equal but for case and
 white space are merged beforehand.
+
+A large group of texts that have a passage in common, or of copies that are changed too much, would make as many
+pairs as its square. So each text first counts its shingles that texts of other components have as well. They bound
+its similarity to any of them, and a text that cannot reach the least similarity meets none.
 """
 
 from __future__ import annotations
@@ -87,9 +91,16 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[k].bitwiseXOR(b[k])) for k in range(1, WORDS)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def _alike(a: str, b: str, least: float) -> Column:
-    """Whether sizes and SimHash bits of two structs ``n, sketch`` allow the similarity."""
-    fits = F.least(f"{a}.n", f"{b}.n") >= F.greatest(f"{a}.n", f"{b}.n") * least
+def _reaches(shared: Column, n: Column, other: Column, least: float) -> Column:
+    """Whether sets of ``n`` and ``other`` shingles with at most ``shared`` in common can have the similarity."""
+    most = F.least(shared, n, other)
+    return most >= (n + other - most) * least
+
+
+def _alike(a: str, b: str, least: float, shared: bool = False) -> Column:
+    """Whether sizes and SimHash bits of two structs ``n, sketch`` (and numbers of ``shared`` shingles) allow the similarity."""
+    n, other = F.col(f"{a}.n"), F.col(f"{b}.n")
+    fits = _reaches(F.least(f"{a}.shared", f"{b}.shared") if shared else F.least(n, other), n, other, least)
     return fits & (_distance(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= FAR)
 
 
@@ -97,15 +108,54 @@ def _anchor(code: Column) -> Column:
     return code.bitwiseAND(F.lit(-(1 << PART_BITS)))
 
 
-def best_centres(met: DataFrame, least: float) -> DataFrame:
-    """``(a, b)``: for each text ``b`` of ``met(code, own)`` the closest among the smallest keys of its anchors."""
-    placed = met.select(_anchor(F.col("code")).alias("anchor"), "own")
-    centres = placed.groupBy("anchor").agg(F.min("own").alias("centre"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+def best_centres(met: DataFrame, crowds: DataFrame, least: float) -> DataFrame:
+    """``(a, b)``: for each text ``b`` of ``met(code, own)`` the closest among the centres of its anchors.
+
+    ``crowds(anchor, texts)`` are the anchors of several texts; an anchor's centre is that text of it which meets
+    most others over all anchors, in a group of copies one near the original.
+    """
+    placed = met.select(_anchor(F.col("code")).alias("anchor"), "own").join(crowds, "anchor")
+    company = placed.groupBy(F.col("own._key").alias("_key")).agg(F.sum("texts").alias("company"))
+    known = placed.join(company, F.col("own._key") == F.col("_key")).select("anchor", "own", "company")
+    centres = known.groupBy("anchor").agg(F.max(F.struct("company", "own")).alias("first")).select("anchor", F.col("first.own").alias("centre"))
     pairs = placed.join(centres, "anchor").where("own._key != centre._key").where(_alike("own", "centre", least))
     far = _distance(F.col("own.sketch"), F.col("centre.sketch"))
     return pairs.groupBy(F.col("own._key").alias("b")).agg(F.min(F.struct(far.alias("far"), F.col("centre._key").alias("a"))).alias("best")).select("best.a", "b")
 
 
+def _mixed(met: DataFrame) -> DataFrame:
+    """``anchor, least_n`` of the anchors of ``met(code, own, component)`` that several components share, with the fewest shingles of a text there."""
+    tag = F.xxhash64("component")
+    return met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.min(tag).alias("lo"), F.max(tag).alias("hi"), F.min("own.n").alias("least_n")).where("lo != hi").select("anchor", "least_n")
+
+
+def within_reach(met: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
+    """The rows of ``met(code, own, component)`` whose text can be similar to one of another component there; ``own`` gets ``shared``.
+
+    ``shared`` counts a text's shingles that a text of another component has, of those that share an anchor with
+    another component at all.
+    """
+    anchored = met.withColumn("anchor", _anchor(F.col("code")))
+    live = persisted(anchored.join(_mixed(met), "anchor").select("anchor", "code", "own", "component", "least_n"), "live")
+    keys = live.select("own._key", F.xxhash64("component").alias("tag")).distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(words_of(text.as_py()), width) for text in batch.column(2)]
+            sizes = np.array([len(x) for x in found], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(found)), sizes))
+            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows)], ["shingle", "_key", "tag"])
+
+    runs = persisted(texts.join(keys, "_key").select("_key", "tag", "text").mapInArrow(cut, "shingle long, _key binary, tag long"), "shingles")
+    both = runs.groupBy("shingle").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo != hi").select("shingle")
+    counts = runs.join(both, "shingle", "left_semi").groupBy("_key").agg(F.count("*").alias("shared"))
+    counted = live.join(counts, F.col("own._key") == F.col("_key")).withColumn("own", F.struct("own._key", "own.n", "shared", "own.sketch"))
+    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("own.n") * least))
+    kept = counted.where(_reaches(F.col("shared"), F.col("own.n"), smallest, least)).select("code", "own", "component")
+    return persisted(kept, "live")
+
+
 def candidates(met: DataFrame, least: float, one_each: bool = False) -> DataFrame:
     """Pairs ``(a, b, ca, cb, far)`` of texts of ``met(code, own, component)`` in unlike components ``ca`` and ``cb``
     that have an anchor in common and differ in at most two bits of the fingerprint behind it.
@@ -116,8 +166,7 @@ def candidates(met: DataFrame, least: float, one_each: bool = False) -> DataFram
     of its component that have a fingerprint.
     """
     tag = F.xxhash64("component")
-    mixed = met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")).where("lo != hi").select("anchor")
-    live = met.withColumn("anchor", _anchor(F.col("code"))).join(mixed, "anchor", "left_semi").select("code", "own", "component")
+    live = met.withColumn("anchor", _anchor(F.col("code"))).join(_mixed(met), "anchor", "left_semi").select("code", "own", "component")
     live = persisted(live.groupBy("code", "component").agg(F.min("own").alias("own")) if one_each else live, "live")
     parts = persisted(live.select("code", "component").distinct(), "parts")
     codes = persisted(parts.groupBy("code").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")), "codes")
@@ -128,7 +177,7 @@ def candidates(met: DataFrame, least: float, one_each: bool = False) -> DataFram
     # which components meet at which fingerprints, then their texts
     near = near.join(part("u", "cx"), "u").join(part("w", "cy"), "w").where("cx != cy AND (u != w OR cx < cy)")
     text = lambda code, c, own: live.select(F.col("code").alias(code), F.col("component").alias(c), F.col("own").alias(own))
-    pairs = near.join(text("u", "cx", "x"), ["u", "cx"]).join(text("w", "cy", "y"), ["w", "cy"]).where(_alike("x", "y", least))
+    pairs = near.join(text("u", "cx", "x"), ["u", "cx"]).join(text("w", "cy", "y"), ["w", "cy"]).where(_alike("x", "y", least, shared=True))
     first = F.col("x._key") < F.col("y._key")
     ends = [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x._key", "y._key"), ("b", "y._key", "x._key"), ("ca", "cx", "cy"), ("cb", "cy", "cx"))]
     return persisted(pairs.select(*ends, _distance(F.col("x.sketch"), F.col("y.sketch")).alias("far")).distinct(), "pairs")
@@ -172,21 +221,23 @@ def classes(rows: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     """``_key, rep, component`` of the distinct texts of ``rows(doc_id, text, _key, n, codes, sketch)``; ``rep`` is the
     smallest id of a key, ``component`` the same for texts that links of similarity connect.
 
-    A text is first compared with the closest of its anchors' first texts, then with the closest that stands for
-    each other component it meets, then with the closest of all in each, then with all that are left.
+    A text is first compared with the closest of its anchors' centres, then, where it can reach one, with the closest
+    that stands for each other component it meets, then with the closest of all in each, then with all that are left.
     """
     merged = rows.groupBy("_key").agg(F.min("doc_id").alias("rep"), F.first(F.struct("n", "codes", "sketch")).alias("s"))
     every = persisted(merged.select("_key", "rep", "s.n", "s.codes", "s.sketch"), "classes")
     met = every.select(F.explode("codes").alias("code"), F.struct("_key", "n", "sketch").alias("own"))
 
     # whatever is compared has an anchor in common with another text
-    shared = met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.count("*").alias("texts")).where("texts > 1").select("anchor")
-    wanted = met.select(_anchor(F.col("code")).alias("anchor"), "own._key").join(shared, "anchor", "left_semi").select("_key").distinct()
+    crowds = persisted(met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.count("*").alias("texts")).where("texts > 1"), "anchors")
+    wanted = met.select(_anchor(F.col("code")).alias("anchor"), "own._key").join(crowds, "anchor", "left_semi").select("_key").distinct()
     texts = persisted(rows.select("_key", "text").join(wanted, "_key", "left_semi").dropDuplicates(["_key"]), "texts")
 
     named = every.select("_key", "rep", F.col("_key").alias("component"))
-    named = _joined(named, verified(persisted(best_centres(met, least), "pairs"), texts, least, width))
-    placed = lambda: met.join(named.select("_key", "component"), F.col("own._key") == F.col("_key")).select("code", "own", "component")
+    named = _joined(named, verified(persisted(best_centres(met, crowds, least), "pairs"), texts, least, width))
+    with_component = lambda df: df.select("code", "own").join(named.select("_key", "component"), F.col("own._key") == F.col("_key")).select("code", "own", "component")
+    live = within_reach(with_component(met), texts, least, width)
+    placed = lambda: with_component(live)
     edges = lambda links: links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     done = persisted(closest(candidates(placed(), least, one_each=True)), "pairs")
     named = _joined(named, edges(verified(done, texts, least, width)))

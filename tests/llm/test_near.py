@@ -105,6 +105,28 @@ def test_outliers_of_a_large_group_are_linked(docs_of):
     assert sorted(r.doc_id for r in near.keep_first(docs_of(rows)).collect()) == brute_firsts(rows)
 
 
+def test_groups_that_only_look_near_make_few_pairs(spark, docs_of):
+    """Copies changed too much, and texts with a passage in common, meet no one: the bound by shared shingles."""
+    rng = random.Random(12)
+    words, passage = text_of(rng, 150), text_of(rng, 60)
+    rows = [(i, " ".join(replaced(rng, words, 6 if i % 2 else 1))) for i in range(400)]
+    rows += [(1000 + i, " ".join([*text_of(rng, 60), *passage, *text_of(rng, 60)])) for i in range(300)]
+    seen = []
+    keep = near.candidates
+
+    def counted(*args, **options):
+        pairs = keep(*args, **options)
+        seen.append(pairs.count())
+        return pairs
+
+    near.candidates = counted
+    try:
+        got = sorted(r.doc_id for r in near.keep_first(docs_of(rows)).collect())
+    finally:
+        near.candidates = keep
+    assert got == brute_firsts(rows) and max(seen) < 400
+
+
 def test_columns_of_clashing_names_stay(spark, docs_of):
     docs = docs_of([(1, "one two three"), (2, "one two  three"), (3, "")]).withColumn("_key", F.lit("k")).withColumn("__KEY", F.lit(1)).withColumn("component", F.col("doc_id"))
     got = near.keep_first(docs)
