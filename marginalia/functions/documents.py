@@ -5,6 +5,7 @@ Each is a plain function on one value and, in :data:`UDFS`, an Arrow-batched col
 
 from __future__ import annotations
 
+import csv
 import datetime
 import io
 import re
@@ -416,6 +417,15 @@ def decode_text(data: bytes | None) -> str | None:
     return data.decode("utf-8", "replace")
 
 
+def csv_text(text: str | None) -> str | None:
+    """The rows of a CSV text, one a line, trimmed cells joined by tabs; quoted cells may hold commas, quotes and line ends, which become blanks."""
+    if text is None:
+        return None
+    csv.field_size_limit(1 << 30)
+    rows = ([" ".join(cell.split("\n")).strip() for cell in row] for row in csv.reader(io.StringIO(text.replace("\r\n", "\n"), newline=""), skipinitialspace=True))
+    return "\n".join("\t".join(row) for row in rows if any(row))
+
+
 def _xml_of(data: bytes, name: str) -> ElementTree.Element | None:
     try:
         return ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(bytes(data))).read(name))
@@ -494,7 +504,7 @@ def _string(function, *fixed):
 
 
 #: Column functions by name.
-UDFS = {f.__name__: _string(f) for f in (html_structured, html_flat, html_title, rewrite_hrefs, link_first_mention, decode_text, docx_text, odt_text)} | {
+UDFS = {f.__name__: _string(f) for f in (html_structured, html_flat, html_title, rewrite_hrefs, link_first_mention, decode_text, csv_text, docx_text, odt_text)} | {
     "html_article": lambda c: _once(html_article, "title string, flat string")(c),
     "coalesced": lambda a, b: _udf(lambda old, new: coalesced(line_diff(old, new)), "array<struct<type:string,lines:array<string>,old:array<struct<type:string,text:string>>,new:array<struct<type:string,text:string>>>>")(a, b),
     "html_outline": lambda c: _udf(html_outline, "array<struct<level:int,text:string>>")(c),

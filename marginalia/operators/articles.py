@@ -28,13 +28,45 @@ def articles(pages: DataFrame, chars: int = CHARS, least: int = LEAST) -> DataFr
     rows = pages.withColumn("path", path).where(~(F.col("path").startswith(".") & ~F.col("path").startswith("./")) & ~F.col("path").startswith("-/"))
     for s in _SPACES:
         rows = rows.where(~low.contains(s))
-    rows = rows.where(~((F.octet_length("html") < REDIRECT) & F.lower("html").contains("http-equiv") & F.lower("html").contains("refresh")))
+    rows = rows.where(~is_redirect(F.col("html")))
     # one parse for title and text; not deterministic in name, so that no filter is moved below it with a second one
     rows = rows.withColumn("parsed", UDFS["html_article"](F.col("html"))).withColumn("title", F.col("parsed.title")).withColumn("content", F.substring("parsed.flat", 1, chars))
     rows = rows.where(F.length("content") >= least)
     return rows.where(~F.coalesce(F.lower("title").endswith("(disambiguation)"), F.lit(False)) & ~low.contains("_(disambiguation)")).select("page_id", "path", "title", "content")
 
 
+def is_redirect(html: Column) -> Column:
+    """Whether a page only sends its reader on."""
+    return (F.octet_length(html) < REDIRECT) & F.lower(html).contains("http-equiv") & F.lower(html).contains("refresh")
+
+
+def scan_window(pages: DataFrame, start: int, size: int) -> DataFrame:
+    """The HTML entries of an archive, by ``page_id``, in a window of ``size`` entries; redirects are left out."""
+    return pages.where((F.col("page_id") >= start) & (F.col("page_id") < start + size)).where(~F.coalesce(is_redirect(F.col("html")), F.lit(True)))
+
+
+def scan_windows(pages: DataFrame, size: int) -> DataFrame:
+    """All entries with the ``window`` that reads each, as :func:`scan_window` does one by one."""
+    return pages.withColumn("window", F.floor(F.col("page_id") / size).cast("long")).where(~F.coalesce(is_redirect(F.col("html")), F.lit(True)))
+
+
+def read_articles(wanted: DataFrame, pages: DataFrame, hops: int = 3) -> DataFrame:
+    """``wanted(wanted)`` with ``path, html``: the page of that path, with or without ``A/``, after up to ``hops`` redirects."""
+    named = pages.select(F.col("url").alias("path"), "html")
+    target = tx.wiki_path(F.regexp_replace(F.regexp_extract("html", r"(?is)http-equiv\s*=\s*[\"']?refresh.*?url\s*=\s*[\"']?([^\"'>\s]+)", 1), "#.*$", ""))
+
+    def step(asked: DataFrame) -> DataFrame:
+        tries = asked.select("wanted", F.posexplode(tx.path_candidates(F.col("at"))).alias("_try", "path")).join(named, "path")
+        first = F.row_number().over(W.partitionBy("wanted").orderBy("_try"))
+        return tries.withColumn("_p", first).where("_p = 1").select("wanted", "path", "html")
+
+    found = step(wanted.select("wanted", F.col("wanted").alias("at")).distinct())
+    for _ in range(hops):
+        on = found.where(is_redirect(F.col("html")) & (target != ""))
+        found = found.join(on.select("wanted"), "wanted", "left_anti").unionByName(step(on.select("wanted", target.alias("at"))))
+    return found
+
+
 def suggestions(titles: DataFrame, prefix: str, limit: int = 10) -> DataFrame:
     return titles.where(F.lower("title").startswith(prefix.strip().lower())).orderBy("title").limit(limit)
 
@@ -71,6 +103,16 @@ def chat_queries(turns: DataFrame, last: int = 2) -> DataFrame:
     return users.select("conv_id", F.when(clean == "", raw).otherwise(clean).alias("query"))
 
 
+def turns_text(turns: DataFrame, key: str = "conv_id") -> DataFrame:
+    """``key, context``: the turns of each conversation, a line each, in order."""
+    return turns.groupBy(key).agg(F.expr("listagg(role || ': ' || text, '\\n') WITHIN GROUP (ORDER BY turn)").alias("context"))
+
+
+def not_blank(chunks: DataFrame, column: str = "text") -> DataFrame:
+    """Chunks that hold more than blanks."""
+    return chunks.where(F.trim(column) != "")
+
+
 def context(sections: list[tuple[str, DataFrame]], cap: int = 50) -> DataFrame:
     """``section, body``: titled blocks in the order of the sections, each title once, at most ``cap`` rows of a section and the number left out."""
     every = None

@@ -7,18 +7,39 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.sources import files as fi
 
 from . import knowledge as kn
+from .articles import articles
+from .storage import KeyedTable, persisted
 
-#: Dimensions, characters of an article and batch cap of the two model families.
+#: Dimensions, characters that are embedded, and most texts of a request, of the two model families.
 DIMS, LARGE_DIMS = 768, 1024
+#: Bounds of memory in MB and cores that part machines into tiers.
+_LOW_RAM, _HIGH_RAM, _SOME_GPU, _STRONG_GPU, _STRONG_SHARED, _CORES = 8192, 16384, 6144, 10240, 20480, 6
+#: Texts in a request, entries in a scan window, most texts when requests grow, by tier.
+PLANS = {"low": (16, 256, 32), "mid": (64, 1024, 128), "high": (96, 1536, 192)}
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
+def tier(ram_mb: int, cores: int, gpus: list[tuple[int, bool]] = (), capability: str = "full") -> str:
+    """``low``, ``mid`` or ``high`` of a machine; ``gpus`` are memory in MB and whether it is shared with the processor."""
+    best = max((mb for mb, _ in gpus), default=0)
+    strong = any(mb >= (_STRONG_SHARED if shared else _STRONG_GPU) for mb, shared in gpus)
+    if capability == "insufficient" or ram_mb < _LOW_RAM or (ram_mb < _HIGH_RAM and (capability == "embedding" or best < _SOME_GPU)):
+        return "low"
+    return "high" if ram_mb >= _HIGH_RAM and cores >= _CORES and strong else "mid"
+
+
+def next_batch(size: int, seconds: float, most: int, target: float = 2.0) -> int:
+    """Texts of the next request: twice as many while requests are quick, half as many when one was slow."""
+    return min(most, size * 2) if seconds < target / 2 else max(1, size // 2) if seconds > target else size
+
+
 def hashing_embedder(dims: int = DIMS) -> Embedder:
     """A model-free embedder for tests: hashed words, at unit length."""
 
@@ -67,9 +88,91 @@ def reindexed(index: DataFrame, changed: DataFrame, embedder: Embedder | None =
     return kn.without_keys(index, changed.select("note_id"), ["note_id"]).unionByName(new)
 
 
+def checked(rows: DataFrame, dims: int, column: str = "vector") -> tuple[DataFrame, DataFrame]:
+    """Rows whose vector has ``dims`` components, and the others."""
+    good = F.coalesce(F.size(column) == dims, F.lit(False))
+    return rows.where(good), rows.where(~good)
+
+
+def store_vectors(table: KeyedTable, rows: DataFrame, number: int, dims: int, keys: DataFrame | None = None, stream: str = "") -> None:
+    """Vectors in place of those of their keys; none is stored if one has another dimension."""
+    rows = persisted(rows, "vectors")
+    if not checked(rows, dims)[1].isEmpty():
+        raise ValueError(f"a vector has other than {dims} dimensions")
+    table.upsert(rows, number, keys, stream)
+
+
+#: What is stored of a note's chunk.
+CHUNK = ["note_id", "chunk_index", "title", "content", "vector"]
+
+
+def index_notes(table: KeyedTable, changed: DataFrame, number: int, embedder: Embedder | None = None, dims: int = DIMS, suffix: DataFrame | None = None, stream: str = "notes") -> None:
+    """Chunks and vectors of the changed notes in place of what the table has of them; blank notes have none."""
+    store_vectors(table, embedded(note_chunks(changed, suffix), "text", embedder).select(CHUNK), number, dims, changed.select("note_id"), stream)
+
+
+def _batches(table: KeyedTable, rows: DataFrame, key: str, stream: str, batches: int):
+    """Number and rows of the batches of a job that are not part of the table yet. The job is known by its ids."""
+    n, mix = rows.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(key)), F.lit(0))).first()
+    name = f"{stream}-{n}-{mix & (1 << 63) - 1:x}"
+    part = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(batches))
+    for number in range(table.done(name) + 1, batches):
+        yield name, number, rows.where(part == number)
+
+
+def reindex_all(table: KeyedTable, notes: DataFrame, model: str, embedder: Embedder | None = None, dims: int = DIMS, batches: int = 16) -> int:
+    """All notes anew, in batches; the number of batches done now.
+
+    A job that was stopped goes on after its last batch, as long as the model and the notes' ids are the same;
+    else it begins anew. In the end the chunks of notes that are gone are removed.
+    """
+    done, name = 0, None
+    for name, number, part in _batches(table, notes, "note_id", f"reindex-{model}", batches):
+        index_notes(table, part, number, embedder, dims, stream=name)
+        done += 1
+    stored = table.read()
+    if name and stored is not None:
+        gone = kn.stale(stored.select("note_id").distinct(), notes, "note_id")
+        table.upsert(stored.limit(0).select(CHUNK), batches, gone, name)
+    return done
+
+
+def index_articles(table: KeyedTable, pages: DataFrame, bundle: str, embedder: Embedder | None = None, dims: int = LARGE_DIMS, batches: int = 16) -> int:
+    """The articles of a bundle's ``pages(page_id, url, html)`` with their vectors, keyed by path, in batches that can be resumed."""
+    done = 0
+    for name, number, part in _batches(table, pages, "page_id", f"articles-{bundle}", batches):
+        rows = articles(part).withColumn("text", F.concat_ws("\n", F.concat(F.lit("search_document: "), F.col("title")), "content"))
+        stored = embedded(rows, "text", embedder or hashing_embedder(dims)).select(F.lit(bundle).alias("bundle_id"), "path", "title", "content", "vector")
+        store_vectors(table, stored, number, dims, stream=name)
+        done += 1
+    return done
+
+
+def index_folder(spark: SparkSession, folder: str, state: KeyedTable, chunks: KeyedTable, run: int, excludes: list[str] | None = None, embedder: Embedder | None = None, dims: int = DIMS) -> dict[str, int]:
+    """Files below a folder: those that are new or changed are read, extracted, chunked and stored; rows of files that are gone are removed.
+
+    ``state(path, mtime, length, error)`` and ``chunks(path, chunk_index, content, vector)`` are keyed by path; runs
+    are numbered. Only the contents of new and changed files are read. Returns how many were indexed, failed,
+    unchanged and removed.
+    """
+    now = persisted(fi.listing(spark, folder, excludes), "files")
+    before = state.read()
+    todo = now if before is None else fi.changed(now, before, "path")
+    gone = [] if before is None else [r.path for r in kn.stale(before, now, "path").select("path").collect()]
+    paths = [r.path for r in todo.select("path").collect()]
+    # a listing is on the driver in any case
+    keys = spark.createDataFrame([(x,) for x in paths + gone], "path string")
+    texts = persisted(fi.extracted(fi.contents(spark, paths)), "texts") if paths else spark.createDataFrame([], "path string, mime string, mtime long, content string, error string")
+    parts = texts.where("error IS NULL").select("path", F.posexplode(tx.chunks(tx.sentences(F.col("content")))).alias("chunk_index", "content")).where(F.trim("content") != "")
+    store_vectors(chunks, embedded(parts, "content", embedder).select("path", "chunk_index", "content", "vector"), run, dims, keys, folder)
+    state.upsert(todo.join(texts.select("path", "error"), "path", "left").select("path", "mtime", "length", "error"), run, keys, folder)
+    failed = texts.where("error IS NOT NULL").count()
+    return {"indexed": len(paths) - failed, "failed": failed, "unchanged": now.count() - len(paths), "removed": len(gone)}
+
+
 def can_resume(stored_model: str, model: str, total: int, next_pos: int, queue: DataFrame, expected: DataFrame) -> bool:
     """Whether a stored cursor still holds: same model, unfinished, and the same ids in the same order."""
     if stored_model != model or not 0 < total or not 0 <= next_pos < total:
         return False
-    pairs = queue.select("pos", "note_id").exceptAll(expected.select("pos", "note_id")).limit(1).count() + expected.select("pos", "note_id").exceptAll(queue.select("pos", "note_id")).limit(1).count()
-    return pairs == 0 and queue.count() == total
+    same = kn.same_list(*(df.select("pos", F.col("note_id").alias("id")) for df in (queue, expected)))
+    return same and queue.count() == total

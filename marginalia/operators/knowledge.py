@@ -281,6 +281,21 @@ def board(view: DataFrame, name: str, options: list[str], unknown: bool = False)
     return joined.select("column", last.alias("place"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("note_ids", F.array().cast("array<long>")).alias("note_ids"))
 
 
+def board_counts(view: DataFrame, name: str, cap: int = 50) -> DataFrame:
+    """``value, n, more``: cards of each value, and those beyond the ones shown."""
+    return view.where((F.col("name") == name) & F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n")).withColumn("more", F.greatest(F.col("n") - cap, F.lit(0)))
+
+
+def definitions(defs: DataFrame) -> DataFrame:
+    """Definitions by folder, in order."""
+    return defs.orderBy("folder_id", "position", "def_id")
+
+
+def folder_ids(notes: DataFrame) -> DataFrame:
+    """The folders that notes are in, none among them."""
+    return notes.select("folder_id").distinct()
+
+
 def moved(defs: DataFrame, def_id: int, to: int) -> DataFrame:
     """Definitions of a folder after one moves to a position; those between shift by one."""
     at = defs.where(F.col("def_id") == def_id).select("folder_id", F.col("position").alias("_at"))
@@ -339,6 +354,20 @@ def free_title(notes: DataFrame, title: str) -> str:
     return next(t for n in range(1, len(taken) + 2) if (t := title if n == 1 else f"{title} ({n})") not in taken)
 
 
+def first_matches(notes: DataFrame, day: str, columns: tuple[str, ...] = ("created_at", "updated_at")) -> DataFrame:
+    """``note_id, first_at``: notes of which one of the stamps is of a day, each once, with the first such stamp."""
+    stamps = F.filter(F.array(*columns), lambda t: tx.utc_day(t) == F.lit(day).cast("date"))
+    return notes.select("note_id", F.array_min(stamps).alias("first_at")).where("first_at IS NOT NULL")
+
+
+def daily_note_asked(asked: DataFrame, daily: DataFrame, key: str, form: str = "DMY") -> DataFrame:
+    """``key, iso, note_id``: the first date in each question of ``asked(key, query)`` that has a daily note of ``daily(note_id, title)``; without one the first date."""
+    notes = daily.select("note_id", tx.title_to_iso(F.col("title"), form).alias("iso"))
+    found = asked.select(key, F.posexplode(UDFS["dates_in_text"](F.col("query"), form)).alias("pos", "iso")).join(notes, "iso", "left")
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.col("note_id").isNull(), "pos", "note_id"))
+    return found.withColumn("_p", place).where("_p = 1").select(key, "iso", "note_id")
+
+
 # --- audit ----------------------------------------------------------------------------------------
 
 
@@ -378,6 +407,24 @@ def pruned(log: DataFrame, days: int, as_of: int) -> DataFrame:
     return log.where(F.col("created_at") >= as_of - days * 86_400) if days else log
 
 
+def action_counts(log: DataFrame, actions: list[str] | None = None) -> DataFrame:
+    """``action, n`` of the rows of some actions."""
+    return (log.where(F.col("action").isin(actions)) if actions else log).groupBy("action").agg(F.count("*").alias("n"))
+
+
+def export_counts(log: DataFrame, notes: DataFrame, blocked: DataFrame) -> DataFrame:
+    """``exported, skipped_locked``: rows that an export writes, and those it keeps back."""
+    shown = visible_log(log, notes, blocked).agg(F.count("*").alias("exported"))
+    return log.agg(F.count("*").alias("n")).join(F.broadcast(shown)).select("exported", (F.col("n") - F.col("exported")).alias("skipped_locked"))
+
+
+def rates(rows: DataFrame, stamp: str, by: str) -> DataFrame:
+    """``by, n, per_s``: rows, and rows in a second between the first and the last; null for one moment."""
+    micros = F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {stamp})")
+    span = (F.max("_us") - F.min("_us")) / 1e6
+    return rows.withColumn("_us", micros).groupBy(by).agg(F.count("*").alias("n"), (F.count("*") / F.nullif(span, F.lit(0.0))).alias("per_s"))
+
+
 # --- versions and changes -------------------------------------------------------------------------
 
 
@@ -385,6 +432,48 @@ def newest(versions: DataFrame, key: list[str], order: list[Column], keep: int =
     return versions.withColumn("_p", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where(F.col("_p") <= keep).drop("_p")
 
 
+def prunable(versions: DataFrame, key: str, order: list[Column], keep: int = KEEP_VERSIONS) -> DataFrame:
+    """``key, pruned``: how many versions beyond the newest ``keep`` each has."""
+    return versions.withColumn("_p", F.row_number().over(W.partitionBy(key).orderBy(*order))).groupBy(key).agg(F.count_if(F.col("_p") > keep).alias("pruned"))
+
+
+def median_by_length(notes: DataFrame, column: str = "content") -> DataFrame:
+    """``median_chars, most``: the length in the middle (the lower of two) and the longest."""
+    return notes.agg(F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY length({column}))").cast("long").alias("median_chars"), F.max(F.length(column)).cast("long").alias("most"))
+
+
+def list_difference(a: DataFrame, b: DataFrame, place: str = "pos") -> DataFrame:
+    """``place, a, b``: where two ordered lists ``(place, id)`` differ; none: the same ids in the same order."""
+    one, two = a.select(place, F.col("id").alias("a")), b.select(place, F.col("id").alias("b"))
+    return one.join(two, place, "full_outer").where(~F.col("a").eqNullSafe(F.col("b")))
+
+
+def same_list(a: DataFrame, b: DataFrame, place: str = "pos") -> bool:
+    return list_difference(a, b, place).isEmpty()
+
+
+def stale(rows: DataFrame, there: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not there any more."""
+    return rows.join(there.select(key), key, "left_anti")
+
+
+def missing_counts(rows: DataFrame, there: DataFrame, key: str, by: str | None = None) -> DataFrame:
+    """``[by,] missing, files``: rows without a counterpart, and all."""
+    flagged = rows.join(there.select(key).distinct().withColumn("_there", F.lit(True)), key, "left")
+    grouped = flagged.groupBy(by) if by else flagged.groupBy()
+    return grouped.agg(F.count_if(F.col("_there").isNull()).alias("missing"), F.count("*").alias("files"))
+
+
+def in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Distinct keys that are in both."""
+    return a.select(key).join(b.select(key), key, "left_semi").distinct()
+
+
+def pinned_first(pinned: DataFrame, found: DataFrame, key: str = "title") -> DataFrame:
+    """The pinned rows and the found ones whose title is not among them."""
+    return pinned.unionByName(found.select(pinned.columns).join(pinned.select(key), key, "left_anti").select(pinned.columns))
+
+
 def version_list(versions: DataFrame) -> DataFrame:
     """Versions with titles of up to 60 characters and the first line's first 80."""
     return versions.select("note_id", "version_id", tx.excerpt(F.col("title"), 60).alias("title"), tx.preview(F.col("content"), 80).alias("preview"))

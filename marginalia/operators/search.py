@@ -46,6 +46,20 @@ def phrases(query: str) -> list[list[str]]:
     return [found for p in parse_query(query) if (found := re.findall(r"[^\W_]+", plain(p)))]
 
 
+def scanned(rows: DataFrame, predicate: Column, columns: list[str], each=None) -> DataFrame:
+    """The columns of the rows that pass; ``each``, if given, is called with every Arrow batch where it is read."""
+    found = rows.where(predicate).select(*columns)
+    if each is None:
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each(batch)
+            yield batch
+
+    return found.mapInArrow(run, found.schema)
+
+
 def knn(chunks: DataFrame, query: list[float] | Column, k: int, vector: str = "vector", tie: str = "chunk_id") -> DataFrame:
     """The ``k`` nearest chunks by squared distance, ties by ``tie``; one pass, partial top-k in each task."""
     target = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
@@ -119,6 +133,45 @@ def by_source(near: DataFrame, key: str, fetch: int, sources: int | None, ceilin
     return kept.select(query, key, "title", F.transform("parts", lambda p: p["excerpt"]).alias("excerpts"), "distance")
 
 
+def best_by_source(near: DataFrame, keys: list[str]) -> DataFrame:
+    """Each source's best distance."""
+    return near.groupBy(*keys).agg(F.min("distance").alias("distance"))
+
+
+def chunks_by_source(near: DataFrame, keys: list[str]) -> DataFrame:
+    """The numbers of each source's chunks that were found, in order, once each."""
+    return near.groupBy(*keys).agg(F.array_sort(F.collect_set("chunk_index")).alias("chunks"))
+
+
+def top_sources(near: DataFrame, query: str, key: str, n: int = 5) -> DataFrame:
+    """Each query's ``n`` sources of best distance."""
+    place = F.row_number().over(W.partitionBy(query).orderBy("distance", key))
+    return best_by_source(near, [query, key]).withColumn("place", place).where(F.col("place") <= n)
+
+
+def ranked(rows: DataFrame, by: list[str], order: list, name: str = "rank") -> DataFrame:
+    """Rows with their place, from 1, within a query."""
+    return rows.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+
+
+def rrf_sums(lists: DataFrame, key: str) -> DataFrame:
+    """``key, score``: reciprocal ranks summed over the lists that hold an item."""
+    return lists.groupBy(key).agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"))
+
+
+def merged_lists(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Items of either list, ``(key, rank)``, with ``rank_a``, ``rank_b`` and their fused score."""
+    both = a.select(key, F.col("rank").alias("rank_a")).join(b.select(key, F.col("rank").alias("rank_b")), key, "full_outer")
+    part = lambda c: F.coalesce(1.0 / (RRF_K + F.col(c)), F.lit(0.0))
+    return both.withColumn("score", part("rank_a") + part("rank_b"))
+
+
+def gold_in_top(near: DataFrame, gold: DataFrame, n: int = 3) -> DataFrame:
+    """``query_id, found``: whether one of ``gold(query_id, chunk_id)`` is among each query's first ``n``."""
+    hits = near.where(F.col("rank") <= n).join(gold, ["query_id", "chunk_id"], "left_semi").select("query_id").distinct().withColumn("found", F.lit(True))
+    return near.select("query_id").distinct().join(hits, "query_id", "left").select("query_id", F.coalesce("found", F.lit(False)).alias("found"))
+
+
 def raw_search(near: DataFrame, k: int = 10) -> DataFrame:
     """The nearest chunks as they are, with excerpts of 200 characters."""
     return near.where(F.col("rank") <= k).select("query_id", "chunk_id", "title", tx.excerpt(F.col("content"), 200).alias("excerpt"), "distance")

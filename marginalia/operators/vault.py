@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,25 @@ def reencrypted(notes: DataFrame, subtree: DataFrame, old: Column | None, new: C
     return own.unionByName(notes.join(subtree.select("folder_id").distinct(), "folder_id", "left_anti"))
 
 
+#: Cost, block size and lanes of the key derivation, which takes 64 MB; the text that tells a right key.
+_COST, _BLOCK, _LANES, _SENTINEL = 1 << 16, 8, 1, "marginalia"
+
+
+def derived_key(password: str, salt: bytes) -> bytes:
+    """A 256-bit key of a password, by scrypt (memory-hard; no Argon2 is at hand)."""
+    return hashlib.scrypt(password.encode(), salt=salt, n=_COST, r=_BLOCK, p=_LANES, maxmem=1 << 27, dklen=32)
+
+
+def sentinel(key: Column) -> Column:
+    """What is stored beside the salt, to tell a right key from a wrong one."""
+    return encrypted(F.lit(_SENTINEL), key)
+
+
+def opens(stored: Column, key: Column) -> Column:
+    """Whether a key made a sentinel."""
+    return F.coalesce(decrypted(stored, key) == _SENTINEL, F.lit(False))
+
+
 @dataclass(frozen=True)
 class Settings:
     """Engine settings with their bounds."""

@@ -12,9 +12,10 @@ from marginalia.operators import articles as ar
 from marginalia.operators import ingest as ing
 from marginalia.operators import knowledge as kn
 from marginalia.operators import lexical as lx
+from marginalia.operators import notes as ns
 from marginalia.operators import search as se
 from marginalia.operators import vault
-from marginalia.operators.storage import spread
+from marginalia.operators.storage import KeyedTable, new_path, persisted, spread
 from marginalia.sources import files as fi
 from marginalia.streaming.ingest import known_actions
 
@@ -30,32 +31,37 @@ def src4_charset_detection(s, p):
     return docs.select("doc_id", UDFS["decode_text"](data).alias("text"))
 
 
-@query("SELECT p_partkey, p_name || chr(9) || p_brand || chr(10) || p_type || chr(9) || p_size AS content FROM part")
+@query("SELECT p_partkey, p_name || ' a,b' || chr(9) || p_brand || chr(10) || p_type || chr(9) || p_size AS content FROM part")
 def src5_csv_rows(s, p):
-    raw = F.concat(F.lit('"'), F.col("p_name"), F.lit('" , '), F.col("p_brand"), F.lit("\n\n"), F.col("p_type"), F.lit(","), F.col("p_size"))
-    return d.table(s, p, "part").select("p_partkey", fi.csv_rows_text(raw).alias("content"))
+    raw = F.concat(F.lit('"'), F.col("p_name"), F.lit('\na,b" , '), F.col("p_brand"), F.lit("\n\n"), F.col("p_type"), F.lit(","), F.col("p_size"))
+    return d.table(s, p, "part").select("p_partkey", UDFS["csv_text"](raw).alias("content"))
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(html, '<h1>') AND page_id BETWEEN 10 AND 30")
+@query("SELECT page_id // 16 AS \"window\", page_id, url FROM pages WHERE NOT (octet_length(encode(html)) < 800 AND contains(lower(html), 'http-equiv') AND contains(lower(html), 'refresh'))")
 def src14_archive_window(s, p):
-    return d.table(s, p, "pages").where("page_id BETWEEN 10 AND 30").where(F.contains("html", F.lit("<h1>"))).select("page_id", "url")
+    return ar.scan_windows(d.table(s, p, "pages"), 16).select("window", "page_id", "url")
 
 
-@query("SELECT page_id, url AS path FROM pages WHERE page_id = 7")
+@query("SELECT 'A/' || url AS wanted, url AS path, octet_length(encode(arg_min(html, page_id)))::INT AS bytes FROM pages GROUP BY url")
 def src15_single_article(s, p):
-    return d.table(s, p, "pages").where("page_id = 7").select("page_id", F.col("url").alias("path"))
+    pages = d.table(s, p, "pages")
+    first = pages.groupBy("url").agg(F.min_by("html", "page_id").alias("html"))
+    return ar.read_articles(first.select(F.concat(F.lit("A/"), "url").alias("wanted")), first).select("wanted", "path", F.octet_length("html").alias("bytes"))
 
 
-@query("SELECT item_id, text AS body FROM benchmark")
+@query("SELECT item_id::VARCHAR AS id, text AS body FROM benchmark")
 def src20_json_cases(s, p):
-    cases = d.table(s, p, "benchmark").agg(F.to_json(F.struct(F.lit(1).alias("version"), F.collect_list(F.struct("item_id", F.col("text").alias("body"))).alias("cases"))).alias("j"))
-    return cases.select(F.explode(F.from_json("j", "version int, cases array<struct<item_id:long,body:string>>")["cases"]).alias("c")).select("c.item_id", "c.body")
+    files = d.table(s, p, "benchmark").select(F.to_json(F.struct(F.lit(1).alias("version"), F.array(F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("body"))).alias("cases"))).alias("json"))
+    return files.select(F.explode(fi.cases(F.col("json"))).alias("c")).select("c.id", "c.body")
 
 
-@query("SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (1, 2, 3) UNION ALL SELECT unnest([1, 2, 3]), -1")
+@query("SELECT vec_id, CASE WHEN vec_id IN (1, 2, 3) THEN -1 ELSE label END AS label, list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0.5 AS kept FROM embeddings WHERE vec_id <> 4")
 def snk2_vector_bulk_upsert(s, p):
-    old = d.table(s, p, "embeddings").select("vec_id", "label")
-    return kn.upserted(old, s.createDataFrame([(1, -1), (2, -1), (3, -1)], "vec_id long, label int"), ["vec_id"])
+    table = KeyedTable(s, new_path(s, "vectors"), ["vec_id"])
+    old = d.table(s, p, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    ing.store_vectors(table, old, 0, 64)
+    ing.store_vectors(table, old.where("vec_id IN (1, 2, 3)").withColumn("label", F.lit(-1).cast(old.schema["label"].dataType)), 1, 64, s.createDataFrame([(k,) for k in (1, 2, 3, 4)], "vec_id long"))
+    return table.read().select("vec_id", "label", (vx.norm(F.transform("vector", lambda x: x.cast("double"))) > 0.5).alias("kept"))
 
 
 _TOK = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
@@ -91,7 +97,9 @@ def snk14_audit_append_domain(s, p):
 
 @query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) IS NULL AS bad FROM events")
 def snk15_salvaged_rows(s, p):
-    return d.table(s, p, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("bigint").isNull().alias("bad"))
+    number = F.get_json_object("props", "$.k").try_cast("bigint")
+    good, bad = fi.salvaged(d.table(s, p, "events"), {"no number": number.isNotNull()})
+    return good.select("event_id", F.lit(False).alias("bad")).unionByName(bad.select("event_id", F.lit(True).alias("bad")))
 
 
 @query("SELECT note_id FROM (SELECT o_orderkey AS note_id FROM orders)")
@@ -122,16 +130,19 @@ def jn3_tags_with_notes(s, p):
     return kn.note_tags(d.notes(s, p, True)).groupBy("tag").agg(F.count_distinct("note_id").alias("notes")).where("notes > 10")
 
 
-@query("SELECT doc_id AS id, l.quality, l.toxic FROM documents d FULL JOIN labels l USING (doc_id)")
+def _place(rows):
+    return rows.select("doc_id", (F.col("doc_id") % 40 + 1).alias("rank"))
+
+
+@query("SELECT doc_id, CASE WHEN d.doc_id IS NOT NULL THEN doc_id % 40 + 1 END AS rank_a, CASE WHEN l.doc_id IS NOT NULL THEN doc_id % 40 + 1 END AS rank_b, round(((d.doc_id IS NOT NULL)::INT + (l.doc_id IS NOT NULL)::INT) * 1.0 / (61 + doc_id % 40), 12) AS score FROM documents d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)")
 def jn17_full_outer(s, p):
-    return d.table(s, p, "documents").select("doc_id").join(d.table(s, p, "labels"), "doc_id", "full_outer").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    return se.merged_lists(_place(d.table(s, p, "documents")), _place(d.table(s, p, "labels").select("doc_id").distinct()), "doc_id").withColumn("score", F.round("score", 12))
 
 
 @query(with_("notes") + ", x AS (SELECT note_id, title FROM notes WHERE folder_id = 1), y AS (SELECT note_id, title FROM notes WHERE folder_id IN (1, 2)) SELECT note_id, title FROM x UNION ALL SELECT note_id, title FROM y WHERE title NOT IN (SELECT title FROM x)")
 def jn22_pinned_and_matches(s, p):
     n = d.notes(s, p).select("note_id", "title", "folder_id")
-    pinned, found = n.where("folder_id = 1").drop("folder_id"), n.where("folder_id IN (1, 2)")
-    return pinned.unionByName(found.join(pinned.select("title"), "title", "left_anti").select("note_id", "title"))
+    return kn.pinned_first(n.where("folder_id = 1").drop("folder_id"), n.where("folder_id IN (1, 2)"))
 
 
 @query(with_("notes") + f"SELECT {_DAY.format('updated_at')} AS date, count(*) AS modified FROM notes WHERE updated_at >= {NOW} - 365 * 86400 AND {_DAY.format('updated_at')} <> {_DAY.format('created_at')} GROUP BY 1")
@@ -141,12 +152,12 @@ def ag3_modified_by_day(s, p):
 
 @query(with_("near") + "SELECT query_id, note_id, list_sort(list(DISTINCT chunk_index)) AS chunks FROM ranked WHERE rank <= 100 GROUP BY query_id, note_id")
 def ag7_chunks_by_source(s, p):
-    return _near(s, p).groupBy("query_id", "note_id").agg(F.array_sort(F.collect_set("chunk_index")).alias("chunks"))
+    return se.chunks_by_source(_near(s, p), ["query_id", "note_id"])
 
 
 @query(with_("near") + "SELECT chunk_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM ranked WHERE rank <= 20 GROUP BY chunk_id")
 def ag8_rrf_sums(s, p):
-    return _near(s, p, 20).groupBy("chunk_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
+    return se.rrf_sums(_near(s, p, 20), "chunk_id").withColumn("score", F.round("score", 9))
 
 
 @query(with_("notes") + f", {_HEAT} SELECT max(created + modified)::BIGINT AS most FROM heat")
@@ -161,55 +172,49 @@ def ag14_seeded_pairs(s, p):
 
 @query("SELECT event_type, count(*) AS n, round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 9) AS per_s FROM events GROUP BY event_type")
 def ag17_throughput(s, p):
-    log = d.table(s, p, "events").withColumn("us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"))
-    span = (F.max("us") - F.min("us")) / 1e6
-    return log.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.count("*") / span, 9).alias("per_s"))
+    return kn.rates(d.table(s, p, "events"), "ts", "event_type").withColumn("per_s", F.round("per_s", 9))
 
 
 @query(with_("near") + "SELECT query_id, chunk_id, rank FROM ranked WHERE rank <= 15")
 def wn1_rank_positions(s, p):
-    return _near(s, p, 15).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
+    return se.ranked(_near(s, p, 15).drop("rank"), ["query_id"], ["distance", "chunk_id"]).select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(with_("near") + ", g AS (SELECT query_id, note_id, min(distance) AS d FROM ranked WHERE rank <= 100 GROUP BY ALL) SELECT query_id, note_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, note_id) AS r FROM g) WHERE r <= 5")
 def wn2_top_sources(s, p):
-    best = _near(s, p).groupBy("query_id", "note_id").agg(F.min("distance").alias("d"))
-    return kn.newest(best, ["query_id"], [F.col("d"), F.col("note_id")], 5).select("query_id", "note_id")
+    return se.top_sources(_near(s, p), "query_id", "note_id").select("query_id", "note_id")
 
 
 @query(with_("near") + "SELECT q.vec_id AS query_id, coalesce(bool_or(e.label = q.label), false) AS gold_in_top3 FROM embeddings q LEFT JOIN ranked r ON r.query_id = q.vec_id AND r.rank <= 3 LEFT JOIN embeddings e ON e.vec_id = r.chunk_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id")
 def wn7_gold_in_top3(s, p):
     e = d.table(s, p, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql"))
-    hits = _near(s, p, 3).select("query_id", "chunk_id").join(e.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id")
-    return q.join(hits, "query_id", "left").groupBy("query_id").agg(F.coalesce(F.bool_or(F.col("label") == F.col("ql")), F.lit(False)).alias("gold_in_top3"))
+    asked = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    gold = asked.join(e.select(F.col("vec_id").alias("chunk_id"), "label"), "label")
+    return se.gold_in_top(_near(s, p, 3), gold).withColumnRenamed("found", "gold_in_top3")
 
 
 @query(with_("notes") + f", ids AS (SELECT note_id, created_at AS stamp FROM notes WHERE {_DAY.format('created_at')} = DATE '2024-01-02' UNION ALL SELECT note_id, updated_at FROM notes WHERE {_DAY.format('updated_at')} = DATE '2024-01-02') SELECT note_id, min(stamp) AS first_at FROM ids GROUP BY note_id")
 def st2_union_of_matches(s, p):
-    n = d.notes(s, p)
-    day = F.lit("2024-01-02").cast("date")
-    pick = lambda c: n.where(tx.utc_day(F.col(c)) == day).select("note_id", F.col(c).alias("at"))
-    return pick("created_at").unionByName(pick("updated_at")).groupBy("note_id").agg(F.min("at").alias("first_at"))
+    return kn.first_matches(d.notes(s, p), "2024-01-02")
 
 
 @query("SELECT l_orderkey AS note_id, count(*) - least(count(*), 3) AS pruned FROM lineitem GROUP BY l_orderkey")
 def st6_versions_to_prune(s, p):
-    v = d.versions(s, p)
-    kept = kn.newest(v, ["note_id"], [F.desc("l_shipdate"), F.desc("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], 3).groupBy("note_id").agg(F.count("*").alias("k"))
-    return v.groupBy("note_id").agg(F.count("*").alias("n")).join(kept, "note_id").select("note_id", (F.col("n") - F.col("k")).alias("pruned"))
+    return kn.prunable(d.versions(s, p), "note_id", [F.desc("l_shipdate"), F.desc("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")], 3)
 
 
-@query("SELECT true AS same, false AS other")
+@query("SELECT label, count(*) AS differ FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i, row_number() OVER (PARTITION BY label ORDER BY vec_id % 7, vec_id) AS j FROM embeddings) WHERE i <> j GROUP BY label")
 def st7_ordered_equality(s, p):
-    e = d.table(s, p, "embeddings").select("vec_id")
-    same = lambda a, b, name: a.exceptAll(b).unionByName(b.exceptAll(a)).agg((F.count("*") == 0).alias(name))
-    return same(e, e.select("vec_id"), "same").join(same(e, e.where("vec_id > 0"), "other"))
+    e = d.table(s, p, "embeddings").select("vec_id", "label")
+    # the same ids in two orders, in lists by label
+    listed = lambda *order: se.ranked(e, ["label"], [*order], "place").select(F.struct("label", "place").alias("pos"), F.col("vec_id").alias("id"))
+    return kn.list_difference(listed("vec_id"), listed(F.col("vec_id") % 7, "vec_id")).groupBy("pos.label").agg(F.count("*").alias("differ"))
 
 
-@query("SELECT '\"foo-bar\"* \"baz\"*' AS expression")
+@query("""SELECT page_id, array_to_string(list_transform(list_filter(list_transform(regexp_split_to_array(url || ' "' || page_id || '" ', '\\s+'), lambda x: replace(x, '"', '')), lambda x: x <> ''), lambda x: '"' || x || '"*'), ' ') AS expression FROM pages""")
 def fn4_match_expression(s, p):
-    return s.createDataFrame([(se.match_expression(' foo-bar  b"az '),)], "expression string")
+    typed = F.concat("url", F.lit(' "'), "page_id", F.lit('" '))
+    return d.table(s, p, "pages").select("page_id", tx.match_expression(typed).alias("expression"))
 
 
 @query()
@@ -220,7 +225,7 @@ def fn5_snippets(s, p):
 @query("SELECT conv_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS content FROM conversations GROUP BY conv_id")
 def fn12_flattened_chunks(s, p):
     parts = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    return d.table(s, p, "conversations").groupBy("conv_id").agg(F.array_join(parts, "\n\n---\n\n").alias("content"))
+    return d.table(s, p, "conversations").groupBy("conv_id").agg(tx.flattened(parts).alias("content"))
 
 
 @query("SELECT o_orderkey, CASE WHEN t <= 0 THEN 0 WHEN t / 50.0 <= 0.25 THEN 1 WHEN t / 50.0 <= 0.5 THEN 2 WHEN t / 50.0 <= 0.75 THEN 3 ELSE 4 END::INT AS level FROM (SELECT o_orderkey, o_orderkey % 51 AS t FROM orders)")
@@ -286,11 +291,9 @@ def opr20_template_sync(s, p):
 
 @query(with_("notes") + ", q AS (SELECT conv_id, DATE '2024-01-01' + (conv_id % 30)::INT AS day FROM conversations WHERE turn = 0), t AS (SELECT note_id, DATE '2024-01-01' + note_id::INT AS day FROM notes) SELECT conv_id, strftime(q.day, '%Y-%m-%d') AS iso, t.note_id FROM q LEFT JOIN t USING (day)")
 def opr22_daily_note_of_query(s, p):
-    daily = d.notes(s, p).select("note_id", F.expr("date_format(date_add(DATE'2024-01-01', CAST(note_id AS INT)), 'dd-MM-yyyy')").alias("title")).select("note_id", tx.title_to_iso(F.col("title")).alias("iso"))
-    asked = d.table(s, p, "conversations").where("turn = 0").select("conv_id", F.concat(F.lit("what about "), F.expr("date_format(date_add(DATE'2024-01-01', CAST(conv_id % 30 AS INT)), 'dd-MM-yyyy')"), F.lit("?")).alias("q"))
-    found = asked.select("conv_id", F.posexplode(UDFS["dates_in_text"](F.col("q"))).alias("pos", "iso")).join(daily, "iso", "left")
-    best = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("note_id").isNull(), "pos"))
-    return found.withColumn("_p", best).where("_p = 1").select("conv_id", "iso", "note_id")
+    daily = d.notes(s, p).select("note_id", F.expr("date_format(date_add(DATE'2024-01-01', CAST(note_id AS INT)), 'dd-MM-yyyy')").alias("title"))
+    asked = d.table(s, p, "conversations").where("turn = 0").select("conv_id", F.concat(F.lit("what about "), F.expr("date_format(date_add(DATE'2024-01-01', CAST(conv_id % 30 AS INT)), 'dd-MM-yyyy')"), F.lit("?")).alias("query"))
+    return kn.daily_note_asked(asked, daily, "conv_id")
 
 
 @query("SELECT l_orderkey AS note_id, l_linenumber::BIGINT AS version_id, CASE WHEN length(t) > 60 THEN substr(t, 1, 60) || '…' ELSE t END AS title, 'line ' || l_partkey AS preview FROM (SELECT *, repeat('title ' || l_suppkey || ' ', 9) AS t FROM lineitem)")
@@ -312,33 +315,42 @@ def opr31_rag_context(s, p):
     return made.select(F.col("section").cast("int").alias("part"), "body")
 
 
-@query(with_("notes") + ", w AS (SELECT unnest(['doc-3', 'doc-999999999', 'doc-5']) AS title) SELECT w.title, n.note_id IS NOT NULL AS found, n.note_id AS id FROM w LEFT JOIN notes n USING (title)")
+@query("SELECT DISTINCT 'doc-' || (doc_id * 7 % 997) AS title, n.id IS NOT NULL AS found, n.id FROM documents d LEFT JOIN (SELECT doc_id AS id FROM documents) n ON n.id = d.doc_id * 7 % 997")
 def opr32_transclusion_targets(s, p):
-    wanted = s.createDataFrame([("doc-3",), ("doc-999999999",), ("doc-5",)], "title string")
-    return wanted.join(kn.first_by_title(d.notes(s, p)), "title", "left").select("title", F.col("target_id").isNotNull().alias("found"), F.col("target_id").alias("id"))
+    n = d.notes(s, p)
+    wanted = n.select(F.concat(F.lit("doc-"), F.col("note_id") * 7 % 997).alias("title")).distinct()
+    return wanted.join(kn.first_by_title(n), "title", "left").select("title", F.col("target_id").isNotNull().alias("found"), F.col("target_id").alias("id"))
 
 
-@query("SELECT doc_id AS note_id, 'a ' || 'lead' || ' z' AS text FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'lead' FROM documents WHERE doc_id % 2 = 1")
+@query("""WITH d AS (SELECT doc_id, text, doc_id % 3 AS k, doc_id * 7 % 997 AS t FROM documents),
+x1 AS (SELECT a.doc_id, a.k, CASE WHEN a.k = 0 THEN a.text || ' end' WHEN b.doc_id IS NULL THEN a.text || '[missing: doc-' || a.t || ']' || ' end' WHEN b.doc_id = a.doc_id THEN a.text || '[circular: doc-' || a.t || ']' || ' end' END AS text, a.text AS own, a.t FROM d a LEFT JOIN d b ON b.doc_id = a.t)
+SELECT a.doc_id AS note_id, coalesce(a.text, a.own || b.text || ' end') AS text FROM x1 a LEFT JOIN x1 b ON b.doc_id = a.t WHERE a.text IS NOT NULL OR b.text IS NOT NULL""")
 def opr32_expanded_embeds(s, p):
     from marginalia.operators.embeds import expanded
 
-    even = F.col("note_id") % 2 == 0
-    n = d.notes(s, p).withColumn("content", F.when(even, F.concat(F.lit("a ![[doc-"), F.pmod(F.col("note_id") + 1, F.lit(100)), F.lit("]] z"))).otherwise("lead"))
-    return expanded(n).select("note_id", "text")
+    # whole texts with an embed at the end, but for every third; those whose chain of embeds ends after one or two are compared
+    embed = F.concat(F.lit("![[doc-"), F.col("note_id") * 7 % 997, F.lit("]]"))
+    n = spread(d.notes(s, p)).withColumn("content", F.concat("content", F.when(F.col("note_id") % 3 == 0, "").otherwise(embed), F.lit(" end")))
+    ids = n.select("note_id", (F.col("note_id") * 7 % 997).alias("t"))
+    ends = ids.join(ids.select(F.col("note_id").alias("t"), F.lit(True).alias("there")), "t", "left").where("note_id % 3 = 0 OR there IS NULL OR t = note_id").select("note_id")
+    short = ends.unionByName(ids.join(ends.select(F.col("note_id").alias("t")), "t").select("note_id")).distinct()
+    return expanded(n).select("note_id", "text").join(short, "note_id", "left_semi")
 
 
-@query(with_("notes", "folders", "tree") + "SELECT note_id, content FROM notes")
+@query(with_("notes", "folders", "tree") + ", f AS (SELECT DISTINCT id FROM tree WHERE ancestor = 1) SELECT note_id, CASE WHEN f.id IS NULL THEN content END AS shown, f.id IS NOT NULL AS hidden, CASE WHEN f.id IS NOT NULL THEN (ceil((octet_length(encode(content)) + 28) / 3.0) * 4)::INT END AS stored, content AS opened, f.id IS NULL AS indexed FROM notes n LEFT JOIN f ON f.id = n.folder_id")
 def opr33_reencrypted_subtree(s, p):
-    key = F.lit(b"k" * 32)
-    below = kn.subtree(d.folders(s, p), 1).select(F.col("id").alias("folder_id"))
-    locked = vault.reencrypted(d.notes(s, p), below, None, key)
-    return vault.reencrypted(locked, below, key, None).select("note_id", "content")
+    n, key = d.notes(s, p), F.lit(b"k" * 32)
+    folders, shut, rest = ns.locked(d.folders(s, p), n, 1, key, {"rows": n.select("note_id")})
+    _, plain, _ = ns.unlocked(folders, persisted(shut, "locked"), 1, key)
+    own = kn.subtree(d.folders(s, p), 1).select(F.col("id").alias("folder_id"), F.lit(True).alias("h"))
+    seen = shut.join(own, "folder_id", "left").select("note_id", F.when(F.col("h").isNull(), F.col("content")).alias("shown"), F.col("h").isNotNull().alias("hidden"), F.when(F.col("h"), F.length("content")).alias("stored"))
+    opened = plain.select("note_id", F.col("content").alias("opened"))
+    return seen.join(opened, "note_id").join(rest["rows"].withColumn("i", F.lit(True)), "note_id", "left").withColumn("indexed", F.col("i").isNotNull()).drop("i")
 
 
 @query("SELECT count(*) FILTER (WHERE l.doc_id IS NULL) AS missing, count(*) AS files FROM documents d LEFT JOIN labels l USING (doc_id)")
 def opr34_stale_summary(s, p):
-    there = d.table(s, p, "labels").select("doc_id", F.lit(1).alias("t"))
-    return d.table(s, p, "documents").join(there, "doc_id", "left").agg(F.count_if(F.col("t").isNull()).alias("missing"), F.count("*").alias("files"))
+    return kn.missing_counts(d.table(s, p, "documents"), d.table(s, p, "labels"), "doc_id")
 
 
 @query("SELECT 10::INT AS retries, false AS audit_enabled, 200::INT AS reading_wpm")

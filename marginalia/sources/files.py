@@ -17,7 +17,7 @@ MIME = {
 #: Extractors by extension, open to additions; each makes text of a binary column.
 EXTRACTORS = {
     **{e: UDFS["decode_text"] for e in ("txt", "log", "md")},
-    "csv": lambda c: csv_rows_text(UDFS["decode_text"](c)),
+    "csv": lambda c: UDFS["csv_text"](UDFS["decode_text"](c)),
     **{e: (lambda c: UDFS["html_structured"](UDFS["decode_text"](c))) for e in ("html", "htm")},
     "docx": UDFS["docx_text"],
     "odt": UDFS["odt_text"],
@@ -35,13 +35,6 @@ def mime_type(path: Column) -> Column:
     return out.otherwise("application/octet-stream")
 
 
-def csv_rows_text(text: Column) -> Column:
-    """Comma-separated lines with trimmed cells joined by tabs; quoted cells are one."""
-    lines = F.filter(F.split(text, "\r?\n"), lambda line: F.trim(line) != "")
-    cells = lambda line: F.transform(F.regexp_extract_all(line, F.lit(r'(?:^|,)\s*("(?:[^"]|"")*"|[^,]*)'), F.lit(1)), lambda c: F.replace(F.trim(F.regexp_replace(F.trim(c), r'^"|"$', "")), F.lit('""'), F.lit('"')))
-    return F.array_join(F.transform(lines, lambda line: F.array_join(cells(line), "\t")), "\n")
-
-
 def expanded_globs(patterns: list[str]) -> list[str]:
     """Patterns of an ignore file: ``#`` lines go; one without a slash holds at any depth, and below if it has no wildcard."""
     out = []
@@ -111,16 +104,31 @@ def changed(now: DataFrame, state: DataFrame, key: str, stamp: str = "mtime") ->
     return now.join(old, key, "left").where(F.col("_old").isNull() | (F.col("_old") != F.col(stamp))).drop("_old")
 
 
-def scan(spark: SparkSession, folder: str, excludes: list[str] | None = None) -> DataFrame:
-    """``path, relative, mime, mtime, length, content`` of the readable files below a folder; contents are read last."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def listing(spark: SparkSession, folder: str, excludes: list[str] | None = None) -> DataFrame:
+    """``path, relative, mime, mtime, length`` of the files below a folder that have a known type and match no exclude; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).drop("content")
     root = re.sub(r"^[a-z]+:/*", "/", folder.rstrip("/")) if ":" in folder else folder.rstrip("/")
     relative = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/*", "/"), f"^{re.escape(root)}/", "")
-    rows = files.select("path", relative.alias("relative"), mime_type(F.col("path")).alias("mime"), F.unix_seconds("modificationTime").alias("mtime"), "length", "content")
+    rows = files.select("path", relative.alias("relative"), mime_type(F.col("path")).alias("mime"), F.unix_seconds("modificationTime").alias("mtime"), "length")
     rows = rows.where(extension(F.col("path")).isin(list(MIME)))
     return rows.where(~excluded(F.col("relative"), excludes)) if excludes else rows
 
 
+def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``path, mime, mtime, length, content`` of these files."""
+    files = spark.read.format("binaryFile").load(paths)
+    return files.select("path", mime_type(F.col("path")).alias("mime"), F.unix_seconds("modificationTime").alias("mtime"), "length", "content")
+
+
+def scan(spark: SparkSession, folder: str, excludes: list[str] | None = None) -> DataFrame:
+    """The listed files with their contents; those that are excluded or of other types are not opened."""
+    found = listing(spark, folder, excludes).collect()
+    if not found:
+        return listing(spark, folder, excludes).withColumn("content", F.lit(None).cast("binary"))
+    names = spark.createDataFrame([(r.path, r.relative) for r in found], "path string, relative string")
+    return contents(spark, [r.path for r in found]).join(F.broadcast(names), "path").select("path", "relative", "mime", "mtime", "length", "content")
+
+
 def extracted(files: DataFrame) -> DataFrame:
     """``path, mime, mtime, content`` as text by format; a format without extractor (PDF) has ``error``."""
     ext, text = extension(F.col("path")), F.when(F.lit(False), "")
@@ -139,6 +147,19 @@ def catalogue(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("flavour = 'nopic'").select(F.regexp_replace("id", "^urn:uuid:", "").alias("id"), "title", F.regexp_replace(F.get(link, F.lit(0))["_href"], r"\.meta4$", "").alias("href"))
 
 
+def salvaged(rows: DataFrame, tests: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass all tests, and the others with ``fault``: the first test that failed. One bad row does not keep a batch back."""
+    fault = F.coalesce(*[F.when(~F.coalesce(test, F.lit(False)), F.lit(name)) for name, test in tests.items()])
+    marked = rows.withColumn("fault", fault)
+    return marked.where("fault IS NULL").drop("fault"), marked.where("fault IS NOT NULL")
+
+
+def cases(text: Column) -> Column:
+    """The cases of a fixture ``{version, cases: [{id, title, body, ...}]}``; malformed: none."""
+    found = F.from_json(text, "version int, cases array<struct<id:string,title:string,fts_query:string,semantic_query:string,body:string>>")
+    return F.coalesce(found["cases"], F.array().cast("array<struct<id:string,title:string,fts_query:string,semantic_query:string,body:string>>"))
+
+
 def write_csv(log: DataFrame, path: str) -> None:
     log.write.mode("overwrite").option("header", True).csv(path)
 

@@ -7,6 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions.documents import csv_text
+from marginalia.operators import ingest as ing
 from marginalia.operators.knowledge import export_paths
 from marginalia.sources import files as fi
 from marginalia.streaming import ingest as st
@@ -33,6 +35,30 @@ def test_scan_and_extraction(spark, folder):
     assert got == {"a.txt": ("é", None), "b.CSV": ('x\t1,2\tz\ny\t\tq"r', None), "c.html": ("# T\n\nu", None), "e.docx": ("hi", None), "f.pdf": (None, "unsupported format") if got["f.pdf"][0] is None else ("", "unsupported format"), "h.log": ("  ", "no text")}
 
 
+def test_csv_cells():
+    assert csv_text('a,"b, c\nd",e\r\n , \n"q""r", s ') == "a\tb, c d\te\nq\"r\ts" and csv_text(None) is None and csv_text("") == ""
+
+
+def test_listing_reads_no_content(spark, folder, capsys):
+    listed = fi.listing(spark, str(folder), ["node_modules"])
+    assert {r.relative for r in listed.collect()} == {"a.txt", "sub/b.CSV", "sub/c.html", "e.docx", "f.pdf", "h.log"}
+    listed.explain("formatted")
+    assert "content" not in capsys.readouterr().out.split("ReadSchema")[1].splitlines()[0]
+
+
+def test_folders_are_indexed_by_what_changed(spark, folder, tmp_path):
+    state, chunks = st.KeyedTable(spark, str(tmp_path / "state"), ["path"]), st.KeyedTable(spark, str(tmp_path / "chunks"), ["path"])
+    run = lambda n: ing.index_folder(spark, str(folder), state, chunks, n, ["node_modules"])
+    names = lambda: {os.path.basename(r.path) for r in chunks.read().select("path").distinct().collect()}
+    assert run(0) == {"indexed": 4, "failed": 2, "unchanged": 0, "removed": 0} and names() == {"a.txt", "b.CSV", "c.html", "e.docx"}
+    assert run(1) == {"indexed": 0, "failed": 0, "unchanged": 6, "removed": 0}
+    (folder / "a.txt").write_text("other words\nand more")
+    os.utime(folder / "a.txt", (1, 1))
+    (folder / "e.docx").unlink()
+    assert run(2) == {"indexed": 1, "failed": 0, "unchanged": 4, "removed": 1} and names() == {"a.txt", "b.CSV", "c.html"}
+    assert {r.content for r in chunks.read().collect() if r.path.endswith("a.txt")} == {"other words", "and more"}
+
+
 @pytest.mark.parametrize(("pattern", "path", "want"), [
     ("*.log", "a/b.log", True), ("build", "x/build/y", True), ("build", "builds/y", False), ("docs/*.md", "docs/a/b.md", True), ("docs/*.md", "other/docs/a.md", False), ("a?c", "x/abc", True),
     ("tmp/", "tmp", True), ("", "x", False), ("#x", "#x", False), ("[ab].txt", "q/b.txt", True), ("[!ab].txt", "q/b.txt", False), ("**/deep/*", "deep/x", True),
