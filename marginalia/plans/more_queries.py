@@ -21,7 +21,7 @@ from marginalia.streaming.ingest import known_actions
 
 from . import domain as d
 from .domain import NOW, with_
-from .queries import _DAY, _FTS, _HEAT, _lists, _near, query
+from .queries import _DAY, _FTS, _HEAT, _SENTENCES, _lists, _near, query
 
 
 @query("SELECT doc_id, text FROM documents WHERE text <> ''")
@@ -256,7 +256,7 @@ def fn34_squared_distance(s, p):
     return e.join(F.broadcast(one)).select("vec_id", F.round(vx.squared_l2(F.col("embedding"), F.col("t")), 6).alias("d"))
 
 
-@query()
+@query(with_("notes", "folders", "tree") + f", s AS (SELECT note_id, {_SENTENCES.format('content')} AS l FROM notes WHERE folder_id IN (SELECT id FROM tree WHERE ancestor = 1)) SELECT note_id, unnest(range(len(l)))::INT AS chunk_index, unnest(l) AS content FROM s")
 def opr11_unlock_reindex(s, p):
     below = kn.subtree(d.folders(s, p), 1).select(F.col("id").alias("folder_id"))
     return ing.note_chunks(d.notes(s, p).join(below, "folder_id", "left_semi")).select("note_id", "chunk_index", "content")

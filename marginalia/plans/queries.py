@@ -538,7 +538,13 @@ def fn7_truncate(s, p):
     return d.table(s, p, "events").select("event_id", tx.truncated(F.col("props"), 12).alias("detail"))
 
 
-@query()
+#: White space and sentences of a text as tx.sentences has them: lines, the long ones cut after full stops.
+_WS = r"[\x09-\x0D\x20]"
+_SENTENCES = rf"""list_filter(list_transform(flatten(list_transform(list_filter(list_transform(string_split({{0}}, chr(10)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> ''),
+  lambda x: CASE WHEN len(regexp_split_to_array(x, '{_WS}+')) > 30 THEN string_split(regexp_replace(x, '([.!?])[ \t](\p{{{{Lu}}}})', '\1' || chr(1) || '\2', 'g'), chr(1)) ELSE [x] END)), lambda x: regexp_replace(x, '^{_WS}+|{_WS}+$', '', 'g')), lambda x: x <> '')"""
+
+
+@query(f"WITH s AS (SELECT doc_id, {_SENTENCES.format('text')} AS l FROM documents) SELECT doc_id, unnest(range(len(l)))::INT AS pos, unnest(l) AS sentence FROM s")
 def fn8_sentences(s, p):
     return d.spread_table(s, p, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
 
@@ -588,7 +594,10 @@ def fn22_title_to_iso(s, p):
     return d.table(s, p, "orders").select("o_orderkey", tx.title_to_iso(form).alias("iso"), tx.title_to_iso(form, "MDY").alias("month_first"))
 
 
-@query()
+_READABLE = r"regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(content, '\[\[|\]\]', '', 'g'), '([\p{L}\p{M}])[''’.·](\p{N})', '\1 \2', 'g'), '(\p{N})[''’.,;](\p{L})', '\1 \2', 'g'), '_*[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}_]|[''’.·][\p{L}]|[''’.,;]\p{N})*')"
+
+
+@query(with_("marked") + f", w AS (SELECT note_id, len({_READABLE}) AS words FROM marked) SELECT note_id, words::INT AS words, CASE WHEN words <= 0 THEN 0 ELSE ceil(words / 200.0) END::BIGINT AS minutes FROM w")
 def fn23_readable_text(s, p):
     rows = spread(d.notes(s, p, True)).select("note_id", tx.readable_words(F.col("content")).alias("words"))
     return rows.withColumn("minutes", tx.reading_minutes(F.col("words")))
@@ -785,7 +794,7 @@ def opr7_hybrid_notes(s, p):
     return se.fused([("fts", lexical), ("semantic", semantic)], "note_id", 12).withColumn("score", F.round("score", 9))
 
 
-@query()
+@query(with_("notes") + f", s AS (SELECT note_id, title, {_SENTENCES.format('content')} AS l FROM notes) SELECT note_id, unnest(range(len(l)))::INT AS chunk_index, title, unnest(l) AS content, 'search_document: ' || title || chr(10) || unnest(l) AS text FROM s")
 def opr9_note_chunks(s, p):
     from marginalia.operators.ingest import note_chunks
 
