@@ -458,7 +458,9 @@ def wn8_chunk_windows(s, p):
     return d.table(s, p, "conversations").select("conv_id", "turn", tx.chunks(parts, 3, 1).alias("chunks"))
 
 
-@query()
+@query("""WITH r AS (SELECT doc_id, list_reduce(list_transform(string_split(text, chr(10)), lambda x: {'done': []::VARCHAR[], 'open': x}),
+  lambda a, x: CASE WHEN octet_length(encode(a.open)) + 1 + octet_length(encode(x.open)) <= 400 THEN {'done': a.done, 'open': a.open || chr(10) || x.open} ELSE {'done': list_append(a.done, a.open), 'open': x.open} END) AS r FROM documents),
+b AS (SELECT doc_id, list_append(r.done, r.open) AS l FROM r) SELECT doc_id, unnest(range(len(l)))::INT AS block, unnest(l) AS content FROM b""")
 def wn9_row_blocks(s, p):
     return d.table(s, p, "documents").select("doc_id", F.posexplode(tx.row_blocks(F.split("text", "\n"), 400)).alias("block", "content"))
 
