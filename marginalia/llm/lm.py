@@ -12,9 +12,10 @@ in which no key is frequent; a document's repeated words are counted before they
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from math import exp, log, log1p
 
 import numpy as np
@@ -31,8 +32,8 @@ _BLANK = "▁"
 _LN10 = log(10)
 #: Distinct words that a task counts before it hands them on.
 _FLUSH = 150_000
-#: Words for one task that runs lattices.
-_WORDS_PER_TASK = 30_000
+#: Words for one task that runs lattices, and characters of a word whose edges are kept.
+_WORDS_PER_TASK, _LONG = 30_000, 4096
 
 
 def read_vocabulary(path: str) -> tuple[list[str], np.ndarray]:
@@ -71,54 +72,71 @@ class Lattice:
             for k in range(1, len(piece)):
                 self.table.setdefault(piece[:k], -1)
 
-    def edges(self, text: str) -> list[list[tuple[int, int, float]]]:
-        """From each place: end, piece and log probability of the pieces there; bytes (piece -1) for an unknown character."""
-        get, logs, n, out = self.table.get, self.logs, len(text), []
+    def edges(self, text: str, i: int) -> list[tuple[int, int, float]]:
+        """From a place: end, piece and log probability of the pieces there; bytes (piece -1) for an unknown character."""
+        get, n, out, j = self.table.get, len(text), [], i + 1
+        while j <= n:
+            piece = get(text[i:j])
+            if piece is None:
+                break
+            if piece >= 0:
+                out.append((j, piece, self.logs[piece]))
+            j += 1
+        if not out or out[0][0] != i + 1:
+            out.append((i + 1, -1, self._bytes(text[i])))
+        return out
+
+    def _bytes(self, char: str) -> float:
+        return sum(self.logs[self.bytes[b]] for b in char.encode())
+
+    def marginal(self, word: str) -> float:
+        """Natural log of the summed probability of all segmentations. Places that are passed are let go, so memory is small for words of any length."""
+        text, get, logs, none = _BLANK + word, self.table.get, self.logs, float("-inf")
+        n = len(text)
+        alpha: list[float | None] = [0.0] + [none] * n
         for i in range(n):
-            here, j = [], i + 1
+            a, j, known = alpha[i], i + 1, False
+            alpha[i] = None
             while j <= n:
                 piece = get(text[i:j])
                 if piece is None:
                     break
                 if piece >= 0:
-                    here.append((j, piece, logs[piece]))
+                    known = known or j == i + 1
+                    x, y = alpha[j], a + logs[piece]
+                    if x < y:
+                        x, y = y, x
+                    alpha[j] = x + log1p(exp(y - x)) if y > none else x
                 j += 1
-            if not here or here[0][0] != i + 1:
-                here.append((i + 1, -1, sum(logs[self.bytes[b]] for b in text[i].encode())))
-            out.append(here)
-        return out
+            if not known:
+                x, y = alpha[i + 1], a + self._bytes(text[i])
+                if x < y:
+                    x, y = y, x
+                alpha[i + 1] = x + log1p(exp(y - x)) if y > none else x
+        return alpha[n]
 
-    @staticmethod
-    def _forward(edges: list[list[tuple[int, int, float]]]) -> list[float]:
-        none = float("-inf")
-        alpha = [0.0] + [none] * len(edges)
-        for i, here in enumerate(edges):
+    def expected(self, word: str, weight: float, into: np.ndarray) -> None:
+        """Add ``weight`` times the expected number of uses of each piece. The edges of a long word are looked up again where they are used, not kept."""
+        text, none = _BLANK + word, float("-inf")
+        n = len(text)
+        numbers = list if n <= _LONG else partial(array, "d")
+        at = [self.edges(text, i) for i in range(n)].__getitem__ if n <= _LONG else partial(self.edges, text)
+        alpha, beta = numbers([0.0] + [none] * n), numbers([0.0] * (n + 1))
+        for i in range(n):
             a = alpha[i]
-            for j, _, lp in here:
+            for j, _, lp in at(i):
                 x, y = alpha[j], a + lp
                 if x < y:
                     x, y = y, x
                 alpha[j] = x + log1p(exp(y - x)) if y > none else x
-        return alpha
-
-    def marginal(self, word: str) -> float:
-        """Natural log of the summed probability of all segmentations."""
-        return self._forward(self.edges(_BLANK + word))[-1]
-
-    def expected(self, word: str, weight: float, into: np.ndarray) -> None:
-        """Add ``weight`` times the expected number of uses of each piece."""
-        text = _BLANK + word
-        edges = self.edges(text)
-        alpha, n = self._forward(edges), len(edges)
-        beta = [0.0] * (n + 1)
         for i in range(n - 1, -1, -1):
-            parts = [lp + beta[j] for j, _, lp in edges[i]]
+            parts = [lp + beta[j] for j, _, lp in at(i)]
             top = max(parts)
             beta[i] = top + log(sum([exp(x - top) for x in parts]))
         total = alpha[n]
-        for i, here in enumerate(edges):
+        for i in range(n):
             a = alpha[i] - total
-            for j, piece, lp in here:
+            for j, piece, lp in at(i):
                 share = weight * exp(a + lp + beta[j])
                 if piece >= 0:
                     into[piece] += share
@@ -159,7 +177,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def fit_pieces(words: DataFrame, ends: int, vocabulary: str, rounds: int = 1, prior: float = 1000.0) -> tuple[np.ndarray, float]:
     """Natural log probabilities of the pieces and of the end, after ``rounds`` of expectation over the training words.
 
-    The vocabulary's own probabilities count as ``prior`` pieces seen. What reaches the driver is one number
+    The vocabulary's own probabilities count as ``prior`` pieces seen; with ``rounds=0`` they are taken as they are. What reaches the driver is one number
     for each piece of the vocabulary.
     """
     pieces, base = _vocabulary(vocabulary)

@@ -24,6 +24,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # no unigram vocabulary is at hand: this one's merge ranks stand for scores, and one round of expectation fits them
     return lm.score(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 

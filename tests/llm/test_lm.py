@@ -79,3 +79,21 @@ def test_defined_on_odd_tables(docs_of):
     odd = docs_of([(None, "a b"), (None, "a b"), (5, "a b"), (5, None)]).withColumn("word", F.lit("x")).withColumn("held_out", F.lit("y")).withColumn("row", F.lit(1))
     got = lm.score(odd, PATH).collect()
     assert sorted(r.n_tokens for r in got) == [1, 3, 3, 3] and sum(r.doc_id is None for r in got) == 2
+
+
+def test_long_words_are_worked_on_in_little_memory(monkeypatch):
+    import tracemalloc
+
+    pieces, p = ["▁", "a", "b", "ab", "aba", *(f"<0x{i:02X}>" for i in range(256))], np.full(261, 1 / 261)
+    lattice = lm.Lattice(pieces, np.log(p))
+    word = "abaé" * 900
+    kept, again = np.zeros(261), np.zeros(261)
+    lattice.expected(word, 2.0, kept)
+    monkeypatch.setattr(lm, "_LONG", 10)
+    lattice.expected(word, 2.0, again)
+    assert np.allclose(kept, again)
+    tracemalloc.start()
+    lattice.marginal("ab" * 200_000)
+    lattice.expected("ab" * 100_000, 1.0, again)
+    assert tracemalloc.get_traced_memory()[1] < 30_000_000
+    tracemalloc.stop()
