@@ -45,6 +45,10 @@ def _parted(raw: bytes) -> bytes:
     return raw.replace(b".", b" . ").replace(b",", b" , ")
 
 
+#: Text that tells whether a tokenizer has the rules that tokenising by words relies on: small letters, blanks, signs, digits, accents, marks.
+_PROBE = "The  quick Brown-fox\tjumped, over 12 dogs' 3.5 tails... it's DON'T x!?y éÀß ñandú naïve a\u0301 e\u200bf 漢字かな 🙂 a_b #tag @you (p) [q] 100% <b> z\n\n end."
+
+
 class BestFit:
     """Bounded-space online best-fit over bins of ``size``."""
 
@@ -112,6 +116,7 @@ class Encoder:
     tokenised on its own, and so is the punctuation that ends it; Capitals A-Z may be lowered beforehand,
     as the tokenizer lowers them itself. Words of plain small letters are a single unit to it: its merges
     run on them without normalising, and each such word ends at the one token that is marked as a word's end.
+    Whether a tokenizer is like that is tried out on a text that has all this; with any other, texts are tokenised whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -126,6 +131,10 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.words, self.mark = _Words(_CACHE), self._ids(self.tokenizer, _MARK)[0]
+        # another tokenizer may have other rules: then texts go whole
+        self.by_word = bool(self.ends.any())
+        self.by_word = self.by_word and self.encode([_PROBE]) == [self._ids(self.tokenizer, _PROBE).tobytes()]
+        self.words = _Words(_CACHE)
 
     @staticmethod
     def _ids(tokenizer, text: str) -> np.ndarray:
@@ -167,7 +176,7 @@ class Encoder:
         for text in texts:
             raw = text.encode()
             # special tokens are matched with their capitals and the mark has a use here: those texts go whole
-            whole = b"<|" in raw or _MARK.encode() in raw
+            whole = not self.by_word or b"<|" in raw or _MARK.encode() in raw
             split.append(None if whole else _parted(raw.lower()).split())
         fresh = self.words.missing(set().union(*[s for s in split if s]))
         self._learn(fresh)

@@ -3,6 +3,7 @@ import struct
 import zlib
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,10 @@ def test_defined_on_odd_tables(docs_of):
     assert packing.pack(docs_of([]), PATH).count() == 0
     odd = docs_of([(None, "a"), (2**60 + 1, "a"), (2**60 + 1, "a")]).withColumn("offset", F.lit("x")).withColumn("piece", F.lit(1))
     assert sorted((r.doc_id or 0 for r in packing.pack(odd, PATH).collect())) == [0, 2**60 + 1, 2**60 + 1]
+
+
+def test_tokenizers_of_other_rules_get_whole_texts():
+    words, other = (packing.Encoder(public_tokenizers.path(f"{name}.json")) for name in ("word_bpe_49k", "byte_bpe_50k"))
+    assert words.by_word and not other.by_word
+    texts = ["Hello  World, it's", "x" * 300, "", "a.b"]
+    assert other.encode(texts) == [np.array(other.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
