@@ -55,6 +55,11 @@ def written() -> int:
     return len(_written)
 
 
+def written_since(mark: int) -> list[str]:
+    """Paths of the scratch tables written since a mark that are not deleted."""
+    return _written[mark:]
+
+
 def drop_written(spark: SparkSession, since: int) -> None:
     """Delete the scratch tables written from ``since`` on, but for the last: what it was made of is not read again."""
     for path in _written[since:-1]:

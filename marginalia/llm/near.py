@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, first_of_each, persisted, unused
+from .common import components, drop_written, first_of_each, persisted, unused, written
 from .simhash import ball_pairs, bit_counts
 
 #: Anchored fingerprints of a text, bits of each, minima in an anchor, and 64-bit words of SimHash in all.
@@ -123,21 +123,33 @@ def best_centres(met: DataFrame, crowds: DataFrame, least: float) -> DataFrame:
     return pairs.groupBy(F.col("own._key").alias("b")).agg(F.min(F.struct(far.alias("far"), F.col("centre._key").alias("a"))).alias("best")).select("best.a", "b")
 
 
-def _mixed(met: DataFrame) -> DataFrame:
-    """``anchor, least_n`` of the anchors of ``met(code, own, component)`` that several components share, with the fewest shingles of a text there."""
-    tag = F.xxhash64("component")
-    return met.groupBy(_anchor(F.col("code")).alias("anchor")).agg(F.min(tag).alias("lo"), F.max(tag).alias("hi"), F.min("own.n").alias("least_n")).where("lo != hi").select("anchor", "least_n")
+def _tag(component: str = "component") -> Column:
+    return F.xxhash64(component)
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Of ``rows(anchor, own, component, ...)`` those at whose anchor another component has a text small enough for
+    ``own.reach``, the most shingles of a similar text, and one whose own reach is as far as ``own.n``."""
+    sides = rows.groupBy("anchor", _tag().alias("tag")).agg(F.min("own.n").alias("n"), F.max("own.reach").alias("reach"))
+    first = sides.groupBy("anchor").agg(F.min(F.struct("n", "tag")).alias("small"), F.max(F.struct("reach", "tag")).alias("far"))
+    both = sides.join(first, "anchor").groupBy("anchor", "small", "far").agg(F.min(F.when(F.col("tag") != F.col("small.tag"), F.col("n"))).alias("small2"), F.max(F.when(F.col("tag") != F.col("far.tag"), F.col("reach"))).alias("far2"))
+    met = rows.join(both, "anchor")
+    small = F.when(_tag() != F.col("small.tag"), F.col("small.n")).otherwise(F.col("small2"))
+    far = F.when(_tag() != F.col("far.tag"), F.col("far.reach")).otherwise(F.col("far2"))
+    return met.where((F.col("own.reach") >= small) & (F.col("own.n") <= far)).select(rows.columns)
 
 
 def within_reach(met: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """The rows of ``met(code, own, component)`` whose text can be similar to one of another component there; ``own`` gets ``shared``.
+    """The rows of ``met(code, own, component)`` whose text can be similar to one of another component there; ``own`` gets ``shared`` and ``reach``.
 
     ``shared`` counts a text's shingles that a text of another component has, of those that share an anchor with
-    another component at all.
+    another component at all; ``reach`` is the most shingles that a text similar to it can have.
     """
+    mark = written()
     anchored = met.withColumn("anchor", _anchor(F.col("code")))
-    live = persisted(anchored.join(_mixed(met), "anchor").select("anchor", "code", "own", "component", "least_n"), "live")
-    keys = live.select("own._key", F.xxhash64("component").alias("tag")).distinct()
+    mixed = anchored.groupBy("anchor").agg(F.min(_tag()).alias("lo"), F.max(_tag()).alias("hi")).where("lo != hi").select("anchor")
+    live = persisted(anchored.join(mixed, "anchor", "left_semi").select("anchor", "code", "own", "component"), "live")
+    keys = live.select("own._key", _tag().alias("tag")).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,37 +162,41 @@ def within_reach(met: DataFrame, texts: DataFrame, least: float, width: int) ->
     runs = persisted(texts.join(keys, "_key").select("_key", "tag", "text").mapInArrow(cut, "shingle long, _key binary, tag long"), "shingles")
     both = runs.groupBy("shingle").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo != hi").select("shingle")
     counts = runs.join(both, "shingle", "left_semi").groupBy("_key").agg(F.count("*").alias("shared"))
-    counted = live.join(counts, F.col("own._key") == F.col("_key")).withColumn("own", F.struct("own._key", "own.n", "shared", "own.sketch"))
-    smallest = F.greatest(F.col("least_n"), F.ceil(F.col("own.n") * least))
-    kept = counted.where(_reaches(F.col("shared"), F.col("own.n"), smallest, least)).select("code", "own", "component")
-    return persisted(kept, "live")
+    reach = (F.floor(F.col("shared") * ((1 + least) / least) + 1e-6) - F.col("own.n")).alias("reach")
+    counted = live.join(counts, F.col("own._key") == F.col("_key")).withColumn("own", F.struct("own._key", "own.n", "shared", reach, "own.sketch")).select(live.columns)
+    kept = persisted(_meeting(persisted(_meeting(persisted(counted, "live")), "live")), "live")
+    drop_written(met.sparkSession, mark)
+    return kept
 
 
 def candidates(met: DataFrame, least: float, one_each: bool = False) -> DataFrame:
-    """Pairs ``(a, b, ca, cb, far)`` of texts of ``met(code, own, component)`` in unlike components ``ca`` and ``cb``
+    """Pairs ``(a, b, ca, cb, far)`` of texts of ``met(anchor, code, own, component)`` in unlike components ``ca`` and ``cb``
     that have an anchor in common and differ in at most two bits of the fingerprint behind it.
 
-    Only fingerprints at anchors that several components share are emitted with their variants, so a group of
-    copies that is connected costs nothing. Pairs of fingerprints are made from the at most 17 that meet at a
-    variant, pairs of texts from those that lie in unlike components; with ``one_each`` one text stands for all
-    of its component that have a fingerprint.
+    Only fingerprints at anchors where texts can reach another component are emitted with their variants, so a
+    group of copies that is connected costs nothing. Pairs of fingerprints are made from the at most 17 that meet
+    at a variant, then of the components there, then of their texts, each only where sizes and reaches allow it;
+    with ``one_each`` one text stands for all of its component that have a fingerprint.
     """
-    tag = F.xxhash64("component")
-    live = met.withColumn("anchor", _anchor(F.col("code"))).join(_mixed(met), "anchor", "left_semi").select("code", "own", "component")
-    live = persisted(live.groupBy("code", "component").agg(F.min("own").alias("own")) if one_each else live, "live")
-    parts = persisted(live.select("code", "component").distinct(), "parts")
-    codes = persisted(parts.groupBy("code").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi")), "codes")
-    side = lambda name: codes.select(F.col("code").alias(name), F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
-    near = ball_pairs(codes.select("code"), PART_BITS).join(side("u"), "u").join(side("w"), "w").where("u_lo != u_hi OR w_lo != w_hi OR u_lo != w_lo").select("u", "w")
+    mark = written()
+    live = _meeting(met)
+    live = persisted(live.groupBy("code", "component").agg(F.min("own").alias("own")) if one_each else live.select("code", "own", "component"), "live")
+    parts = persisted(live.groupBy("code", "component").agg(F.min("own.n").alias("n"), F.max("own.reach").alias("reach")), "parts")
+    codes = persisted(parts.groupBy("code").agg(F.min(_tag()).alias("lo"), F.max(_tag()).alias("hi"), F.min("n").alias("n"), F.max("reach").alias("reach")), "codes")
+    fits = lambda a, b: (F.col(f"{a}_n") <= F.col(f"{b}_reach")) & (F.col(f"{b}_n") <= F.col(f"{a}_reach"))
+    side = lambda c: codes.select(F.col("code").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("lo", "hi", "n", "reach")])
+    near = ball_pairs(codes.select("code"), PART_BITS).join(side("u"), "u").join(side("w"), "w").where(fits("u", "w")).where("u_lo != u_hi OR w_lo != w_hi OR u_lo != w_lo").select("u", "w")
     near = near.unionByName(codes.where("lo != hi").select(F.col("code").alias("u"), F.col("code").alias("w")))
-    part = lambda code, c: parts.select(F.col("code").alias(code), F.col("component").alias(c))
-    # which components meet at which fingerprints, then their texts
-    near = near.join(part("u", "cx"), "u").join(part("w", "cy"), "w").where("cx != cy AND (u != w OR cx < cy)")
+    part = lambda code, c: parts.select(F.col("code").alias(code), F.col("component").alias(c), F.col("n").alias(f"{c}_n"), F.col("reach").alias(f"{c}_reach"))
+    near = near.join(part("u", "cx"), "u").join(part("w", "cy"), "w").where("cx != cy AND (u != w OR cx < cy)").where(fits("cx", "cy"))
     text = lambda code, c, own: live.select(F.col("code").alias(code), F.col("component").alias(c), F.col("own").alias(own))
-    pairs = near.join(text("u", "cx", "x"), ["u", "cx"]).join(text("w", "cy", "y"), ["w", "cy"]).where(_alike("x", "y", least, shared=True))
+    pairs = near.join(text("u", "cx", "x"), ["u", "cx"]).where("x.n <= cy_reach AND x.reach >= cy_n")
+    pairs = pairs.join(text("w", "cy", "y"), ["w", "cy"]).where(_alike("x", "y", least, shared=True))
     first = F.col("x._key") < F.col("y._key")
     ends = [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x._key", "y._key"), ("b", "y._key", "x._key"), ("ca", "cx", "cy"), ("cb", "cy", "cx"))]
-    return persisted(pairs.select(*ends, _distance(F.col("x.sketch"), F.col("y.sketch")).alias("far")).distinct(), "pairs")
+    found = persisted(pairs.select(*ends, _distance(F.col("x.sketch"), F.col("y.sketch")).alias("far")).distinct(), "pairs")
+    drop_written(met.sparkSession, mark)
+    return found
 
 
 def closest(pairs: DataFrame) -> DataFrame:
@@ -213,8 +229,11 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Da
 
 def _joined(named: DataFrame, edges: DataFrame) -> DataFrame:
     """``named(_key, ..., component)`` after the components that ``edges(a, b)`` connect have become one."""
+    mark = written()
     labels = components(edges).withColumnRenamed("node", "component")
-    return persisted(named.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).select(named.columns), "components")
+    found = persisted(named.join(labels, "component", "left").withColumn("component", F.coalesce("label", "component")).select(named.columns), "components")
+    drop_written(named.sparkSession, mark)
+    return found
 
 
 def classes(rows: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
@@ -235,7 +254,7 @@ def classes(rows: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
 
     named = every.select("_key", "rep", F.col("_key").alias("component"))
     named = _joined(named, verified(persisted(best_centres(met, crowds, least), "pairs"), texts, least, width))
-    with_component = lambda df: df.select("code", "own").join(named.select("_key", "component"), F.col("own._key") == F.col("_key")).select("code", "own", "component")
+    with_component = lambda df: df.drop("component").join(named.select("_key", "component"), F.col("own._key") == F.col("_key")).drop("_key")
     live = within_reach(with_component(met), texts, least, width)
     placed = lambda: with_component(live)
     edges = lambda links: links.select(F.col("ca").alias("a"), F.col("cb").alias("b"))
