@@ -7,23 +7,48 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import mixing, near, packing, pii, toxicity
-from marginalia.llm.common import drop_written, persisted, unused, written
+from marginalia.llm.common import drop_path, drop_written, persisted, unused, written, written_since
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: Scratch tables of the stage before, whose result has been written and read again when a stage begins.
+_left: list[str] = []
+
+
+def stage(make: Stage) -> Stage:
+    """A stage that begins by deleting the scratch tables of the one before."""
+
+    @wraps(make)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for path in _left:
+            drop_path(spark, path)
+        mark = written()
+        out = make(spark, docs, sf_dir)
+        _left[:] = written_since(mark)
+        return out
+
+    return run_stage
 
 
+@stage
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as toxic go; the lexicon is learnt from ``labels`` and the texts at hand."""
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, similarity 0.8 or more) stays, that with the smallest id; SimHash ball hashing finds the candidates."""
     return near.keep_first(docs)
 
 
+@stage
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; ``n_chars`` of changed texts is counted anew. A session without a key uses the published one, with a warning."""
     kinds = unused(docs, "pii")
@@ -32,11 +57,13 @@ def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return found.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes any of its words."""
     return mixing.repeated(docs)
 
 
+@stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     import public_tokenizers
@@ -59,7 +86,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after another, on the documents of ``sf_dir``; of the scratch tables only the last stage's input stays."""
     docs, mark = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
-    for name, stage in STAGES[:-1]:
-        docs = persisted(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, make in STAGES[:-1]:
+        docs = persisted(make(spark, docs, sf_dir), name.replace(" ", "-"))
         drop_written(spark, mark)
     return STAGES[-1][1](spark, docs, sf_dir)
