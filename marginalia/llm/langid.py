@@ -29,8 +29,8 @@ _GRAMS, BITS = (2, 3, 4), 18
 #: Rows of a language that the model is fitted on (by a hash of id and text, so about that many), words in a
 #: row, from a random place, that are taken of each, and words of a fitted chain.
 SAMPLE, SAMPLE_WORDS, CHAIN = 600, 60, 64
-#: Words of a block of a longer chain; characters of texts that are worked on together.
-_BLOCK, _LOT = 256, 3 << 20
+#: Words of a block of a longer chain, blocks and characters of texts that are worked on together.
+_BLOCK, _TOGETHER, _LOT = 256, 2048, 3 << 20
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,25 +127,27 @@ class Chain:
         total = ((np.log(scale.T) + shift[:, :, 0]) * used).sum() + n * self.start.max()
         return out, total, counts
 
-    def borders(self, scores: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """What comes to the first and to the last word of each block of one long chain (blocks x words x languages).
-
-        The last block has ``length`` words. All steps of a block are one matrix, so that blocks side by side give
-        what the whole chain would.
-        """
+    def steps(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """All steps of each block (blocks x words x languages) as one matrix: what comes to its first word to what leaves its last."""
         blocks, longest, k = scores.shape
         local, moves = np.exp(scores - scores.max(2, keepdims=True)), np.exp(self.moves)
-        whole = np.broadcast_to(np.eye(k), (blocks, k, k))
+        whole = np.tile(np.eye(k), (blocks, 1, 1))
         for t in range(longest):
-            now = (whole @ moves if t else whole) * local[:, t, None, :]
-            now = now / now.sum((1, 2), keepdims=True)
-            whole = now if t < length else np.concatenate([now[:-1], whole[-1:]])
-        first, last = np.ones((blocks, k)), np.ones((blocks, k))
+            now = ((whole.reshape(-1, k) @ moves).reshape(blocks, k, k) if t else whole) * local[:, t, None, :]
+            now /= now.sum((1, 2), keepdims=True)
+            inside = lengths > t
+            whole = now if inside.all() else np.where(inside[:, None, None], now, whole)
+        return whole
+
+    def borders(self, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What comes to the first and to the last word of each block of one chain, of its blocks' matrices."""
+        moves = np.exp(self.moves)
+        first, last = np.ones(whole.shape[:2]), np.ones(whole.shape[:2])
         first[0] = np.exp(self.start - self.start.max())
-        for b in range(1, blocks):
+        for b in range(1, len(whole)):
             first[b] = first[b - 1] @ whole[b - 1] @ moves
             first[b] /= first[b].sum()
-        for b in range(blocks - 2, -1, -1):
+        for b in range(len(whole) - 2, -1, -1):
             last[b] = moves @ whole[b + 1] @ last[b + 1]
             last[b] /= last[b].sum()
         return first, last
@@ -238,12 +240,19 @@ def label_words(model: Chain, texts: list[list[str]]) -> list[np.ndarray]:
     # what comes to a block from without; a text of one block has only its start
     start, ones = np.exp(model.start - model.start.max()), np.ones(len(model.langs))
     within: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-    for i, own in enumerate(numbers):
-        if len(own) > _BLOCK:
-            blocks = -(-len(own) // _BLOCK)
-            whole = np.pad(own, (0, blocks * _BLOCK - len(own))).reshape(blocks, _BLOCK)
-            for b, pair in enumerate(zip(*model.borders(scores[whole], len(own) - (blocks - 1) * _BLOCK), strict=True)):
-                within[i, b * _BLOCK] = pair
+    long = [i for i, own in enumerate(numbers) if len(own) > _BLOCK]
+    blocks = [numbers[i][at : at + _BLOCK] for i in long for at in range(0, len(numbers[i]), _BLOCK)]
+    steps = []
+    for at in range(0, len(blocks), _TOGETHER):
+        part = blocks[at : at + _TOGETHER]
+        lengths = np.array([len(b) for b in part])
+        steps.append(model.steps(scores[np.stack([np.pad(b, (0, _BLOCK - len(b))) for b in part])], lengths))
+    steps, done = np.concatenate(steps) if steps else None, 0
+    for i in long:
+        own = -(-len(numbers[i]) // _BLOCK)
+        for b, pair in enumerate(zip(*model.borders(steps[done : done + own]), strict=True)):
+            within[i, b * _BLOCK] = pair
+        done += own
     cut = sorted(((min(_BLOCK, len(t) - at), i, at) for i, t in enumerate(texts) for at in range(0, len(t), _BLOCK)), reverse=True)
     first = 0
     while first < len(cut):
