@@ -26,9 +26,9 @@ from pyspark.sql import types as T
 from .common import persisted
 
 #: Links of a node in upper layers and in the base layer, neighbours they are chosen from, and the search beam.
-LINKS, BASE_LINKS, POOL, BEAM = 16, 32, 64, 192
+LINKS, BASE_LINKS, POOL, BEAM = 16, 32, 64, 128
 #: Vectors of a shard, fewest shards, and queries of a block.
-PER_SHARD, LEAST_SHARDS, PER_BLOCK = 1 << 15, 8, 512
+PER_SHARD, LEAST_SHARDS, PER_BLOCK = 1 << 14, 8, 512
 #: Vectors that are linked from all pairs, in lots that double from so many on, and those of a batch that is inserted then.
 FIRST, _START, BATCH = 8192, 64, 2048
 #: Further places where a search begins, nodes it expands at once, beam of upper layers, and queries searched together.
