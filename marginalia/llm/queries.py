@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif, hnsw, langid, lm, mixing, packing, pii, simhash, toxicity, warc
+from . import divergence, gif, hnsw, infill, langid, lm, mixing, multiset, packing, pii, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,9 +62,27 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "text", *[found["pii"][kind].alias(f"n_{kind}") for kind in pii.KINDS])
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op12_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiset.likenesses(_table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc_round_trip": warc.ROUND_TRIP_SQL, "op6_source_mixing": mixing.MIX_SQL}
+    return {
+        "op4_warc_round_trip": warc.ROUND_TRIP_SQL,
+        "op6_source_mixing": mixing.MIX_SQL,
+        "op11_source_divergence": divergence.DIVERGENCE_SQL,
+        "op12_multiset_fingerprints": multiset.LIKENESS_SQL,
+        "op13_fill_in_middle": infill.DIGESTS_SQL,
+    }

@@ -21,7 +21,7 @@ def test_query(spark, name):
         want = con.execute(queries.oracle_sql()[name])
         order = [got.columns.index(c[0]) for c in want.description]
         assert sorted((tuple(r[i] for i in order) for r in rows), key=repr) == sorted(want.fetchall(), key=repr)
-    elif name not in ("op5_best_fit_packing", "op7_hnsw_search"):
+    elif name not in ("op5_best_fit_packing", "op7_hnsw_search", "op11_source_divergence"):
         assert len(rows) == con.execute("SELECT count(*) FROM documents").fetchone()[0]
 
 
