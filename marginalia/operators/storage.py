@@ -1,12 +1,15 @@
-"""Folders that all nodes share, and keyed tables in them that change by batches."""
+"""Folders that all nodes share, and keyed tables in them that change by batches and are merged when they are read."""
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of a table for each core below which it may have fewer splits than there are cores.
 THIN = 32 << 20
@@ -50,6 +53,51 @@ def drop(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a path; of one that is not there: none."""
+    where, store = _at(spark, path)
+    return store.getContentSummary(where).getLength() if store.exists(where) else 0
+
+
+def put_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a file whole, unless there is one of that name: of all who try at once, one gets True.
+
+    The text goes to a file of its own, which then gets the name: by a rename, which stores refuse where the name is
+    taken, or by a link in a local folder, whose renames replace.
+    """
+    aside = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    where, store = _at(spark, aside)
+    target, _ = _at(spark, path)
+    out = store.create(where)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if store.getScheme() == "file":
+            nio = spark.sparkContext._jvm.java.nio.file
+            own, new = (nio.Path.of(x.toUri().getPath(), spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.java.lang.String, 0)) for x in (where, target))
+            try:
+                nio.Files.createLink(new, own)
+            except Exception as e:
+                if "FileAlreadyExists" not in str(e):
+                    raise
+                return False
+            return True
+        return not store.exists(target) and store.rename(where, target)
+    finally:
+        if store.exists(where):
+            store.delete(where, False)
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    where, store = _at(spark, path)
+    stream = store.open(where)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils.readFullyToByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts its lineage with files that outlive executors."""
     path = new_path(df.sparkSession, name)
@@ -64,73 +112,198 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if size < cores * THIN else df
 
 
-class KeyedTable:
-    """A Parquet table in which a batch replaces all rows of its keys.
+class Conflict(Exception):
+    """Another writer's batch became part of a table first."""
+
 
-    Rows lie in buckets by key; a batch writes anew only the buckets of its keys, then a map from buckets to the
-    batch that wrote them last, then a mark. What the mark does not name is not part of the table, so a batch that
-    failed half way leaves nothing. Marks carry the batch's stream and number: a repeated batch is skipped, whatever
-    the numbers of other streams. Buckets that the last two maps do not name are deleted.
+@dataclass(frozen=True)
+class Segment:
+    """What one batch, or several that were merged, brought: rows, and the keys that these replace."""
+
+    name: str
+    rows: int
+    bytes: int
+    #: Whether there are keys to look for in older segments.
+    keys: bool
+
+
+@dataclass(frozen=True)
+class State:
+    """A table as of a version: its segments from the oldest on, the last number of each stream, and the rows' schema."""
+
+    version: int = -1
+    segments: tuple[Segment, ...] = ()
+    done: dict[str, int] = field(default_factory=dict)
+    schema: str = ""
+
+
+class KeyedTable:
+    """A Parquet table in which a batch replaces all rows of its keys, merged when it is read.
+
+    A batch writes its own rows and keys and nothing else, however large the table is. Readers take of each key the
+    rows of the newest segment that has it: one join of the rows with the keys of all segments but the oldest, which
+    are few beside the rows. Segments of like size that follow each other are merged, ``FANOUT`` at a time, so a row
+    is written anew about as often as the table grew by that factor; where the oldest is among them, deleted keys are
+    forgotten. A version is one small file, which is there once: of two writers with the same version in mind one gets
+    :class:`Conflict`, and its batch is not part of the table. Versions know each stream's last number, so a
+    batch that is repeated is skipped.
     """
 
-    BUCKETS = 64
+    #: Segments of like size that are merged, bytes below which sizes are alike, and versions whose segments are kept for readers.
+    FANOUT, UNIT, VERSIONS = 4, 1 << 20, 3
 
     def __init__(self, spark: SparkSession, path: str, key: list[str]) -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
 
-    def _marks(self) -> list[tuple[int, str, int]]:
-        """Place in the table's history, stream and number of the batches so far, in order."""
-        parts = (name.split("~") for name in names_in(self.spark, f"{self.path}/_done"))
-        return sorted((int(at), stream, int(number)) for at, stream, number in parts)
+    # --- versions ---
 
-    def _map(self, at: int) -> dict[int, int]:
-        """Of each bucket that has rows the place of the batch that wrote it; at most ``BUCKETS`` rows."""
-        return {r.bucket: r.at for r in self.spark.read.parquet(f"{self.path}/_map/{at}").collect()}
+    def _versions(self) -> list[int]:
+        return sorted(int(name) for name in names_in(self.spark, f"{self.path}/versions") if name.isdigit())
 
-    def _bucket(self):
-        return F.pmod(F.xxhash64(*self.key), F.lit(self.BUCKETS)).cast("int")
+    def state(self, version: int | None = None) -> State:
+        """The table as of a version, or as it is."""
+        known = self._versions() if version is None else [version]
+        if not known:
+            return State()
+        raw = json.loads(text_of(self.spark, f"{self.path}/versions/{known[-1]}"))
+        return State(raw["version"], tuple(Segment(**x) for x in raw["segments"]), raw["done"], raw["schema"])
 
-    def _read(self, where: dict[int, int]) -> DataFrame | None:
-        paths = [f"{self.path}/data/{at}/bucket={bucket}" for bucket, at in sorted(where.items())]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def read(self) -> DataFrame | None:
-        """All rows; None before the first batch that has any."""
-        marks = self._marks()
-        return self._read(self._map(marks[-1][0])) if marks else None
+    def _commit(self, new: State) -> None:
+        if not put_new(self.spark, f"{self.path}/versions/{new.version}", json.dumps(asdict(new))):
+            raise Conflict(f"version {new.version} of {self.path} is another writer's")
 
     def done(self, stream: str) -> int:
         """The last number of a stream that is part of the table, or -1."""
-        return max((number for _, s, number in self._marks() if s == stream), default=-1)
-
-    def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "") -> None:
-        """``rows`` in place of all rows of ``keys``, which are those of ``rows`` if not given; a key without rows is deleted."""
-        marks = self._marks()
-        if number <= max((n for _, s, n in marks if s == stream), default=-1):
+        return self.state().done.get(stream, -1)
+
+    # --- reading ---
+
+    def _part(self, state: State, segments: tuple[Segment, ...], part: str) -> DataFrame:
+        """Rows or keys of segments with ``_at``, the place of each segment in the state."""
+        schema = T.StructType.fromJson(json.loads(state.schema))
+        kind = schema if part == "rows" else T.StructType([schema[c] for c in self.key])
+        place = {s.name: k for k, s in enumerate(state.segments)}
+        every = self.spark.createDataFrame([], T.StructType([*kind.fields, T.StructField("_at", T.IntegerType())]))
+        for s in segments:
+            if part == "rows" or s.keys:
+                every = every.unionByName(self.spark.read.schema(kind).parquet(f"{self.path}/{s.name}/{part}").withColumn("_at", F.lit(place[s.name])))
+        return every
+
+    def _merged(self, state: State, segments: tuple[Segment, ...], only: DataFrame | None = None) -> DataFrame:
+        """The rows that count among those of ``segments``, which are the newest of the state, or of keys among ``only``."""
+        rows, newer = self._part(state, segments, "rows"), self._part(state, segments[1:], "keys")
+        if only is not None:
+            rows, newer = (df.join(only, [c for c in self.key if c in only.columns], "left_semi") for df in (rows, newer))
+        if len(segments) > 1:
+            last = newer.groupBy(*self.key).agg(F.max("_at").alias("_last"))
+            rows = _null_safe(rows, last, self.key).where("_last IS NULL OR _at >= _last").drop("_last")
+        return rows.drop("_at")
+
+    def read(self, version: int | None = None) -> DataFrame | None:
+        """All rows, as of now or of a version that is still kept; None before the first batch."""
+        state = self.state(version)
+        return self._merged(state, state.segments) if state.segments else None
+
+    def lookup(self, keys: DataFrame) -> DataFrame | None:
+        """The rows of ``keys``, which hold all key columns or the first of them; None before the first batch.
+
+        Rows lie in order of key, so files and row groups outside of the range of ``keys`` are not read.
+        """
+        state = self.state()
+        if not state.segments:
+            return None
+        own = [c for c in self.key if c in keys.columns]
+        asked, first = keys.select(own).distinct(), own[0]
+        least, most = asked.agg(F.min(first), F.max(first)).first()
+        if least is None:
+            return self._merged(state, state.segments, asked)
+        within = F.col(first).between(F.lit(least), F.lit(most))
+        return self._merged(state, state.segments, asked).where(within)
+
+    # --- writing ---
+
+    def _write(self, rows: DataFrame, keys: DataFrame | None) -> Segment:
+        name = f"segments/{uuid.uuid4().hex}"
+        ordered = lambda df: df.repartitionByRange(*self.key).sortWithinPartitions(*self.key)
+        ordered(rows).write.parquet(f"{self.path}/{name}/rows")
+        if keys is not None:
+            ordered(keys.select(self.key).distinct()).write.parquet(f"{self.path}/{name}/keys")
+        n = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/rows").count()
+        return Segment(name, n, size_of(self.spark, f"{self.path}/{name}"), keys is not None)
+
+    def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "", merge: bool = True) -> int:
+        """``rows`` in place of all rows of ``keys``, which are those of ``rows`` if not given; a key without rows is deleted.
+
+        Returns the bytes that the batch wrote, 0 for one that is part of the table already.
+        """
+        before = self.state()
+        if number <= before.done.get(stream, -1):
+            return 0
+        if before.segments:
+            schema = T.StructType.fromJson(json.loads(before.schema))
+            rows = rows.select([F.col(f.name).cast(f.dataType) for f in schema])
+        else:
+            schema = rows.schema
+        for f in schema:
+            f.nullable = True
+        segment = self._write(rows, (rows if keys is None else keys) if before.segments else None)
+        self._commit(State(before.version + 1, (*before.segments, segment), before.done | {stream: number}, json.dumps(schema.jsonValue())))
+        if merge:
+            self.merge()
+        self._sweep()
+        return segment.bytes
+
+    def _tier(self, segment: Segment) -> int:
+        size, tier = segment.bytes // self.UNIT, 0
+        while size:
+            size, tier = size // self.FANOUT, tier + 1
+        return tier
+
+    def merge(self) -> int:
+        """Merge the newest segments as long as ``FANOUT`` of them are of one size or less than the one before; the bytes written.
+
+        A batch that is part of the table by then makes what was merged void, which is no loss.
+        """
+        written = 0
+        while True:
+            state = self.state()
+            n, size = 0, -1
+            for k, s in enumerate(reversed(state.segments)):
+                size = max(size, self._tier(s))
+                # as many as are no larger than the largest so far; a larger one before them ends the run
+                run = [x for x in state.segments[-(k + 1) :] if self._tier(x) == size]
+                n = k + 1 if len(run) >= self.FANOUT else n
+            if not n:
+                return written
+            newest = state.segments[-n:]
+            whole = n == len(state.segments)
+            keys = None if whole else self._part(state, newest, "keys")
+            merged = self._write(self._merged(state, newest), keys)
+            written += merged.bytes
+            try:
+                self._commit(State(state.version + 1, (*state.segments[:-n], merged), state.done, state.schema))
+            except Conflict:
+                drop(self.spark, f"{self.path}/{merged.name}")
+                return written
+
+    def _sweep(self) -> None:
+        """Delete versions beyond the last few, and the segments that only these name. What a writer has not committed yet stays."""
+        versions = self._versions()
+        old, kept = versions[: -self.VERSIONS], versions[-self.VERSIONS :]
+        if not old:
             return
-        at = marks[-1][0] + 1 if marks else 0
-        new = rows.withColumn("bucket", self._bucket())
-        gone = persisted((new if keys is None else keys).select(self.key).distinct().withColumn("bucket", self._bucket()), "keys")
-        touched = [r.bucket for r in gone.select("bucket").distinct().collect()]
-        before = self._map(marks[-1][0]) if marks else {}
-        old = self._read({b: before[b] for b in touched if b in before})
-        if old is not None:
-            kept = old.join(gone.select(self.key), self.key, "left_anti").withColumn("bucket", self._bucket())
-            new = new.unionByName(kept.select(new.columns))
-        new.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/data/{at}")
-        written = {int(name.split("=")[1]): at for name in names_in(self.spark, f"{self.path}/data/{at}") if name.startswith("bucket=")}
-        now = {b: a for b, a in before.items() if b not in touched} | written
-        self.spark.createDataFrame(list(now.items()), "bucket int, at int").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/_map/{at}")
-        put_mark(self.spark, f"{self.path}/_done/{at}~{stream}~{number}")
-        self._sweep({at: now} | ({marks[-1][0]: before} if marks else {}))
-
-    def _sweep(self, maps: dict[int, dict[int, int]]) -> None:
-        """Deletes buckets that the maps do not name, and older maps."""
-        used = {(a, b) for named in maps.values() for b, a in named.items()}
-        for a in names_in(self.spark, f"{self.path}/data"):
-            for name in names_in(self.spark, f"{self.path}/data/{a}"):
-                if name.startswith("bucket=") and (int(a), int(name.split("=")[1])) not in used:
-                    drop(self.spark, f"{self.path}/data/{a}/{name}")
-        for a in names_in(self.spark, f"{self.path}/_map"):
-            if int(a) not in maps:
-                drop(self.spark, f"{self.path}/_map/{a}")
+        used = {s.name for v in kept for s in self.state(v).segments}
+        for v in old:
+            for s in self.state(v).segments:
+                if s.name not in used:
+                    drop(self.spark, f"{self.path}/{s.name}")
+            drop(self.spark, f"{self.path}/versions/{v}")
+
+
+def _null_safe(rows: DataFrame, last: DataFrame, key: list[str]) -> DataFrame:
+    """A left join by a key that may hold nulls, which are equal to each other."""
+    named = last.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], *[c for c in last.columns if c not in key])
+    same = F.lit(True)
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(key))])
