@@ -133,7 +133,7 @@ def followed(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def edits(docs: DataFrame, part: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document with its edited text and the fingerprints of both and of the next document.
 
-    ``doc_id, text, n_chars, edited, own, changed, next`` for ``docs``: the last ``n_chars / part`` code points,
+    ``doc_id, text, n_chars, edited, own, changed, next_id, next`` for ``docs``: the last ``n_chars / part`` code points,
     rounded down, are replaced by the first as many of the next document in order of id, or by all of it. A null
     text is an empty one; null ids come first. Rows with equal ids are in an order that their texts set; rows with
     equal ids and texts are one document, whose row is there as often. Other columns are ignored. A single document
@@ -144,24 +144,24 @@ def edits(docs: DataFrame, part: int = 4, id_col: str = "doc_id", text_col: str
     order = persisted(followed(keyed), "followed")
     known = fingerprints(keyed, "text", "own")
     wanted = order.select(F.col("next_key").alias("key"), F.col("key").alias("before"), F.floor(F.col("n_chars") / part).cast("int").alias("take"))
-    # repeated rows bring the same beginning; it is kept once
-    heads = known.join(wanted, "key").groupBy(F.col("before").alias("key"), "take").agg(F.max(F.expr("substring(text, 1, take)")).alias("head"), F.max("own").alias("next"))
+    # repeated rows bring the same beginning; it is kept once. Both joins read the same columns by key, so texts are shuffled once
+    heads = known.join(wanted, "key").groupBy(F.col("before").alias("key"), "take").agg(F.max(F.expr("substring(text, 1, take)")).alias("head"), F.max("own").alias("next"), F.max("doc_id").alias("next_id"))
     met = known.join(heads, "key").withColumn("n_chars", F.length("text").cast("long"))
     whole = met.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - take), head)"))
-    return fingerprints(whole, "edited", "changed").select("doc_id", "text", "n_chars", "edited", "own", "changed", "next")
+    return fingerprints(whole, "edited", "changed").select("doc_id", "text", "n_chars", "edited", "own", "changed", "next_id", "next")
 
 
 def likenesses(docs: DataFrame) -> DataFrame:
     """Each document's and its edited text's fingerprint, and how alike it is to the edited text and to the next document."""
     near = with_likeness(edits(docs).drop("text"), {"near_edited": ("own", "changed"), "near_next": ("own", "next")})
-    return near.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), encoded(F.col("own")).alias("fingerprint"), encoded(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return near.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), encoded(F.col("own")).alias("fingerprint"), encoded(F.col("changed")).alias("edited_fingerprint"), "near_edited", "near_next", "next_id")
 
 
 #: The query in SQL: lanes one by one instead of packed, for ids that are different and not null.
 LIKENESS_SQL = r"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n_chars,
-        coalesce(lead(coalesce(text, '')) OVER w, first(coalesce(text, '')) OVER w) AS next
+        coalesce(lead(coalesce(text, '')) OVER w, first(coalesce(text, '')) OVER w) AS next, coalesce(lead(doc_id) OVER w, first(doc_id) OVER w) AS next_id
     FROM documents WINDOW w AS (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
 ), e AS (
     SELECT *, left(text, n_chars - n_chars // 4) || left(next, n_chars // 4) AS edited FROM d
@@ -190,6 +190,6 @@ products AS (
 )
 SELECT e.doc_id, e.n_chars::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, f AS fingerprint, cf AS edited_fingerprint,
     CASE WHEN f = cf THEN 1.0 WHEN oc <= 0 THEN 0.0 ELSE oc / (oo + cc - oc) END::DOUBLE AS near_edited,
-    CASE WHEN f = nf THEN 1.0 WHEN one <= 0 THEN 0.0 ELSE one / (oo + nn - one) END::DOUBLE AS near_next
+    CASE WHEN f = nf THEN 1.0 WHEN one <= 0 THEN 0.0 ELSE one / (oo + nn - one) END::DOUBLE AS near_next, next_id
 FROM e JOIN products USING (doc_id)
 """

@@ -45,10 +45,10 @@ def brute(rows):
     order = sorted({(i, t or "") for i, t in rows}, key=lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"{'-' if r[0] is None else r[0]}:{r[1]}".encode()).hexdigest()))
     out = {}
     for k, (i, text) in enumerate(order):
-        follows = order[(k + 1) % len(order)][1]
+        next_id, follows = order[(k + 1) % len(order)]
         take = len(text) // 4
         edited = text[: len(text) - take] + follows[:take]
-        out[i, text] = (i, len(text), hashlib.sha256(edited.encode()).hexdigest(), coded(text), coded(edited), likeness(text, edited), likeness(text, follows))
+        out[i, text] = (i, len(text), hashlib.sha256(edited.encode()).hexdigest(), coded(text), coded(edited), likeness(text, edited), likeness(text, follows), next_id)
     return sorted((out[i, t or ""] for i, t in rows), key=repr)
 
 
@@ -63,7 +63,7 @@ def test_matches_brute_force(docs_of):
     rows = corpus()
     got = sorted((tuple(r) for r in ms.likenesses(docs_of(rows)).collect()), key=repr)
     for a, b in zip(got, brute(rows), strict=True):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-12 and abs(a[6] - b[6]) < 1e-12
+        assert a[:5] == b[:5] and a[7] == b[7] and abs(a[5] - b[5]) < 1e-12 and abs(a[6] - b[6]) < 1e-12
 
 
 def test_the_order_of_paragraphs_does_not_matter_and_parts_add_up(spark):
