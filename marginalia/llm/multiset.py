@@ -145,7 +145,7 @@ def edits(docs: DataFrame, part: int = 4, id_col: str = "doc_id", text_col: str
     known = fingerprints(keyed, "text", "own")
     wanted = order.select(F.col("next_key").alias("key"), F.col("key").alias("before"), F.floor(F.col("n_chars") / part).cast("int").alias("take"))
     # repeated rows bring the same beginning; it is kept once. Both joins read the same columns by key, so texts are shuffled once
-    heads = known.join(wanted, "key").groupBy(F.col("before").alias("key"), "take").agg(F.max(F.expr("substring(text, 1, take)")).alias("head"), F.max("own").alias("next"), F.max("doc_id").alias("next_id"))
+    heads = known.join(wanted, "key").groupBy(F.col("before").alias("key")).agg(F.max("take").alias("take"), F.max(F.expr("substring(text, 1, take)")).alias("head"), F.max("own").alias("next"), F.max("doc_id").alias("next_id"))
     met = known.join(heads, "key").withColumn("n_chars", F.length("text").cast("long"))
     whole = met.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - take), head)"))
     return fingerprints(whole, "edited", "changed").select("doc_id", "text", "n_chars", "edited", "own", "changed", "next_id", "next")
