@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -149,8 +149,8 @@ class KeyedTable:
     batch that is repeated is skipped.
     """
 
-    #: Segments of like size that are merged, bytes below which sizes are alike, and versions whose segments are kept for readers.
-    FANOUT, UNIT, VERSIONS = 4, 1 << 20, 3
+    #: Segments of like size that are merged, bytes below which sizes are alike, versions whose segments are kept for readers, and keys that a lookup names one by one.
+    FANOUT, UNIT, VERSIONS, NAMED = 4, 1 << 20, 3, 256
 
     def __init__(self, spark: SparkSession, path: str, key: list[str]) -> None:
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
@@ -205,19 +205,22 @@ class KeyedTable:
         return self._merged(state, state.segments) if state.segments else None
 
     def lookup(self, keys: DataFrame) -> DataFrame | None:
-        """The rows of ``keys``, which hold all key columns or the first of them; None before the first batch.
+        """The rows of ``keys``, which hold all key columns or the first of them; None before the first batch. Null keys find nothing.
 
-        Rows lie in order of key, so files and row groups outside of the range of ``keys`` are not read.
+        Rows lie in order of key, so files and row groups without any of ``keys``, or for many of them outside of their
+        range, are not read.
         """
         state = self.state()
         if not state.segments:
             return None
         own = [c for c in self.key if c in keys.columns]
         asked, first = keys.select(own).distinct(), own[0]
-        least, most = asked.agg(F.min(first), F.max(first)).first()
-        if least is None:
-            return self._merged(state, state.segments, asked)
-        within = F.col(first).between(F.lit(least), F.lit(most))
+        few = [r[0] for r in asked.select(first).distinct().limit(self.NAMED + 1).collect()]
+        if len(few) <= self.NAMED:
+            within = F.col(first).isin([x for x in few if x is not None])
+        else:
+            least, most = asked.agg(F.min(first), F.max(first)).first()
+            within = F.col(first).between(F.lit(least), F.lit(most))
         return self._merged(state, state.segments, asked).where(within)
 
     # --- writing ---
@@ -225,11 +228,11 @@ class KeyedTable:
     def _write(self, rows: DataFrame, keys: DataFrame | None) -> Segment:
         name = f"segments/{uuid.uuid4().hex}"
         ordered = lambda df: df.repartitionByRange(*self.key).sortWithinPartitions(*self.key)
-        ordered(rows).write.parquet(f"{self.path}/{name}/rows")
+        seen = Observation()
+        ordered(rows).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}/rows")
         if keys is not None:
             ordered(keys.select(self.key).distinct()).write.parquet(f"{self.path}/{name}/keys")
-        n = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/rows").count()
-        return Segment(name, n, size_of(self.spark, f"{self.path}/{name}"), keys is not None)
+        return Segment(name, seen.get["n"], size_of(self.spark, f"{self.path}/{name}"), keys is not None)
 
     def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "", merge: bool = True) -> int:
         """``rows`` in place of all rows of ``keys``, which are those of ``rows`` if not given; a key without rows is deleted.
