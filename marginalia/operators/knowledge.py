@@ -139,34 +139,38 @@ def mention_linked(notes: DataFrame, links: DataFrame, note_id: int, title: str)
 # --- folders --------------------------------------------------------------------------------------
 
 
-def closure(folders: DataFrame, depth: int = 512) -> DataFrame:
+def closure(folders: DataFrame) -> DataFrame:
     """``ancestor, id, depth`` of every folder and all below it; cycles end where they meet themselves.
 
-    Each round doubles the reach, so rounds grow with the logarithm of the depth.
+    Each round doubles the reach, so rounds grow with the logarithm of the depth. There are as many rows as pairs;
+    :func:`marginalia.operators.trees.labelled` has one for each folder.
     """
     steps = folders.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("ancestor"), "id", F.lit(1).alias("depth"))
     reach = folders.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth")).unionByName(steps)
     span = 1
-    while span < depth:
+    while True:
         longer = reach.alias("a").join(reach.alias("b"), F.col("a.id") == F.col("b.ancestor")).select("a.ancestor", "b.id", (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         reach = persisted(longer.groupBy("ancestor", "id").agg(F.min("depth").alias("depth")), "closure")
         if reach.where(F.col("depth") > span).isEmpty():
             return reach
         span *= 2
-    return reach
 
 
-def subtree(folders: DataFrame, root: int, depth: int = 512) -> DataFrame:
-    """``id, depth`` of a folder and all below it. One row for each folder, which looks twice as far up in each round."""
-    now = folders.select("id", F.col("parent_id").alias("up"), F.when(F.col("id") == root, 0).alias("depth"))
-    span = 1
-    while span < depth:
+def subtree(folders: DataFrame, root: int) -> DataFrame:
+    """``id, depth`` of a folder and all below it, however deep; a cycle ends where it meets the folder.
+
+    One row for each folder, which looks twice as far up in each round; what is on a cycle elsewhere is given up
+    once it has looked as far as there are folders.
+    """
+    at = F.col("id") == root
+    now = folders.select("id", F.when(~at, F.col("parent_id")).alias("up"), F.when(at, 0).alias("depth"))
+    span, most = 1, folders.count()
+    while True:
         above = now.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("there"))
         now = now.join(above, "up", "left").select("id", F.col("next").alias("up"), F.coalesce("depth", F.col("there") + span).alias("depth"))
         now, span = persisted(now, "subtree"), span * 2
-        if now.where("up IS NOT NULL AND depth IS NULL").isEmpty():
-            break
-    return now.where("depth IS NOT NULL").select("id", "depth")
+        if span > most or now.where("up IS NOT NULL AND depth IS NULL").isEmpty():
+            return now.where("depth IS NOT NULL").select("id", "depth")
 
 
 def folder_tree(folders: DataFrame, root: int | None = None) -> list[dict]:
