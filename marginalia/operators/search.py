@@ -72,9 +72,12 @@ def knn_join(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: str |
     ``queries(query_id, query_vector)`` are a stated set of any size, sent to all tasks in blocks of ``block``,
     each with a pass over the chunks; a caller may state how many there are at most, which is checked first. A
     task keeps the best ``k`` of each query from each batch, ties by ``chunk_id``, so what is shuffled does not
-    grow with the pairs. Distances are exact, in double precision.
+    grow with the pairs. Distances are exact, in double precision. A null vector, or one with a null component or
+    one beyond numbers, finds nothing and is not found, nor are chunks of another dimension than the queries; queries of
+    several dimensions are an error.
     """
-    asked = queries.select("query_id", F.transform("query_vector", lambda x: x.cast("double")).alias("q"))
+    whole = F.forall("query_vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = queries.where(F.col("query_vector").isNotNull() & whole).select("query_id", F.transform("query_vector", lambda x: x.cast("double")).alias("q"))
     if max_queries is not None and asked.limit(max_queries + 1).count() > max_queries:
         raise ValueError(f"over {max_queries} queries: search them in several calls")
     first = asked.limit(block + 1).collect()
@@ -86,34 +89,73 @@ def knn_join(chunks: DataFrame, queries: DataFrame, k: int, exclude_self: str |
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+#: Distances that a task holds at once.
+CELLS = 1 << 22
+
+
+def nearest_of(vectors: np.ndarray, order: np.ndarray, queries: np.ndarray, k: int, barred: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of queries and of their ``k`` nearest vectors, and the distances; ties by ``order``. ``barred`` are places of queries and of vectors that they do not find.
+
+    Products of matrices find who may be among the nearest, within the rounding of their sums; only these distances
+    are computed from the differences.
+    """
+    out, step = [], max(1, CELLS // max(1, len(vectors)))
+    squares = np.square(vectors).sum(1)
+    for s in range(0, len(queries), step):
+        asked = queries[s : s + step]
+        lengths = np.square(asked).sum(1)
+        rough = lengths[:, None] + squares[None, :] - 2 * (asked @ vectors.T)
+        if barred is not None:
+            here = (barred[0] >= s) & (barred[0] < s + step)
+            rough[barred[0][here] - s, barred[1][here]] = np.inf
+        cut = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(vectors) > k else np.full(len(asked), np.inf)
+        slack = 1e-12 * vectors.shape[1] * (lengths + (squares.max() if len(squares) else 0))
+        a, b = np.nonzero((rough <= (cut + slack)[:, None]) & np.isfinite(rough))
+        exact = np.square(vectors[b] - asked[a]).sum(1)
+        best = np.lexsort((order[b], exact, a))
+        a, b, exact = a[best], b[best], exact[best]
+        place = np.arange(len(a)) - np.searchsorted(a, a)
+        out.append((a[place < k] + s, b[place < k], exact[place < k]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def comparable(rows: DataFrame, vector: str, dims: int) -> DataFrame:
+    """Rows whose vector has so many components, none of them null or beyond numbers: others are near to nothing."""
+    whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return rows.where(F.col(vector).isNotNull() & (F.size(vector) == dims) & whole)
+
+
 def _near_block(chunks: DataFrame, queries: DataFrame, asked: list, k: int, exclude_self: str | None) -> DataFrame:
     """Each batch's ``k`` nearest chunks to each of the rows ``asked(query_id, q)``."""
-    shared = chunks.sparkSession.sparkContext.broadcast(([r.query_id for r in asked], np.array([r.q for r in asked], np.float64)))
     rest = [c for c in chunks.columns if c != "vector"]
     kind = queries.schema["query_id"].dataType
     schema = T.StructType([T.StructField("query_id", kind), T.StructField("distance", T.DoubleType()), *[chunks.schema[c] for c in rest]])
+    dims = {len(r.q) for r in asked}
+    if len(dims) > 1:
+        raise ValueError(f"queries of {sorted(dims)} dimensions: search them in several calls")
+    width = max(dims, default=0)
+    shared = chunks.sparkSession.sparkContext.broadcast(([r.query_id for r in asked], np.array([r.q for r in asked], np.float64).reshape(len(asked), width)))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
+        of_id: dict = {}
+        for i, q in enumerate(ids):
+            of_id.setdefault(q, []).append(i)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
             rows = batch.select(rest)
-            flat = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, -1)
-            chunk_ids = np.asarray(batch.column("chunk_id"))
-            own = batch.column(exclude_self).to_numpy(zero_copy_only=False) if exclude_self else None
-            for query, vector in zip(ids, vectors, strict=True):
-                distance = np.square(flat - vector).sum(1)
-                if own is not None:
-                    distance[own == query] = np.inf
-                cut = np.partition(distance, k - 1)[k - 1] if len(distance) > k else np.inf
-                near = np.flatnonzero((distance <= cut) & np.isfinite(distance))
-                near = near[np.lexsort((chunk_ids[near], distance[near]))][:k]
-                if len(near):
-                    taken = rows.take(pa.array(near))
-                    yield pa.RecordBatch.from_arrays([pa.array([query] * len(near)), pa.array(distance[near]), *taken.columns], ["query_id", "distance", *rest])
-
-    return chunks.select(*rest, "vector").mapInArrow(look, schema)
+            flat = np.asarray(batch.column("vector").flatten(), np.float64).reshape(batch.num_rows, width)
+            _, order = np.unique(np.asarray(batch.column("chunk_id")), return_inverse=True)
+            barred = None
+            if exclude_self:
+                own = [(i, place) for place, x in enumerate(batch.column(exclude_self).to_pylist()) for i in of_id.get(x, ())]
+                barred = tuple(np.array(own, np.int64).reshape(-1, 2).T)
+            a, b, distance = nearest_of(flat, order, vectors, k, barred)
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in a]), pa.array(distance), *rows.take(pa.array(b)).columns], ["query_id", "distance", *rest])
+
+    return comparable(chunks.select(*rest, "vector"), "vector", width).mapInArrow(look, schema)
 
 
 def by_source(near: DataFrame, key: str, fetch: int, sources: int | None, ceiling: float, spread: float, query: str = "query_id") -> DataFrame:
