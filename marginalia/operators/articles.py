@@ -11,6 +11,7 @@ from marginalia.functions.documents import UDFS
 
 #: Characters that are embedded, least length of an article, size under which a page may be a redirect.
 CHARS, LEAST, REDIRECT = 1500, 200, 800
+#: Name spaces whose pages are no articles.
 _SPACES = ("mediawiki:", "module:", "template:", "wikipedia:", "file:")
 #: Phrases that are taken out of a question, wherever they are.
 CHAT_PHRASES = (
@@ -51,7 +52,10 @@ def scan_windows(pages: DataFrame, size: int) -> DataFrame:
 
 
 def read_articles(wanted: DataFrame, pages: DataFrame, hops: int = 3) -> DataFrame:
-    """``wanted(wanted)`` with ``path, html``: the page of that path, with or without ``A/``, after up to ``hops`` redirects."""
+    """``wanted(wanted)`` with ``path, html``: the page of that path, with or without ``A/``, after up to ``hops`` redirects.
+
+    What is a redirect still, or one to a page that is not there, is no article and has no row.
+    """
     named = pages.select(F.col("url").alias("path"), "html")
     target = tx.wiki_path(F.regexp_replace(F.regexp_extract("html", r"(?is)http-equiv\s*=\s*[\"']?refresh.*?url\s*=\s*[\"']?([^\"'>\s]+)", 1), "#.*$", ""))
 
@@ -64,7 +68,7 @@ def read_articles(wanted: DataFrame, pages: DataFrame, hops: int = 3) -> DataFra
     for _ in range(hops):
         on = found.where(is_redirect(F.col("html")) & (target != ""))
         found = found.join(on.select("wanted"), "wanted", "left_anti").unionByName(step(on.select("wanted", target.alias("at"))))
-    return found
+    return found.where(~(is_redirect(F.col("html")) & (target != "")))
 
 
 def suggestions(titles: DataFrame, prefix: str, limit: int = 10) -> DataFrame:

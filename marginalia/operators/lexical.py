@@ -90,11 +90,25 @@ class TextIndex:
         """Delete the index; one that is not there is no error."""
         drop(self.spark, self.path)
 
+    def _schema(self, part: str, generation: int) -> T.StructType:
+        """A part's schema: a generation without postings has no files of them to take it from."""
+        rows = self.spark.read.parquet(f"{self.path}/g{generation}/rows").schema
+        if part == "rows":
+            return rows
+        return T.StructType([T.StructField("term", T.StringType()), rows["id"], *T.StructType.fromDDL("col int, tf long, places array<int>, len long, bucket int")])
+
+    def _known(self) -> list[tuple[int, int, int]]:
+        """The marks of an index that was built."""
+        marks = self._marks()
+        if not marks:
+            raise LookupError(f"no index at {self.path}")
+        return marks
+
     def _live(self, part: str) -> DataFrame:
         """A part of all generations without what later ones replaced."""
         kept, gone = None, None
-        for generation, _, _ in reversed(self._marks()):
-            rows = self.spark.read.parquet(f"{self.path}/g{generation}/{part}")
+        for generation, _, _ in reversed(self._known()):
+            rows = self.spark.read.schema(self._schema(part, generation)).parquet(f"{self.path}/g{generation}/{part}")
             rows = rows if gone is None else rows.join(gone, "id", "left_anti").select(rows.columns)
             kept = rows if kept is None else kept.unionByName(rows)
             if generation % 1000:
@@ -106,7 +120,9 @@ class TextIndex:
         return self._live("postings").drop("bucket")
 
     def refresh(self, changed: DataFrame, gone: DataFrame | None = None) -> TextIndex:
-        """Rows in place of those with their ids, and ids that went: a new generation; all are merged when there are many."""
+        """Rows in place of those with their ids, and ids that went: a new generation; all are merged when there are many. Without an index: one of the rows."""
+        if not self._marks():
+            return self.build(changed)
         ids = changed.select(F.col(self.id_col).alias("id"))
         ids = (ids if gone is None else ids.unionByName(gone.select(F.col(self.id_col).alias("id")))).distinct()
         last, n, total = self._marks()[-1]
@@ -137,13 +153,11 @@ class TextIndex:
         return rows
 
     def search(self, query: str) -> DataFrame:
-        """``id, score`` of the rows that hold all pieces of a query: the lower, the better."""
+        """``id, score`` of the rows that hold all pieces of a query: the lower, the better. An index that was not built or is gone is an error."""
         parts = phrases(query)
-        marks = self._marks()
-        if not parts or not marks:
-            kind = self.spark.read.parquet(f"{self.path}/g{marks[0][0]}/rows").schema["id"].dataType if marks else T.LongType()
-            return self.spark.createDataFrame([], T.StructType([T.StructField("id", kind), T.StructField("score", T.DoubleType())]))
-        _, n, total = marks[-1]
+        last, n, total = self._known()[-1]
+        if not parts or not n:
+            return self.spark.createDataFrame([], T.StructType([self._schema("rows", last)["id"], T.StructField("score", T.DoubleType())]))
         rows, names = self._reading(parts), [f"f{i}" for i in range(len(parts))]
         if all(len(p) == 1 for p in parts):
             counts = [F.sum(F.when(F.col("term").startswith(p[0]), F.col("tf"))) for p in parts]
@@ -183,7 +197,7 @@ def fts_search(index: TextIndex, notes: DataFrame, query: str, blocked: DataFram
     """Best ``limit`` of ``notes(note_id, title, content, folder_id)``: three times as many are ranked, then those in blocked
     folders go (or before, with ``prefilter``). Texts are read for the best only."""
     found, key = index.search(query).withColumnRenamed("id", "note_id"), ["score", "note_id"]
-    outside = lambda ids: ids.join(notes.select("note_id", "folder_id"), "note_id").join(F.broadcast(blocked), "folder_id", "left_anti").select("note_id", "score")
+    outside = lambda ids: ids.join(notes.select("note_id", "folder_id"), "note_id").join(blocked, "folder_id", "left_anti").select("note_id", "score")
     if blocked is not None and prefilter:
         found = outside(found)
     ranked = found.orderBy(*key).limit(limit * (1 if prefilter else 3))

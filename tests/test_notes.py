@@ -164,9 +164,10 @@ def test_articles_are_indexed_in_batches(spark, tmp_path):
 
 def test_archives(spark):
     page = lambda to: f'<meta http-equiv="refresh" content="0;url={to}">'
-    pages = spark.createDataFrame([(1, "A/One", "<p>one</p>"), (2, "Two", page("A/One")), (3, "Three", page("Two#x")), (4, "Loop", page("Loop"))], "page_id long, url string, html string")
-    wanted = spark.createDataFrame([("One",), ("Three",), ("Loop",), ("None",)], "wanted string")
-    assert {r.wanted: r.path for r in ar.read_articles(wanted, pages).collect()} == {"One": "A/One", "Three": "A/One", "Loop": "Loop"}
+    pages = spark.createDataFrame([(1, "A/One", "<p>one</p>"), (2, "Two", page("A/One")), (3, "Three", page("Two#x")), (4, "Loop", page("Loop")), (5, "Four", page("Three")), (6, "Five", page("Four")), (7, "Lost", page("Nowhere"))], "page_id long, url string, html string")
+    wanted = spark.createDataFrame([("One",), ("Three",), ("Loop",), ("None",), ("Four",), ("Five",), ("Lost",)], "wanted string")
+    assert {r.wanted: r.path for r in ar.read_articles(wanted, pages).collect()} == {"One": "A/One", "Three": "A/One", "Four": "A/One"}
+    assert {r.wanted for r in ar.read_articles(wanted, pages, hops=4).collect()} == {"One", "Three", "Four", "Five"}
     assert [r.page_id for r in ar.scan_window(pages, 1, 2).collect()] == [1] and ar.scan_windows(pages, 2).first().window == 0
 
 

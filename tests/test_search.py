@@ -89,7 +89,27 @@ def test_a_refreshed_index_ranks_as_a_new_one(spark, tmp_path):
     assert index.build(as_df({1: ("t", "alpha")})).search("alpha").count() == 1
     index.drop()
     index.drop()
-    assert index.search("alpha").count() == 0
+    with pytest.raises(LookupError):
+        index.search("alpha")
+
+
+def test_an_index_holds_without_postings(spark, tmp_path):
+    """Refreshes that only delete, notes that become blank, tables without rows, and a refresh before the first build."""
+    as_df = lambda some: spark.createDataFrame([(i, t, c) for i, (t, c) in some.items()], "note_id long, title string, content string")
+    found = lambda index, query: {r.id for r in index.search(query).collect()}
+    index = lx.indexed(spark, as_df({}), path=str(tmp_path / "i"))
+    assert found(index, "alpha") == set() and index.postings().count() == 0
+    index.refresh(as_df({1: ("a", "alpha"), 2: ("b", "alpha beta")}))
+    assert found(index, "alpha") == {1, 2}
+    index.refresh(as_df({}), as_df({1: ("", "")}).select("note_id"))
+    assert found(index, "alpha") == {2}
+    index.refresh(as_df({2: ("", " ")}))
+    assert found(index, "alpha") == set() and index.rows().count() == 1
+    index.refresh(as_df({3: ("c", "alpha")}))
+    index.compact()
+    assert found(index, "alpha") == {3}
+    other = lx.TextIndex(spark, str(tmp_path / "new"))
+    assert found(other.refresh(as_df({5: ("t", "gamma")})), "gamm") == {5}
 
 
 def chunks(spark, vectors):
