@@ -7,8 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions import text as tx
 from marginalia.sources import files as fi
@@ -35,9 +37,63 @@ def tier(ram_mb: int, cores: int, gpus: list[tuple[int, bool]] = (), capability:
     return "high" if ram_mb >= _HIGH_RAM and cores >= _CORES and strong else "mid"
 
 
-def next_batch(size: int, seconds: float, most: int, target: float = 2.0) -> int:
-    """Texts of the next request: twice as many while requests are quick, half as many when one was slow."""
-    return min(most, size * 2) if seconds < target / 2 else max(1, size // 2) if seconds > target else size
+#: Texts by which a request grows, and the fewest after it shrank.
+GROWTH, FEWEST = 8, 8
+
+
+def next_batch(size: int, split: bool, base: int, most: int) -> int:
+    """Texts of the next request: half as many after one had to be split, else some more, up to ``base`` and then up to ``most``."""
+    if split:
+        return max(FEWEST, size // 2)
+    return min(size + GROWTH, base if size < base else most)
+
+
+def embedded_or_faulty(rows: DataFrame, column: str, request: Callable[[list[str]], list[list[float]]], base: int = PLANS["low"][0], most: int = PLANS["low"][2], dims: int | None = None) -> DataFrame:
+    """``rows`` with ``vector`` and ``fault``: one of the two is null.
+
+    A task sends its texts in requests whose size follows :func:`next_batch` over all its batches. A request that fails, or
+    brings another number of vectors than texts, is halved until what fails is single texts; these have their fault, and all
+    others their vector. Of ``n`` texts of which ``f`` fail there are at most ``2 f log2(n)`` requests more than without faults. With
+    ``dims`` a vector of another dimension is a fault as well.
+    """
+    schema = T.StructType([*rows.schema.fields, T.StructField("vector", T.ArrayType(T.FloatType())), T.StructField("fault", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = base
+        for batch in batches:
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            vectors, faults, at = [None] * len(texts), [None] * len(texts), 0
+            while at < len(texts):
+                open_, split = [(at, min(at + size, len(texts)))], False
+                at = open_[0][1]
+                while open_:
+                    start, end = open_.pop()
+                    try:
+                        made = request(texts[start:end])
+                        if len(made) != end - start:
+                            raise ValueError(f"{len(made)} vectors for {end - start} texts")
+                    except Exception as e:
+                        if end - start == 1:
+                            faults[start] = f"{type(e).__name__}: {e}"[:200]
+                        else:
+                            split, middle = True, (start + end) // 2
+                            open_ += [(middle, end), (start, middle)]
+                        continue
+                    for place, v in enumerate(made, start):
+                        if v is None or (dims is not None and len(v) != dims):
+                            faults[place] = "no vector" if v is None else f"{len(v)} dimensions"
+                        else:
+                            vectors[place] = [float(x) for x in v]
+                size = next_batch(size, split, base, most)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(faults, pa.string())], [f.name for f in schema])
+
+    return rows.mapInArrow(run, schema)
+
+
+def salvaged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that have a vector, and the others with their fault, both from one written pass."""
+    kept = persisted(rows, "salvaged")
+    return kept.where("fault IS NULL").drop("fault"), kept.where("fault IS NOT NULL").drop("vector")
 
 
 def hashing_embedder(dims: int = DIMS) -> Embedder:
@@ -152,22 +208,26 @@ def index_folder(spark: SparkSession, folder: str, state: KeyedTable, chunks: Ke
     """Files below a folder: those that are new or changed are read, extracted, chunked and stored; rows of files that are gone are removed.
 
     ``state(path, mtime, length, error)`` and ``chunks(path, chunk_index, content, vector)`` are keyed by path; runs
-    are numbered. Only the contents of new and changed files are read. Returns how many were indexed, failed,
-    unchanged and removed.
+    are numbered within the folder. Tasks list folders, compare them with what is known of this folder, and read the contents
+    of new and changed files; no path passes through the driver. A run that is part of the state already does nothing; one that
+    failed half way is done again with the files as they are then. Returns how many were indexed, failed, unchanged and removed.
     """
-    now = persisted(fi.listing(spark, folder, excludes), "files")
+    if run <= state.done(folder):
+        return dict.fromkeys(("indexed", "failed", "unchanged", "removed"), 0)
+    now = persisted(fi.walk(spark, folder, excludes), "files")
+    inside = F.col("path").startswith(f"{folder.rstrip('/')}/")
     before = state.read()
-    todo = now if before is None else fi.changed(now, before, "path")
-    gone = [] if before is None else [r.path for r in kn.stale(before, now, "path").select("path").collect()]
-    paths = [r.path for r in todo.select("path").collect()]
-    # a listing is on the driver in any case
-    keys = spark.createDataFrame([(x,) for x in paths + gone], "path string")
-    texts = persisted(fi.extracted(fi.contents(spark, paths)), "texts") if paths else spark.createDataFrame([], "path string, mime string, mtime long, content string, error string")
+    before = now.select("path", "mtime", "length", F.lit(None).cast("string").alias("error")).limit(0) if before is None else before.where(inside)
+    todo = persisted(fi.changed(now, before, "path"), "changed")
+    gone = persisted(kn.stale(before, now, "path").select("path"), "gone")
+    keys = todo.select("path").unionByName(gone)
+    texts = persisted(fi.extracted(fi.contents(todo)), "texts")
     parts = texts.where("error IS NULL").select("path", F.posexplode(tx.chunks(tx.sentences(F.col("content")))).alias("chunk_index", "content")).where(F.trim("content") != "")
-    store_vectors(chunks, embedded(parts, "content", embedder).select("path", "chunk_index", "content", "vector"), run, dims, keys, folder)
+    store_vectors(chunks, embedded(parts, "content", embedder).select("path", "chunk_index", "content", "vector"), chunks.done(folder) + 1, dims, keys, folder)
+    # the state last: a run that failed before it finds the same files changed
     state.upsert(todo.join(texts.select("path", "error"), "path", "left").select("path", "mtime", "length", "error"), run, keys, folder)
-    failed = texts.where("error IS NOT NULL").count()
-    return {"indexed": len(paths) - failed, "failed": failed, "unchanged": now.count() - len(paths), "removed": len(gone)}
+    counts = texts.agg(F.count_if(F.col("error").isNull()), F.count("error")).first()
+    return {"indexed": counts[0], "failed": counts[1], "unchanged": now.count() - counts[0] - counts[1], "removed": gone.count()}
 
 
 def can_resume(stored_model: str, model: str, total: int, next_pos: int, queue: DataFrame, expected: DataFrame) -> bool:

@@ -59,8 +59,9 @@ class SubstringIndex:
         return low.mapInArrow(run, schema)
 
     def apply(self, changed: DataFrame, number: int, gone: DataFrame | None = None, stream: str = "rows") -> int:
-        """Rows in place of those with their ids, and ids that went; the bytes written. Ids are not repeated within a batch."""
-        new = persisted(changed.select(self.id_col, *self.columns), "changed")
+        """Rows in place of those with their ids, and ids that went, whether or not they are among the rows; the bytes written. Ids are not repeated within a batch."""
+        new = changed.select(self.id_col, *self.columns)
+        new = persisted(new if gone is None else new.join(gone, self.id_col, "left_anti"), "changed")
         ids = new.select(self.id_col) if gone is None else new.select(self.id_col).unionByName(gone.select(self.id_col))
         ids = persisted(ids.distinct(), "ids")
         old = self.texts.lookup(ids)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marginalia.functions.documents import UDFS
+from marginalia.operators.storage import persisted
 
 #: Types by extension.
 MIME = {
@@ -114,29 +118,92 @@ def listing(spark: SparkSession, folder: str, excludes: list[str] | None = None)
     return rows.where(~excluded(F.col("relative"), excludes)) if excludes else rows
 
 
-def contents(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path, mime, mtime, length, content`` of these files."""
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", mime_type(F.col("path")).alias("mime"), F.unix_seconds("modificationTime").alias("mtime"), "length", "content")
+#: Bytes of files that a task holds at once, and folders or files that it gets.
+HELD, DEALT = 16 << 20, 64
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt to tasks of about ``DEALT`` each, for work that waits on a store."""
+    n = rows.count()
+    return rows.repartition(max(1, -(-n // DEALT)))
+
+
+def walk(spark: SparkSession, folder: str, excludes: list[str] | None = None) -> DataFrame:
+    """``path, relative, mime, mtime, length`` of the files below a folder that have a known type and match no exclude.
+
+    Tasks list the folders of a level, and what they find is written; folders that match an exclude are not
+    entered. So there are as many rounds as levels, and no path passes through the driver. The folder is a URI that pyarrow can
+    read, or a local path.
+    """
+    base = folder.rstrip("/")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(base)
+        for batch in batches:
+            for relative in batch.column("relative").to_pylist():
+                found = store.get_file_info(fs.FileSelector(f"{root}/{relative}".rstrip("/")))
+                names = [f"{relative}/{x.base_name}".lstrip("/") for x in found]
+                times = [int(x.mtime_ns // 1_000_000_000) if x.mtime_ns is not None else None for x in found]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([x.type == fs.FileType.Directory for x in found], pa.bool_()), pa.array(times, pa.int64()), pa.array([x.size for x in found], pa.int64())], ["relative", "folder", "mtime", "length"])
+
+    schema = "relative string, folder boolean, mtime long, length long"
+    level, files = spark.createDataFrame([("",)], "relative string"), []
+    while True:
+        entries = _dealt(level).mapInArrow(listed, schema)
+        here = persisted(entries.where(~excluded(F.col("relative"), excludes)) if excludes else entries, "listed")
+        files.append(here.where("NOT folder"))
+        level = here.where("folder").select("relative")
+        if level.isEmpty():
+            break
+    every = files[0]
+    for more in files[1:]:
+        every = every.unionByName(more)
+    path = F.concat(F.lit(f"{base}/"), "relative")
+    return every.where(extension(F.col("relative")).isin(list(MIME))).select(path.alias("path"), "relative", mime_type(F.col("relative")).alias("mime"), "mtime", "length")
+
+
+def contents(files: DataFrame) -> DataFrame:
+    """``files(path, ...)`` with ``content``, read by tasks; null for one that is gone by now or cannot be read. A batch holds ``HELD`` bytes or one file."""
+    schema = T.StructType([*files.schema.fields, T.StructField("content", T.BinaryType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        def bytes_of(path: str) -> bytes | None:
+            try:
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(at, compression=None) as stream:
+                    return stream.read()
+            except OSError:
+                return None
+
+        for batch in batches:
+            start, found, held = 0, [], 0
+            for path in batch.column("path").to_pylist():
+                found.append(bytes_of(path))
+                held += len(found[-1] or b"")
+                if held >= HELD or start + len(found) == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([*batch.slice(start, len(found)).columns, pa.array(found, pa.binary())], [*batch.schema.names, "content"])
+                    start, found, held = start + len(found), [], 0
+
+    return _dealt(files).mapInArrow(read, schema)
 
 
 def scan(spark: SparkSession, folder: str, excludes: list[str] | None = None) -> DataFrame:
-    """The listed files with their contents; those that are excluded or of other types are not opened."""
-    found = listing(spark, folder, excludes).collect()
-    if not found:
-        return listing(spark, folder, excludes).withColumn("content", F.lit(None).cast("binary"))
-    names = spark.createDataFrame([(r.path, r.relative) for r in found], "path string, relative string")
-    return contents(spark, [r.path for r in found]).join(F.broadcast(names), "path").select("path", "relative", "mime", "mtime", "length", "content")
+    """The files that a walk finds with their contents; those that are excluded or of other types are not opened."""
+    return contents(walk(spark, folder, excludes))
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """``path, mime, mtime, content`` as text by format; a format without extractor (PDF) has ``error``."""
+    """``path, mime, mtime, content`` as text by format; a format without extractor (PDF), or content that could not be read, has ``error``."""
     ext, text = extension(F.col("path")), F.when(F.lit(False), "")
     for e, make in EXTRACTORS.items():
         text = text.when(ext == e, make(F.col("content")))
     known = ext.isin(list(EXTRACTORS))
     rows = files.withColumn("text", text)
-    error = F.when(~known, F.lit("unsupported format")).when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("no text"))
+    error = F.when(~known, F.lit("unsupported format")).when(F.col("content").isNull(), F.lit("not readable")).when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("no text"))
     return rows.select("path", "mime", "mtime", F.col("text").alias("content"), error.alias("error"))
 
 
@@ -187,3 +254,23 @@ def write_tree(notes: DataFrame, folder: str) -> int:
         yield pd.DataFrame({"n": [n]})
 
     return notes.select("path", "content").mapInPandas(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def remove(files: DataFrame) -> int:
+    """Delete the files of ``files(path)``, by tasks; those that are gone already are no error. Returns how many there were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        n = 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                try:
+                    store.delete_file(at)
+                    n += 1
+                except FileNotFoundError:
+                    pass
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return files.select("path").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

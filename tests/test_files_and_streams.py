@@ -46,6 +46,48 @@ def test_listing_reads_no_content(spark, folder, capsys):
     assert "content" not in capsys.readouterr().out.split("ReadSchema")[1].splitlines()[0]
 
 
+def test_walks_prune_folders_and_read_in_tasks(spark, tmp_path, monkeypatch):
+    for name in ("a.txt", "x/b.md", "x/y/z/c.csv", "skip/d.txt", "x/skip/e.txt", "x/f.bin", "x/g.log", "empty/none"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name * 3)
+    (tmp_path / "locked").mkdir()
+    got = {r.relative: r for r in fi.walk(spark, str(tmp_path), ["skip/", "*.log"]).collect()}
+    assert set(got) == {"a.txt", "x/b.md", "x/y/z/c.csv"}
+    assert all(r.path == f"{tmp_path}/{k}" and r.length == 3 * len(k) and r.mtime == int((tmp_path / k).stat().st_mtime) for k, r in got.items())
+    assert {r.relative for r in fi.walk(spark, f"file://{tmp_path}/").collect()} == {"a.txt", "x/b.md", "x/y/z/c.csv", "skip/d.txt", "x/skip/e.txt", "x/g.log"}
+    monkeypatch.setattr(fi, "HELD", 10)
+    listed = fi.walk(spark, f"file://{tmp_path}", ["skip/", "*.log"])
+    assert {r.relative: r.content.decode() for r in fi.contents(listed).collect()} == {k: k * 3 for k in got}
+    (tmp_path / "a.txt").unlink()
+    assert {r.path.rpartition("/")[2]: r.error for r in fi.extracted(fi.contents(listed)).collect()} == {"a.txt": "not readable", "b.md": None, "c.csv": None}
+    (tmp_path / "nothing").mkdir()
+    assert fi.scan(spark, f"file://{tmp_path}/nothing").count() == 0
+
+
+def test_requests_that_fail_are_halved_and_lose_only_what_fails(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id", "CASE WHEN id = 5 THEN NULL ELSE 'text ' || id END AS text").coalesce(1)
+    bad = {"text 7", "text 8", "text 131", "text 299"}
+    calls = spark.sparkContext.accumulator(0)
+    sizes = spark.sparkContext.accumulator(0)
+
+    def request(texts):
+        calls.add(1)
+        sizes.add(len(texts))
+        if bad & set(texts):
+            raise RuntimeError("refused")
+        if "text 200" in texts:
+            return [[1.0]] * (len(texts) + 1)
+        return [[float(len(t)), 0.0] if t != "text 50" else [1.0] for t in texts]
+
+    good, faulty = ing.salvaged(ing.embedded_or_faulty(rows, "text", request, dims=2))
+    assert {r.id: r.fault for r in faulty.collect()} == {7: "RuntimeError: refused", 8: "RuntimeError: refused", 131: "RuntimeError: refused", 299: "RuntimeError: refused", 200: "ValueError: 2 vectors for 1 texts", 50: "1 dimensions"}
+    assert {r.id: tuple(r.vector) for r in good.collect()} == {i: (0.0 if i == 5 else float(len(f"text {i}")), 0.0) for i in range(300) if i not in (7, 8, 131, 299, 200, 50)}
+    assert calls.value <= 300 / 8 + 2 * 5 * 5
+    calls.value = 0
+    ing.embedded_or_faulty(rows, "text", lambda texts: (calls.add(1), [[0.0]] * len(texts))[1], base=16, most=64).collect()
+    assert calls.value == len([16, 24, 32, 40, 48, 56, 64, 20])
+
+
 def test_folders_are_indexed_by_what_changed(spark, folder, tmp_path):
     state, chunks = st.KeyedTable(spark, str(tmp_path / "state"), ["path"]), st.KeyedTable(spark, str(tmp_path / "chunks"), ["path"])
     run = lambda n: ing.index_folder(spark, str(folder), state, chunks, n, ["node_modules"])
@@ -57,6 +99,13 @@ def test_folders_are_indexed_by_what_changed(spark, folder, tmp_path):
     (folder / "e.docx").unlink()
     assert run(2) == {"indexed": 1, "failed": 0, "unchanged": 4, "removed": 1} and names() == {"a.txt", "b.CSV", "c.html"}
     assert {r.content for r in chunks.read().collect() if r.path.endswith("a.txt")} == {"other words", "and more"}
+    # another folder's files are not taken for gone; a run that is done does nothing
+    other = tmp_path / "other"
+    other.mkdir()
+    (other / "new.md").write_text("hello")
+    assert ing.index_folder(spark, f"file://{other}", state, chunks, 0) == {"indexed": 1, "failed": 0, "unchanged": 0, "removed": 0}
+    assert run(2) == {"indexed": 0, "failed": 0, "unchanged": 0, "removed": 0} and run(3)["unchanged"] == 5
+    assert names() == {"a.txt", "b.CSV", "c.html", "new.md"}
 
 
 @pytest.mark.parametrize(("pattern", "path", "want"), [

@@ -183,4 +183,4 @@ def test_lists_sets_and_salvage(spark):
 @pytest.mark.parametrize("args, want", [((4096, 16, [(24000, False)]), "low"), ((32768, 16, [(24000, False)]), "high"), ((32768, 4, [(24000, False)]), "mid"), ((32768, 16, [(16000, True)]), "mid"), ((32768, 16, [(20480, True)]), "high"), ((12000, 8, []), "low"), ((12000, 8, [(8000, False)]), "mid"), ((12000, 8, [(8000, False)], "embedding"), "low"), ((65536, 32, [], "insufficient"), "low")])
 def test_tiers(args, want):
     assert ing.tier(*args) == want and want in ing.PLANS
-    assert ing.next_batch(16, 0.1, 24) == 24 and ing.next_batch(16, 5, 64) == 8 and ing.next_batch(16, 1.5, 64) == 16 and ing.next_batch(1, 9, 64) == 1
+    assert [ing.next_batch(*x) for x in ((16, False, 16, 32), (24, False, 16, 32), (32, False, 16, 32), (32, True, 16, 32), (9, True, 16, 32), (8, False, 16, 32), (12, False, 16, 32))] == [24, 32, 32, 16, 8, 16, 16]
