@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .markdown import readable
+
 #: Elements whose text is kept, whose start ends a paragraph, that break lines, that are dropped.
 _KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th"}
 _ENDS_P = _KEPT | {"ul", "ol", "dl", "table", "div", "section", "article", "nav", "header", "footer", "pre", "blockquote", "form", "tr"}
@@ -504,7 +506,7 @@ def _string(function, *fixed):
 
 
 #: Column functions by name.
-UDFS = {f.__name__: _string(f) for f in (html_structured, html_flat, html_title, rewrite_hrefs, link_first_mention, decode_text, csv_text, docx_text, odt_text)} | {
+UDFS = {f.__name__: _string(f) for f in (html_structured, html_flat, html_title, rewrite_hrefs, link_first_mention, decode_text, csv_text, docx_text, odt_text, readable)} | {
     "html_article": lambda c: _once(html_article, "title string, flat string")(c),
     "coalesced": lambda a, b: _udf(lambda old, new: coalesced(line_diff(old, new)), "array<struct<type:string,lines:array<string>,old:array<struct<type:string,text:string>>,new:array<struct<type:string,text:string>>>>")(a, b),
     "html_outline": lambda c: _udf(html_outline, "array<struct<level:int,text:string>>")(c),

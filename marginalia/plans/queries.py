@@ -596,13 +596,24 @@ def fn22_title_to_iso(s, p):
     return d.table(s, p, "orders").select("o_orderkey", tx.title_to_iso(form).alias("iso"), tx.title_to_iso(form, "MDY").alias("month_first"))
 
 
-_READABLE = r"regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(content, '\[\[|\]\]', '', 'g'), '([\p{L}\p{M}])[''’.·](\p{N})', '\1 \2', 'g'), '(\p{N})[''’.,;](\p{L})', '\1 \2', 'g'), '_*[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}_]|[''’.·][\p{L}]|[''’.,;]\p{N})*')"
+_READABLE = r"regexp_extract_all(regexp_replace(regexp_replace(content, '([\p{L}\p{M}])[''’.·](\p{N})', '\1 \2', 'g'), '(\p{N})[''’.,;](\p{L})', '\1 \2', 'g'), '_*[\p{L}\p{N}](?:[\p{L}\p{M}\p{N}_]|[''’.·][\p{L}]|[''’.,;]\p{N})*')"
 
 
-@query(with_("marked") + f", w AS (SELECT note_id, len({_READABLE}) AS words FROM marked) SELECT note_id, words::INT AS words, CASE WHEN words <= 0 THEN 0 ELSE ceil(words / 200.0) END::BIGINT AS minutes FROM w")
+#: Marks around a note's text, and what is seen of them.
+_MARKED = ("# Head of ", "\n\n> - [x] *one* **two _three_** ~~four~~\n\n", "\n\n```py\ncode [[x]] **y**\n```\n\n====\nin `[[a|b]] *c*` [label](http://u.rl/(x)) ![[Page|shown here]] [[Other Page]] ![pic](p.png) <!-- hid\nden --> <span>seen</span> <style>p {}</style> [r][k]\n[k]: http://u.rl")
+_SEEN = ("Head of ", " one two three four ", " code [[x]] **y** in [[a|b]] *c* label shown here Other Page pic seen r")
+
+
+def _sql_text(parts, own=("source", "text")):
+    quoted = ["'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for x in parts]
+    return f"{quoted[0]} || {own[0]} || {quoted[1]} || {own[1]} || {quoted[2]}"
+
+
+@query(f"WITH seen AS (SELECT doc_id AS note_id, trim(regexp_replace({_sql_text(_SEEN)}, '\\s+', ' ', 'g')) AS content FROM documents), w AS (SELECT note_id, content, len({_READABLE}) AS words FROM seen) SELECT note_id, content AS shown, words::INT AS words, CASE WHEN words <= 0 THEN 0 ELSE ceil(words / 200.0) END::BIGINT AS minutes FROM w")
 def fn23_readable_text(s, p):
-    rows = spread(d.notes(s, p, True)).select("note_id", tx.readable_words(F.col("content")).alias("words"))
-    return rows.withColumn("minutes", tx.reading_minutes(F.col("words")))
+    text = F.concat(F.lit(_MARKED[0]), "source", F.lit(_MARKED[1]), "text", F.lit(_MARKED[2]))
+    rows = d.spread_table(s, p, "documents").select(F.col("doc_id").alias("note_id"), UDFS["readable"](text).alias("shown"))
+    return rows.withColumn("words", tx.readable_words(F.col("shown"))).withColumn("minutes", tx.reading_minutes(F.col("words")))
 
 
 @query()

@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import documents as doc
 from marginalia.functions import text as tx
 from marginalia.functions import vectors as vx
+from marginalia.functions.markdown import readable
 
 
 @pytest.fixture(scope="module")
@@ -83,8 +85,28 @@ def test_small_texts(ev):
     ("- [x] *one* **two**\n> quote\n1. ~~old~~ __it__", "one two quote old it", 5), ("don't e.g 3.14 1,000 a_b x.y. 3.a", None, 8), ("", "", 0), ("```js\n```\nafter", "after", 1), ("    ```\nnot code `", None, 2),
 ])
 def test_readable_text(ev, text, want, words):
-    assert want is None or ev(tx.readable_text, text) == want
-    assert ev(tx.readable_words, text) == words
+    assert want is None or ev(doc.UDFS["readable"], text) == want
+    assert ev(lambda c: tx.readable_words(doc.UDFS["readable"](c)), text) == words
+
+
+@pytest.mark.parametrize("text, want", [
+    ("a snake_case_name and _so_ __on__, 2*3*4 * 5", "a snake_case_name and so on, 234 * 5"), ("***both*** *one **two** three*", "both one two three"), ("*open and **open", "*open and **open"),
+    ("[![alt *x*](pic.png)](http://e.org/(a)) [no link] [t][r] [t]", "alt x [no link] t [t]"), ("![[P|]] [[ | ]] [[A|b|c]] [[open", "P b|c [[open"),
+    ("> > 1. # deep\n>\n+ [ ] task", "deep task"), ("#tag stays, #### gone", "#tag stays, #### gone"), ("a\n---\nb\n***", "a b ***"),
+    ("`` a ` b `` `c", "a ` b `c"), ("~~~~\n~~~\n``` *x*\n~~~~ \n*y*", "~~~ ``` *x* y"), ("``` x\n~~~\n```", "~~~"),
+    ("1 < 2 > 1 <b>bold</b> <!-- open", "1 < 2 > 1 bold <!-- open"), ("<SCRIPT>x</script > y <style>never closed", "y never closed"), ("[x]: http://e.org title\n  [y]: z\n[z] : w", "[z] : w"),
+    ("line\u00a0one \u2003 two\r\nthree", "line one two three"), ("~a~ ~~b~~ ~~~c", "~a~ b ~~~c"),
+])
+def test_what_a_reader_sees(text, want):
+    assert readable(text) == want
+
+
+def test_long_and_odd_texts_are_read_in_proportion():
+    for unit in ("*a ", "_a_ ", "`a ", "[a](", "[[a ", "<a ", "**a*", "~~a", "![", "<!-- ", "<script>", "> ", "a*b_"):
+        began = time.process_time()
+        readable(unit * 60_000)
+        assert time.process_time() - began < 6, unit
+    assert readable(None) is None and readable("") == "" and readable("\n`\n") == "`"
 
 
 def test_reading_minutes(ev):
