@@ -15,6 +15,7 @@ from marginalia.operators.pivots import PivotIndex
 from marginalia.operators.storage import KeyedTable, new_path, persisted, spread
 from marginalia.operators.substrings import SubstringIndex
 from marginalia.operators.views import NoteViews
+from marginalia.sources import archive as zim
 from marginalia.sources import files as fi
 
 from . import domain as d
@@ -228,3 +229,30 @@ def opr10_reindexed_notes(s, p):
     run(n.unionByName(more), "org/model:latest")
     run(n, "org/model:v2")  # another model: all anew, and what is gone goes
     return table.read().select("note_id", "chunk_index", "content", F.size("vector").alias("dims"))
+
+
+def _archives(s, p):
+    """The pages in archives; every ninth is a redirect to the page before it, which may be one as well."""
+
+    def make():
+        path, to = F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 12, "0")), F.concat(F.lit("p"), F.lpad((F.col("page_id") - 1).cast("string"), 12, "0"))
+        moved = (F.col("page_id") % 9 == 4) | (F.col("page_id") % 9 == 5)
+        rows = d.table(s, p, "pages").select(path.alias("path"), F.col("url").alias("title"), F.when(F.col("page_id") % 5 == 0, "text/plain").otherwise("text/html").alias("mime"), F.when(~moved, F.encode("html", "UTF-8")).alias("content"), F.when(moved, to).alias("redirect"))
+        folder = new_path(s, "archives")
+        # runs of pages, so that a redirect and its page are in one archive
+        zim.written(rows.repartition(8, F.floor((F.substring("path", 2, 12).cast("long")) / 9)), folder)
+        return folder
+
+    return _once(s, p, "archives", make)
+
+
+@query("SELECT page_id, url, html FROM pages WHERE page_id % 9 NOT IN (4, 5) AND page_id % 5 <> 0")
+def src14_archive_container(s, p):
+    return zim.pages(s, _archives(s, p)).select(F.substring("url", 2, 12).cast("long").alias("page_id"), F.col("title").alias("url"), "html")
+
+
+@query("SELECT p.page_id, q.page_id AS found, octet_length(encode(q.html))::BIGINT AS bytes FROM pages p JOIN pages q ON q.page_id = p.page_id - CASE p.page_id % 9 WHEN 4 THEN 1 WHEN 5 THEN 2 ELSE 0 END")
+def src15_archive_articles(s, p):
+    wanted = d.table(s, p, "pages").select(F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("wanted"))
+    number = lambda c: F.substring(c, 2, 12).cast("long")
+    return zim.read_paths(s, _archives(s, p), wanted).select(number("wanted").alias("page_id"), number("path").alias("found"), F.octet_length("content").cast("long").alias("bytes"))
