@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, below a folder of this application."""
-    return f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, below a folder of this application's scratch tables, apart from what it stores for good."""
+    return f"{_scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Paths of the scratch tables written so far, in order.
-_written: list[str] = []
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}/scratch"
+
+
+class _Written(threading.local):
+    """Paths of the scratch tables that a thread has written so far, in order: runs in other threads have their own."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+
+_written = _Written()
 
 
 def persisted(df: DataFrame, name: str) -> DataFrame:
@@ -40,7 +51,7 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    _written.append(path)
+    _written.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -51,25 +62,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 
 def written() -> int:
-    """How many scratch tables there are, as a mark for :func:`drop_written`."""
-    return len(_written)
+    """How many scratch tables this thread has written, as a mark for :func:`drop_written`."""
+    return len(_written.paths)
 
 
 def written_since(mark: int) -> list[str]:
     """Paths of the scratch tables written since a mark that are not deleted."""
-    return _written[mark:]
+    return _written.paths[mark:]
 
 
 def drop_written(spark: SparkSession, since: int) -> None:
     """Delete the scratch tables written from ``since`` on, but for the last: what it was made of is not read again."""
-    for path in _written[since:-1]:
+    for path in _written.paths[since:-1]:
         drop_path(spark, path)
-    del _written[since:-1]
+    del _written.paths[since:-1]
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete all scratch tables of this application; results that still read them become unusable."""
-    drop_path(spark, f"{shared_dir(spark)}/marginalia-{spark.sparkContext.applicationId}")
+    """Delete all scratch tables of this application; results that still read them become unusable, stored tables and indexes stay."""
+    drop_path(spark, _scratch(spark))
 
 
 def fold_id(doc_id: Column) -> Column:

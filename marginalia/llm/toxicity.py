@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate, islice
 from math import exp, log
 
 import numpy as np
@@ -67,6 +69,8 @@ class _Table(dict):
 
 
 _TABLE = _Table()
+#: A run of anything but white space.
+_RUN = re.compile(r"\S+")
 
 
 def fold(text: str) -> str:
@@ -117,7 +121,10 @@ class Lexicon:
                 spared.append((start, last))
             elif start not in best or best[start][1] < weight:
                 best[start] = (last, weight)
-        return [(a, b, w) for a, (b, w) in best.items() if not any(x <= a < y for x, y in spared)]
+        spared.sort()
+        starts, reach = [x for x, _ in spared], list(accumulate((y for _, y in spared), max))
+        # of the spans that begin up to a hit, one holds it if the longest of them does
+        return [(a, b, w) for a, (b, w) in best.items() if not (i := bisect_right(starts, a)) or reach[i - 1] <= a]
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Log of the hits' weight by the number of words, and the weight of the heaviest hit."""
@@ -204,7 +211,10 @@ def _around(terms: dict[str, float]):
     def pairs(folded: str) -> Counter:
         padded, out = f" {folded} ", Counter()
         for start, _, _ in lexicon.hits(folded):
-            before, here = padded[:start].rstrip().rpartition(" ")[2], padded[start:].split(maxsplit=2)[:2]
+            end = start
+            while end and padded[end - 1] == " ":
+                end -= 1
+            before, here = padded[padded.rfind(" ", 0, end) + 1 : end], [m[0] for m in islice(_RUN.finditer(padded, start), 2)]
             if before:
                 out[f"{before} {here[0]}"] += 1
             if len(here) == 2:

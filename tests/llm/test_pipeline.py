@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -80,3 +81,22 @@ def secret_card(card):
 def test_names_and_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "pii pseudonyms", "source mixing", "best-fit packing"]
     assert toxicity.keep_clean and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_a_stage_keeps_what_another_call_of_it_reads(spark, docs_of):
+    rows = [(i, f"words of text {i} " * (i % 7)) for i in range(40)]
+    docs = docs_of(rows)
+    first = corpus_pipeline.mix_sources(spark, docs, "/none")
+    second = corpus_pipeline.mix_sources(spark, docs, "/none")
+    assert first.count() == second.count() > 0
+
+
+def test_scratch_goes_without_stored_tables(spark, docs_of):
+    from marginalia.llm import common
+    from marginalia.operators import storage
+
+    stored, scratch = storage.persisted(docs_of([(1, "a")]), "kept"), common.persisted(docs_of([(1, "a")]), "scratch")
+    common.drop_scratch(spark)
+    assert stored.count() == 1
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(scratch.inputFiles()[0]).count()

@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -154,3 +155,21 @@ def test_defined_on_odd_tables(docs_of, labels_of):
     assert all(r.predicted == 0 for r in toxicity.assess(docs_of(rows), labels_of([])).collect())
     kept = toxicity.keep_clean(odd, more)
     assert kept.columns == odd.columns and 150 < kept.count() < 205
+
+
+def test_hits_outside_of_exceptions_agree_with_a_plain_search_and_grow_with_the_text():
+    rng = random.Random(4)
+    words = ["bad", "badly", "good", "not", "so", "x"]
+    lexicon = toxicity.Lexicon({" bad": 1.0, " badly ": 2.0, " so ": 1.5}, ["not bad", "so good x", "x so", "good x so not"])
+    for _ in range(200):
+        folded = " ".join(rng.choices(words, k=rng.randrange(0, 40)))
+        padded = f" {folded} "
+        spans = [(i, i + len(p) + 1) for p in lexicon.exceptions for i in range(len(padded)) if padded.startswith(f" {p} ", i)]
+        want = {}
+        for term, weight in lexicon.terms.items():
+            for i in range(len(padded)):
+                if padded.startswith(term, i) and weight > want.get(i, 0) and not any(a <= i < b for a, b in spans):
+                    want[i] = weight
+        assert {a: w for a, _, w in lexicon.hits(folded)} == want
+    began = time.process_time()
+    assert len(lexicon.hits("not bad " * 300_000 + "bad")) == 1 and time.process_time() - began < 20
