@@ -7,6 +7,7 @@ Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -17,20 +18,30 @@ from marginalia.llm import mixing, near, packing, pii, toxicity
 from marginalia.llm.common import drop_path, drop_written, persisted, unused, written, written_since
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: Scratch tables of the stage before, whose result has been written and read again when a stage begins.
-_left: list[str] = []
+#: Scratch tables of the last stage, and its place, of each run: of a thread over a folder of tables.
+_left: dict[tuple[int, str], tuple[int, list[str]]] = {}
+_order: list[Stage] = []
 
 
 def stage(make: Stage) -> Stage:
-    """A stage that begins by deleting the scratch tables of the one before."""
+    """A stage that begins by deleting the scratch tables of an earlier stage of its run, whose result has been written and read again by then.
+
+    Those of the same stage or a later one stay, since their results may not have been read; so do those of other
+    threads and other folders.
+    """
+    _order.append(make)
 
     @wraps(make)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _left:
-            drop_path(spark, path)
+        run, place = (threading.get_ident(), sf_dir), _order.index(make)
+        before, paths = _left.get(run, (place, []))
+        if before < place:
+            for path in paths:
+                drop_path(spark, path)
+            paths = []
         mark = written()
         out = make(spark, docs, sf_dir)
-        _left[:] = written_since(mark)
+        _left[run] = (place, (paths if before == place else []) + written_since(mark))
         return out
 
     return run_stage
