@@ -17,6 +17,7 @@ from marginalia.sources import files as fi
 
 from . import knowledge as kn
 from .articles import articles
+from .jobs import Job
 from .storage import KeyedTable, persisted
 
 #: Dimensions, characters that are embedded, and most texts of a request, of the two model families.
@@ -176,14 +177,17 @@ def _batches(table: KeyedTable, rows: DataFrame, key: str, stream: str, batches:
         yield name, number, rows.where(part == number)
 
 
-def reindex_all(table: KeyedTable, notes: DataFrame, model: str, embedder: Embedder | None = None, dims: int = DIMS, batches: int = 16) -> int:
+def reindex_all(table: KeyedTable, notes: DataFrame, model: str, embedder: Embedder | None = None, dims: int = DIMS, batches: int = 16, job: Job | None = None) -> int:
     """All notes anew, in batches; the number of batches done now.
 
     A job that was stopped goes on after its last batch, as long as the model and the notes' ids are the same;
-    else it begins anew. In the end the chunks of notes that are gone are removed.
+    else it begins anew. In the end the chunks of notes that are gone are removed. ``job`` is told of each batch and may end
+    the run before the next one.
     """
     done, name = 0, None
     for name, number, part in _batches(table, notes, "note_id", f"reindex-{model}", batches):
+        if job:
+            job.report(number, batches)
         index_notes(table, part, number, embedder, dims, stream=name)
         done += 1
     stored = table.read()

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,8 +152,8 @@ class KeyedTable:
     #: Segments of like size that are merged, bytes below which sizes are alike, versions whose segments are kept for readers, and keys that a lookup names one by one.
     FANOUT, UNIT, VERSIONS, NAMED = 4, 1 << 20, 3, 256
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str]) -> None:
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: list[str], options: dict[str, str] | None = None) -> None:
+        self.spark, self.path, self.key, self.options = spark, path.rstrip("/"), key, options or {}
 
     # --- versions ---
 
@@ -189,11 +189,13 @@ class KeyedTable:
                 every = every.unionByName(self.spark.read.schema(kind).parquet(f"{self.path}/{s.name}/{part}").withColumn("_at", F.lit(place[s.name])))
         return every
 
-    def _merged(self, state: State, segments: tuple[Segment, ...], only: DataFrame | None = None) -> DataFrame:
-        """The rows that count among those of ``segments``, which are the newest of the state, or of keys among ``only``."""
+    def _merged(self, state: State, segments: tuple[Segment, ...], only: DataFrame | None = None, within: Column | None = None) -> DataFrame:
+        """The rows that count among those of ``segments``, which are the newest of the state, or of keys among ``only`` or ``within`` a range."""
         rows, newer = self._part(state, segments, "rows"), self._part(state, segments[1:], "keys")
         if only is not None:
             rows, newer = (df.join(only, [c for c in self.key if c in only.columns], "left_semi") for df in (rows, newer))
+        if within is not None:
+            rows, newer = rows.where(within), newer.where(within)
         if len(segments) > 1:
             last = newer.groupBy(*self.key).agg(F.max("_at").alias("_last"))
             rows = _null_safe(rows, last, self.key).where("_last IS NULL OR _at >= _last").drop("_last")
@@ -221,7 +223,13 @@ class KeyedTable:
         else:
             least, most = asked.agg(F.min(first), F.max(first)).first()
             within = F.col(first).between(F.lit(least), F.lit(most))
-        return self._merged(state, state.segments, asked).where(within)
+        return self._merged(state, state.segments, asked, within)
+
+    def between(self, least, below=None) -> DataFrame | None:
+        """The rows whose first key column is at least ``least`` and, if given, less than ``below``: a range of the files; None before the first batch."""
+        state, first = self.state(), F.col(self.key[0])
+        within = first >= F.lit(least)
+        return self._merged(state, state.segments, None, within if below is None else within & (first < F.lit(below))) if state.segments else None
 
     # --- writing ---
 
@@ -229,7 +237,7 @@ class KeyedTable:
         name = f"segments/{uuid.uuid4().hex}"
         ordered = lambda df: df.repartitionByRange(*self.key).sortWithinPartitions(*self.key)
         seen = Observation()
-        ordered(rows).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.path}/{name}/rows")
+        ordered(rows).observe(seen, F.count(F.lit(1)).alias("n")).write.options(**self.options).parquet(f"{self.path}/{name}/rows")
         if keys is not None:
             ordered(keys.select(self.key).distinct()).write.parquet(f"{self.path}/{name}/keys")
         return Segment(name, seen.get["n"], size_of(self.spark, f"{self.path}/{name}"), keys is not None)

@@ -10,6 +10,7 @@ from marginalia.operators import ingest as ing
 from marginalia.operators import knowledge as kn
 from marginalia.operators import lexical as lx
 from marginalia.operators import trees as tr
+from marginalia.operators.dictionary import TitleDictionary
 from marginalia.operators.notestore import NoteStore
 from marginalia.operators.pivots import PivotIndex
 from marginalia.operators.storage import KeyedTable, new_path, persisted, spread
@@ -135,6 +136,14 @@ def snk5_fts_deletions(s, p):
     return index.postings().groupBy("id").agg(F.sum("tf").alias("n"))
 
 
+@query(f"WITH r AS (SELECT doc_id AS note_id, CASE WHEN doc_id % 6 = 1 THEN 'Other-' ELSE 'doc-' END || doc_id AS title FROM documents WHERE doc_id % 11 <> 4) SELECT title, note_id FROM r WHERE starts_with(lower(title), 'other-1')")
+def opr29_title_dictionary(s, p):
+    titles, n = TitleDictionary(s, new_path(s, "titles")), d.notes(s, p)
+    titles.apply(n, 0)
+    titles.apply(n.where("note_id % 6 = 1").withColumn("title", F.concat(F.lit("Other-"), "note_id")), 1, n.where("note_id % 11 = 4"))
+    return titles.starting(" OTHER-1")
+
+
 def _substrings(s, p):
     def make():
         index, n = SubstringIndex(s, new_path(s, "grams"), ("title", "content")), d.notes(s, p)
