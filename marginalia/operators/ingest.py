@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,33 @@ PLANS = {"low": (16, 256, 32), "mid": (64, 1024, 128), "high": (96, 1536, 192)}
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
+@dataclass(frozen=True)
+class Model:
+    """What a model takes and gives: dimensions, characters of a text, and texts of a request at most."""
+
+    dims: int
+    chars: int
+    cap: int
+
+
+#: The family that a part of the name tells, and all other models.
+MODELS = {"mxbai": Model(LARGE_DIMS, 350, 48)}
+OTHER_MODEL = Model(DIMS, 1500, 128)
+
+
+def model_of(name: str, plan: str | None = None) -> Model:
+    """The limits of a model; on a machine of a tier (``plan``) requests are no larger than the tier's."""
+    found = next((m for part, m in MODELS.items() if part in name), OTHER_MODEL)
+    return found if plan is None else replace(found, cap=min(found.cap, PLANS[plan][2]))
+
+
+def embedded_by(rows: DataFrame, column: str, request: Callable[[list[str]], list[list[float]]], name: str, plan: str = "mid") -> DataFrame:
+    """:func:`embedded_or_faulty` within a model's limits: texts are cut to its characters, and requests begin with the tier's size."""
+    model = model_of(name, plan)
+    cut = rows.withColumn(column, F.substring(column, 1, model.chars))
+    return embedded_or_faulty(cut, column, request, min(PLANS[plan][0], model.cap), model.cap, model.dims)
+
+
 def tier(ram_mb: int, cores: int, gpus: list[tuple[int, bool]] = (), capability: str = "full") -> str:
     """``low``, ``mid`` or ``high`` of a machine; ``gpus`` are memory in MB and whether it is shared with the processor."""
     best = max((mb for mb, _ in gpus), default=0)

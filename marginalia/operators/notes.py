@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
+from marginalia.sources.files import write_tree
 
 from . import knowledge as kn
 from .storage import persisted
@@ -125,6 +126,20 @@ def as_html(title: Column, body: Column) -> Column:
     return F.concat(F.lit('<!DOCTYPE html><html><head><meta charset="utf-8"><title>'), name, F.lit("</title></head><body><h1>"), name, F.lit("</h1>"), F.coalesce(body, F.lit("")), F.lit("</body></html>"))
 
 
+def exported(notes: DataFrame, folders: DataFrame, ids: DataFrame, target: str, as_page: bool = False) -> int:
+    """Write the notes of ``ids(note_id)`` as Markdown files, or as pages, below a URI; how many there were.
+
+    Names are those of a tree export without its folders. Where one of the notes is in a locked folder, none is written.
+    """
+    wanted = persisted(with_folder(notes.join(ids.select("note_id").distinct(), "note_id", "left_semi"), folders), "exported")
+    if not wanted.where("locked").isEmpty():
+        raise PermissionError("a note of a locked folder is not exported")
+    flat = kn.export_paths(wanted.select(*notes.columns).withColumn("folder_id", F.lit(None).cast("long")), folders)
+    body = as_html(F.col("title"), tx.escaped_html(F.col("content"))) if as_page else as_markdown(F.col("title"), F.col("content"))
+    path = F.regexp_replace("path", r"\.md$", ".html") if as_page else F.col("path")
+    return write_tree(wanted.join(flat, "note_id").select(path.alias("path"), body.alias("content")), target)
+
+
 # --- folders --------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import KeyedTable
+
 
 def one_line_base64(data: Column) -> Column:
     return F.replace(F.base64(data), F.lit("\r\n"), F.lit(""))
@@ -74,11 +76,31 @@ class Settings:
         return Settings(number("retries", 0, 10, 2), flag("audit_enabled"), flag("log_file_access"), got.get("date_format", "DMY"), number("reading_wpm", 50, 600, 200))
 
 
+def stored_settings(table: KeyedTable) -> Settings:
+    """The settings that a table ``(key, value)`` keyed by ``key`` holds; all defaults before the first is set."""
+    rows = table.read()
+    return Settings() if rows is None else Settings.of(rows)
+
+
+def set_settings(table: KeyedTable, rows: DataFrame, number: int) -> Settings:
+    """The settings after ``rows(key, value)`` were set as batch ``number``; unknown keys are an error and nothing is set."""
+    unknown = [r.key for r in rows.where(~F.col("key").isin(list(Settings.__dataclass_fields__))).select("key").limit(5).collect()]
+    if unknown:
+        raise KeyError(f"unknown settings {unknown}")
+    table.upsert(rows.select("key", F.col("value").cast("string").alias("value")), number, stream="settings")
+    return stored_settings(table)
+
+
 def synthetic_notes(spark: SparkSession, notes: int, folders: int, seed: int = 42) -> DataFrame:
     """``note_id, folder_id, style, title, content, created_at``: 40 % structured, 30 % prose, 20 % lists, 10 % journal; tags and links."""
-    notes, folders = min(500, max(10, notes)), min(20, max(1, folders))
+    return synthesised(spark.range(min(500, max(10, notes))), min(500, max(10, notes)), folders, seed)
+
+
+def synthesised(ids: DataFrame, notes: int, folders: int, seed: int = 42) -> DataFrame:
+    """Such a note for each row of ``ids(id)``, with links to notes of numbers below ``notes``."""
+    folders = min(20, max(1, folders))
     draw = lambda k, n: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(n))
-    rows = spark.range(notes).withColumn("u", draw(1, 100))
+    rows = ids.withColumn("u", draw(1, 100))
     style = F.when(F.col("u") < 40, "structured").when(F.col("u") < 70, "prose").when(F.col("u") < 90, "bullet").otherwise("journal")
     word = lambda k: F.element_at(F.array(*map(F.lit, ("amber", "basin", "cedar", "delta", "ember", "fjord", "grove", "heron"))), (draw(k, 8) + 1).cast("int"))
     body = F.concat_ws(" ", *[word(k) for k in range(10, 30)])

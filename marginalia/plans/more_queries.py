@@ -244,9 +244,10 @@ def fn29_model_match(s, p):
     return d.table(s, p, "part").select("p_partkey", tx.model_matches(F.col("p_brand"), F.lit("Brand#1")).alias("matches"))
 
 
-@query("SELECT i AS rank, round(1.0 / (60 + i), 12) AS score FROM range(1, 41) t(i)")
+@query("SELECT vec_id, rank, round(1.0 / (60 + rank), 12)::DOUBLE AS score FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rank FROM embeddings)")
 def fn32_rrf_scores(s, p):
-    return s.range(1, 41).select(F.col("id").alias("rank"), F.round(1.0 / (se.RRF_K + F.col("id")), 12).alias("score"))
+    listed = se.ranked(d.table(s, p, "embeddings").select("vec_id", "label"), ["label"], ["vec_id"])
+    return listed.select("vec_id", F.col("rank").cast("long").alias("rank"), F.round(1.0 / (se.RRF_K + F.col("rank")), 12).alias("score"))
 
 
 @query("SELECT vec_id, round(list_sum(list_transform(list_zip(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 9)), lambda p: (p[1] - p[2]) * (p[1] - p[2]))), 6) AS d FROM embeddings")
@@ -353,10 +354,15 @@ def opr34_stale_summary(s, p):
     return kn.missing_counts(d.table(s, p, "documents"), d.table(s, p, "labels"), "doc_id")
 
 
-@query("SELECT 10::INT AS retries, false AS audit_enabled, 200::INT AS reading_wpm")
+@query("SELECT least(10, (SELECT max(n_nationkey) FROM nation))::INT AS retries, (SELECT count(*) FROM region) <> 5 AS audit_enabled, least(600, greatest(50, (SELECT count(*) FROM region)))::INT AS reading_wpm, (SELECT min(c_mktsegment) FROM customer) AS date_format")
 def opr36_settings(s, p):
-    got = vault.Settings.of(s.createDataFrame([("retries", "40"), ("audit_enabled", "false"), ("reading_wpm", "?")], "key string, value string"))
-    return s.createDataFrame([(got.retries, got.audit_enabled, got.reading_wpm)], "retries int, audit_enabled boolean, reading_wpm int")
+    # settings whose values the tables give: one is set twice, and two lie beyond their bounds
+    of = lambda key, table, value: d.table(s, p, table).agg(F.lit(key).alias("key"), value.cast("string").alias("value")).select("key", "value")
+    stored = KeyedTable(s, new_path(s, "settings"), ["key"])
+    first = of("retries", "nation", F.min("n_nationkey")).unionByName(of("audit_enabled", "region", F.when(F.count("*") == 5, "false").otherwise("true")))
+    vault.set_settings(stored, first.unionByName(of("reading_wpm", "region", F.count("*"))), 0)
+    got = vault.set_settings(stored, of("retries", "nation", F.max("n_nationkey")).unionByName(of("date_format", "customer", F.min("c_mktsegment"))), 1)
+    return s.createDataFrame([(got.retries, got.audit_enabled, got.reading_wpm, got.date_format)], "retries int, audit_enabled boolean, reading_wpm int, date_format string")
 
 
 @query(with_("notes") + "SELECT title FROM notes WHERE starts_with(lower(title), 'doc-9') ORDER BY title LIMIT 10")

@@ -885,9 +885,11 @@ def wn5_reciprocal_ranks(s, p):
 
 @query()
 def opr37_synthetic_vault(s, p):
-    from marginalia.operators.vault import synthetic_notes
+    from marginalia.operators.vault import synthesised
 
-    return synthetic_notes(s, 400, 12, seed=42)
+    # a note in place of each document
+    docs = d.table(s, p, "documents")
+    return synthesised(docs.select(F.col("doc_id").alias("id")), 500, 12, seed=42)
 
 
 @query(with_("notes", "folders") + "SELECT n.note_id, CASE WHEN f.id IS NULL THEN n.title || '.md' ELSE CASE WHEN p.id IS NULL THEN f.name ELSE p.name || '/' || f.name END || '/' || n.title || '.md' END AS path FROM notes n LEFT JOIN folders f ON f.id = n.folder_id LEFT JOIN folders p ON p.id = f.parent_id")

@@ -184,3 +184,33 @@ def test_lists_sets_and_salvage(spark):
 def test_tiers(args, want):
     assert ing.tier(*args) == want and want in ing.PLANS
     assert [ing.next_batch(*x) for x in ((16, False, 16, 32), (24, False, 16, 32), (32, False, 16, 32), (32, True, 16, 32), (9, True, 16, 32), (8, False, 16, 32), (12, False, 16, 32))] == [24, 32, 32, 16, 8, 16, 16]
+
+
+def test_limits_of_models(spark):
+    assert ing.model_of("mxbai-embed-large:latest") == ing.Model(1024, 350, 48) and ing.model_of("nomic-embed-text") == ing.Model(768, 1500, 128)
+    assert [ing.model_of("mxbai", p).cap for p in ("low", "mid", "high")] == [32, 48, 48] and [ing.model_of("x", p).cap for p in ("low", "mid", "high")] == [32, 128, 128]
+    rows = spark.range(3).selectExpr("id", "repeat('x', 400 + id) AS text")
+    got = ing.embedded_by(rows, "text", lambda texts: [[float(len(t))] * 1024 for t in texts], "mxbai-embed-large").collect()
+    assert {len(r.text) for r in got} == {350} and all(r.fault is None and r.vector == [350.0] * 1024 for r in got)
+
+
+def test_single_notes_are_written_unless_locked(spark, tmp_path):
+    notes = spark.createDataFrame([(1, "a/b", "x < y", 5), (2, "t", None, None), (3, "t", "s", 6)], "note_id long, title string, content string, folder_id long")
+    folders = spark.createDataFrame([(5, "F", None, False), (6, "G", None, True)], "id long, name string, parent_id long, locked boolean")
+    ids = lambda *ks: spark.createDataFrame([(k,) for k in ks], "note_id long")
+    assert ns.exported(notes, folders, ids(1, 2, 9), f"file://{tmp_path}/md") == 2 and ns.exported(notes, folders, ids(1), f"file://{tmp_path}/html", as_page=True) == 1
+    assert (tmp_path / "md/a-b.md").read_text() == "# a/b\n\nx < y" and (tmp_path / "md/t.md").read_text() == "# t\n\n"
+    assert "<h1>a/b</h1>x &lt; y" in (tmp_path / "html/a-b.html").read_text()
+    with pytest.raises(PermissionError):
+        ns.exported(notes, folders, ids(1, 3), f"file://{tmp_path}/none")
+    assert not (tmp_path / "none").exists()
+
+
+def test_settings_are_kept(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "s"), ["key"])
+    rows = lambda **values: spark.createDataFrame(list(values.items()), "key string, value string")
+    assert vault.stored_settings(table) == vault.Settings()
+    assert vault.set_settings(table, rows(retries="40", reading_wpm="7"), 0) == vault.Settings(retries=10, reading_wpm=50)
+    assert vault.set_settings(table, rows(retries="-3"), 1) == vault.Settings(retries=0, reading_wpm=50) == vault.stored_settings(table)
+    with pytest.raises(KeyError):
+        vault.set_settings(table, rows(nope="1"), 2)
