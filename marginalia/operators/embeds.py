@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions.documents import UDFS
 
 from .knowledge import first_by_title
+from .storage import persisted
 
 #: Fixed value: levels of embeds within embeds.
 DEPTH = 5
@@ -16,8 +17,8 @@ DEPTH = 5
 def expanded(notes: DataFrame, blocked: DataFrame | None = None, depth: int = DEPTH) -> DataFrame:
     """``note_id, text, faults``: all embeds replaced; those that are missing, locked, circular or too deep stay as ``[kind: title]``.
 
-    Each level is one join of the embeds that are left with the titles; parts carry their place as an array,
-    by which a note is put together in the end. ``faults`` counts the stubs.
+    Each level is one join of the embeds that are left with the titles, and is written, so that none is made twice; parts carry
+    their place as an array, by which a note is put together in the end. ``faults`` counts the stubs.
     """
     heads = first_by_title(notes).join(notes.select(F.col("note_id").alias("target_id"), "content", "folder_id"), "target_id")
     if blocked is not None:
@@ -31,7 +32,7 @@ def expanded(notes: DataFrame, blocked: DataFrame | None = None, depth: int = DE
         return parts.select("root", F.concat("place", F.array("i")).alias("place"), "trail", F.col("part.kind").alias("kind"), F.col("part.value").alias("value"))
 
     empty = F.array().cast("array<int>")
-    todo = split(notes.select(F.col("note_id").alias("root"), empty.alias("place"), F.array("title").alias("trail"), F.coalesce("content", F.lit("")).alias("content")))
+    todo = persisted(split(notes.select(F.col("note_id").alias("root"), empty.alias("place"), F.array("title").alias("trail"), F.coalesce("content", F.lit("")).alias("content"))), "parts")
     done = todo.where("kind = 'text'").select("root", "place", "value", F.lit(0).alias("fault"))
     stub = lambda kind: F.concat(F.lit(f"[{kind}: "), F.col("value"), F.lit("]"))
     for level in range(depth + 1):
@@ -39,11 +40,11 @@ def expanded(notes: DataFrame, blocked: DataFrame | None = None, depth: int = DE
         fault = F.when(F.array_contains("trail", F.col("value")), stub("circular")).when(F.col("shut").isNull(), stub("missing")).when(F.col("shut"), stub("locked"))
         if level == depth:
             fault = F.coalesce(fault, stub("too deep"))
-        judged = open_.withColumn("fault", fault)
+        judged = persisted(open_.withColumn("fault", fault), "judged")
         done = done.unionByName(judged.where("fault IS NOT NULL").select("root", "place", F.col("fault").alias("value"), F.lit(1).alias("fault")))
         if level == depth:
             break
-        todo = split(judged.where("fault IS NULL").select("root", "place", F.concat("trail", F.array("value")).alias("trail"), F.coalesce("content", F.lit("")).alias("content")))
+        todo = persisted(split(judged.where("fault IS NULL").select("root", "place", F.concat("trail", F.array("value")).alias("trail"), F.coalesce("content", F.lit("")).alias("content"))), "parts")
         done = done.unionByName(todo.where("kind = 'text'").select("root", "place", "value", F.lit(0).alias("fault")))
     parts = F.array_sort(F.collect_list(F.struct("place", "value")))
     text = done.groupBy(F.col("root").alias("note_id")).agg(F.array_join(F.transform(parts, lambda x: x["value"]), "").alias("text"), F.sum("fault").alias("faults"))

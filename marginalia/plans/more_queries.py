@@ -323,19 +323,18 @@ def opr32_transclusion_targets(s, p):
     return wanted.join(kn.first_by_title(n), "title", "left").select("title", F.col("target_id").isNotNull().alias("found"), F.col("target_id").alias("id"))
 
 
-@query("""WITH d AS (SELECT doc_id, text, doc_id % 3 AS k, doc_id * 7 % 997 AS t FROM documents),
-x1 AS (SELECT a.doc_id, a.k, CASE WHEN a.k = 0 THEN a.text || ' end' WHEN b.doc_id IS NULL THEN a.text || '[missing: doc-' || a.t || ']' || ' end' WHEN b.doc_id = a.doc_id THEN a.text || '[circular: doc-' || a.t || ']' || ' end' END AS text, a.text AS own, a.t FROM d a LEFT JOIN d b ON b.doc_id = a.t)
-SELECT a.doc_id AS note_id, coalesce(a.text, a.own || b.text || ' end') AS text FROM x1 a LEFT JOIN x1 b ON b.doc_id = a.t WHERE a.text IS NOT NULL OR b.text IS NOT NULL""")
+@query("""WITH RECURSIVE d AS (SELECT doc_id, text, doc_id % 3 AS k, doc_id * 7 % 997 AS t FROM documents),
+w AS (SELECT doc_id AS root, 0 AS level, text AS shown, k, t, [doc_id] AS trail FROM d
+  UNION ALL SELECT w.root, w.level + 1, w.shown || b.text, b.k, b.t, list_append(w.trail, b.doc_id) FROM w JOIN d b ON b.doc_id = w.t WHERE w.k <> 0 AND w.level < 5 AND NOT list_contains(w.trail, w.t)),
+l AS (SELECT *, row_number() OVER (PARTITION BY root ORDER BY level DESC) AS r FROM w)
+SELECT root AS note_id, shown || CASE WHEN k = 0 THEN '' ELSE CASE WHEN list_contains(trail, t) THEN '[circular' WHEN t NOT IN (SELECT doc_id FROM d) THEN '[missing' ELSE '[too deep' END || ': doc-' || t || ']' END || repeat(' end', level + 1) AS text FROM l WHERE r = 1""")
 def opr32_expanded_embeds(s, p):
     from marginalia.operators.embeds import expanded
 
-    # whole texts with an embed at the end, but for every third; those whose chain of embeds ends after one or two are compared
+    # whole texts with an embed at the end, but for every third: chains of any length, circles, and notes that are not there
     embed = F.concat(F.lit("![[doc-"), F.col("note_id") * 7 % 997, F.lit("]]"))
     n = spread(d.notes(s, p)).withColumn("content", F.concat("content", F.when(F.col("note_id") % 3 == 0, "").otherwise(embed), F.lit(" end")))
-    ids = n.select("note_id", (F.col("note_id") * 7 % 997).alias("t"))
-    ends = ids.join(ids.select(F.col("note_id").alias("t"), F.lit(True).alias("there")), "t", "left").where("note_id % 3 = 0 OR there IS NULL OR t = note_id").select("note_id")
-    short = ends.unionByName(ids.join(ends.select(F.col("note_id").alias("t")), "t").select("note_id")).distinct()
-    return expanded(n).select("note_id", "text").join(short, "note_id", "left_semi")
+    return expanded(n).select("note_id", "text")
 
 
 @query(with_("notes", "folders", "tree") + ", f AS (SELECT DISTINCT id FROM tree WHERE ancestor = 1) SELECT note_id, CASE WHEN f.id IS NULL THEN content END AS shown, f.id IS NOT NULL AS hidden, CASE WHEN f.id IS NOT NULL THEN (ceil((octet_length(encode(content)) + 28) / 3.0) * 4)::INT END AS stored, content AS opened, f.id IS NULL AS indexed FROM notes n LEFT JOIN f ON f.id = n.folder_id")
