@@ -18,6 +18,7 @@ from marginalia.operators.substrings import SubstringIndex
 from marginalia.operators.views import NoteViews
 from marginalia.sources import archive as zim
 from marginalia.sources import files as fi
+from marginalia.streaming import retention
 
 from . import domain as d
 from .domain import NOW, with_
@@ -265,3 +266,16 @@ def src15_archive_articles(s, p):
     wanted = d.table(s, p, "pages").select(F.concat(F.lit("p"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("wanted"))
     number = lambda c: F.substring(c, 2, 12).cast("long")
     return zim.read_paths(s, _archives(s, p), wanted).select(number("wanted").alias("page_id"), number("path").alias("found"), F.octet_length("content").cast("long").alias("bytes"))
+
+
+@query("WITH r AS (SELECT ts::DATE AS day, event_type AS action, max(ts) OVER () AS newest FROM events) SELECT day, action, count(*) AS n FROM r WHERE day + INTERVAL 1 DAY > newest - INTERVAL 10 DAY GROUP BY day, action")
+def opr23_retained_counts(s, p):
+    """The events as a stream in two runs on one checkpoint: the first half of the month, then the rest and what of the first half is late."""
+    rows, at = d.table(s, p, "events"), new_path(s, "events")
+    stamped = rows.select(F.expr("timestamp_seconds(timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts))").alias("ts"), F.col("event_type").alias("action"), F.when((F.dayofmonth("ts") < 16) & (F.col("event_id") % 20 != 0), 0).otherwise(1).alias("part"))
+    table = KeyedTable(s, new_path(s, "counts"), ["day", "action"])
+    for part in (0, 1):
+        stamped.where(F.col("part") == part).select("ts", "action").write.parquet(f"{at}/in/{part}")
+        stream = s.readStream.schema("ts timestamp, action string").parquet(f"{at}/in/*")
+        retention.keep_counts(s, stream, 10, table, f"{at}/checkpoint").awaitTermination()
+    return table.read()
