@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .markdown import readable
+from .pdf import pdf_text
 
 #: Elements whose text is kept, whose start ends a paragraph, that break lines, that are dropped.
 _KEPT = {"h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th"}
@@ -496,7 +497,7 @@ def _udf(function, kind, *fixed):
     return run
 
 
-def _once(function, kind):
+def column_function(function, kind):
     """A column function that is computed where it stands: filters on its result are not moved below it, which would compute it twice."""
     return _udf(function, kind).asNondeterministic()
 
@@ -506,8 +507,8 @@ def _string(function, *fixed):
 
 
 #: Column functions by name.
-UDFS = {f.__name__: _string(f) for f in (html_structured, html_flat, html_title, rewrite_hrefs, link_first_mention, decode_text, csv_text, docx_text, odt_text, readable)} | {
-    "html_article": lambda c: _once(html_article, "title string, flat string")(c),
+UDFS = {f.__name__: _string(f) for f in (html_structured, html_flat, html_title, rewrite_hrefs, link_first_mention, decode_text, csv_text, docx_text, odt_text, pdf_text, readable)} | {
+    "html_article": lambda c: column_function(html_article, "title string, flat string")(c),
     "coalesced": lambda a, b: _udf(lambda old, new: coalesced(line_diff(old, new)), "array<struct<type:string,lines:array<string>,old:array<struct<type:string,text:string>>,new:array<struct<type:string,text:string>>>>")(a, b),
     "html_outline": lambda c: _udf(html_outline, "array<struct<level:int,text:string>>")(c),
     "dates_in_text": lambda c, form="DMY": _udf(dates_in_text, "array<string>", form)(c),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -120,3 +122,60 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance,
 def with_(*names: str) -> str:
     """A WITH clause of these relations."""
     return "WITH " + ",\n".join(SQL[n] for n in names) + "\n"
+
+
+def pdf_file(text: str | None, streams: bool = True, lines: int = 40) -> bytes | None:
+    """A text as a PDF file: a page for ``lines`` of its lines, words set apart by gaps, codes of two bytes in the order in which characters first occur.
+
+    With ``streams`` objects and references are in compressed streams, otherwise plain with a table.
+    """
+    if text is None:
+        return None
+    codes = {c: i + 1 for i, c in enumerate(dict.fromkeys(text.replace("\n", "").replace(" ", "")))}
+    rows = [" -400 ".join(f"<{''.join(f'{codes[c]:04x}' for c in word)}>" for word in line.split(" ") if word) for line in text.split("\n")]
+    pages = [rows[i : i + lines] for i in range(0, len(rows), lines)]
+    pairs = [f"<{i:04x}> <{c.encode('utf-16-be').hex()}>\n" for c, i in codes.items()]
+    cmap = "1 begincodespacerange <0000> <ffff> endcodespacerange\n" + "".join(f"{len(pairs[i : i + 100])} beginbfchar\n{''.join(pairs[i : i + 100])}endbfchar\n" for i in range(0, len(pairs), 100))
+    kids = " ".join(f"{5 + 2 * i} 0 R" for i in range(len(pages)))
+    objects = {
+        1: "<</Type/Catalog/Pages 2 0 R>>",
+        2: f"<</Type/Pages/Count {len(pages)}/Kids[{kids}]/Resources<</Font<</F0 3 0 R>>>>>>",
+        3: "<</Type/Font/Subtype/Type0/BaseFont/Sans/Encoding/Identity-H/ToUnicode 4 0 R/DescendantFonts[<</Type/Font/Subtype/CIDFontType2/DW 600>>]>>",
+    }
+    bodies = {4: cmap}
+    for i, page in enumerate(pages):
+        objects[5 + 2 * i] = f"<</Type/Page/Parent 2 0 R/MediaBox[0 0 595 842]/Contents {6 + 2 * i} 0 R>>"
+        bodies[6 + 2 * i] = "BT /F0 10 Tf 12 TL 50 800 Td\n" + "".join(f"[{row}] TJ T*\n" for row in page) + "ET"
+    out, places = bytearray(b"%PDF-1.5\n"), {}
+
+    def put(number: int, body: str, raw: bytes | None = None) -> None:
+        places[number] = (1, len(out), 0)
+        out.extend(f"{number} 0 obj\n{body}".encode())
+        if raw is not None:
+            out.extend(b"\nstream\n" + raw + b"\nendstream")
+        out.extend(b"\nendobj\n")
+
+    for number, body in bodies.items():
+        raw = zlib.compress(body.encode()) if streams else body.encode()
+        put(number, f"<</Length {len(raw)}{'/Filter/FlateDecode' if streams else ''}>>", raw)
+    n = 5 + 2 * len(pages)
+    if not streams:
+        for number, body in objects.items():
+            put(number, body)
+        table = "".join(f"{places[i][1]:010d} 00000 n \n" for i in range(1, n))
+        return bytes(out) + f"xref\n0 {n}\n0000000000 65535 f \n{table}trailer\n<</Size {n}/Root 1 0 R>>\nstartxref\n{len(out)}\n%%EOF\n".encode()
+    heads, held = "", ""
+    for i, (number, body) in enumerate(objects.items()):
+        heads, held, places[number] = heads + f"{number} {len(held)} ", held + body + "\n", (2, n, i)
+    raw = zlib.compress((heads + held).encode())
+    put(n, f"<</Type/ObjStm/N {len(objects)}/First {len(heads)}/Filter/FlateDecode/Length {len(raw)}>>", raw)
+    start, above, table = len(out), bytes(7), bytearray()
+    places[n + 1] = (1, start, 0)
+    for i in range(n + 2):
+        kind, x, y = places.get(i, (0, 0, 0))
+        row = bytes([kind]) + x.to_bytes(4) + y.to_bytes(2)
+        table += b"\x02" + bytes((a - b) & 255 for a, b in zip(row, above, strict=True))
+        above = row
+    raw = zlib.compress(table)
+    put(n + 1, f"<</Type/XRef/Size {n + 2}/W[1 4 2]/Root 1 0 R/Filter/FlateDecode/DecodeParms<</Predictor 12/Columns 7>>/Length {len(raw)}>>", raw)
+    return bytes(out) + f"startxref\n{start}\n%%EOF\n".encode()

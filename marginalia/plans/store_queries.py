@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from marginalia.functions.documents import column_function
 from marginalia.operators import ingest as ing
 from marginalia.operators import knowledge as kn
 from marginalia.operators import lexical as lx
@@ -241,6 +242,18 @@ def opr10_reindexed_notes(s, p):
     return table.read().select("note_id", "chunk_index", "content", F.size("vector").alias("dims"))
 
 
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, ' +', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS content, NULL::VARCHAR AS error FROM documents WHERE doc_id % 9 <> 4 UNION ALL SELECT doc_id, '', 'no text' FROM documents WHERE doc_id % 9 = 4")
+def src8_pdf_text(s, p):
+    """Documents as PDF files, with tables or with streams of references; every ninth is blank."""
+    docs = spread(d.table(s, p, "documents").select("doc_id", F.when(F.col("doc_id") % 9 == 4, " ").otherwise(F.col("text")).alias("text")))
+    made = lambda streams: column_function(lambda text: d.pdf_file(text, streams), "binary")(F.when((F.col("doc_id") % 2 == 1) == streams, F.col("text")))
+    path = F.format_string("/in/n%d.pdf", F.col("doc_id"))
+    files = docs.select(path.alias("path"), fi.mime_type(path).alias("mime"), F.lit(0).alias("mtime"), F.coalesce(made(True), made(False)).alias("content"))
+    named = F.regexp_extract("path", r"n(\d+)\.pdf$", 1).cast(docs.schema["doc_id"].dataType)
+    # where a page of the file ends is no end of the text
+    return fi.extracted(files).select(named.alias("doc_id"), F.regexp_replace("content", "\n+", "\n").alias("content"), "error")
+
+
 def _archives(s, p):
     """The pages in archives; every ninth is a redirect to the page before it, which may be one as well."""
 

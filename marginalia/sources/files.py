@@ -25,6 +25,7 @@ EXTRACTORS = {
     **{e: (lambda c: UDFS["html_structured"](UDFS["decode_text"](c))) for e in ("html", "htm")},
     "docx": UDFS["docx_text"],
     "odt": UDFS["odt_text"],
+    "pdf": UDFS["pdf_text"],
 }
 
 
@@ -197,10 +198,11 @@ def scan(spark: SparkSession, folder: str, excludes: list[str] | None = None) ->
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """``path, mime, mtime, content`` as text by format; a format without extractor (PDF), or content that could not be read, has ``error``."""
+    """``path, mime, mtime, content`` as text by format; content that could not be read, or has no text (a picture of text, a damaged file), has ``error``."""
     ext, text = extension(F.col("path")), F.when(F.lit(False), "")
     for e, make in EXTRACTORS.items():
-        text = text.when(ext == e, make(F.col("content")))
+        # a Python function runs for all rows wherever it stands, so others' contents are kept from it
+        text = text.when(ext == e, make(F.when(ext == e, F.col("content"))))
     known = ext.isin(list(EXTRACTORS))
     rows = files.withColumn("text", text)
     error = F.when(~known, F.lit("unsupported format")).when(F.col("content").isNull(), F.lit("not readable")).when(F.trim(F.coalesce("text", F.lit(""))) == "", F.lit("no text"))
