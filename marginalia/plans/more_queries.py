@@ -9,6 +9,7 @@ from marginalia.functions import text as tx
 from marginalia.functions import vectors as vx
 from marginalia.functions.documents import UDFS
 from marginalia.operators import articles as ar
+from marginalia.operators import chat as ch
 from marginalia.operators import ingest as ing
 from marginalia.operators import knowledge as kn
 from marginalia.operators import lexical as lx
@@ -316,6 +317,46 @@ def opr31_rag_context(s, p):
     return made.select(F.col("section").cast("int").alias("part"), "body")
 
 
+_BOARD_HEAD = "chr(10) || 'Property definitions:' || chr(10) || '- status (select) — options: P, F' || chr(10) || '- priority (select)' || chr(10) || '- total (number)' || chr(10) || '- date (date)'"
+
+
+@query(with_("near") + """, g AS (SELECT query_id // 50 AS conv_id, note_id, min(distance) AS d, any_value(title) AS title, string_agg(content, chr(10) ORDER BY chunk_index) AS text FROM ranked WHERE rank <= 10 GROUP BY query_id, note_id),
+pin AS (SELECT DISTINCT conv_id, 'vec-' || (conv_id * 10) AS title, CASE WHEN conv_id % 6 = 0 THEN '(empty note)' ELSE 'day ' || conv_id END AS text, conv_id % 4 = 0 AS locked FROM conversations WHERE conv_id % 2 = 0),
+e AS (SELECT conv_id, -1 AS o, 0 AS i, title, text FROM pin WHERE NOT locked UNION ALL SELECT g.conv_id, d, g.note_id, g.title, g.text FROM g LEFT JOIN pin USING (conv_id) WHERE g.title IS DISTINCT FROM pin.title),
+n AS (SELECT conv_id, 'USER NOTES:' || chr(10) || string_agg('[Note: "' || title || '"]' || chr(10) || text, chr(10) || chr(10) ORDER BY o, i) AS body, list(title ORDER BY o, i) AS titles FROM e GROUP BY conv_id),
+a AS (SELECT page_id // 2 AS conv_id, 'WIKIPEDIA ARTICLES:' || chr(10) || string_agg('[Wikipedia: "' || url || '"]' || chr(10) || 'p' || page_id || chr(10) || html, chr(10) || chr(10) ORDER BY page_id) AS body, list(url ORDER BY page_id) AS titles FROM pages GROUP BY page_id // 2),
+f AS (SELECT p_partkey // 7 AS conv_id, 'SCANNED FILES:' || chr(10) || '[File: "' || p_name || '" (/f/' || p_partkey || ')]' || chr(10) || p_type AS body FROM part WHERE p_partkey % 7 = 0),
+o AS (SELECT doc_id AS conv_id, '## Note the user currently has open' || chr(10) || '### doc-' || doc_id || chr(10) || text AS body FROM documents WHERE doc_id % 5 = 0)
+SELECT c.conv_id, nullif(concat_ws(chr(10) || chr(10), o.body, n.body, a.body, f.body), '') AS context, list_filter([CASE WHEN n.body IS NOT NULL THEN 'notes' END, CASE WHEN a.body IS NOT NULL THEN 'articles' END, CASE WHEN f.body IS NOT NULL THEN 'files' END], lambda x: x IS NOT NULL) AS sources,
+  coalesce(n.titles, []) AS note_titles, coalesce(a.titles, []) AS article_titles
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n USING (conv_id) LEFT JOIN a USING (conv_id) LEFT JOIN f USING (conv_id) LEFT JOIN o USING (conv_id)""")
+def opr31_chat_context(s, p):
+    turns, conv = d.table(s, p, "conversations"), F.expr("query_id DIV 50").alias("conv_id")
+    near = se.ranked(se.by_source(_near(s, p, 10), "note_id", 10, None, 1e9, 1e9), ["query_id"], ["distance", "note_id"])
+    pinned = turns.where("conv_id % 2 = 0").select("conv_id").distinct().selectExpr("conv_id", "'vec-' || (conv_id * 10) AS title", "CASE WHEN conv_id % 6 <> 0 THEN 'day ' || conv_id END AS content", "conv_id % 4 = 0 AS locked")
+    articles = d.table(s, p, "pages").selectExpr("page_id DIV 2 AS conv_id", "page_id AS rank", "url AS title", "array('p' || page_id, html) AS excerpts")
+    files = d.table(s, p, "part").where("p_partkey % 7 = 0").selectExpr("p_partkey DIV 7 AS conv_id", "p_partkey AS rank", "p_name AS title", "'/f/' || p_partkey AS path", "array(p_type) AS excerpts")
+    opened = d.notes(s, p).where("note_id % 5 = 0").selectExpr("note_id AS conv_id", "title", "content")
+    notes = ch.note_entries(near.select(conv, "rank", "title", "excerpts"), pinned, "conv_id")
+    return ch.assembled(turns, "conv_id", ch.open_note(opened, "conv_id"), None, ch.section(notes, "notes", "conv_id"), *[ch.section(ch.found_entries(rows, "conv_id"), kind, "conv_id") for kind, rows in (("articles", articles), ("files", files))])
+
+
+@query(with_("order_notes", "cells", "defs") + """, v AS (SELECT n.folder_id, n.note_id, c.value FROM order_notes n JOIN cells c ON c.note_id = n.note_id AND c.def_id = n.folder_id * 10 + 1),
+shelf AS (SELECT unnest(range(5)) AS folder_id), opts AS (SELECT folder_id, value, o FROM shelf CROSS JOIN (VALUES ('P', 0), ('F', 1), ('', 2)) t(value, o)),
+c AS (SELECT folder_id, value, coalesce(o, 3) AS o, coalesce(n, 0) AS n FROM opts FULL JOIN (SELECT folder_id, value, count(*) AS n FROM v GROUP BY folder_id, value) USING (folder_id, value)),
+b AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY folder_id ORDER BY o, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY folder_id, value ORDER BY note_id) AS i FROM v),
+t AS (SELECT r.folder_id, r.value, r.i, '- order-' || r.note_id || ' [' || string_agg(defs.name || ': ' || x.value, ', ' ORDER BY defs.position) || ']' AS line FROM r JOIN b USING (folder_id, value) JOIN cells x ON x.note_id = r.note_id JOIN defs ON defs.def_id = x.def_id WHERE before + i <= 50 GROUP BY r.folder_id, r.value, r.i, r.note_id),
+l AS (SELECT folder_id, value, string_agg(line, chr(10) ORDER BY i) AS lines FROM t GROUP BY folder_id, value),
+k AS (SELECT folder_id, string_agg(concat_ws(chr(10), chr(10) || '### ' || CASE value WHEN '' THEN 'Unset' ELSE value END || ' (' || n || ')', lines), chr(10) ORDER BY o, value) AS body FROM b LEFT JOIN l USING (folder_id, value) WHERE before < 50 GROUP BY folder_id)
+SELECT folder_id, concat_ws(chr(10), '## Folder ' || folder_id || """ + _BOARD_HEAD + """, body, CASE WHEN total > 50 THEN chr(10) || '... and ' || (total - 50) || ' more cards not shown' END) AS body FROM k JOIN (SELECT folder_id, sum(n)::BIGINT AS total FROM c GROUP BY folder_id) USING (folder_id)""")
+def opr31_board_view(s, p):
+    notes = d.order_notes(s, p).withColumn("title", F.concat(F.lit("order-"), "note_id"))
+    defs = d.property_defs(s).withColumn("options", F.when(F.col("name") == "status", F.array(F.lit("P"), F.lit("F"))))
+    folders = s.range(5).selectExpr("id AS folder_id", "'Folder ' || id AS label")
+    return ch.board_view(folders, notes, d.property_cells(s, p), defs)
+
+
 @query("SELECT DISTINCT 'doc-' || (doc_id * 7 % 997) AS title, n.id IS NOT NULL AS found, n.id FROM documents d LEFT JOIN (SELECT doc_id AS id FROM documents) n ON n.id = d.doc_id * 7 % 997")
 def opr32_transclusion_targets(s, p):
     n = d.notes(s, p)
