@@ -34,6 +34,8 @@ _LN10 = log(10)
 _FLUSH = 150_000
 #: Words for one task that runs lattices, and characters of a word whose edges are kept.
 _WORDS_PER_TASK, _LONG = 30_000, 4096
+#: Characters of a word that may be fitted by plain probabilities, and the least that a word's may be.
+_PLAIN, _SMALLEST = 128, 1e-200
 
 
 def read_vocabulary(path: str) -> tuple[list[str], np.ndarray]:
@@ -60,28 +62,36 @@ class Lattice:
 
     def __init__(self, pieces: list[str], logs: np.ndarray) -> None:
         self.logs = logs.tolist()
-        #: A piece's number, or -1 for what only begins a piece.
-        self.table: dict[str, int] = {}
+        self.shares = np.exp(logs).tolist()
         self.bytes = [0] * 256
+        kept, grown = {}, ({}, [-1])
         for i, piece in enumerate(pieces):
             if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
                 self.bytes[int(piece[3:5], 16)] = i
-            elif _BLANK not in piece[1:] and not (piece.startswith("<") and piece.endswith(">") and len(piece) > 2):
-                self.table[piece] = i
-        for piece in list(self.table):
-            for k in range(1, len(piece)):
-                self.table.setdefault(piece[:k], -1)
+            elif piece and _BLANK not in piece[1:] and not (piece.startswith("<") and piece.endswith(">") and len(piece) > 2):
+                kept[piece] = i
+        for piece, i in kept.items():
+            at = grown
+            for char in piece:
+                at = at[0].setdefault(char, ({}, [-1]))
+            at[1][0] = i
+        # of each first character its piece, or -1, and the same for what may follow
+        self.first = self._frozen(grown[0])
+
+    def _frozen(self, grown: dict) -> dict:
+        return {char: (piece[0], self._frozen(more)) for char, (more, piece) in grown.items()}
 
     def edges(self, text: str, i: int) -> list[tuple[int, int, float]]:
         """From a place: end, piece and log probability of the pieces there; bytes (piece -1) for an unknown character."""
-        get, n, out, j = self.table.get, len(text), [], i + 1
-        while j <= n:
-            piece = get(text[i:j])
-            if piece is None:
+        logs, out, following, j = self.logs, [], self.first, i
+        while j < len(text):
+            got = following.get(text[j])
+            if got is None:
                 break
-            if piece >= 0:
-                out.append((j, piece, self.logs[piece]))
+            piece, following = got
             j += 1
+            if piece >= 0:
+                out.append((j, piece, logs[piece]))
         if not out or out[0][0] != i + 1:
             out.append((i + 1, -1, self._bytes(text[i])))
         return out
@@ -91,23 +101,23 @@ class Lattice:
 
     def marginal(self, word: str) -> float:
         """Natural log of the summed probability of all segmentations. Places that are passed are let go, so memory is small for words of any length."""
-        text, get, logs, none = _BLANK + word, self.table.get, self.logs, float("-inf")
+        text, first, logs, none = _BLANK + word, self.first, self.logs, float("-inf")
         n = len(text)
         alpha: list[float | None] = [0.0] + [none] * n
         for i in range(n):
-            a, j, known = alpha[i], i + 1, False
+            a, following, known = alpha[i], first, False
             alpha[i] = None
-            while j <= n:
-                piece = get(text[i:j])
-                if piece is None:
+            for j in range(i, n):
+                got = following.get(text[j])
+                if got is None:
                     break
+                piece, following = got
                 if piece >= 0:
-                    known = known or j == i + 1
-                    x, y = alpha[j], a + logs[piece]
+                    known = known or j == i
+                    x, y = alpha[j + 1], a + logs[piece]
                     if x < y:
                         x, y = y, x
-                    alpha[j] = x + log1p(exp(y - x)) if y > none else x
-                j += 1
+                    alpha[j + 1] = x + log1p(exp(y - x)) if y > none else x
             if not known:
                 x, y = alpha[i + 1], a + self._bytes(text[i])
                 if x < y:
@@ -115,8 +125,13 @@ class Lattice:
                 alpha[i + 1] = x + log1p(exp(y - x)) if y > none else x
         return alpha[n]
 
-    def expected(self, word: str, weight: float, into: np.ndarray) -> None:
-        """Add ``weight`` times the expected number of uses of each piece. The edges of a long word are looked up again where they are used, not kept."""
+    def expected(self, word: str, weight: float, into: np.ndarray | list[float]) -> None:
+        """Add ``weight`` times the expected number of uses of each piece.
+
+        Plain probabilities do where they are large enough for that, logarithms otherwise. The edges of a long word are looked up again where they are used, not kept.
+        """
+        if len(word) < _PLAIN and self._expected_plain(word, weight, into):
+            return
         text, none = _BLANK + word, float("-inf")
         n = len(text)
         numbers = list if n <= _LONG else partial(array, "d")
@@ -145,6 +160,45 @@ class Lattice:
                         into[self.bytes[b]] += share
 
 
+    def _expected_plain(self, word: str, weight: float, into: np.ndarray | list[float]) -> bool:
+        """As :meth:`expected` by plain probabilities; false, and nothing is added, where the word's is too small for them."""
+        text, first, shares = _BLANK + word, self.first, self.shares
+        n = len(text)
+        alpha, beta, at = [1.0] + [0.0] * n, [0.0] * (n + 1), []
+        for i in range(n):
+            a, following, here, known = alpha[i], first, [], False
+            for j in range(i, n):
+                got = following.get(text[j])
+                if got is None:
+                    break
+                piece, following = got
+                if piece >= 0:
+                    known = known or j == i
+                    p = shares[piece]
+                    here.append((j + 1, piece, p))
+                    alpha[j + 1] += a * p
+            if not known:
+                p = exp(self._bytes(text[i]))
+                here.append((i + 1, -1, p))
+                alpha[i + 1] += a * p
+            at.append(here)
+        if alpha[n] < _SMALLEST:
+            return False
+        beta[n] = weight / alpha[n]
+        for i in range(n - 1, -1, -1):
+            a, total = alpha[i], 0.0
+            for j, piece, p in at[i]:
+                x = p * beta[j]
+                total += x
+                if piece >= 0:
+                    into[piece] += a * x
+                else:
+                    for b in text[i].encode():
+                        into[self.bytes[b]] += a * x
+            beta[i] = total
+        return True
+
+
 @lru_cache(maxsize=1)
 def _vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     return read_vocabulary(path)
@@ -186,12 +240,12 @@ def fit_pieces(words: DataFrame, ends: int, vocabulary: str, rounds: int = 1, pr
         logs = np.log(current)
 
         def expect(frames: Iterator[pd.DataFrame], logs=logs) -> Iterator[pd.DataFrame]:
-            lattice, sums = Lattice(_vocabulary(vocabulary)[0], logs), np.zeros(n)
+            lattice, sums = Lattice(_vocabulary(vocabulary)[0], logs), [0.0] * n
             for frame in frames:
                 for word, c in zip(frame["word"], frame["c"], strict=True):
                     lattice.expected(bytes(word).decode(), float(c), sums)
             used = np.flatnonzero(sums)
-            yield pd.DataFrame({"piece": used, "n": sums[used]})
+            yield pd.DataFrame({"piece": used, "n": np.array(sums)[used]})
 
         seen = words.where("c > 0").select("word", "c").mapInPandas(expect, "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
         counts = base * prior

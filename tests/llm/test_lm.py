@@ -97,3 +97,17 @@ def test_long_words_are_worked_on_in_little_memory(monkeypatch):
     lattice.expected("ab" * 100_000, 1.0, again)
     assert tracemalloc.get_traced_memory()[1] < 30_000_000
     tracemalloc.stop()
+
+
+def test_plain_probabilities_fit_as_logarithms_do(monkeypatch):
+    pieces, p = lm.read_vocabulary(PATH)
+    lattice = lm.Lattice(pieces, np.log(p))
+    words = ["lattice", "naïve", "日本語", "𝄞", "<0x41>", "▁x", "-" * 100, "𝄞" * 100, ""]
+    assert lattice._expected_plain("lattice", 1.0, np.zeros(len(pieces))) and not lattice._expected_plain("𝄞" * 100, 1.0, [])
+    plain, logs = np.zeros(len(pieces)), np.zeros(len(pieces))
+    for word in words:
+        lattice.expected(word, 3.0, plain)
+    monkeypatch.setattr(lm, "_PLAIN", 0)
+    for word in words:
+        lattice.expected(word, 3.0, logs)
+    assert np.allclose(plain, logs, rtol=1e-9, atol=1e-12)
