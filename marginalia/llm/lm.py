@@ -57,29 +57,34 @@ def read_vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     return pieces, weights / weights.sum()
 
 
+@lru_cache(maxsize=1)
+def _tree(pieces: tuple[str, ...]) -> tuple[dict, list[int]]:
+    """Of each first character its piece, or -1, and the same for what may follow; the pieces of bytes. Workers keep it from task to task."""
+    of_bytes, kept, grown = [0] * 256, {}, ({}, [-1])
+    for i, piece in enumerate(pieces):
+        if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
+            of_bytes[int(piece[3:5], 16)] = i
+        elif piece and _BLANK not in piece[1:] and not (piece.startswith("<") and piece.endswith(">") and len(piece) > 2):
+            kept[piece] = i
+    for piece, i in kept.items():
+        at = grown
+        for char in piece:
+            at = at[0].setdefault(char, ({}, [-1]))
+        at[1][0] = i
+
+    def frozen(level: dict) -> dict:
+        return {char: (piece[0], frozen(more)) for char, (more, piece) in level.items()}
+
+    return frozen(grown[0]), of_bytes
+
+
 class Lattice:
     """All segmentations of a word into pieces, with the pieces' natural log probabilities."""
 
     def __init__(self, pieces: list[str], logs: np.ndarray) -> None:
         self.logs = logs.tolist()
         self.shares = np.exp(logs).tolist()
-        self.bytes = [0] * 256
-        kept, grown = {}, ({}, [-1])
-        for i, piece in enumerate(pieces):
-            if len(piece) == 6 and piece.startswith("<0x") and piece.endswith(">"):
-                self.bytes[int(piece[3:5], 16)] = i
-            elif piece and _BLANK not in piece[1:] and not (piece.startswith("<") and piece.endswith(">") and len(piece) > 2):
-                kept[piece] = i
-        for piece, i in kept.items():
-            at = grown
-            for char in piece:
-                at = at[0].setdefault(char, ({}, [-1]))
-            at[1][0] = i
-        # of each first character its piece, or -1, and the same for what may follow
-        self.first = self._frozen(grown[0])
-
-    def _frozen(self, grown: dict) -> dict:
-        return {char: (piece[0], self._frozen(more)) for char, (more, piece) in grown.items()}
+        self.first, self.bytes = _tree(tuple(pieces))
 
     def edges(self, text: str, i: int) -> list[tuple[int, int, float]]:
         """From a place: end, piece and log probability of the pieces there; bytes (piece -1) for an unknown character."""
