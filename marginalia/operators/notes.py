@@ -7,6 +7,7 @@ which rows change is given as a DataFrame, so one call changes one note or many.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as tx
@@ -40,6 +41,19 @@ def listed(notes: DataFrame, sort: str = "modified") -> DataFrame:
     return notes.orderBy(*order, "note_id")
 
 
+def places(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``column`` of sorted rows and, as ``name``, each row's place from 1 on.
+
+    A sorted table lies in ranges; a row's number tells its range and its place there, and each range begins after
+    those before it. No range is moved or gathered; one row for each is broadcast.
+    """
+    number, least = F.monotonically_increasing_id(), F.col("_number").bitwiseAND((1 << 33) - 1)
+    numbered = persisted(rows.select(column, number.alias("_number")), "places").withColumn("_range", F.shiftright("_number", 33))
+    held = numbered.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = held.select("_range", F.coalesce(F.sum("_rows").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return numbered.join(F.broadcast(before), "_range").select(column, (F.col("_before") + least + 1).alias(name))
+
+
 def in_folder(notes: DataFrame, folder_id: int | None) -> DataFrame:
     """Notes of a folder, or those in none."""
     return notes.where(F.col("folder_id").eqNullSafe(F.lit(folder_id).cast("long")))

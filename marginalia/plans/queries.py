@@ -479,8 +479,8 @@ def sr3_multi_key_sort(s, p):
 def sr4_note_list_sort(s, p):
     out = d.notes(s, p).select("note_id", "title")
     for sort in ("name", "created", "modified"):
-        ids = ns.listed(d.notes(s, p), sort).agg(F.collect_list("note_id").alias("ids"))
-        out = out.join(ids.select(F.posexplode("ids").alias("place", "note_id")).select("note_id", (F.col("place") + 1).alias(f"by_{sort}")), "note_id")
+        placed = ns.places(ns.listed(d.notes(s, p), sort), "note_id", f"by_{sort}")
+        out = out.join(placed.withColumn(f"by_{sort}", F.col(f"by_{sort}").cast("int")), "note_id")
     return out
 
 

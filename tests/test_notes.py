@@ -9,6 +9,7 @@ from marginalia.operators import knowledge as kn
 from marginalia.operators import notes as ns
 from marginalia.operators import vault
 from marginalia.operators.storage import KeyedTable
+from marginalia.plans.queries import QUERIES
 from marginalia.sources import files as fi
 
 
@@ -27,6 +28,15 @@ def by_id(df, *columns):
     return {r.note_id: tuple(r[c] for c in columns) if len(columns) > 1 else r[columns[0]] for r in df.collect()}
 
 
+def test_places_are_those_of_the_order_over_many_ranges(spark):
+    rows = spark.range(20_000, numPartitions=7).selectExpr("(id * 7919) % 20011 AS note_id", "'t' || (id % 50) AS title", "id % 90 AS created_at", "id % 11 AS updated_at")
+    got = {(r.note_id, r.place) for r in ns.places(ns.listed(rows, "name"), "note_id", "place").collect()}
+    assert got == {(r.note_id, i) for i, r in enumerate(sorted(rows.collect(), key=lambda r: (r.title, r.note_id)), 1)}
+    # one row keeps no list of all
+    plan = QUERIES["sr4_note_list_sort"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "posexplode" not in plan
+
+
 def test_saving_keeps_versions_and_restoring_brings_them_back(spark, notes):
     versions = spark.createDataFrame([], "note_id long, version_id long, title string, content string, created_at long")
     now_, kept = notes, versions
