@@ -119,14 +119,23 @@ def listing(spark: SparkSession, folder: str, excludes: list[str] | None = None)
     return rows.where(~excluded(F.col("relative"), excludes)) if excludes else rows
 
 
-#: Bytes of files that a task holds at once, and folders or files that it gets.
-HELD, DEALT = 16 << 20, 64
+#: Bytes of files that a task holds at once, fewest folders or files that it gets where all cores have some, most bytes of those, and tasks for each core that as many files of any size have.
+HELD, DEALT, SHARE, TURNS = 16 << 20, 64, 128 << 20, 4
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """Rows dealt to tasks of about ``DEALT`` each, for work that waits on a store."""
-    n = rows.count()
-    return rows.repartition(max(1, -(-n // DEALT)))
+def tasks_for(n: int, size: int, cores: int, fewest: int | None = None) -> int:
+    """Tasks for ``n`` folders or files: at least ``fewest`` to each, some for each core, and more of them only where these would read more than ``SHARE`` bytes each.
+
+    What each of them writes is a file that is read again, so their number must not grow with that of small files.
+    """
+    return max(1, min(-(-n // (fewest or DEALT)), max(TURNS * cores, -(-size // SHARE))))
+
+
+def _dealt(rows: DataFrame, fewest: int | None = None) -> DataFrame:
+    """Rows dealt to tasks, for work that waits on a store; ``length``, if there, tells their bytes."""
+    size = F.coalesce(F.sum("length"), F.lit(0)) if "length" in rows.columns else F.lit(0)
+    n, held = rows.agg(F.count("*"), size).first()
+    return rows.repartition(tasks_for(n, held, rows.sparkSession.sparkContext.defaultParallelism, fewest))
 
 
 def walk(spark: SparkSession, folder: str, excludes: list[str] | None = None) -> DataFrame:
@@ -152,7 +161,8 @@ def walk(spark: SparkSession, folder: str, excludes: list[str] | None = None) ->
     schema = "relative string, folder boolean, mtime long, length long"
     level, files = spark.createDataFrame([("",)], "relative string"), []
     while True:
-        entries = _dealt(level).mapInArrow(listed, schema)
+        # a folder may hold any number of files
+        entries = _dealt(level, 1).mapInArrow(listed, schema)
         here = persisted(entries.where(~excluded(F.col("relative"), excludes)) if excludes else entries, "listed")
         files.append(here.where("NOT folder"))
         level = here.where("folder").select("relative")

@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import text as tx
 from marginalia.functions.documents import csv_text
 from marginalia.operators import ingest as ing
 from marginalia.operators.knowledge import export_paths
@@ -176,3 +177,17 @@ def test_audit_stream(spark, tmp_path):
     assert {(str(r.start)[:10], r.action, r.n) for r in spark.sql("SELECT * FROM audit_counts").collect()} == {("2024-01-01", "chat", 2), ("2024-01-03", "x", 1)}
     known, other = st.known_actions(spark.createDataFrame([("llm_chat",), ("search_wikipedia",), (None,)], "action string"))
     assert known.count() == 1 and other.count() == 2
+
+
+def test_files_are_dealt_to_as_many_tasks_as_there_is_work_for():
+    assert fi.tasks_for(0, 0, 12) == 1 and fi.tasks_for(50, 0, 12, 1) == 48 and fi.tasks_for(65, 0, 12) == 2
+    # small files in any number have no more tasks; large ones have more
+    assert fi.tasks_for(1_000_000, 1 << 30, 12) == 48 and fi.tasks_for(10_000, 1 << 40, 12) == 157
+
+
+def test_sentences_of_a_text_are_cut_once_and_not_for_each_chunk(spark):
+    # a long text takes time in proportion: it was cut for each of its chunks before
+    rows = spark.range(1, numPartitions=1).select(F.repeat(F.lit("Some words of a line that is not long.\n"), 20_000).alias("text"))
+    began = time.monotonic()
+    assert rows.select(F.size(tx.chunks(tx.sentences(F.col("text")))).alias("n")).first().n == 20_000
+    assert time.monotonic() - began < 30
