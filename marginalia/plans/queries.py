@@ -422,7 +422,7 @@ _TOKENS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
 
 @query(f"WITH t AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents), c AS (SELECT term, doc_id, count(*) AS n FROM t GROUP BY term, doc_id) SELECT term, sum(n)::BIGINT AS tf, count(*) AS df FROM c GROUP BY term")
 def ag18_term_statistics(s, p):
-    return lx.term_stats(d.text_index(s, p).postings().where("col = 1"))
+    return lx.term_stats(d.text_index(s, p).postings().where("col = 1"), one_column=True)
 
 
 @query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS context FROM conversations GROUP BY conv_id")

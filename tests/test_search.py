@@ -93,6 +93,18 @@ def test_a_refreshed_index_ranks_as_a_new_one(spark, tmp_path):
         index.search("alpha")
 
 
+def test_postings_are_grouped_in_tasks_without_a_shuffle(spark):
+    texts = {i: (" ".join("abcd"[(i * j) % 4] for j in range(i % 7)), "b" * (i % 3) + " a b a") for i in range(1200)}
+    rows = spark.createDataFrame([(i, *t) for i, t in texts.items()], "note_id long, title string, content string").coalesce(1)
+    found = lx.postings(lx.tokenised(rows, "note_id", ("title", "content")), 2)
+    want = {(term, i, k, tuple(j for j, x in enumerate(t[k].split()) if x == term), sum(len(x.split()) for x in t)) for i, t in texts.items() for k in (0, 1) for term in set(t[k].split())}
+    got = found.collect()
+    assert {(r.term, r.id, r.col, tuple(r.places), r.len) for r in got} == want and len(got) == len(want) and all(r.tf == len(r.places) for r in got)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    one = found.where("col = 1")
+    assert sorted(lx.term_stats(one, one_column=True).collect()) == sorted(lx.term_stats(one).collect())
+
+
 def test_an_index_holds_without_postings(spark, tmp_path):
     """Refreshes that only delete, notes that become blank, tables without rows, and a refresh before the first build."""
     as_df = lambda some: spark.createDataFrame([(i, t, c) for i, (t, c) in some.items()], "note_id long, title string, content string")
