@@ -27,6 +27,8 @@ DIMS, LARGE_DIMS = 768, 1024
 _LOW_RAM, _HIGH_RAM, _SOME_GPU, _STRONG_GPU, _STRONG_SHARED, _CORES = 8192, 16384, 6144, 10240, 20480, 6
 #: Texts in a request, entries in a scan window, most texts when requests grow, by tier.
 PLANS = {"low": (16, 256, 32), "mid": (64, 1024, 128), "high": (96, 1536, 192)}
+#: Texts that an embedder gets at once.
+PIECE = 512
 Embedder = Callable[[Iterator[pd.Series]], Iterator[pd.Series]]
 
 
@@ -148,7 +150,8 @@ def embedded(rows: DataFrame, column: str, embedder: Embedder | None = None) ->
 
     @F.pandas_udf("array<float>")
     def vector(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        yield from run(texts)
+        # vectors are much larger than their texts, so a few of them are made at once
+        yield from run(part.iloc[i : i + PIECE] for part in texts for i in range(0, len(part), PIECE))
 
     return rows.withColumn("vector", vector(F.col(column)))
 

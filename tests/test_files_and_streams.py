@@ -4,11 +4,13 @@ import os
 import time
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions import documents
 from marginalia.functions import text as tx
-from marginalia.functions.documents import csv_text
+from marginalia.functions.documents import UDFS, csv_text
 from marginalia.operators import ingest as ing
 from marginalia.operators.knowledge import export_paths
 from marginalia.sources import files as fi
@@ -191,3 +193,17 @@ def test_sentences_of_a_text_are_cut_once_and_not_for_each_chunk(spark):
     began = time.monotonic()
     assert rows.select(F.size(tx.chunks(tx.sentences(F.col("text")))).alias("n")).first().n == 20_000
     assert time.monotonic() - began < 30
+
+
+def test_batches_of_long_values_are_worked_on_in_pieces(spark):
+    def sizes(batches):
+        for texts in batches:
+            yield pd.Series([[float(len(texts))]] * len(texts))
+
+    rows = spark.range(2_000, numPartitions=1).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("a the "), "id")).alias("text"))
+    got = ing.embedded(rows, "text", sizes).select("id", F.col("vector")[0].alias("n")).collect()
+    # an embedder got the whole batch before
+    assert [r.id for r in got] == list(range(2_000)) and max(r.n for r in got) <= ing.PIECE < 2_000
+    linked = rows.select("id", UDFS["link_first_mention"](F.col("text"), F.lit("the")).alias("c")).collect()
+    assert [r.c for r in linked] == [f"a [[the]] {i}" if i % 3 else None for i in range(2_000)]
+    assert documents.PIECE < 2_000
