@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate, pairwise
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,8 +133,16 @@ def pdf_file(text: str | None, streams: bool = True, lines: int = 40) -> bytes |
     """
     if text is None:
         return None
-    codes = {c: i + 1 for i, c in enumerate(dict.fromkeys(text.replace("\n", "").replace(" ", "")))}
-    rows = [" -400 ".join(f"<{''.join(f'{codes[c]:04x}' for c in word)}>" for word in line.split(" ") if word) for line in text.split("\n")]
+    shown = text.replace("\n", "").replace(" ", "")
+    codes = {c: i + 1 for i, c in enumerate(dict.fromkeys(shown))}
+    places = np.zeros(1 + max(map(ord, codes), default=0), ">u2")
+    places[[*map(ord, codes)]] = [*codes.values()]
+    # the codes of all characters in a row, from which each word takes its own
+    digits, at, rows = places[np.frombuffer(shown.encode("utf-32-le"), "<u4")].tobytes().hex(), 0, []
+    for line in text.split("\n"):
+        ends = [*accumulate((4 * len(word) for word in line.split(" ") if word), initial=at)]
+        rows.append(" -400 ".join([f"<{digits[i:j]}>" for i, j in pairwise(ends)]))
+        at = ends[-1]
     pages = [rows[i : i + lines] for i in range(0, len(rows), lines)]
     pairs = [f"<{i:04x}> <{c.encode('utf-16-be').hex()}>\n" for c, i in codes.items()]
     cmap = "1 begincodespacerange <0000> <ffff> endcodespacerange\n" + "".join(f"{len(pairs[i : i + 100])} beginbfchar\n{''.join(pairs[i : i + 100])}endbfchar\n" for i in range(0, len(pairs), 100))

@@ -3,6 +3,7 @@ import zlib
 
 import pytest
 
+from marginalia.functions import pdf as pdf_module
 from marginalia.functions.pdf import glyph, pdf_text
 from marginalia.plans.domain import pdf_file
 from marginalia.sources import files as fi
@@ -76,6 +77,26 @@ def test_ranges_differences_and_filters():
     assert [glyph(x) for x in ("Aring", "three", "space", "colon", "nothing.alt", "a.sc")] == ["Å", "3", " ", ":", "", "a"]
 
 
+def test_arrays_are_shown_whole_as_string_by_string(monkeypatch):
+    cmap = stream(b"1 begincodespacerange <00> <ff> endcodespacerange 3 beginbfchar <41> <0430> <42> <00660069> <43> <0020> endbfchar 1 beginbfrange <50> <5f> <0440> endbfrange")
+    font = b"<</Type/Font/Subtype/TrueType/ToUnicode 6 0 R/FirstChar 65/Widths[500 250 0 700]/FontDescriptor<<>>>>"
+    rng = random.Random(7)
+    for _ in range(60):
+        parts = [rng.choice([f"<{''.join(rng.choice(['41', '42', '43', '44', '50', '5a', '20', '7a']) for _ in range(rng.randrange(5)))}>", str(rng.choice([-400, -100, 90, 2000, -2.5]))]) for _ in range(rng.randrange(1, 30))]
+        row = lambda between, parts=parts: f"2 0 .5 1 10 600 Tm [{between.join(parts)}] TJ (x) Tj 0 -3 Td [{between.join(parts[::-1])}]TJ T* (y) Tj"
+        at = "BT /F 10 Tf 14 TL 1 Tc 3 Tw 90 Tz "
+        # a comment keeps a row from being taken whole
+        assert pdf_text(plain(page((at + row(" ")).encode(), font, [cmap]))) == pdf_text(plain(page((at + row(" %-\n")).encode(), font, [cmap]))), parts
+    counts = []
+    for words in (50, 5000):
+        seen, inner = [], pdf_module.values
+        with monkeypatch.context() as m:
+            m.setattr(pdf_module, "values", lambda *a, seen=seen, inner=inner: (seen.append(1) or x for x in inner(*a)))
+            assert pdf_text(pdf_file("some words " * words)).count("some words") == words
+        counts.append(len(seen))
+    assert counts[0] == counts[1]  # what is read token by token does not grow with the words of a line
+
+
 def test_updates_hide_what_they_replace():
     base = plain(page(b"BT /F 1 Tf (old) Tj ET"))
     at, body = len(base) + 1, b"4 0 obj\n" + stream(b"BT /F 1 Tf (new) Tj ET") + b"\nendobj\n"
