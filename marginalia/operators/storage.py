@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Bytes of a table for each core below which it may have fewer splits than there are cores.
 THIN = 32 << 20
+#: Bytes of one side of a join up to which it may pass through the driver to all tasks.
+SENT = 256 << 10
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,11 +107,20 @@ def persisted(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of a table as Spark estimates them."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores where it is too small to be read by all of them; for costly work on each row."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * THIN else df
+    return df.repartition(cores) if _size(df) < cores * THIN else df
+
+
+def side(df: DataFrame) -> DataFrame:
+    """``df`` as one side of a join whose sides grow with the tables: unless it is small both are dealt by key, and none passes through the driver."""
+    return df.hint("merge") if _size(df) > SENT else df
 
 
 class Conflict(Exception):
@@ -193,7 +204,7 @@ class KeyedTable:
         """The rows that count among those of ``segments``, which are the newest of the state, or of keys among ``only`` or ``within`` a range."""
         rows, newer = self._part(state, segments, "rows"), self._part(state, segments[1:], "keys")
         if only is not None:
-            rows, newer = (df.join(only, [c for c in self.key if c in only.columns], "left_semi") for df in (rows, newer))
+            rows, newer = (df.join(side(only), [c for c in self.key if c in only.columns], "left_semi") for df in (rows, newer))
         if within is not None:
             rows, newer = rows.where(within), newer.where(within)
         if len(segments) > 1:
@@ -317,4 +328,4 @@ def _null_safe(rows: DataFrame, last: DataFrame, key: list[str]) -> DataFrame:
     same = F.lit(True)
     for i, c in enumerate(key):
         same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    return rows.join(named, same, "left").drop(*[f"_k{i}" for i in range(len(key))])
+    return rows.join(side(named), same, "left").drop(*[f"_k{i}" for i in range(len(key))])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .storage import persisted
+from .storage import persisted, side
 
 
 def _siblings(rows: DataFrame) -> DataFrame:
@@ -37,21 +37,21 @@ def labelled(folders: DataFrame) -> DataFrame:
     numbers. There is no bound on the depth.
     """
     known = folders.select("id").withColumnRenamed("id", "parent_id").withColumn("there", F.lit(True))
-    rows = folders.select("id", "parent_id").join(known, "parent_id", "left").select("id", F.when(F.col("there"), F.col("parent_id")).alias("parent_id"))
+    rows = folders.select("id", "parent_id").join(side(known), "parent_id", "left").select("id", F.when(F.col("there"), F.col("parent_id")).alias("parent_id"))
     rows = persisted(rows, "folders")
     roots = rows.where("parent_id IS NULL").select("id", "parent_id", F.lit(None).cast(rows.schema["id"].dataType).alias("sibling"))
     placed = persisted(_siblings(rows.where("parent_id IS NOT NULL")).unionByName(roots), "placed")
     children = rows.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("id")).agg(F.min("id").alias("child"))
 
     # a step is a folder and whether it leads up out of it; ``left`` steps follow up to the end, ``drop`` is how much deeper these lead
-    down = placed.join(children, "id", "left").select("id", F.lit(False).alias("up"), F.coalesce("child", "id").alias("next_id"), F.col("child").isNull().alias("next_up"), F.lit(1).alias("drop"))
+    down = placed.join(side(children), "id", "left").select("id", F.lit(False).alias("up"), F.coalesce("child", "id").alias("next_id"), F.col("child").isNull().alias("next_up"), F.lit(1).alias("drop"))
     above = placed.select("id", F.lit(True).alias("up"), F.coalesce("sibling", "parent_id").alias("next_id"), F.col("sibling").isNull().alias("next_up"), F.lit(-1).alias("drop"))
     steps = down.unionByName(above).withColumn("root", F.when(F.col("next_id").isNull(), F.col("id")))
     steps = persisted(steps.withColumn("left", F.lit(1).cast("long")).withColumn("drop", F.col("drop").cast("long")), "steps")
     span, most = 1, 2 * placed.count()
     while span <= most and not steps.where("next_id IS NOT NULL").isEmpty():
         ahead = steps.select(F.col("id").alias("next_id"), F.col("up").alias("next_up"), F.col("next_id").alias("then_id"), F.col("next_up").alias("then_up"), F.col("left").alias("_left"), F.col("drop").alias("_drop"), F.col("root").alias("_root"))
-        met = steps.join(ahead, ["next_id", "next_up"], "left")
+        met = steps.join(side(ahead), ["next_id", "next_up"], "left")
         add = lambda c: (F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c)
         steps = persisted(met.select("id", "up", F.col("then_id").alias("next_id"), F.col("then_up").alias("next_up"), add("drop"), F.coalesce("root", "_root").alias("root"), add("left")), "steps")
         span *= 2
@@ -59,7 +59,7 @@ def labelled(folders: DataFrame) -> DataFrame:
     into = steps.where("NOT up").select("id", F.when(whole, F.col("root")).alias("root"), F.col("left").alias("a"), (-F.col("drop")).alias("depth"), (~whole).alias("cyclic"))
     out = steps.where("up").select("id", F.col("left").alias("b"))
     length = into.where("NOT cyclic AND id = root").select("root", F.col("a").alias("length"))
-    met = into.join(out, "id").join(length, "root", "left")
+    met = into.join(side(out), "id").join(side(length), "root", "left")
     shown = lambda c: F.when(~F.col("cyclic"), c)
     return met.select("id", "root", shown(F.col("length") - F.col("a")).alias("first"), shown(F.col("length") - F.col("b")).alias("last"), shown(F.col("depth")).cast("int").alias("depth"), "cyclic")
 

@@ -63,3 +63,10 @@ def test_locks_reach_folders_of_any_depth(spark):
     ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 3)], SCHEMA)
     assert {(r.id, r.depth) for r in kn.subtree(ring, 1).collect()} == {(1, 0), (2, 1), (3, 2), (4, 3)} and kn.subtree(ring, 4).count() == 1
     assert kn.closure(ring).count() == 13
+
+
+def test_large_trees_do_not_pass_through_the_driver(spark):
+    rows = spark.range(1, 60_001).selectExpr("id", "CASE WHEN id > 1 THEN id DIV 2 END AS parent_id")
+    labels = tr.labelled(rows)
+    assert "Broadcast" not in labels._jdf.queryExecution().executedPlan().toString()
+    assert labels.where("last - first > 1").agg({"depth": "max"}).first()[0] == 14
