@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as tx
 
 from . import knowledge as kn
-from .storage import KeyedTable, persisted
+from .storage import KeyedTable, persisted, side
 
 #: The views' key columns and schemas.
 TABLES = {
@@ -51,7 +51,7 @@ class NoteViews:
         changed = differences.groupBy(key).agg(*[F.sum(c).alias(c) for c in counts])
         changed = persisted(changed.where(" OR ".join(f"{c} != 0" for c in counts)), name)
         before = self._of(name, changed.select(key)).select(key, *[F.col(c).alias(f"_{c}") for c in counts])
-        after = changed.join(before, key, "left").select(key, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in counts])
+        after = changed.join(side(before), key, "left").select(key, *[(F.col(c) + F.coalesce(f"_{c}", F.lit(0))).alias(c) for c in counts])
         return self.tables[name].upsert(after.where(" OR ".join(f"{c} > 0" for c in counts)), number, changed.select(key), stream)
 
     def apply(self, changed: DataFrame, number: int, gone: DataFrame | None = None, stream: str = "notes") -> dict[str, int]:
@@ -61,7 +61,7 @@ class NoteViews:
         """
         latest = kn.newest(changed, ["note_id"], [F.desc("updated_at"), F.col("title"), F.col("content")], 1)
         if gone is not None:
-            latest = latest.join(gone.select("note_id"), "note_id", "left_anti")
+            latest = latest.join(side(gone.select("note_id")), "note_id", "left_anti")
         content = F.coalesce("content", F.lit(""))
         new = persisted(latest.select("note_id", "title", F.col("created_at").cast("long").alias("created_at"), F.col("updated_at").cast("long").alias("updated_at"), tx.parse_tags(content).alias("tags"), F.array_distinct(tx.parse_wiki_links(content)).alias("wanted")), "new")
         ids = changed.select("note_id") if gone is None else changed.select("note_id").unionByName(gone.select("note_id"))
@@ -79,13 +79,13 @@ class NoteViews:
         # titles whose note is another one than before, and those that the changed notes link to
         named = persisted(signed.where("title IS NOT NULL").select("title").unionByName(pairs(new).select("title")).distinct(), "named")
         before = persisted(self._of("titles", named), "titles")
-        after = before.join(ids, "note_id", "left_anti").select("title", "note_id", "updated_at").unionByName(new.select("title", "note_id", "updated_at"))
+        after = before.join(side(ids), "note_id", "left_anti").select("title", "note_id", "updated_at").unionByName(new.select("title", "note_id", "updated_at"))
         first, then = (kn.first_by_title(rows) for rows in (before, after))
         then = persisted(then, "first")
-        moved = named.join(first.withColumnRenamed("target_id", "was"), "title", "left").join(then, "title", "left").where(~F.col("was").eqNullSafe(F.col("target_id"))).select("title")
-        others = self._of("wanted", persisted(moved, "moved")).join(ids.withColumnRenamed("note_id", "source_id"), "source_id", "left_anti")
+        moved = named.join(side(first.withColumnRenamed("target_id", "was")), "title", "left").join(side(then), "title", "left").where(~F.col("was").eqNullSafe(F.col("target_id"))).select("title")
+        others = self._of("wanted", persisted(moved, "moved")).join(side(ids.withColumnRenamed("note_id", "source_id")), "source_id", "left_anti")
         open_ = persisted(others.select("title", "source_id").unionByName(pairs(new)), "open")
-        resolved = open_.join(then, "title").where("source_id != target_id").select("source_id", "title", "target_id")
+        resolved = open_.join(side(then), "title").where("source_id != target_id").select("source_id", "title", "target_id")
         wrote["links"] = self.tables["links"].upsert(resolved, number, open_.unionByName(mine).distinct(), stream)
 
         key = lambda rows: rows.where("title IS NOT NULL").select("title", "note_id")

@@ -91,3 +91,13 @@ def test_the_store_agrees_with_the_relations(spark, tmp_path):
     assert [g[:4] for g in got[:6]] == [(1, "a0", "v0", 1), (2, "two", "c", 2), (3, "n3", "c", 7), (4, "n4", "c", None), (5, "n5", "c", 2), (7, "n7", "c", 1)]
     assert [g[1:] for g in got[6:]] == [("two (copy)", "c", 2, 10), ("fresh", None, None, 11)] and len({g[0] for g in got}) == 8
     assert store.versions.read().where("note_id = 1").agg(F.max("version_id")).first()[0] == 4
+
+
+def test_large_batches_do_not_pass_through_the_driver(spark, tmp_path, monkeypatch):
+    n = 40_000
+    rows = spark.range(n).selectExpr("id AS note_id", "'note number ' || md5(CAST(id AS STRING)) AS title", "'#t' || id % 7 || ' [[note-' || id || ']]' AS content", "0L AS created_at", "id AS updated_at")
+    views = NoteViews(spark, f"file://{tmp_path}/views")
+    views.apply(rows, 0)
+    views.apply(rows.where("note_id % 2 = 0"), 1)
+    assert "Broadcast" not in views.read("state")._jdf.queryExecution().executedPlan().toString()
+    assert views.read("state").count() == n and views.read("tags").agg({"n": "sum"}).first()[0] == n
