@@ -5,8 +5,8 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from math import sqrt
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -127,18 +127,38 @@ def salvaged(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.where("fault IS NULL").drop("fault"), kept.where("fault IS NOT NULL").drop("vector")
 
 
+#: Words whose place a task of the hashing embedder keeps at once.
+_WORDS = 200_000
+
+
+class _Places(dict):
+    """Of each word its place in a vector, behind all places if it counts negative; no more words than :data:`_WORDS`."""
+
+    def __init__(self, dims: int) -> None:
+        super().__init__()
+        self.dims = dims
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= _WORDS:
+            self.clear()
+        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        self[word] = place = h % self.dims + (0 if h >> 63 else self.dims)
+        return place
+
+
 def hashing_embedder(dims: int = DIMS) -> Embedder:
     """A model-free embedder for tests: hashed words, at unit length."""
 
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        places = _Places(dims)
         for texts in batches:
             out = []
             for t in texts:
-                v = np.zeros(dims)
-                for w in (t or "").lower().split():
-                    h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                    v[h % dims] += 1 if h >> 63 else -1
-                out.append((v / (np.linalg.norm(v) or 1)).tolist())
+                v, found = [0.0] * dims, [*map(places.__getitem__, (t or "").lower().split())]
+                for k in found:
+                    v[k % dims] += -1 if k >= dims else 1
+                length = sqrt(sum(v[k] * v[k] for k in {k % dims for k in found})) or 1
+                out.append([x / length for x in v])
             yield pd.Series(out)
 
     return embed
