@@ -33,6 +33,8 @@ PARTS, PART_BITS, MINIMA, WORDS = 16, 16, 2, 6
 FAR = 104
 #: Shingles worked on at once; bounds memory on very long texts.
 _BLOCK = 4096
+#: Shingles that a task holds, or hands back at once, beside those of one text; rows of signed texts handed back at once.
+HELD, PIECE = 1 << 18, 512
 _RNG = np.random.default_rng(42)
 _MULTIPLY, _ADD = (_RNG.integers(0, 1 << 64, (PARTS * MINIMA + WORDS, 1), np.uint64) for _ in range(2))
 _MULTIPLY |= np.uint64(1)
@@ -139,6 +141,25 @@ def _meeting(rows: DataFrame) -> DataFrame:
     return met.where((F.col("own.reach") >= small) & (F.col("own.n") <= far)).select(rows.columns)
 
 
+def shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``shingle, _key, tag`` of batches ``_key, tag, text``, a piece at a time: a batch of long texts has many times its bytes of shingles."""
+
+    def piece(batch: pa.RecordBatch, first: int, found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = pa.array(np.repeat(np.arange(first, first + len(found)), [len(x) for x in found]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows)], ["shingle", "_key", "tag"])
+
+    for batch in batches:
+        first, found, held = 0, [], 0
+        for i, text in enumerate(batch.column(2)):
+            found.append(shingles(words_of(text.as_py()), width))
+            held += len(found[-1])
+            if held >= HELD:
+                yield piece(batch, first, found)
+                first, found, held = i + 1, [], 0
+        if held:
+            yield piece(batch, first, found)
+
+
 def within_reach(met: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
     """The rows of ``met(code, own, component)`` whose text can be similar to one of another component there; ``own`` gets ``shared`` and ``reach``.
 
@@ -151,15 +172,7 @@ def within_reach(met: DataFrame, texts: DataFrame, least: float, width: int) ->
     live = persisted(anchored.join(mixed, "anchor", "left_semi").select("anchor", "code", "own", "component"), "live")
     keys = live.select("own._key", _tag().alias("tag")).distinct()
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(words_of(text.as_py()), width) for text in batch.column(2)]
-            sizes = np.array([len(x) for x in found], np.int64)
-            rows = pa.array(np.repeat(np.arange(len(found)), sizes))
-            flat = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat, pa.int64()), batch.column(0).take(rows), batch.column(1).take(rows)], ["shingle", "_key", "tag"])
-
-    runs = persisted(texts.join(keys, "_key").select("_key", "tag", "text").mapInArrow(cut, "shingle long, _key binary, tag long"), "shingles")
+    runs = persisted(texts.join(keys, "_key").select("_key", "tag", "text").mapInArrow(lambda batches: shingled(batches, width), "shingle long, _key binary, tag long"), "shingles")
     both = runs.groupBy("shingle").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("lo != hi").select("shingle")
     counts = runs.join(both, "shingle", "left_semi").groupBy("_key").agg(F.count("*").alias("shared"))
     reach = (F.floor(F.col("shared") * ((1 + least) / least) + 1e-6) - F.col("own.n")).alias("reach")
@@ -211,12 +224,15 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float, width: int) -> Da
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, texts_a, texts_b = (batch.column(name) for name in ("a", "b", "text_a", "text_b"))
-            known, take = {}, []
+            known, held, take = {}, 0, []
             for i in range(batch.num_rows):
+                if held >= HELD:
+                    known, held = {}, 0
                 sets = []
                 for key, text in ((a[i].as_py(), texts_a[i]), (b[i].as_py(), texts_b[i])):
                     if key not in known:
                         known[key] = shingles(words_of(text.as_py()), width)
+                        held += len(known[key])
                     sets.append(known[key])
                 take.append(similarity(*sets) >= least)
             yield batch.select(columns).filter(pa.array(take, pa.bool_()))
@@ -272,11 +288,12 @@ def classes(rows: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
     return close if rest.isEmpty() else _joined(close, edges(verified(rest, texts, least, width)))
 
 
-def signed(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
-    """``docs`` with ``names``: MD5 of a text's words, their number of shingles, anchored fingerprints and words of SimHash."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+def signatures(batches: Iterator[pa.RecordBatch], width: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Batches with ``names`` beside their columns, a piece at a time."""
+    longs = pa.list_(pa.int64())
+    for whole in batches:
+        for at in range(0, whole.num_rows, PIECE):
+            batch = whole.slice(at, PIECE)
             keys, sizes, codes, sketches = [], [], [], []
             for text in batch.column("text"):
                 words = words_of(text.as_py())
@@ -286,12 +303,15 @@ def signed(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
                 sizes.append(len(own))
                 codes.append(found[0])
                 sketches.append(found[1])
-            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(codes, longs), pa.array(sketches, longs)], [*batch.schema.names, *names])
 
+
+def signed(docs: DataFrame, width: int, names: list[str]) -> DataFrame:
+    """``docs`` with ``names``: MD5 of a text's words, their number of shingles, anchored fingerprints and words of SimHash."""
+
     longs = T.ArrayType(T.LongType())
     kinds = [T.BinaryType(), T.LongType(), longs, longs]
-    return docs.mapInArrow(sign, T.StructType([*docs.schema, *[T.StructField(*f) for f in zip(names, kinds, strict=True)]]))
+    return docs.mapInArrow(lambda batches: signatures(batches, width, names), T.StructType([*docs.schema, *[T.StructField(*f) for f in zip(names, kinds, strict=True)]]))
 
 
 def keep_first(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:

@@ -20,7 +20,6 @@ from itertools import accumulate, islice
 from math import exp, log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -247,12 +246,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Lexicon:
     pairs = _counted(rows, _around(terms)).where("clean >= 3 AND clean > 9 * toxic").select("term").collect()
     lexicon = Lexicon(terms, sorted(r.term for r in pairs))
 
-    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [lexicon.features(t) for t in frame["text"]]
-            yield pd.DataFrame({"rate": [x for x, _ in found], "most": [x for _, x in found], "toxic": frame["toxic"].to_numpy()})
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [lexicon.features(t.as_py()) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1)), batch.column(1).cast(pa.int32())], ["rate", "most", "toxic"])
 
-    seen = rows.mapInPandas(measured, "rate double, most double, toxic int").toPandas().sort_values(["rate", "most", "toxic"])
+    seen = rows.mapInArrow(measured, "rate double, most double, toxic int").toPandas().sort_values(["rate", "most", "toxic"])
     slopes, offset = _fitted(seen[["rate", "most"]].to_numpy(), seen["toxic"].to_numpy())
     return Lexicon(terms, lexicon.exceptions, slopes, offset)
 
@@ -278,9 +277,10 @@ def _fitted(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[tuple[fl
 def scorer(lexicon: Lexicon):
     """Column function: the score of a text column."""
 
-    @F.pandas_udf(T.DoubleType())
-    def toxicity(texts: pd.Series) -> pd.Series:
-        return pd.Series([lexicon.score(t) for t in texts], dtype="float64")
+    @F.arrow_udf(T.DoubleType())
+    def toxicity(texts: pa.Array) -> pa.Array:
+        # one text at a time becomes an object, not a batch of long texts
+        return pa.array((lexicon.score(t.as_py()) for t in texts), pa.float64())
 
     return toxicity
 

@@ -2,6 +2,7 @@ import random
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,3 +132,20 @@ def test_columns_of_clashing_names_stay(spark, docs_of):
     docs = docs_of([(1, "one two three"), (2, "one two  three"), (3, "")]).withColumn("_key", F.lit("k")).withColumn("__KEY", F.lit(1)).withColumn("component", F.col("doc_id"))
     got = near.keep_first(docs)
     assert got.columns == docs.columns and sorted((r.doc_id, r._key, r.component) for r in got.collect()) == [(1, "k", 1), (3, "k", 3)]
+
+
+def test_shingles_and_signatures_are_handed_back_in_pieces():
+    rng = random.Random(3)
+    texts = [" ".join(text_of(rng, 400)) for _ in range(2000)] + [None, "", "a b"]
+    keys, tags = [str(i).encode() for i in range(len(texts))], list(range(len(texts)))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(tags, pa.int64()), pa.array(texts)], ["_key", "tag", "text"])
+    pieces = list(near.shingled(iter([batch, batch.slice(0, 0), batch.slice(2000, 2)]), 5))
+    assert max(p.num_rows for p in pieces) < near.HELD + 400
+    got = pa.Table.from_batches(pieces)
+    want = [near.shingles(near.words_of(t)).view(np.int64) for t in texts]
+    assert got["shingle"].to_numpy().tolist() == np.concatenate(want).tolist()
+    assert got["_key"].to_pylist() == [k for k, w in zip(keys, want, strict=True) for _ in w] and got["tag"].to_pylist() == [int(k) for k in got["_key"].to_pylist()]
+    signed = list(near.signatures(iter([batch]), 5, ["k", "n", "codes", "sketch"]))
+    assert max(p.num_rows for p in signed) <= near.PIECE
+    whole = pa.Table.from_batches(signed)
+    assert whole["text"].to_pylist() == texts and whole["n"].to_pylist() == [len(w) for w in want]
