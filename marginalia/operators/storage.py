@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,7 +103,7 @@ def text_of(spark: SparkSession, path: str) -> str:
 def persisted(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts its lineage with files that outlive executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -209,7 +209,9 @@ class KeyedTable:
             rows, newer = rows.where(within), newer.where(within)
         if len(segments) > 1:
             last = newer.groupBy(*self.key).agg(F.max("_at").alias("_last"))
-            rows = _null_safe(rows, last, self.key).where("_last IS NULL OR _at >= _last").drop("_last")
+            # keys that were asked for are not null, and rows that were dealt by them stay where they are
+            asked = only is not None and set(self.key) <= set(only.columns)
+            rows = (rows.join(side(last), self.key, "left") if asked else _null_safe(rows, last, self.key)).where("_last IS NULL OR _at >= _last").drop("_last")
         return rows.drop("_at")
 
     def read(self, version: int | None = None) -> DataFrame | None:
@@ -244,19 +246,28 @@ class KeyedTable:
 
     # --- writing ---
 
-    def _write(self, rows: DataFrame, keys: DataFrame | None) -> Segment:
+    def _write(self, rows: DataFrame, keys: DataFrame | None, dealt: bool = False) -> Segment:
+        """A new segment; rows that are ``dealt`` are sorted in the partitions where they are, others in ranges of the key."""
         name = f"segments/{uuid.uuid4().hex}"
-        ordered = lambda df: df.repartitionByRange(*self.key).sortWithinPartitions(*self.key)
-        seen = Observation()
-        ordered(rows).observe(seen, F.count(F.lit(1)).alias("n")).write.options(**self.options).parquet(f"{self.path}/{name}/rows")
+        ordered = lambda df, dealt: (df if dealt else df.repartitionByRange(*self.key)).sortWithinPartitions(*self.key)
+        seen, options = Observation(), {"compression": "zstd"} | self.options
+        ordered(rows, dealt).observe(seen, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(f"{self.path}/{name}/rows")
         if keys is not None:
-            ordered(keys.select(self.key).distinct()).write.parquet(f"{self.path}/{name}/keys")
+            ordered(keys.select(self.key).distinct(), False).write.options(**options).parquet(f"{self.path}/{name}/keys")
         return Segment(name, seen.get["n"], size_of(self.spark, f"{self.path}/{name}"), keys is not None)
 
-    def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "", merge: bool = True) -> int:
+    def _rewritten(self, state: State, segments: tuple[Segment, ...]) -> DataFrame:
+        """The rows that count among those of ``segments``, the newest of the state, in ranges of the key: rows and keys meet there, so rows are dealt once."""
+        rows, newer = self._part(state, segments, "rows"), self._part(state, segments[1:], "keys")
+        both = rows.withColumn("_row", F.lit(True)).unionByName(newer.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+        last = F.max(F.when(~F.col("_row"), F.col("_at"))).over(Window.partitionBy(*self.key))
+        return both.repartitionByRange(*self.key).withColumn("_last", last).where("_row AND (_last IS NULL OR _at >= _last)").drop("_row", "_at", "_last")
+
+    def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "", merge: bool = True, ranged: bool = True) -> int:
         """``rows`` in place of all rows of ``keys``, which are those of ``rows`` if not given; a key without rows is deleted.
 
-        Returns the bytes that the batch wrote, 0 for one that is part of the table already.
+        Returns the bytes that the batch wrote, 0 for one that is part of the table already. Without ``ranged`` its rows are
+        not shuffled for their order: each file is sorted, but files overlap until they are merged.
         """
         before = self.state()
         if number <= before.done.get(stream, -1):
@@ -268,7 +279,7 @@ class KeyedTable:
             schema = rows.schema
         for f in schema:
             f.nullable = True
-        segment = self._write(rows, (rows if keys is None else keys) if before.segments else None)
+        segment = self._write(rows, (rows if keys is None else keys) if before.segments else None, not ranged)
         self._commit(State(before.version + 1, (*before.segments, segment), before.done | {stream: number}, json.dumps(schema.jsonValue())))
         if merge:
             self.merge()
@@ -300,7 +311,7 @@ class KeyedTable:
             newest = state.segments[-n:]
             whole = n == len(state.segments)
             keys = None if whole else self._part(state, newest, "keys")
-            merged = self._write(self._merged(state, newest), keys)
+            merged = self._write(self._rewritten(state, newest), keys, True)
             written += merged.bytes
             try:
                 self._commit(State(state.version + 1, (*state.segments[:-n], merged), state.done, state.schema))

@@ -101,3 +101,17 @@ def test_large_batches_do_not_pass_through_the_driver(spark, tmp_path, monkeypat
     views.apply(rows.where("note_id % 2 = 0"), 1)
     assert "Broadcast" not in views.read("state")._jdf.queryExecution().executedPlan().toString()
     assert views.read("state").count() == n and views.read("tags").agg({"n": "sum"}).first()[0] == n
+
+
+def test_a_new_version_leaves_the_older_ones_where_they_are(spark, tmp_path):
+    content = lambda number: f"repeat(md5(concat({number}, id)), 1) || sha2(concat(id, {number}), 512) || sha2(concat('x', id, {number}), 512) AS content"
+    ids = spark.range(2_000)
+    store = NoteStore(spark, str(tmp_path)).build(ids.selectExpr("id AS note_id", "'t' AS title", content(-1), "1L AS folder_id", "0L AS created_at", "0L AS updated_at"))
+    wrote = [store.save(ids.selectExpr("id AS note_id", f"'t{number}' AS title", content(number)), (5, 9, 7, 1)[number], number, keep=3) for number in range(4)]
+    assert wrote[3] < 1.1 * wrote[0]
+    # the newest three by time: the last of the four is older than all and does not stay
+    assert {(r.note_id, r.version_id, r.title, r.created_at) for r in store.versions.read().where("note_id < 2").collect()} == {(k, v, t, at) for k in (0, 1) for v, t, at in ((1, "t", 5), (2, "t0", 9), (3, "t1", 7))}
+    store.save(ids.where("id < 2").selectExpr("id AS note_id", "'last' AS title", "'c' AS content"), 8, 4, keep=3)
+    assert {(r.version_id, r.title) for r in store.versions.read().where("note_id = 1").collect()} == {(2, "t0"), (3, "t1"), (4, "t3")}
+    store.delete(ids.selectExpr("id AS note_id").where("id > 0"), 0)
+    assert {r.note_id for r in store.versions.read().select("note_id").collect()} == {0}
