@@ -157,14 +157,14 @@ class KeyedTable:
     is written anew about as often as the table grew by that factor; where the oldest is among them, deleted keys are
     forgotten. A version is one small file, which is there once: of two writers with the same version in mind one gets
     :class:`Conflict`, and its batch is not part of the table. Versions know each stream's last number, so a
-    batch that is repeated is skipped.
+    batch that is repeated is skipped. Rows lie in ``order``, by which they are looked up; that is their key unless given.
     """
 
     #: Segments of like size that are merged, bytes below which sizes are alike, versions whose segments are kept for readers, and keys that a lookup names one by one.
     FANOUT, UNIT, VERSIONS, NAMED = 4, 1 << 20, 3, 256
 
-    def __init__(self, spark: SparkSession, path: str, key: list[str], options: dict[str, str] | None = None) -> None:
-        self.spark, self.path, self.key, self.options = spark, path.rstrip("/"), key, options or {}
+    def __init__(self, spark: SparkSession, path: str, key: list[str], options: dict[str, str] | None = None, order: list[str] | None = None) -> None:
+        self.spark, self.path, self.key, self.options, self.order = spark, path.rstrip("/"), key, options or {}, order or key
 
     # --- versions ---
 
@@ -204,9 +204,10 @@ class KeyedTable:
         """The rows that count among those of ``segments``, which are the newest of the state, or of keys among ``only`` or ``within`` a range."""
         rows, newer = self._part(state, segments, "rows"), self._part(state, segments[1:], "keys")
         if only is not None:
-            rows, newer = (df.join(side(only), [c for c in self.key if c in only.columns], "left_semi") for df in (rows, newer))
+            rows = rows.join(side(only), [c for c in self.order if c in only.columns], "left_semi")
+            newer = newer.join(side(only), [c for c in self.key if c in only.columns], "left_semi") if self.order == self.key else newer
         if within is not None:
-            rows, newer = rows.where(within), newer.where(within)
+            rows, newer = rows.where(within), newer.where(within) if self.order == self.key else newer
         if len(segments) > 1:
             last = newer.groupBy(*self.key).agg(F.max("_at").alias("_last"))
             # keys that were asked for are not null, and rows that were dealt by them stay where they are
@@ -220,7 +221,7 @@ class KeyedTable:
         return self._merged(state, state.segments) if state.segments else None
 
     def lookup(self, keys: DataFrame) -> DataFrame | None:
-        """The rows of ``keys``, which hold all key columns or the first of them; None before the first batch. Null keys find nothing.
+        """The rows of ``keys``, which hold all columns of the order or the first of them; None before the first batch. Null keys find nothing.
 
         Rows lie in order of key, so files and row groups without any of ``keys``, or for many of them outside of their
         range, are not read.
@@ -228,7 +229,7 @@ class KeyedTable:
         state = self.state()
         if not state.segments:
             return None
-        own = [c for c in self.key if c in keys.columns]
+        own = [c for c in self.order if c in keys.columns]
         asked, first = keys.select(own).distinct(), own[0]
         few = [r[0] for r in asked.select(first).distinct().limit(self.NAMED + 1).collect()]
         if len(few) <= self.NAMED:
@@ -239,21 +240,21 @@ class KeyedTable:
         return self._merged(state, state.segments, asked, within)
 
     def between(self, least, below=None) -> DataFrame | None:
-        """The rows whose first key column is at least ``least`` and, if given, less than ``below``: a range of the files; None before the first batch."""
-        state, first = self.state(), F.col(self.key[0])
+        """The rows whose first column of the order is at least ``least`` and, if given, less than ``below``: a range of the files; None before the first batch."""
+        state, first = self.state(), F.col(self.order[0])
         within = first >= F.lit(least)
         return self._merged(state, state.segments, None, within if below is None else within & (first < F.lit(below))) if state.segments else None
 
     # --- writing ---
 
     def _write(self, rows: DataFrame, keys: DataFrame | None, dealt: bool = False) -> Segment:
-        """A new segment; rows that are ``dealt`` are sorted in the partitions where they are, others in ranges of the key."""
+        """A new segment; rows that are ``dealt`` are sorted in the partitions where they are, others in ranges of the order."""
         name = f"segments/{uuid.uuid4().hex}"
-        ordered = lambda df, dealt: (df if dealt else df.repartitionByRange(*self.key)).sortWithinPartitions(*self.key)
+        ordered = lambda df, by, dealt=False: (df if dealt else df.repartitionByRange(*by)).sortWithinPartitions(*by)
         seen, options = Observation(), {"compression": "zstd"} | self.options
-        ordered(rows, dealt).observe(seen, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(f"{self.path}/{name}/rows")
+        ordered(rows, self.order, dealt).observe(seen, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(f"{self.path}/{name}/rows")
         if keys is not None:
-            ordered(keys.select(self.key).distinct(), False).write.options(**options).parquet(f"{self.path}/{name}/keys")
+            ordered(keys.select(self.key).distinct(), self.key).write.options(**options).parquet(f"{self.path}/{name}/keys")
         return Segment(name, seen.get["n"], size_of(self.spark, f"{self.path}/{name}"), keys is not None)
 
     def _rewritten(self, state: State, segments: tuple[Segment, ...]) -> DataFrame:
@@ -311,7 +312,7 @@ class KeyedTable:
             newest = state.segments[-n:]
             whole = n == len(state.segments)
             keys = None if whole else self._part(state, newest, "keys")
-            merged = self._write(self._rewritten(state, newest), keys, True)
+            merged = self._write(self._rewritten(state, newest), keys, self.order == self.key)
             written += merged.bytes
             try:
                 self._commit(State(state.version + 1, (*state.segments[:-n], merged), state.done, state.schema))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,8 @@ from pyspark.sql import types as T
 
 from .storage import KeyedTable, persisted
 
-#: Characters of a gram.
-N = 3
+#: Characters of a gram, and grams that are sorted and handed on at once.
+N, HELD = 3, 1 << 18
 
 
 def literal_runs(pattern: str) -> list[str]:
@@ -27,6 +28,31 @@ def literal_runs(pattern: str) -> list[str]:
     return [r for r in [*out, run] if r]
 
 
+def _codes(text: str) -> np.ndarray:
+    """A number for each gram of a text, in which it stands."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return (points[:-2] << 42) | (points[1:-1] << 21) | points[2:] if len(points) >= N else np.empty(0, np.int64)
+
+
+def grams_of_batches(batches: Iterator[pa.RecordBatch], name: str, columns: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """``gram, <name>``, each gram once for each row, of many rows at once: grams are numbers, and each distinct one becomes a text once."""
+    for batch in batches:
+        first, found, held = 0, [], 0
+        for i in range(batch.num_rows):
+            found.append(np.unique(np.concatenate([_codes(batch.column(c)[i].as_py()) for c in columns])))
+            held += len(found[-1])
+            if held >= HELD or held and i == batch.num_rows - 1:
+                codes = np.concatenate(found)
+                rows = np.repeat(np.arange(first, i + 1), [len(x) for x in found])
+                order = np.argsort(codes, kind="stable")
+                codes, rows = codes[order], rows[order]
+                starts = np.flatnonzero(np.diff(codes, prepend=-1))
+                texts = ["".join(map(chr, (c >> 42, c >> 21 & 0x1FFFFF, c & 0x1FFFFF))) for c in codes[starts].tolist()]
+                place = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(codes)))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()).take(pa.array(place)), batch.column(name).take(pa.array(rows))], ["gram", name])
+                first, found, held = i + 1, [], 0
+
+
 def grams_of(text: str) -> set[str]:
     return {text[i : i + N] for i in range(len(text) - N + 1)}
 
@@ -42,21 +68,14 @@ class SubstringIndex:
 
     def __init__(self, spark: SparkSession, path: str, columns: tuple[str, ...], id_col: str = "note_id") -> None:
         self.spark, self.columns, self.id_col = spark, columns, id_col
-        self.grams, self.texts = KeyedTable(spark, f"{path.rstrip('/')}/grams", ["gram", id_col]), KeyedTable(spark, f"{path.rstrip('/')}/texts", [id_col])
+        self.grams, self.texts = KeyedTable(spark, f"{path.rstrip('/')}/grams", [id_col], order=["gram", id_col]), KeyedTable(spark, f"{path.rstrip('/')}/texts", [id_col])
 
     def _cut(self, rows: DataFrame) -> DataFrame:
-        """``gram, id``, once for each row."""
+        """``gram, <id>``, once for each row."""
         low = rows.select(self.id_col, *[F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in self.columns])
-        schema, columns, name = T.StructType([T.StructField("gram", T.StringType()), rows.schema[self.id_col]]), self.columns, self.id_col
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    found = sorted(set().union(*(grams_of(batch.column(c)[i].as_py()) for c in columns)))
-                    if found:
-                        yield pa.RecordBatch.from_arrays([pa.array(found), pa.repeat(batch.column(name)[i], len(found))], ["gram", name])
-
-        return low.mapInArrow(run, schema)
+        columns, name = self.columns, self.id_col
+        schema = T.StructType([T.StructField("gram", T.StringType()), rows.schema[name]])
+        return low.mapInArrow(lambda batches: grams_of_batches(batches, name, columns), schema)
 
     def apply(self, changed: DataFrame, number: int, gone: DataFrame | None = None, stream: str = "rows") -> int:
         """Rows in place of those with their ids, and ids that went, whether or not they are among the rows; the bytes written. Ids are not repeated within a batch."""
@@ -64,11 +83,8 @@ class SubstringIndex:
         new = persisted(new if gone is None else new.join(gone, self.id_col, "left_anti"), "changed")
         ids = new.select(self.id_col) if gone is None else new.select(self.id_col).unionByName(gone.select(self.id_col))
         ids = persisted(ids.distinct(), "ids")
-        old = self.texts.lookup(ids)
-        pairs = persisted(self._cut(new), "grams")
-        known = pairs if old is None else pairs.unionByName(self._cut(old)).distinct()
-        # the grams come from the texts that are there, so these change last
-        return self.grams.upsert(pairs, number, known, stream) + self.texts.upsert(new, number, ids, stream)
+        # a row's grams go with its id, so what it held before need not be known
+        return self.grams.upsert(persisted(self._cut(new), "grams"), number, ids, stream) + self.texts.upsert(new, number, ids, stream)
 
     def candidates(self, runs: list[str]) -> DataFrame | None:
         """``id`` of the rows that have all grams of the runs; None if these are too short to have any."""

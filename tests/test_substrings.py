@@ -1,8 +1,10 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.operators import substrings
 from marginalia.operators.substrings import SubstringIndex, literal_runs
 
 SCHEMA = "note_id long, title string, content string"
@@ -43,3 +45,23 @@ def test_a_search_reads_its_grams_and_no_text_beyond_the_candidates(spark, tmp_p
     assert "In(gram, [" in index.candidates(["e 123"])._jdf.queryExecution().toString()
     small = index.apply(spark.createDataFrame([(5, "other")], "note_id long, title string"), 1)
     assert small < 20_000 and index.search("%title 5").count() == 0 and index.containing("OTHER").count() == 1
+
+
+def test_grams_are_cut_for_many_rows_at_once():
+    rng = random.Random(4)
+    texts = [["".join(rng.choices("abcÉ日😀 ", k=rng.randrange(0, 40))) for _ in range(700)] for _ in range(2)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), *map(pa.array, texts)], ["note_id", "title", "content"])
+    pieces = list(substrings.grams_of_batches(iter([batch, batch.slice(0, 0)]), "note_id", ("title", "content")))
+    got = [r for p in pieces for r in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)]
+    want = {(g, i) for i, row in enumerate(zip(*texts, strict=True)) for t in row for g in substrings.grams_of(t)}
+    assert len(pieces) == 1 and len(got) == len(want) and set(got) == want
+
+
+def test_a_change_does_not_read_the_texts_that_it_replaces(spark, tmp_path, monkeypatch):
+    index = SubstringIndex(spark, str(tmp_path), ("title",))
+    index.apply(spark.range(50).selectExpr("id AS note_id", "'title ' || id AS title"), 0)
+    monkeypatch.setattr(index.texts, "lookup", None)
+    index.apply(spark.range(10).selectExpr("id AS note_id", "'other ' || id AS title"), 1, spark.range(5).selectExpr("id AS note_id"))
+    monkeypatch.undo()
+    assert {r.note_id for r in index.search("%other%").collect()} == set(range(5, 10)) and index.search("%title%").count() == 40
+    assert index.candidates(["title"]).count() == 40
