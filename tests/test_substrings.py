@@ -65,3 +65,11 @@ def test_a_change_does_not_read_the_texts_that_it_replaces(spark, tmp_path, monk
     monkeypatch.undo()
     assert {r.note_id for r in index.search("%other%").collect()} == set(range(5, 10)) and index.search("%title%").count() == 40
     assert index.candidates(["title"]).count() == 40
+
+
+def test_merged_grams_are_those_of_the_newest_rows(spark, tmp_path):
+    index = SubstringIndex(spark, str(tmp_path), ("title",))
+    for number in range(5):
+        index.apply(spark.range(number, 12).selectExpr("id AS note_id", f"'round {number} ' || id AS title"), number)
+    assert len(index.grams.state().segments) < 5
+    assert {r.note_id for r in index.candidates(["round 4"]).collect()} == set(range(4, 12)) and {r.note_id for r in index.candidates(["d 2 "]).collect()} == {2}
