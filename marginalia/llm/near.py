@@ -9,7 +9,10 @@ white space are merged beforehand.
 
 A large group of texts that have a passage in common, or of copies that are changed too much, would make as many
 pairs as its square. So each text first counts its shingles that texts of other components have as well. They bound
-its similarity to any of them, and a text that cannot reach the least similarity meets none.
+its similarity to any of them, and a text that cannot reach the least similarity meets none. Texts that resemble each
+other at about 0.7 can have all their shingles from others and pass; so those that are left get an odd sketch, whose
+differing bits are at most the shingles that only one of two texts has. Where texts meet, a pair becomes a row only
+if that bound allows the similarity, too; like the first, it leaves out no similar pair.
 """
 
 from __future__ import annotations
@@ -31,6 +34,8 @@ from .simhash import ball_pairs, bit_counts
 PARTS, PART_BITS, MINIMA, WORDS = 16, 16, 2, 6
 #: Differing bits of all words up to which a pair is verified: over four standard deviations above the mean at 0.8.
 FAR = 104
+#: 64-bit words of an odd sketch, a power of two: its bound is close to the truth for texts of up to about as many shingles as it has bits, and weaker for longer ones.
+ODD_WORDS = 32
 #: Shingles worked on at once; bounds memory on very long texts.
 _BLOCK = 4096
 #: Shingles that a task holds, or hands back at once, beside those of one text; rows of signed texts handed back at once.
@@ -81,6 +86,12 @@ def signature(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ((anchors & ~low) | words.view(np.uint16)[:PARTS].astype(np.uint64)).view(np.int64), words.view(np.int64)
 
 
+def odd_sketch(found: np.ndarray) -> np.ndarray:
+    """Bits that an odd number of a set of shingles falls on, as signed integers: what is in both of two sets falls on equal bits twice, so sketches differ in at most as many bits as there are shingles in one set only."""
+    bits = ODD_WORDS * 64
+    return np.packbits(np.bincount(found & np.uint64(bits - 1), minlength=bits).astype(np.uint8) & 1).view(np.int64)
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sets of shingles; of two empty ones: 1."""
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -99,11 +110,16 @@ def _reaches(shared: Column, n: Column, other: Column, least: float) -> Column:
     return most >= (n + other - most) * least
 
 
-def _alike(a: str, b: str, least: float, shared: bool = False) -> Column:
-    """Whether sizes and SimHash bits of two structs ``n, sketch`` (and numbers of ``shared`` shingles) allow the similarity."""
+def _alike(a: str, b: str, least: float, counted: bool = False) -> Column:
+    """Whether sizes and SimHash bits of two structs ``n, sketch`` (if ``counted`` also ``shared`` shingles and sketches ``odd``) allow the similarity."""
     n, other = F.col(f"{a}.n"), F.col(f"{b}.n")
-    fits = _reaches(F.least(f"{a}.shared", f"{b}.shared") if shared else F.least(n, other), n, other, least)
-    return fits & (_distance(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= FAR)
+    fits = _reaches(F.least(f"{a}.shared", f"{b}.shared") if counted else F.least(n, other), n, other, least)
+    fits = fits & (_distance(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= FAR)
+    if not counted:
+        return fits
+    # not a sum of its words as code of their own, which would be too much of it for Java to compile
+    apart = F.aggregate(F.zip_with(f"{a}.odd", f"{b}.odd", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    return fits & _reaches((n + other - apart) / 2, n, other, least)
 
 
 def _anchor(code: Column) -> Column:
@@ -160,11 +176,20 @@ def shingled(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
             yield piece(batch, first, found)
 
 
+def odd_sketches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """``_key, odd`` of batches ``_key, text``, a piece at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, PIECE):
+            batch = whole.slice(at, PIECE)
+            odd = [odd_sketch(shingles(words_of(text.as_py()), width)) for text in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odd, pa.list_(pa.int64()))], ["_key", "odd"])
+
+
 def within_reach(met: DataFrame, texts: DataFrame, least: float, width: int) -> DataFrame:
-    """The rows of ``met(code, own, component)`` whose text can be similar to one of another component there; ``own`` gets ``shared`` and ``reach``.
+    """The rows of ``met(code, own, component)`` whose text can be similar to one of another component there; ``own`` gets ``shared``, ``reach`` and ``odd``.
 
     ``shared`` counts a text's shingles that a text of another component has, of those that share an anchor with
-    another component at all; ``reach`` is the most shingles that a text similar to it can have.
+    another component at all; ``reach`` is the most shingles that a text similar to it can have; ``odd`` is the odd sketch.
     """
     mark = written()
     anchored = met.withColumn("anchor", _anchor(F.col("code")))
@@ -177,7 +202,11 @@ def within_reach(met: DataFrame, texts: DataFrame, least: float, width: int) ->
     counts = runs.join(both, "shingle", "left_semi").groupBy("_key").agg(F.count("*").alias("shared"))
     reach = (F.floor(F.col("shared") * ((1 + least) / least) + 1e-6) - F.col("own.n")).alias("reach")
     counted = live.join(counts, F.col("own._key") == F.col("_key")).withColumn("own", F.struct("own._key", "own.n", "shared", reach, "own.sketch")).select(live.columns)
-    kept = persisted(_meeting(persisted(_meeting(persisted(counted, "live")), "live")), "live")
+    reaching = persisted(_meeting(persisted(_meeting(persisted(counted, "live")), "live")), "live")
+    left = reaching.select("own._key").distinct()
+    odd = persisted(texts.join(left, "_key").select("_key", "text").mapInArrow(lambda batches: odd_sketches(batches, width), "_key binary, odd array<bigint>"), "odd")
+    sketched = reaching.join(odd, F.col("own._key") == F.col("_key")).withColumn("own", F.struct("own.*", "odd")).select(reaching.columns)
+    kept = persisted(sketched, "live")
     drop_written(met.sparkSession, mark)
     return kept
 
@@ -188,23 +217,25 @@ def candidates(met: DataFrame, least: float, one_each: bool = False) -> DataFram
 
     Only fingerprints at anchors where texts can reach another component are emitted with their variants, so a
     group of copies that is connected costs nothing. Pairs of fingerprints are made from the at most 17 that meet
-    at a variant, then of the components there, then of their texts, each only where sizes and reaches allow it;
-    with ``one_each`` one text stands for all of its component that have a fingerprint.
+    at a variant, then of the components there, then of their texts, each only where sizes and reaches allow it, and
+    sketches, too, as soon as a component has but one text at its fingerprint; with ``one_each`` one text stands for all of its component that have a fingerprint.
     """
     mark = written()
     live = _meeting(met)
     live = persisted(live.groupBy("code", "component").agg(F.min("own").alias("own")) if one_each else live.select("code", "own", "component"), "live")
-    parts = persisted(live.groupBy("code", "component").agg(F.min("own.n").alias("n"), F.max("own.reach").alias("reach")), "parts")
+    parts = persisted(live.groupBy("code", "component").agg(F.min("own.n").alias("n"), F.max("own.reach").alias("reach"), F.when(F.count("*") == 1, F.min("own")).alias("only")), "parts")
     codes = persisted(parts.groupBy("code").agg(F.min(_tag()).alias("lo"), F.max(_tag()).alias("hi"), F.min("n").alias("n"), F.max("reach").alias("reach")), "codes")
     fits = lambda a, b: (F.col(f"{a}_n") <= F.col(f"{b}_reach")) & (F.col(f"{b}_n") <= F.col(f"{a}_reach"))
     side = lambda c: codes.select(F.col("code").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in ("lo", "hi", "n", "reach")])
     near = ball_pairs(codes.select("code"), PART_BITS).join(side("u"), "u").join(side("w"), "w").where(fits("u", "w")).where("u_lo != u_hi OR w_lo != w_hi OR u_lo != w_lo").select("u", "w")
     near = near.unionByName(codes.where("lo != hi").select(F.col("code").alias("u"), F.col("code").alias("w")))
-    part = lambda code, c: parts.select(F.col("code").alias(code), F.col("component").alias(c), F.col("n").alias(f"{c}_n"), F.col("reach").alias(f"{c}_reach"))
+    part = lambda code, c: parts.select(F.col("code").alias(code), F.col("component").alias(c), F.col("n").alias(f"{c}_n"), F.col("reach").alias(f"{c}_reach"), F.col("only").alias(f"{c}_only"))
     near = near.join(part("u", "cx"), "u").join(part("w", "cy"), "w").where("cx != cy AND (u != w OR cx < cy)").where(fits("cx", "cy"))
+    near = near.where(F.col("cx_only").isNull() | F.col("cy_only").isNull() | _alike("cx_only", "cy_only", least, counted=True)).drop("cx_only")
     text = lambda code, c, own: live.select(F.col("code").alias(code), F.col("component").alias(c), F.col("own").alias(own))
     pairs = near.join(text("u", "cx", "x"), ["u", "cx"]).where("x.n <= cy_reach AND x.reach >= cy_n")
-    pairs = pairs.join(text("w", "cy", "y"), ["w", "cy"]).where(_alike("x", "y", least, shared=True))
+    pairs = pairs.where(F.col("cy_only").isNull() | _alike("x", "cy_only", least, counted=True)).drop("cy_only")
+    pairs = pairs.join(text("w", "cy", "y"), ["w", "cy"]).where(_alike("x", "y", least, counted=True))
     first = F.col("x._key") < F.col("y._key")
     ends = [F.when(first, F.col(p)).otherwise(F.col(q)).alias(n) for n, p, q in (("a", "x._key", "y._key"), ("b", "y._key", "x._key"), ("ca", "cx", "cy"), ("cb", "cy", "cx"))]
     found = persisted(pairs.select(*ends, _distance(F.col("x.sketch"), F.col("y.sketch")).alias("far")).distinct(), "pairs")

@@ -128,6 +128,45 @@ def test_groups_that_only_look_near_make_few_pairs(spark, docs_of):
     assert got == brute_firsts(rows) and max(seen) < 400
 
 
+def test_copies_of_the_same_changes_make_few_pairs(docs_of):
+    """Copies that each have 6 of 24 changes, so that others have all their shingles, but few texts have as many as five of theirs: the bound by odd sketches."""
+    rng = random.Random(21)
+    words, changes = text_of(rng, 150), [(4 + 6 * k, f"y{k}" if k % 2 else "") for k in range(24)]
+
+    def copy():
+        own = list(words)
+        for at, word in rng.sample(changes, 6):
+            own[at] = word
+        return " ".join(own)
+
+    rows, seen = [(i, copy()) for i in range(300)], []
+    keep = near.candidates
+
+    def counted(*args, **options):
+        pairs = keep(*args, **options)
+        seen.append(pairs.count())
+        return pairs
+
+    near.candidates = counted
+    try:
+        got = sorted(r.doc_id for r in near.keep_first(docs_of(rows)).collect())
+    finally:
+        near.candidates = keep
+    assert got == brute_firsts(rows) and 30 < len(rows) - len(got) < 250 and max(seen) < 600, (len(got), seen)
+
+
+def test_odd_sketches_differ_at_most_as_the_sets_do():
+    rng = np.random.default_rng(6)
+    for n, apart in ((1, 1), (40, 9), (150, 60), (900, 200), (20_000, 4000)):
+        every = np.unique(rng.integers(0, 1 << 64, n + apart, np.uint64))
+        a, b = every[:n], every[apart // 2 : apart // 2 + n]
+        differing = int(np.bitwise_count((near.odd_sketch(a) ^ near.odd_sketch(b)).view(np.uint64)).sum())
+        union = len(np.setxor1d(a, b, assume_unique=True))
+        assert differing <= union and (union - differing) % 2 == 0
+        assert n > 900 or differing >= 0.7 * union
+    assert not near.odd_sketch(np.empty(0, np.uint64)).any() and len(near.odd_sketch(a)) == near.ODD_WORDS
+
+
 def test_columns_of_clashing_names_stay(spark, docs_of):
     docs = docs_of([(1, "one two three"), (2, "one two  three"), (3, "")]).withColumn("_key", F.lit("k")).withColumn("__KEY", F.lit(1)).withColumn("component", F.col("doc_id"))
     got = near.keep_first(docs)
