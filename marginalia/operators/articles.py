@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import text as tx
 from marginalia.functions.documents import UDFS
 
-#: Characters that are embedded, least length of an article, size under which a page may be a redirect.
+#: Characters that are embedded at once, least length of an article, size under which a page may be a redirect.
 CHARS, LEAST, REDIRECT = 1500, 200, 800
 #: Name spaces whose pages are no articles.
 _SPACES = ("mediawiki:", "module:", "template:", "wikipedia:", "file:")
@@ -22,8 +22,8 @@ CHAT_PHRASES = (
 )
 
 
-def articles(pages: DataFrame, chars: int = CHARS, least: int = LEAST) -> DataFrame:
-    """``page_id, path, title, content`` of the pages that are articles; cheap tests come before the parse."""
+def articles(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """``page_id, path, title, content`` of the pages that are articles, with their whole text; cheap tests come before the parse."""
     path = F.regexp_replace("url", r"^https?://[^/]+/", "")
     low = F.lower("path")
     rows = pages.withColumn("path", path).where(~(F.col("path").startswith(".") & ~F.col("path").startswith("./")) & ~F.col("path").startswith("-/"))
@@ -31,11 +31,21 @@ def articles(pages: DataFrame, chars: int = CHARS, least: int = LEAST) -> DataFr
         rows = rows.where(~low.contains(s))
     rows = rows.where(~is_redirect(F.col("html")))
     # one parse for title and text; not deterministic in name, so that no filter is moved below it with a second one
-    rows = rows.withColumn("parsed", UDFS["html_article"](F.col("html"))).withColumn("title", F.col("parsed.title")).withColumn("content", F.substring("parsed.flat", 1, chars))
+    rows = rows.withColumn("parsed", UDFS["html_article"](F.col("html"))).withColumn("title", F.col("parsed.title")).withColumn("content", F.col("parsed.flat"))
     rows = rows.where(F.length("content") >= least)
     return rows.where(~F.coalesce(F.lower("title").endswith("(disambiguation)"), F.lit(False)) & ~low.contains("_(disambiguation)")).select("page_id", "path", "title", "content")
 
 
+def article_chunks(found: DataFrame, chars: int = CHARS) -> DataFrame:
+    """``page_id, path, chunk_index, title, content, text``: the whole text of each article in pieces of at most ``chars`` characters; ``text`` is what is embedded.
+
+    Pieces end at blanks; a word that is longer than a piece is split.
+    """
+    parts = F.regexp_extract_all("content", F.lit(rf"(?s)\S(?:.{{0,{chars - 2}}}\S)?(?!\S)|\S{{{chars}}}"), F.lit(0))
+    rows = found.select("page_id", "path", "title", F.posexplode(parts).alias("chunk_index", "content"))
+    return rows.withColumn("text", F.concat_ws("\n", F.concat(F.lit("search_document: "), F.col("title")), "content"))
+
+
 def is_redirect(html: Column) -> Column:
     """Whether a page only sends its reader on."""
     return (F.octet_length(html) < REDIRECT) & F.lower(html).contains("http-equiv") & F.lower(html).contains("refresh")

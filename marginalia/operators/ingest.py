@@ -17,7 +17,7 @@ from marginalia.functions import text as tx
 from marginalia.sources import files as fi
 
 from . import knowledge as kn
-from .articles import articles
+from .articles import article_chunks, articles
 from .jobs import Job
 from .storage import KeyedTable, persisted
 
@@ -249,11 +249,11 @@ def reindex_all(table: KeyedTable, notes: DataFrame, model: str, embedder: Embed
 
 
 def index_articles(table: KeyedTable, pages: DataFrame, bundle: str, embedder: Embedder | None = None, dims: int = LARGE_DIMS, batches: int = 16) -> int:
-    """The articles of a bundle's ``pages(page_id, url, html)`` with their vectors, keyed by path, in batches that can be resumed."""
+    """The articles of a bundle's ``pages(page_id, url, html)`` with a vector for each piece, keyed by path, in batches that can be resumed."""
     done = 0
     for name, number, part in _batches(table, pages, "page_id", f"articles-{bundle}", batches):
-        rows = articles(part).withColumn("text", F.concat_ws("\n", F.concat(F.lit("search_document: "), F.col("title")), "content"))
-        stored = embedded(rows, "text", embedder or hashing_embedder(dims)).select(F.lit(bundle).alias("bundle_id"), "path", "title", "content", "vector")
+        rows = embedded(article_chunks(articles(part)), "text", embedder or hashing_embedder(dims))
+        stored = rows.select(F.lit(bundle).alias("bundle_id"), "path", "chunk_index", "title", "content", "vector")
         store_vectors(table, stored, number, dims, stream=name)
         done += 1
     return done

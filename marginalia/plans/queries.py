@@ -816,11 +816,11 @@ def opr9_note_chunks(s, p):
 
 @query()
 def opr12_index_articles(s, p):
-    from marginalia.operators.articles import articles
+    from marginalia.operators.articles import article_chunks, articles
     from marginalia.operators.ingest import embedded
 
-    rows = articles(d.spread_table(s, p, "pages")).select("path", "title", F.concat_ws("\n", F.concat(F.lit("search_document: "), F.col("title")), "content").alias("text"))
-    return embedded(rows, "text").select("path", "title", F.size("vector").alias("dims"))
+    rows = article_chunks(articles(d.spread_table(s, p, "pages")))
+    return embedded(rows, "text").select("path", "chunk_index", "title", F.size("vector").alias("dims"))
 
 
 @query(with_("marked", "links") + "SELECT note_id, title, (SELECT count(*) FROM links l WHERE l.source_id = m.note_id) AS degree_out FROM marked m")

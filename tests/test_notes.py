@@ -172,6 +172,17 @@ def test_articles_are_indexed_in_batches(spark, tmp_path):
     assert ing.index_articles(table, pages, "b1", dims=16, batches=3) == 0
 
 
+def test_whole_articles_are_indexed(spark, tmp_path):
+    words = " ".join(f"word{i}é" for i in range(900)) + " " + "x" * 3700 + " last"
+    pages = spark.createDataFrame([(1, "http://x/P", f"<html><head><title>T</title></head><body><p>{words}</p><p>end 𝄞</p></body></html>")], "page_id long, url string, html string")
+    table = KeyedTable(spark, str(tmp_path / "a"), ["bundle_id", "path"])
+    assert ing.index_articles(table, pages, "b1", dims=16, batches=1) == 1
+    parts = [r.content for r in table.read().orderBy("chunk_index").collect()]
+    assert "".join("".join(parts).split()) == "".join(words.split()) + "end𝄞" and max(map(len, parts)) <= ar.CHARS
+    assert [w for part in parts for w in part.split() if w.startswith("word")] == words.split()[:900]
+    assert {r.path: r.n for r in ar.articles(pages).selectExpr("path", "length(content) AS n").collect()} == {"P": len(words) + 6}
+
+
 def test_archives(spark):
     page = lambda to: f'<meta http-equiv="refresh" content="0;url={to}">'
     pages = spark.createDataFrame([(1, "A/One", "<p>one</p>"), (2, "Two", page("A/One")), (3, "Three", page("Two#x")), (4, "Loop", page("Loop")), (5, "Four", page("Three")), (6, "Five", page("Four")), (7, "Lost", page("Nowhere"))], "page_id long, url string, html string")
