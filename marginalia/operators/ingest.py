@@ -196,33 +196,24 @@ def reindexed(index: DataFrame, changed: DataFrame, embedder: Embedder | None =
     return kn.without_keys(index, changed.select("note_id"), ["note_id"]).unionByName(new)
 
 
-def checked(rows: DataFrame, dims: int, column: str = "vector") -> tuple[DataFrame, DataFrame]:
-    """Rows whose vector has ``dims`` components, and the others."""
-    good = F.coalesce(F.size(column) == dims, F.lit(False))
-    return rows.where(good), rows.where(~good)
-
-
-def store_vectors(table: KeyedTable, rows: DataFrame, number: int, dims: int, keys: DataFrame | None = None, stream: str = "") -> None:
-    """Vectors in place of those of their keys; none is stored if one has another dimension."""
-    rows = persisted(rows, "vectors")
-    if not checked(rows, dims)[1].isEmpty():
-        raise ValueError(f"a vector has other than {dims} dimensions")
-    table.upsert(rows, number, keys, stream)
+def store_vectors(table: KeyedTable, rows: DataFrame, number: int, dims: int, keys: DataFrame | None = None, stream: str = "", merge: bool = True) -> None:
+    """Vectors in place of those of their keys; none is stored if one has another dimension. They are written where they are made, once, and not shuffled."""
+    table.upsert(rows, number, keys, stream, merge, ranged=False, tests={f"a vector has other than {dims} dimensions": F.size("vector") == dims})
 
 
 #: What is stored of a note's chunk.
 CHUNK = ["note_id", "chunk_index", "title", "content", "vector"]
 
 
-def index_notes(table: KeyedTable, changed: DataFrame, number: int, embedder: Embedder | None = None, dims: int = DIMS, suffix: DataFrame | None = None, stream: str = "notes") -> None:
+def index_notes(table: KeyedTable, changed: DataFrame, number: int, embedder: Embedder | None = None, dims: int = DIMS, suffix: DataFrame | None = None, stream: str = "notes", merge: bool = True) -> None:
     """Chunks and vectors of the changed notes in place of what the table has of them; blank notes have none."""
-    store_vectors(table, embedded(note_chunks(changed, suffix), "text", embedder).select(CHUNK), number, dims, changed.select("note_id"), stream)
+    store_vectors(table, embedded(note_chunks(changed, suffix), "text", embedder).select(CHUNK), number, dims, changed.select("note_id"), stream, merge)
 
 
 def _batches(table: KeyedTable, rows: DataFrame, key: str, stream: str, batches: int):
-    """Number and rows of the batches of a job that are not part of the table yet. The job is known by its ids."""
+    """Number and rows of the batches of a job that are not part of the table yet. The job is known by its ids and the number of its batches."""
     n, mix = rows.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(key)), F.lit(0))).first()
-    name = f"{stream}-{n}-{mix & (1 << 63) - 1:x}"
+    name = f"{stream}-{n}-{mix & (1 << 63) - 1:x}-{batches}"
     part = F.pmod(F.xxhash64(key, F.lit(5)), F.lit(batches))
     for number in range(table.done(name) + 1, batches):
         yield name, number, rows.where(part == number)
@@ -231,18 +222,19 @@ def _batches(table: KeyedTable, rows: DataFrame, key: str, stream: str, batches:
 def reindex_all(table: KeyedTable, notes: DataFrame, model: str, embedder: Embedder | None = None, dims: int = DIMS, batches: int = 16, job: Job | None = None) -> int:
     """All notes anew, in batches; the number of batches done now.
 
-    A job that was stopped goes on after its last batch, as long as the model and the notes' ids are the same;
-    else it begins anew. In the end the chunks of notes that are gone are removed. ``job`` is told of each batch and may end
+    A job that was stopped goes on after its last batch, as long as the model, the notes' ids and the batches are the same;
+    else it begins anew. In the end the chunks of notes that are gone are removed: as the batches hold all notes, and each once, older segments
+    go as a whole; only where other changes came between are they looked for. ``job`` is told of each batch and may end
     the run before the next one.
     """
     done, name = 0, None
     for name, number, part in _batches(table, notes, "note_id", f"reindex-{model}", batches):
         if job:
             job.report(number, batches)
-        index_notes(table, part, number, embedder, dims, stream=name)
+        index_notes(table, part, number, embedder, dims, stream=name, merge=False)
         done += 1
     stored = table.read()
-    if name and stored is not None:
+    if name and stored is not None and not table.settle(name, batches, batches):
         gone = kn.stale(stored.select("note_id").distinct(), notes, "note_id")
         table.upsert(stored.limit(0).select(CHUNK), batches, gone, name)
     return done

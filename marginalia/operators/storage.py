@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
@@ -136,6 +136,8 @@ class Segment:
     bytes: int
     #: Whether there are keys to look for in older segments.
     keys: bool
+    #: The stream of a batch; none of segments that were merged.
+    stream: str = ""
 
 
 @dataclass(frozen=True)
@@ -208,7 +210,7 @@ class KeyedTable:
             newer = newer.join(side(only), [c for c in self.key if c in only.columns], "left_semi") if self.order == self.key else newer
         if within is not None:
             rows, newer = rows.where(within), newer.where(within) if self.order == self.key else newer
-        if len(segments) > 1:
+        if any(s.keys for s in segments[1:]):
             last = newer.groupBy(*self.key).agg(F.max("_at").alias("_last"))
             # keys that were asked for are not null, and rows that were dealt by them stay where they are
             asked = only is not None and set(self.key) <= set(only.columns)
@@ -247,15 +249,23 @@ class KeyedTable:
 
     # --- writing ---
 
-    def _write(self, rows: DataFrame, keys: DataFrame | None, dealt: bool = False) -> Segment:
-        """A new segment; rows that are ``dealt`` are sorted in the partitions where they are, others in ranges of the order."""
+    def _write(self, rows: DataFrame, keys: DataFrame | None, dealt: bool, keyed: bool, tests: dict[str, Column]) -> Segment:
+        """A new segment; rows that are ``dealt`` are sorted in the partitions where they are, others in ranges of the order.
+
+        A segment that is ``keyed`` has ``keys``, or those of its rows as they were written. Where a row fails one of ``tests`` there is none.
+        """
         name = f"segments/{uuid.uuid4().hex}"
         ordered = lambda df, by, dealt=False: (df if dealt else df.repartitionByRange(*by)).sortWithinPartitions(*by)
         seen, options = Observation(), {"compression": "zstd"} | self.options
-        ordered(rows, self.order, dealt).observe(seen, F.count(F.lit(1)).alias("n")).write.options(**options).parquet(f"{self.path}/{name}/rows")
-        if keys is not None:
+        faults = [F.count_if(~F.coalesce(test, F.lit(False))).alias(fault) for fault, test in tests.items()]
+        ordered(rows, self.order, dealt).observe(seen, F.count(F.lit(1)).alias("n"), *faults).write.options(**options).parquet(f"{self.path}/{name}/rows")
+        if found := {fault: seen.get[fault] for fault in tests if seen.get[fault]}:
+            drop(self.spark, f"{self.path}/{name}")
+            raise ValueError(", ".join(f"{n} rows: {fault}" for fault, n in found.items()))
+        if keyed:
+            keys = self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}/rows") if keys is None else keys
             ordered(keys.select(self.key).distinct(), self.key).write.options(**options).parquet(f"{self.path}/{name}/keys")
-        return Segment(name, seen.get["n"], size_of(self.spark, f"{self.path}/{name}"), keys is not None)
+        return Segment(name, seen.get["n"], size_of(self.spark, f"{self.path}/{name}"), keyed)
 
     def _rewritten(self, state: State, segments: tuple[Segment, ...]) -> DataFrame:
         """The rows that count among those of ``segments``, the newest of the state, in ranges of the key: rows and keys meet there, so rows are dealt once."""
@@ -264,11 +274,12 @@ class KeyedTable:
         last = F.max(F.when(~F.col("_row"), F.col("_at"))).over(Window.partitionBy(*self.key))
         return both.repartitionByRange(*self.key).withColumn("_last", last).where("_row AND (_last IS NULL OR _at >= _last)").drop("_row", "_at", "_last")
 
-    def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "", merge: bool = True, ranged: bool = True) -> int:
+    def upsert(self, rows: DataFrame, number: int, keys: DataFrame | None = None, stream: str = "", merge: bool = True, ranged: bool = True, tests: dict[str, Column] | None = None) -> int:
         """``rows`` in place of all rows of ``keys``, which are those of ``rows`` if not given; a key without rows is deleted.
 
         Returns the bytes that the batch wrote, 0 for one that is part of the table already. Without ``ranged`` its rows are
-        not shuffled for their order: each file is sorted, but files overlap until they are merged.
+        not shuffled for their order: each file is sorted, but files overlap until they are merged. Such rows are computed once.
+        A batch with rows that fail one of ``tests``, which are named by the fault, is a ValueError and no part of the table.
         """
         before = self.state()
         if number <= before.done.get(stream, -1):
@@ -280,13 +291,26 @@ class KeyedTable:
             schema = rows.schema
         for f in schema:
             f.nullable = True
-        segment = self._write(rows, (rows if keys is None else keys) if before.segments else None, not ranged)
+        segment = replace(self._write(rows, keys, not ranged, bool(before.segments), tests or {}), stream=stream)
         self._commit(State(before.version + 1, (*before.segments, segment), before.done | {stream: number}, json.dumps(schema.jsonValue())))
         if merge:
             self.merge()
         self._sweep()
         return segment.bytes
 
+    def settle(self, stream: str, number: int, batches: int) -> bool:
+        """End a stream whose ``batches`` hold all rows that are to stay, and no key twice: what is older goes without being read, and readers join nothing.
+
+        False, and nothing is done, where those are not the newest segments, one by one, as another writer's batch came between.
+        """
+        state = self.state()
+        own = state.segments[-batches:]
+        if len(own) < batches or any(s.stream != stream for s in own):
+            return False
+        self._commit(State(state.version + 1, tuple(replace(s, keys=False) for s in own), state.done | {stream: number}, state.schema))
+        self._sweep()
+        return True
+
     def _tier(self, segment: Segment) -> int:
         size, tier = segment.bytes // self.UNIT, 0
         while size:
@@ -312,7 +336,7 @@ class KeyedTable:
             newest = state.segments[-n:]
             whole = n == len(state.segments)
             keys = None if whole else self._part(state, newest, "keys")
-            merged = self._write(self._rewritten(state, newest), keys, self.order == self.key)
+            merged = self._write(self._rewritten(state, newest), keys, self.order == self.key, not whole, {})
             written += merged.bytes
             try:
                 self._commit(State(state.version + 1, (*state.segments[:-n], merged), state.done, state.schema))

@@ -164,6 +164,39 @@ def test_reindexing_goes_on_where_it_stopped(spark, tmp_path):
         ing.index_notes(table, notes, 0, ing.hashing_embedder(9), dims=8, stream="x")
 
 
+def test_a_reindexed_collection_is_not_written_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("marginalia.operators.storage.shared_dir", lambda spark: str(tmp_path / "scratch"))
+    notes = spark.range(40).selectExpr("id AS note_id", "'t' AS title", "'old' AS content")
+    table = KeyedTable(spark, str(tmp_path / "v"), ["note_id"])
+    run = lambda rows, model, batches=3: ing.reindex_all(table, rows, model, ing.hashing_embedder(8), 8, batches)
+    assert run(notes, "a") == 3 and run(notes.where("note_id < 30").withColumn("content", F.lit("new")), "b") == 3
+    assert {s.rows for s in table.state().segments} == {s.rows for s in table.state(table.state().version - 1).segments[-3:]} and len(table.state().segments) == 3
+    assert "Join" not in table.read()._jdf.queryExecution().optimizedPlan().toString() and not (tmp_path / "scratch").exists()
+    assert sorted((r.note_id, r.content) for r in table.read().collect()) == [(i, "new") for i in range(30)]
+    # another number of batches deals notes anew, so it is another job
+    assert run(notes.where("note_id < 30"), "b", 2) == 2 and len(table.state().segments) == 2
+    ing.index_notes(table, notes.where("note_id = 3").withColumn("content", F.lit("later\nand more")), 0, ing.hashing_embedder(8), 8)
+    assert sorted((r.note_id, r.content) for r in table.read().collect()) == sorted([(i, "old") for i in range(30) if i != 3] + [(3, "later"), (3, "and more")])
+
+
+def test_changes_during_a_reindexing_stay(spark, tmp_path, monkeypatch):
+    notes = spark.range(20).selectExpr("id AS note_id", "'t' AS title", "'old' AS content")
+    table, keep, calls = KeyedTable(spark, str(tmp_path / "v"), ["note_id"]), ing.index_notes, []
+    embedder = ing.hashing_embedder(8)
+    keep(table, spark.range(15, 25).selectExpr("id AS note_id", "'t' AS title", "'before' AS content"), 0, embedder, 8)
+
+    def disturbed(*args, **options):
+        keep(*args, **options)
+        if not calls:
+            calls.append(keep(table, notes.where("note_id < 4").withColumn("content", F.lit("changed")), 1, embedder, 8))
+
+    monkeypatch.setattr(ing, "index_notes", disturbed)
+    ing.reindex_all(table, notes, "m", embedder, 8, batches=2)
+    got = {r.note_id: r.content for r in table.read().collect()}
+    second = {r.note_id for r in notes.where(F.pmod(F.xxhash64("note_id", F.lit(5)), F.lit(2)) == 1).collect()}
+    assert got == {i: "changed" if i < 4 and i not in second else "old" for i in range(20)}
+
+
 def test_articles_are_indexed_in_batches(spark, tmp_path):
     body = "<html><head><title>T{0}</title></head><body><p>" + "words and more words " * 20 + "</p></body></html>"
     pages = spark.createDataFrame([(i, f"http://x/P{i}", body.format(i)) for i in range(9)] + [(9, "http://x/File:Q", body)], "page_id long, url string, html string")
